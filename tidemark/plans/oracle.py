@@ -126,3 +126,179 @@ SELECT repo, branch, sha, committed_at FROM (
          o_orderdate AS committed_at,
          row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn
   FROM orders) WHERE rn = 1"""
+
+# --------------------------------------------------------------------------- filters, paths, commits
+BASENAME = "regexp_extract({0}, '([^/\\\\]*)$', 1)"
+SKIP_LOWER = "('program.cs', 'startup.cs', 'assemblyinfo.cs', 'globalusings.cs', 'usings.cs')"
+
+COMMIT_FILES = """(SELECT 'r' || CAST(o.o_custkey AS VARCHAR) AS repo, 'c' || CAST(l.l_orderkey AS VARCHAR) AS sha,
+  CASE WHEN l_linenumber = 4 THEN 'src/m' || CAST(l_partkey % 40 AS VARCHAR) || '/Part' || CAST(l_partkey AS VARCHAR) || '.CS'
+       WHEN l_linenumber = 5 THEN 'src/m' || CAST(l_partkey % 40 AS VARCHAR) || '/Part' || CAST(l_partkey AS VARCHAR) || '.txt'
+       WHEN l_linenumber = 6 THEN 'tests/m' || CAST(l_partkey % 40 AS VARCHAR) || '/Part' || CAST(l_partkey AS VARCHAR) || 'Tests.cs'
+       WHEN l_linenumber = 7 THEN 'src/m' || CAST(l_partkey % 40 AS VARCHAR) || '/Program.cs'
+       ELSE 'src/m' || CAST(l_partkey % 40 AS VARCHAR) || '/Part' || CAST(l_partkey AS VARCHAR) || '.cs' END AS file_path,
+  CASE WHEN l_returnflag = 'R' THEN 'removed' WHEN l_returnflag = 'A' THEN 'added' ELSE 'modified' END AS status,
+  CAST(trunc(l_quantity) AS INTEGER) AS additions, l_linenumber AS deletions, l_partkey, l_linenumber
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey)"""
+
+SOURCE_CHANGES = f"""(SELECT * FROM {COMMIT_FILES} cf
+  WHERE file_path IS NOT NULL AND regexp_matches(file_path, '\\S') AND lower(file_path) LIKE '%.cs'
+    AND NOT contains(file_path, 'tests') AND lower({BASENAME.format('file_path')}) NOT IN {SKIP_LOWER})"""
+
+BLOBS = f"""(SELECT repo, sha, file_path, arg_max(content, l_linenumber) AS content FROM (
+   SELECT cf.repo, cf.sha, cf.file_path, cf.l_linenumber, {CODE_TEMPLATE} AS content
+   FROM {COMMIT_FILES} cf JOIN documents d ON cf.l_partkey = d.doc_id WHERE cf.status <> 'removed')
+ GROUP BY repo, sha, file_path)"""
+
+COMMITS = """(SELECT repo, sha, committed_at, commit_key,
+   lag(sha) OVER (PARTITION BY repo ORDER BY committed_at, commit_key) AS parent_sha FROM (
+   SELECT 'r' || CAST(o_custkey AS VARCHAR) AS repo, o_orderkey AS commit_key, 'c' || CAST(o_orderkey AS VARCHAR) AS sha,
+          o_orderdate AS committed_at FROM orders))"""
+
+
+def segs(x: str) -> str:
+    return f"list_filter(string_split({x}, '/'), lambda s: s <> '' AND s <> '.')"
+
+
+def relative_path(rt: str, p: str) -> str:
+    r, q = segs(rt), segs(p)
+    common = (f"(CASE WHEN least(len({r}), len({q})) = 0 THEN 0 ELSE len(list_filter(range(1, least(len({r}), len({q})) + 1), "
+              f"lambda i: {r}[1:i] = {q}[1:i])) END)")
+    joined = (f"array_to_string(list_concat(list_transform(range(len({r}) - {common}), lambda x: '..'), "
+              f"{q}[{common} + 1:len({q})]), '/')")
+    return f"(CASE WHEN {joined} = '' THEN '.' ELSE {joined} END)"
+
+
+def combine(*parts: str) -> str:
+    return "concat_ws('/', " + ", ".join(f"nullif(regexp_replace({p}, '/+$', ''), '')" for p in parts) + ")"
+
+
+def stem(x: str) -> str:
+    return f"regexp_extract({BASENAME.format(x)}, '^(.*?)(\\.[^.]*)?$', 1)"
+
+
+def extension(x: str) -> str:
+    return f"regexp_extract({BASENAME.format(x)}, '(\\.[^.]+)$', 1)"
+
+
+def directory_name(x: str) -> str:
+    return f"regexp_extract({x}, '^(.*)/[^/]*$', 1)"
+
+
+def test_path(fp: str, src: str, tests: str, project: str | None = None) -> str:
+    if project is not None:
+        src, tests = combine(project, src), combine(project, tests)
+    rel = relative_path(src, fp)
+    return combine(tests, directory_name(rel), f"{stem(rel)} || 'Tests' || {extension(rel)}")
+
+
+SQL["skip_list_anti"] = f"""SELECT repo, sha, file_path, l_linenumber FROM {COMMIT_FILES}
+WHERE lower({BASENAME.format('file_path')}) NOT IN {SKIP_LOWER}"""
+
+SQL["extension_filter"] = f"SELECT repo, sha, file_path, l_linenumber FROM {COMMIT_FILES} WHERE lower(file_path) LIKE '%.cs'"
+
+SQL["changed_source_files"] = f"SELECT repo, sha, file_path, status, additions, deletions FROM {SOURCE_CHANGES}"
+
+SQL["interface_filter"] = f"SELECT file_path, version, contains(content, 'interface') AS is_interface FROM {CODE_VERSIONS}"
+
+SQL["commit_has_source_change"] = f"""SELECT repo, sha, bool_or(lower(file_path) LIKE '%.cs') AS has_source_change
+FROM {COMMIT_FILES} GROUP BY repo, sha"""
+
+SQL["approval_gate"] = f"""SELECT c.file_path, c.version, CASE WHEN l.quality = 1 THEN 'Yes' ELSE 'n' END AS answer,
+  coalesce(lower(CASE WHEN l.quality = 1 THEN 'Yes' ELSE 'n' END) IN ('y', 'yes'), false) AS applied
+FROM {CODE_VERSIONS} c JOIN labels l ON c.version = l.doc_id"""
+
+SQL["test_path_mapping"] = f"""SELECT repo, sha, file_path, l_linenumber,
+  {test_path('file_path', "'src'", "'tests'")} AS test_path,
+  {test_path("'proj/' || repo || '/' || file_path", "'src'", "'tests'", "'proj/' || repo")} AS auto_test_path
+FROM {COMMIT_FILES}"""
+
+SQL["staging_paths"] = f"""SELECT repo, sha, file_path, test_path,
+  {combine("'staging'", f"{stem('test_path')} || '_temp' || {extension('test_path')}")} AS staging_path
+FROM (SELECT *, {test_path('file_path', "'src'", "'tests'")} AS test_path FROM {SOURCE_CHANGES})"""
+
+URL_SEGS = "string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/')"
+SQL["repo_from_url"] = f"""SELECT page_id,
+  CASE WHEN len({URL_SEGS}) >= 3 THEN {URL_SEGS}[2] END AS owner,
+  CASE WHEN len({URL_SEGS}) >= 3 THEN replace({URL_SEGS}[3], '.git', '') END AS repo,
+  CASE WHEN len({URL_SEGS}) < 3 THEN 'Invalid GitHub repository URL.' END AS error
+FROM pages"""
+
+SQL["classify_location"] = f"""
+WITH inputs AS (
+  SELECT 'url' AS kind, page_id AS id, url AS location FROM pages
+  UNION ALL SELECT 'folder', doc_id, 'src/' || source FROM documents
+  UNION ALL SELECT 'name', doc_id, 'docs/' || lang FROM documents),
+listing AS (SELECT DISTINCT {directory_name('file_path')} AS location FROM {CODE_VERSIONS})
+SELECT i.kind, i.id, i.location,
+  CASE WHEN l.location IS NOT NULL THEN 'local'
+       WHEN lower(i.location) LIKE 'http://%' OR lower(i.location) LIKE 'https://%' THEN 'remote'
+       ELSE 'invalid' END AS location_class
+FROM inputs i LEFT JOIN listing l ON i.location = l.location"""
+
+SQL["skip_list_distinct"] = f"SELECT DISTINCT lower({BASENAME.format('file_path')}) AS name FROM {COMMIT_FILES}"
+
+SQL["commit_file_changes"] = f"""
+WITH heads AS (SELECT repo, sha FROM (
+  SELECT 'r' || CAST(o_custkey AS VARCHAR) AS repo, 'c' || CAST(o_orderkey AS VARCHAR) AS sha,
+         row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn
+  FROM orders) WHERE rn = 1)
+SELECT f.repo, f.sha, f.file_path, f.status, f.additions, f.deletions
+FROM {COMMIT_FILES} f JOIN heads h ON f.repo = h.repo AND f.sha = h.sha"""
+
+BEFORE_AFTER = f"""(SELECT f.repo, f.sha, f.file_path, c.parent_sha,
+   coalesce(bo.content, '') AS old_content, coalesce(bn.content, '') AS new_content
+ FROM {SOURCE_CHANGES} f
+ LEFT JOIN {COMMITS} c ON f.repo = c.repo AND f.sha = c.sha
+ LEFT JOIN {BLOBS} bo ON bo.repo = f.repo AND bo.sha = c.parent_sha AND bo.file_path = f.file_path
+ LEFT JOIN {BLOBS} bn ON bn.repo = f.repo AND bn.sha = f.sha AND bn.file_path = f.file_path)"""
+
+SQL["content_before_after"] = f"""SELECT repo, sha, file_path, parent_sha, md5(old_content) AS old_md5,
+  md5(new_content) AS new_md5, CAST(length(old_content) AS INTEGER) AS old_len, CAST(length(new_content) AS INTEGER) AS new_len
+FROM {BEFORE_AFTER}"""
+
+SQL["blank_coalesce"] = f"""SELECT repo, sha, file_path,
+  md5(CASE WHEN {not_blank('new_content')} THEN new_content ELSE old_content END) AS source_md5
+FROM {BEFORE_AFTER}"""
+
+SQL["existing_test_lookup"] = f"""SELECT f.repo, f.sha, f.file_path, f.test_path, md5(coalesce(b.content, '')) AS test_md5
+FROM (SELECT *, {test_path('file_path', "'src'", "'tests'")} AS test_path FROM {SOURCE_CHANGES}) f
+LEFT JOIN {BLOBS} b ON b.repo = f.repo AND b.sha = f.sha AND b.file_path = f.test_path"""
+
+COMPLETION_TEXT = """(CASE (conv_id + turn) % 5
+  WHEN 0 THEN 'Here is the code:
+```csharp
+' || text || '
+```
+Done.'
+  WHEN 1 THEN '<think>' || text || '</think>
+```
+' || text || '
+```'
+  WHEN 2 THEN text
+  WHEN 3 THEN '   '
+  ELSE '<think>plan</think>  ' || text || '  ' END)"""
+
+ANSWERS = f"(SELECT conv_id, turn, {COMPLETION_TEXT} AS answer FROM conversations WHERE role = 'assistant')"
+
+
+def utrim(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def strip_think(x: str) -> str:
+    return utrim(f"regexp_replace({x}, '(?s)<think>.*?</think>', '', 'g')")
+
+
+FENCE = "'(?s)```(?:\\w+)?\\s*(.*?)```'"
+
+
+def extract_code(x: str) -> str:
+    s = strip_think(x)
+    return (f"(CASE WHEN {x} IS NULL OR NOT regexp_matches({x}, '\\S') THEN '' "
+            f"WHEN regexp_matches({s}, {FENCE}) THEN {utrim(f'regexp_extract({s}, {FENCE}, 1)')} "
+            f"ELSE {utrim(s)} END)")
+
+
+SQL["strip_think"] = f"SELECT conv_id, turn, {strip_think('answer')} AS stripped FROM {ANSWERS}"
+SQL["extract_code_block"] = f"SELECT conv_id, turn, {extract_code('answer')} AS code FROM {ANSWERS}"

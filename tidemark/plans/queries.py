@@ -79,3 +79,155 @@ def q_commit_cursor(spark, sf):
 @query("head_commit")
 def q_head_commit(spark, sf):
     return V.head_commit(TB.commit_rows(spark, sf)).select("repo", "branch", "sha", "committed_at")
+
+
+# --------------------------------------------------------------------------- filters and paths
+from tidemark.functions import paths as P  # noqa: E402
+from tidemark.functions import text as X  # noqa: E402
+from tidemark.operators import commits as C  # noqa: E402
+from tidemark.operators import filters as FL  # noqa: E402
+
+STAGING_ROOT = "staging"
+
+
+def _skip(spark):
+    return TB.skip_list(spark), len(TB.SKIP_FILES)
+
+
+@query("skip_list_anti")
+def q_skip_list_anti(spark, sf):
+    skip, n = _skip(spark)
+    f = FL.drop_skipped(TB.commit_files(spark, sf), skip, skip_size=n)
+    return f.select("repo", "sha", "file_path", "l_linenumber")
+
+
+@query("extension_filter")
+def q_extension_filter(spark, sf):
+    f = TB.commit_files(spark, sf)
+    return f.filter(FL.has_extension(F.col("file_path"), TB.CODE_EXTENSION)) \
+            .select("repo", "sha", "file_path", "l_linenumber")
+
+
+def source_changes(spark, sf):
+    skip, n = _skip(spark)
+    return FL.changed_source_files(TB.commit_files(spark, sf), skip, TB.CODE_EXTENSION,
+                                   TB.TESTS_FOLDER, skip_size=n)
+
+
+@query("changed_source_files")
+def q_changed_source_files(spark, sf):
+    return source_changes(spark, sf).select("repo", "sha", "file_path", "status", "additions", "deletions")
+
+
+@query("interface_filter")
+def q_interface_filter(spark, sf):
+    c = TB.code_versions(spark, sf)
+    return c.select("file_path", "version", FL.is_interface_file(F.col("content")).alias("is_interface"))
+
+
+@query("commit_has_source_change")
+def q_commit_has_source_change(spark, sf):
+    return FL.commit_has_source_change(TB.commit_files(spark, sf), TB.CODE_EXTENSION)
+
+
+@query("approval_gate")
+def q_approval_gate(spark, sf):
+    staged = TB.code_versions(spark, sf).select("file_path", "version")
+    ans = TB.approvals(spark, sf)
+    j = staged.join(ans, staged["version"] == ans["doc_id"])
+    return j.select("file_path", "version", "answer", FL.is_approved(F.col("answer")).alias("applied"))
+
+
+@query("test_path_mapping")
+def q_test_path_mapping(spark, sf):
+    f = TB.commit_files(spark, sf)
+    project = F.concat(F.lit("proj/"), F.col("repo"))
+    full = F.concat(project, F.lit("/"), F.col("file_path"))
+    return f.select("repo", "sha", "file_path", "l_linenumber",
+                    P.test_path(F.col("file_path"), F.lit(TB.SRC_FOLDER), F.lit(TB.TESTS_FOLDER)).alias("test_path"),
+                    P.test_path(full, F.lit(TB.SRC_FOLDER), F.lit(TB.TESTS_FOLDER), project).alias("auto_test_path"))
+
+
+@query("staging_paths")
+def q_staging_paths(spark, sf):
+    f = source_changes(spark, sf)
+    tp = P.test_path(F.col("file_path"), F.lit(TB.SRC_FOLDER), F.lit(TB.TESTS_FOLDER))
+    return f.select("repo", "sha", "file_path", tp.alias("test_path"),
+                    P.staging_path(tp, F.lit(STAGING_ROOT)).alias("staging_path"))
+
+
+@query("repo_from_url")
+def q_repo_from_url(spark, sf):
+    p = TB.read_table(spark, sf, "pages")
+    u = F.col("url")
+    return p.select("page_id", P.repo_owner(u).alias("owner"), P.repo_name(u).alias("repo"),
+                    P.repo_url_error(u).alias("error"))
+
+
+@query("classify_location")
+def q_classify_location(spark, sf):
+    pages = TB.read_table(spark, sf, "pages")
+    docs = TB.read_table(spark, sf, "documents")
+    inputs = (pages.select(F.lit("url").alias("kind"), F.col("page_id").alias("id"), F.col("url").alias("location"))
+              .unionByName(docs.select(F.lit("folder").alias("kind"), F.col("doc_id").alias("id"),
+                                       F.concat(F.lit("src/"), F.col("source")).alias("location")))
+              .unionByName(docs.select(F.lit("name").alias("kind"), F.col("doc_id").alias("id"),
+                                       F.concat(F.lit("docs/"), F.col("lang")).alias("location"))))
+    listing = (TB.code_versions(spark, sf).select(P.directory_name(F.col("file_path")).alias("location"))
+               .distinct().withColumn("exists", F.lit(True)))
+    j = inputs.join(listing, "location", "left")
+    return j.select("kind", "id", "location",
+                    P.classify_location(F.col("location"), F.coalesce(F.col("exists"), F.lit(False))).alias("location_class"))
+
+
+@query("skip_list_distinct")
+def q_skip_list_distinct(spark, sf):
+    f = TB.commit_files(spark, sf).select(X.basename(F.col("file_path")).alias("file_name"))
+    return FL.skip_names(f).withColumnRenamed("_skip_name", "name")
+
+
+@query("commit_file_changes")
+def q_commit_file_changes(spark, sf):
+    heads = V.head_commit(TB.commit_rows(spark, sf))
+    f = C.files_of_commits(heads, TB.commit_files(spark, sf))
+    return f.select("repo", "sha", "file_path", "status", "additions", "deletions")
+
+
+def before_after(spark, sf):
+    return C.content_before_after(source_changes(spark, sf), TB.commits(spark, sf), TB.blobs(spark, sf))
+
+
+@query("content_before_after")
+def q_content_before_after(spark, sf):
+    e = before_after(spark, sf)
+    return e.select("repo", "sha", "file_path", "parent_sha",
+                    F.md5(F.col("old_content")).alias("old_md5"), F.md5(F.col("new_content")).alias("new_md5"),
+                    F.length("old_content").alias("old_len"), F.length("new_content").alias("new_len"))
+
+
+@query("blank_coalesce")
+def q_blank_coalesce(spark, sf):
+    e = before_after(spark, sf)
+    return e.select("repo", "sha", "file_path",
+                    F.md5(X.blank_coalesce(F.col("new_content"), F.col("old_content"))).alias("source_md5"))
+
+
+@query("existing_test_lookup")
+def q_existing_test_lookup(spark, sf):
+    e = C.existing_tests(source_changes(spark, sf), TB.blobs(spark, sf), TB.SRC_FOLDER, TB.TESTS_FOLDER)
+    return e.select("repo", "sha", "file_path", "test_path", F.md5(F.col("existing_test")).alias("test_md5"))
+
+
+def answers(spark, sf):
+    c = TB.read_table(spark, sf, "conversations").filter(F.col("role") == "assistant")
+    return c.select("conv_id", "turn", TB.completion_text(F.col("conv_id"), F.col("turn"), F.col("text")).alias("answer"))
+
+
+@query("strip_think")
+def q_strip_think(spark, sf):
+    return answers(spark, sf).select("conv_id", "turn", X.strip_think(F.col("answer")).alias("stripped"))
+
+
+@query("extract_code_block")
+def q_extract_code_block(spark, sf):
+    return answers(spark, sf).select("conv_id", "turn", X.extract_code_block(F.col("answer")).alias("code"))
