@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 # Regular expressions whose behaviour must match the source tool.
 NON_BLANK_RE = r"(?U)\S"
 COMMENT_LINE_RE = r"(?U)^\s*//"
-TRIM_RE = r"(?U)^\s+|\s+$"
+# Unicode White_Space (what ``(?U)\s`` matches), used as a trim set: btrim
+# is linear, while a ``\s+$`` regex rescans every run of blanks.
+WS_CHARS = "".join(chr(c) for c in [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                                     0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 THINK_RE = r"(?s)<think>.*?</think>"
 FENCE_RE = r"(?sU)```(?:\w+)?\s*(.*?)```"
 
@@ -41,7 +44,7 @@ def blank_coalesce(a, b) -> Column:
 def unicode_trim(c) -> Column:
     """Trim every Unicode whitespace character at both ends (Spark ``trim``
     strips only the space character)."""
-    return F.regexp_replace(col(c), TRIM_RE, "")
+    return F.btrim(col(c), F.lit(WS_CHARS))
 
 
 def split_lines(c) -> Column:

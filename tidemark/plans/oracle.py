@@ -302,3 +302,110 @@ def extract_code(x: str) -> str:
 
 SQL["strip_think"] = f"SELECT conv_id, turn, {strip_think('answer')} AS stripped FROM {ANSWERS}"
 SQL["extract_code_block"] = f"SELECT conv_id, turn, {extract_code('answer')} AS code FROM {ANSWERS}"
+
+# --------------------------------------------------------------------------- declarations (by construction)
+# The corpus template fixes where every declaration is; these statements
+# state the expected index from the template's layout, independently of the
+# scan that has to find it.
+CODE_BASE = f"""(SELECT {CODE_FILE_PATH} AS file_path, doc_id AS version, doc_id, source, lang, text,
+   CAST(len(string_split(coalesce(text, ''), chr(10))) AS INTEGER) AS n,
+   CASE WHEN doc_id % 11 = 0 THEN 'internal' ELSE 'public' END AS vis,
+   CASE WHEN doc_id % 11 = 0 THEN 'private' ELSE 'public' END AS ping
+ FROM documents)"""
+
+DECL_ROWS = [
+    ("1", "'using'", "'System'", "false", "NULL", "1", "1"),
+    ("2", "'using'", "'System.Collections.Generic'", "false", "NULL", "2", "2"),
+    ("3", "'namespace'", "'Corpus.' || source", "false", "NULL", "4", "27 + n"),
+    ("4", "'class'", "'Doc' || CAST(doc_id AS VARCHAR)", "true", "'namespace'", "7", "26 + n"),
+    ("5", "'field'", "'_log'", "false", "'class'", "9", "9"),
+    ("6", "'field'", "'_size'", "false", "'class'", "10", "10"),
+    ("7", "CASE WHEN doc_id % 13 = 0 THEN 'interface' ELSE 'struct' END",
+     "CASE WHEN doc_id % 13 = 0 THEN 'IShape' ELSE 'Shape' END", "true", "'class'", "11", "11"),
+    ("8", "'method'", "'Area'", "doc_id % 13 <> 0", "CASE WHEN doc_id % 13 = 0 THEN 'interface' ELSE 'struct' END",
+     "11", "11"),
+    ("9", "'class'", "'Inner'", "true", "'class'", "12", "12"),
+    ("10", "'method'", "'Ping'", "doc_id % 11 <> 0", "'class'", "12", "12"),
+    ("11", "'constructor'", "'Doc' || CAST(doc_id AS VARCHAR)", "true", "'class'", "14", "14"),
+    ("12", "'method'", "'Size'", "doc_id % 11 <> 0", "'class'", "16", "16"),
+    ("13", "'method'", "'Lang'", "doc_id % 11 <> 0", "'class'", "18", "19"),
+    ("14", "'method'", "'Load'", "false", "'class'", "21", "23 + n"),
+    ("15", "'method'", "'Check'", "false", "'class'", "25 + n", "25 + n"),
+]
+
+SQL["declaration_index"] = "\nUNION ALL\n".join(
+    f"SELECT file_path, version, CAST({no} AS INTEGER) AS decl_no, {kind} AS kind, {name} AS name, "
+    f"{pub} AS is_public, CAST({pk} AS VARCHAR) AS parent_kind, CAST({sl} AS INTEGER) AS start_line, "
+    f"CAST({el} AS INTEGER) AS end_line FROM {CODE_BASE}"
+    for no, kind, name, pub, pk, sl, el in DECL_ROWS)
+
+LOAD_BODY = """array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)),
+        lambda l: '            _log.Add("' || replace(replace(l, '\\', '\\\\'), '"', '\\"') || '");
+'), '')"""
+LOAD_TEXT = f"""('
+        private void Load()
+        {{
+' || {LOAD_BODY} || '        }}
+')"""
+LANG_TEXT = """('
+        [Obsolete("use Size")]
+        ' || vis || ' string Lang() => "' || lang || '";
+')"""
+SIZE_TEXT = """('
+        ' || vis || ' int Size() { return _size; }
+')"""
+CHECK_TEXT = """('
+        protected bool Check(string s) { return s == "}"; }
+')"""
+AREA_TEXT = "(CASE WHEN doc_id % 13 = 0 THEN 'int Area(); ' ELSE 'public int Area() { return 1; } ' END)"
+PING_TEXT = "(ping || ' void Ping() { } ')"
+
+SQL["method_source"] = f"SELECT file_path, version, {LOAD_TEXT} AS source FROM {CODE_BASE}"
+SQL["tests_for_method"] = f"""SELECT file_path, version, {LANG_TEXT} || '
+' || {LOAD_TEXT} || '
+' AS tests FROM {CODE_BASE}"""
+SQL["public_methods"] = f"""SELECT file_path, version,
+  CASE WHEN doc_id % 11 = 0 THEN CAST([] AS VARCHAR[]) ELSE ['Size', 'Lang', 'Ping'] END AS public_methods
+FROM {CODE_BASE}"""
+
+METHOD_SPANS = f"""[{{'name': 'Area', 's': 11, 'e': 11, 'txt': {AREA_TEXT}}},
+  {{'name': 'Ping', 's': 12, 'e': 12, 'txt': {PING_TEXT}}},
+  {{'name': 'Size', 's': 16, 'e': 16, 'txt': {SIZE_TEXT}}},
+  {{'name': 'Lang', 's': 18, 'e': 19, 'txt': {LANG_TEXT}}},
+  {{'name': 'Load', 's': 21, 'e': 23 + n, 'txt': {LOAD_TEXT}}},
+  {{'name': 'Check', 's': 25 + n, 'e': 25 + n, 'txt': {CHECK_TEXT}}}]"""
+
+AFFECTED = f"""(SELECT file_path, version, doc_id, n, lang, vis, ping, text,
+   list_filter({METHOD_SPANS}, lambda m: len(list_filter(ch, lambda l: l BETWEEN m.s AND m.e)) > 0) AS hits
+ FROM (SELECT b.*, {changed_lines('p.old_content', 'p.content')} AS ch
+       FROM {CODE_BASE} b JOIN {CODE_WITH_PREV} p ON b.file_path = p.file_path AND b.version = p.version))"""
+
+SQL["methods_around_lines"] = f"""SELECT file_path, version, h.name AS name, CAST(h.s AS INTEGER) AS start_line,
+  CAST(h.e AS INTEGER) AS end_line FROM (SELECT file_path, version, unnest(hits) AS h FROM {AFFECTED})"""
+
+SQL["affected_methods"] = f"""SELECT file_path, version, CAST(list_transform(hits, lambda m: m.name) AS VARCHAR[]) AS methods
+FROM {AFFECTED}"""
+
+SQL["context_assembly"] = f"""SELECT file_path, version, 'using System;
+
+using System.Collections.Generic;
+
+
+// BEGIN CLASS Doc' || CAST(doc_id AS VARCHAR) || '
+public class Doc' || CAST(doc_id AS VARCHAR) || ' {{
+        private readonly List<string> _log = new List<string>();
+
+        private int _size = ' || CAST(d.n_chars AS VARCHAR) || ';
+
+
+        public Doc' || CAST(doc_id AS VARCHAR) || '(int size) {{ _size = size; }}
+
+' || array_to_string(list_transform(hits, lambda m: m.txt || chr(10)), '') || '// END CLASS
+}}
+' AS context FROM {AFFECTED} JOIN (SELECT doc_id AS did, n_chars FROM documents) d ON d.did = doc_id"""
+
+SQL["language_routing"] = f"""SELECT repo, sha, file_path, {extension('file_path')} AS extension,
+  CASE lower({extension('file_path')}) WHEN '.cs' THEN 'supported'
+       WHEN '.java' THEN 'not_implemented' WHEN '.py' THEN 'not_implemented'
+       WHEN '.ts' THEN 'not_implemented' WHEN '.js' THEN 'not_implemented' ELSE 'unsupported' END AS route
+FROM {COMMIT_FILES}"""

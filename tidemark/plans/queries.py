@@ -231,3 +231,82 @@ def q_strip_think(spark, sf):
 @query("extract_code_block")
 def q_extract_code_block(spark, sf):
     return answers(spark, sf).select("conv_id", "turn", X.extract_code_block(F.col("answer")).alias("code"))
+
+
+# --------------------------------------------------------------------------- declarations
+from pyspark.sql import Window  # noqa: E402
+
+from tidemark.operators import declarations as D  # noqa: E402
+
+CODE_KEYS = ["file_path", "version"]
+SOURCE_METHOD = "Load"
+TEST_PREFIX = "L"
+
+
+def code_decls(spark, sf, with_text=True):
+    return D.declarations(TB.code_versions(spark, sf), CODE_KEYS, with_text=with_text)
+
+
+@query("declaration_index")
+def q_declaration_index(spark, sf):
+    d = code_decls(spark, sf, with_text=False)
+    n = F.row_number().over(Window.partitionBy(*CODE_KEYS).orderBy("decl_id"))
+    return d.select(*CODE_KEYS, n.alias("decl_no"), "kind", "name", "is_public", "parent_kind",
+                    "start_line", "end_line")
+
+
+@query("method_source")
+def q_method_source(spark, sf):
+    c = TB.code_versions(spark, sf)
+    return D.method_source(code_decls(spark, sf), c, CODE_KEYS, SOURCE_METHOD)
+
+
+@query("tests_for_method")
+def q_tests_for_method(spark, sf):
+    c = TB.code_versions(spark, sf)
+    return D.tests_for_method(code_decls(spark, sf), c, CODE_KEYS, TEST_PREFIX)
+
+
+@query("public_methods")
+def q_public_methods(spark, sf):
+    c = TB.code_versions(spark, sf)
+    return D.public_methods(code_decls(spark, sf, with_text=False), c, CODE_KEYS)
+
+
+def code_changes(spark, sf):
+    c = V.previous_version(TB.code_versions(spark, sf), key="file_path")
+    return V.changed_lines(c)
+
+
+def affected(spark, sf, with_text=True):
+    return D.methods_around_lines(code_decls(spark, sf, with_text), code_changes(spark, sf), CODE_KEYS)
+
+
+@query("methods_around_lines")
+def q_methods_around_lines(spark, sf):
+    return affected(spark, sf, with_text=False).select(*CODE_KEYS, "name", "start_line", "end_line")
+
+
+@query("affected_methods")
+def q_affected_methods(spark, sf):
+    m = affected(spark, sf, with_text=False)
+    a = m.groupBy(*CODE_KEYS).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("start_pos", "name"))), lambda x: x["name"]).alias("methods"))
+    base = TB.code_versions(spark, sf).select(*CODE_KEYS)
+    return base.join(a, CODE_KEYS, "left").select(
+        *CODE_KEYS, F.coalesce(F.col("methods"), F.array().cast("array<string>")).alias("methods"))
+
+
+@query("context_assembly")
+def q_context_assembly(spark, sf):
+    c = TB.code_versions(spark, sf)
+    decls = code_decls(spark, sf)
+    m = D.methods_around_lines(decls, code_changes(spark, sf), CODE_KEYS)
+    return D.context_assembly(decls, c, m, CODE_KEYS)
+
+
+@query("language_routing")
+def q_language_routing(spark, sf):
+    f = TB.commit_files(spark, sf)
+    ext = X.extension(F.col("file_path"))
+    return f.select("repo", "sha", "file_path", ext.alias("extension"), D.language_route(ext).alias("route"))
