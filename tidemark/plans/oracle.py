@@ -131,24 +131,26 @@ SELECT repo, branch, sha, committed_at FROM (
 BASENAME = "regexp_extract({0}, '([^/\\\\]*)$', 1)"
 SKIP_LOWER = "('program.cs', 'startup.cs', 'assemblyinfo.cs', 'globalusings.cs', 'usings.cs')"
 
-COMMIT_FILES = """(SELECT 'r' || CAST(o.o_custkey AS VARCHAR) AS repo, 'c' || CAST(l.l_orderkey AS VARCHAR) AS sha,
+COMMIT_FILES = """(SELECT x.repo, x.sha, x.file_path, x.status, x.additions, x.deletions, x.l_partkey, x.l_linenumber
+ FROM (SELECT y.*, row_number() OVER (PARTITION BY y.repo, y.sha, y.file_path ORDER BY y.l_linenumber DESC, y.l_partkey DESC,
+   y.l_suppkey DESC, y.l_quantity DESC, y.l_extendedprice DESC, y.l_returnflag DESC) AS rn
+ FROM (SELECT 'r' || CAST(o.o_custkey AS VARCHAR) AS repo, 'c' || CAST(l.l_orderkey AS VARCHAR) AS sha,
   CASE WHEN l_linenumber = 4 THEN 'src/m' || CAST(l_partkey % 40 AS VARCHAR) || '/Part' || CAST(l_partkey AS VARCHAR) || '.CS'
        WHEN l_linenumber = 5 THEN 'src/m' || CAST(l_partkey % 40 AS VARCHAR) || '/Part' || CAST(l_partkey AS VARCHAR) || '.txt'
        WHEN l_linenumber = 6 THEN 'tests/m' || CAST(l_partkey % 40 AS VARCHAR) || '/Part' || CAST(l_partkey AS VARCHAR) || 'Tests.cs'
        WHEN l_linenumber = 7 THEN 'src/m' || CAST(l_partkey % 40 AS VARCHAR) || '/Program.cs'
        ELSE 'src/m' || CAST(l_partkey % 40 AS VARCHAR) || '/Part' || CAST(l_partkey AS VARCHAR) || '.cs' END AS file_path,
   CASE WHEN l_returnflag = 'R' THEN 'removed' WHEN l_returnflag = 'A' THEN 'added' ELSE 'modified' END AS status,
-  CAST(trunc(l_quantity) AS INTEGER) AS additions, l_linenumber AS deletions, l_partkey, l_linenumber
-  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey)"""
+  CAST(trunc(l_quantity) AS INTEGER) AS additions, l_linenumber AS deletions, l_partkey, l_linenumber,
+  l_suppkey, l_quantity, l_extendedprice, l_returnflag
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey) y) x WHERE x.rn = 1)"""
 
 SOURCE_CHANGES = f"""(SELECT * FROM {COMMIT_FILES} cf
   WHERE file_path IS NOT NULL AND regexp_matches(file_path, '\\S') AND lower(file_path) LIKE '%.cs'
     AND NOT contains(file_path, 'tests') AND lower({BASENAME.format('file_path')}) NOT IN {SKIP_LOWER})"""
 
-BLOBS = f"""(SELECT repo, sha, file_path, arg_max(content, l_linenumber) AS content FROM (
-   SELECT cf.repo, cf.sha, cf.file_path, cf.l_linenumber, {CODE_TEMPLATE} AS content
-   FROM {COMMIT_FILES} cf JOIN documents d ON cf.l_partkey = d.doc_id WHERE cf.status <> 'removed')
- GROUP BY repo, sha, file_path)"""
+BLOBS = f"""(SELECT cf.repo, cf.sha, cf.file_path, {CODE_TEMPLATE} AS content
+   FROM {COMMIT_FILES} cf JOIN documents d ON cf.l_partkey = d.doc_id WHERE cf.status <> 'removed')"""
 
 COMMITS = """(SELECT repo, sha, committed_at, commit_key,
    lag(sha) OVER (PARTITION BY repo ORDER BY committed_at, commit_key) AS parent_sha FROM (
@@ -409,3 +411,200 @@ SQL["language_routing"] = f"""SELECT repo, sha, file_path, {extension('file_path
        WHEN '.java' THEN 'not_implemented' WHEN '.py' THEN 'not_implemented'
        WHEN '.ts' THEN 'not_implemented' WHEN '.js' THEN 'not_implemented' ELSE 'unsupported' END AS route
 FROM {COMMIT_FILES}"""
+
+# --------------------------------------------------------------------------- completions
+DEFAULT_PROMPT_SQL = ("'Generate xUnit tests for the following code with 100% code coverage. The tests should follow "
+                      "the naming convention: MethodName_WhenCondition_ReturnsExpectedResult. Only generate tests for "
+                      "public methods and constructors. Do not create tests for interfaces or private methods. If "
+                      "existing tests are provided, update only the tests related to the method.'")
+
+
+def prompt_sql(code: str, tests: str) -> str:
+    return (f"({DEFAULT_PROMPT_SQL} || '\n\nMethod Code:\n' || coalesce({code}, '') || '\n\nExisting Tests:\n' "
+            f"|| coalesce({tests}, '') || '\n\nProvide the complete updated test file content as output.')")
+
+
+CODE_REQUESTS = f"""(SELECT file_path, version, CAST(version AS VARCHAR) AS request_id,
+   {prompt_sql('content', "''")} AS prompt FROM {CODE_VERSIONS})"""
+
+REPLAY = f"""(SELECT CAST(conv_id AS VARCHAR) AS request_id,
+   CASE conv_id % 3 WHEN 0 THEN 'openai' WHEN 1 THEN 'ollama' ELSE 'azure' END AS provider,
+   CASE WHEN conv_id % 17 = 5 THEN 400 ELSE 200 END AS http_status,
+   CASE conv_id % 3
+     WHEN 0 THEN CASE WHEN conv_id % 19 = 7 THEN '{{"choices":[]}}' ELSE to_json({{'choices': [{{'text': {COMPLETION_TEXT}}}]}}) END
+     WHEN 1 THEN to_json({{'response': {COMPLETION_TEXT}}})
+     ELSE to_json({{'content': [{{'type': 'text', 'text': {COMPLETION_TEXT}}}]}}) END AS body
+ FROM (SELECT conv_id, min(turn) AS turn, arg_min(text, turn) AS text FROM conversations
+       WHERE role = 'assistant' GROUP BY conv_id))"""
+
+
+def has_key(j: str, k: str) -> str:
+    return f"coalesce(list_contains(json_keys({j}), '{k}'), false)"
+
+
+PARSE_ERR = f"""(CASE WHEN http_status NOT BETWEEN 200 AND 299 THEN NULL
+  WHEN provider = 'ollama' THEN CASE WHEN NOT {has_key('body', 'response')} THEN 'missing property: response' END
+  WHEN provider = 'azure' THEN CASE WHEN NOT {has_key("json_extract(body, '$.content[0]')", 'text')}
+                                    THEN 'missing property: content[0].text' END
+  ELSE CASE WHEN NOT {has_key('body', 'choices')} THEN 'missing property: choices'
+            WHEN json_array_length(body, '$.choices') > 0 AND NOT {has_key("json_extract(body, '$.choices[0]')", 'text')}
+            THEN 'missing property: text' END END)"""
+
+PARSE_TXT = f"""(CASE WHEN http_status NOT BETWEEN 200 AND 299 THEN ''
+  WHEN {PARSE_ERR} IS NOT NULL THEN NULL
+  WHEN provider = 'ollama' THEN coalesce(json_extract_string(body, '$.response'), '')
+  WHEN provider = 'azure' THEN coalesce(json_extract_string(body, '$.content[0].text'), '')
+  ELSE CASE WHEN coalesce(json_array_length(body, '$.choices'), 0) = 0 THEN ''
+            ELSE coalesce(json_extract_string(body, '$.choices[0].text'), '') END END)"""
+
+PARSED_REPLAY = f"""(SELECT request_id, provider, http_status, body, {PARSE_TXT} AS txt, {PARSE_ERR} AS err
+ FROM {REPLAY})"""
+
+SQL["build_prompt"] = f"""SELECT file_path, version, md5(prompt) AS prompt_md5, CAST(length(prompt) AS INTEGER) AS prompt_len
+FROM {CODE_REQUESTS}"""
+
+SQL["chat_messages"] = f"""SELECT file_path, version, ['system', 'user'] AS roles,
+  'You are a helpful AI that generates unit tests.' AS system_text, md5(prompt) AS user_md5 FROM {CODE_REQUESTS}"""
+
+SQL["request_json"] = f"""SELECT file_path, version, ['model', 'prompt', 'stream', 'max_tokens', 'temperature'] AS keys,
+  'your-model' AS model, md5(prompt) AS prompt_md5, 'false' AS stream, 1500 AS max_tokens, 0.2 AS temperature
+FROM {CODE_REQUESTS}"""
+
+SQL["provider_routing"] = f"""SELECT q.file_path, q.version, r.provider,
+  CASE WHEN r.provider = 'azure' THEN ['model', 'messages', 'max_output_tokens', 'temperature']
+       ELSE ['model', 'prompt', 'stream', 'max_tokens', 'temperature'] END AS keys,
+  md5(q.prompt) AS prompt_md5
+FROM {CODE_REQUESTS} q JOIN {REPLAY} r ON q.request_id = r.request_id"""
+
+SQL["parse_completion"] = f"SELECT request_id, provider, http_status, txt AS generated, err AS error FROM {PARSED_REPLAY}"
+
+SQL["completion_replay"] = f"""SELECT q.file_path, q.version, q.request_id,
+  CASE WHEN r.body IS NOT NULL THEN r.txt END AS generated,
+  CASE WHEN r.body IS NOT NULL THEN r.err END AS completion_error,
+  {extract_code("CASE WHEN r.body IS NOT NULL THEN r.txt END")} AS code
+FROM {CODE_REQUESTS} q LEFT JOIN {PARSED_REPLAY} r ON q.request_id = r.request_id"""
+
+
+# --------------------------------------------------------------------------- routing
+CONTEXT_SQL = """('using System;
+
+using System.Collections.Generic;
+
+
+// BEGIN CLASS Doc' || CAST(doc_id AS VARCHAR) || '
+public class Doc' || CAST(doc_id AS VARCHAR) || ' {
+        private readonly List<string> _log = new List<string>();
+
+        private int _size = ' || CAST(n_chars AS VARCHAR) || ';
+
+
+        public Doc' || CAST(doc_id AS VARCHAR) || '(int size) { _size = size; }
+
+' || array_to_string(list_transform(hits, lambda m: m.txt || chr(10)), '') || '// END CLASS
+}
+')"""
+
+
+def routing_sql(base: str, prompt_user: bool, staging: bool) -> str:
+    """R1 over ``base`` (keys, file_path, old_content, new_content,
+    existing_test, request_id and the facts of the document the new content
+    was rendered from: doc_id, n, lang, vis, ping, text, n_chars)."""
+    final_ok = "needs_review" if prompt_user else "auto_applied"
+    ext = extension("file_path")
+    stage = (f"CASE WHEN generated_code IS NOT NULL THEN "
+             f"{combine(chr(39) + 'staging' + chr(39), f'{stem('test_path')} || {chr(39)}_temp{chr(39)} || {extension('test_path')}')} END"
+             if staging else "CAST(NULL AS VARCHAR)")
+    return f"""
+WITH b AS {base},
+x AS (SELECT b.*, CASE WHEN {not_blank('new_content')} THEN new_content END AS source,
+        lower({BASENAME.format('file_path')}) IN {SKIP_LOWER} AS skipped,
+        {ext} AS ext, CASE WHEN doc_id % 11 = 0 THEN 0 ELSE 3 END AS n_public,
+        {changed_lines('old_content', 'new_content')} AS ch,
+        {test_path('file_path', "'src'", "'tests'")} AS test_path
+      FROM b),
+y AS (SELECT x.*, list_filter({METHOD_SPANS}, lambda m: len(list_filter(ch, lambda l: l BETWEEN m.s AND m.e)) > 0) AS hits,
+        ({effective_loc('source')} > 60 AND {not_blank('old_content')} AND {not_blank('source')}
+         AND {not_blank('new_content')}) AS large
+      FROM x),
+z AS (SELECT y.*,
+        CASE WHEN skipped THEN 'skipped_listed' WHEN source IS NULL THEN 'error'
+             WHEN contains(source, 'interface') THEN 'skipped_interface'
+             WHEN lower(ext) <> '.cs' THEN 'error'
+             WHEN n_public = 0 THEN 'no_public_methods'
+             WHEN large AND len(hits) = 0 THEN 'no_affected_methods' END AS pre,
+        CASE WHEN skipped THEN NULL WHEN source IS NULL THEN 'source file not found'
+             WHEN contains(source, 'interface') THEN NULL
+             WHEN lower(ext) IN ('.java', '.py', '.ts', '.js') THEN 'parser not implemented'
+             WHEN lower(ext) <> '.cs' THEN 'Parser for files with ''' || ext || ''' extension not supported.' END AS pre_error,
+        {prompt_sql(f"CASE WHEN large THEN {CONTEXT_SQL} ELSE source END",
+                    f"CASE WHEN {not_blank('existing_test')} THEN existing_test ELSE '' END")} AS prompt0
+      FROM y),
+a AS (SELECT z.*, CASE WHEN r.body IS NOT NULL THEN r.txt END AS generated,
+        CASE WHEN r.body IS NOT NULL THEN r.err END AS completion_error
+      FROM z LEFT JOIN {PARSED_REPLAY} r ON z.request_id = r.request_id),
+c AS (SELECT a.*, {extract_code('generated')} AS code FROM a),
+o AS (SELECT c.*,
+        CASE WHEN pre IS NOT NULL THEN pre WHEN completion_error IS NOT NULL THEN 'error'
+             WHEN code IS NULL OR NOT regexp_matches(code, '\\S') THEN 'empty_response' ELSE '{final_ok}' END AS status,
+        CASE WHEN pre IS NOT NULL THEN NULL ELSE prompt0 END AS prompt,
+        CASE WHEN pre IS NULL AND code IS NOT NULL AND regexp_matches(code, '\\S') THEN code END AS generated_code,
+        CASE WHEN pre IS NOT NULL THEN pre_error ELSE completion_error END AS error
+      FROM c)
+SELECT o.*, {stage} AS staging_path FROM o"""
+
+
+CODE_ROUTING_BASE = f"""(SELECT p.file_path, p.version, p.old_content, p.content AS new_content, '' AS existing_test,
+   CAST(p.version AS VARCHAR) AS request_id, b.doc_id, b.n, b.lang, b.vis, b.ping, b.text, d.n_chars
+ FROM {CODE_WITH_PREV} p JOIN {CODE_BASE} b ON p.file_path = b.file_path AND p.version = b.version
+ JOIN (SELECT doc_id AS did, n_chars FROM documents) d ON d.did = b.doc_id)"""
+
+ROUTED_OUT = ("SELECT {keys}, file_path, status, staging_path, test_path, md5(prompt) AS prompt_md5, "
+              "md5(generated_code) AS code_md5, error FROM ({q})")
+
+SQL["outcome_routing"] = ROUTED_OUT.format(keys="version", q=routing_sql(CODE_ROUTING_BASE, False, False))
+SQL["outcome_ledger"] = (f"SELECT status, count(*) AS n_files FROM ({routing_sql(CODE_ROUTING_BASE, False, False)}) "
+                         "GROUP BY status")
+SQL["upsert_results"] = f"""SELECT test_path, arg_max(version, version) AS version, md5(arg_max(generated_code, version)) AS code_md5
+FROM ({routing_sql(CODE_ROUTING_BASE, False, False)}) WHERE status = 'auto_applied' GROUP BY test_path"""
+SQL["review_cycle"] = f"""SELECT r.file_path, r.version, r.test_path, r.staging_path,
+  CASE WHEN l.quality = 1 THEN 'Yes' ELSE 'n' END AS answer,
+  coalesce(lower(CASE WHEN l.quality = 1 THEN 'Yes' ELSE 'n' END) IN ('y', 'yes'), false) AS applied,
+  md5(r.generated_code) AS code_md5
+FROM ({routing_sql(CODE_ROUTING_BASE, True, True)}) r JOIN labels l ON r.version = l.doc_id
+WHERE r.status = 'needs_review'"""
+
+COMMIT_ROUTING_BASE = f"""(SELECT f.repo, f.sha, f.file_path, coalesce(bo.content, '') AS old_content,
+   coalesce(bn.content, '') AS new_content, coalesce(bt.content, '') AS existing_test,
+   CAST(f.l_partkey AS VARCHAR) AS request_id, d.doc_id, d.n, d.lang, d.vis, d.ping, d.text, d.n_chars
+ FROM (SELECT *, {test_path('file_path', "'src'", "'tests'")} AS tpath FROM {SOURCE_CHANGES}) f
+ LEFT JOIN {COMMITS} c ON f.repo = c.repo AND f.sha = c.sha
+ LEFT JOIN {BLOBS} bo ON bo.repo = f.repo AND bo.sha = c.parent_sha AND bo.file_path = f.file_path
+ LEFT JOIN {BLOBS} bn ON bn.repo = f.repo AND bn.sha = f.sha AND bn.file_path = f.file_path
+ LEFT JOIN {BLOBS} bt ON bt.repo = f.repo AND bt.sha = f.sha AND bt.file_path = f.tpath
+ LEFT JOIN (SELECT doc_id, lang, text, n_chars, CAST(len(string_split(coalesce(text, ''), chr(10))) AS INTEGER) AS n,
+              CASE WHEN doc_id % 11 = 0 THEN 'internal' ELSE 'public' END AS vis,
+              CASE WHEN doc_id % 11 = 0 THEN 'private' ELSE 'public' END AS ping FROM documents) d
+   ON d.doc_id = f.l_partkey)"""
+
+SQL["change_run"] = ROUTED_OUT.format(keys="repo, sha", q=routing_sql(COMMIT_ROUTING_BASE, True, True))
+
+SQL["change_set_manifest"] = f"""
+WITH r AS (SELECT * FROM ({routing_sql(COMMIT_ROUTING_BASE, True, True)}) WHERE generated_code IS NOT NULL),
+f AS (SELECT r.repo, r.sha, r.file_path, r.test_path, o.o_orderdate AS committed_at
+      FROM r JOIN orders o ON r.sha = 'c' || CAST(o.o_orderkey AS VARCHAR) AND r.repo = 'r' || CAST(o.o_custkey AS VARCHAR))
+SELECT repo, sha, 'auto/test-update-' || strftime(committed_at, '%Y%m%d%H%M%S') AS branch,
+  replace(test_path, '\\', '/') AS test_path, 'Add/update test for ' || file_path AS message,
+  count(*) OVER (PARTITION BY repo, sha) AS n_files
+FROM f"""
+
+# --------------------------------------------------------------------------- sources and streams
+SQL["scan_whole_files"] = """SELECT source, md5(text || chr(10)) AS content_md5,
+  CAST(length(text) + 1 AS INTEGER) AS n_chars FROM documents"""
+SQL["stream_file_events"] = f"SELECT * FROM {FILE_EVENTS}"
+SQL["stream_debounce"] = SQL["debounce_batch"]
+SQL["stream_previous_version"] = SQL["previous_version"]
+SQL["stream_commit_cursor"] = SQL["commit_cursor"]
+SQL["quarantine"] = f"""SELECT repo, sha, file_path,
+  CASE WHEN lower({extension('file_path')}) IN ('.java', '.py', '.ts', '.js') THEN 'parser not implemented'
+       ELSE 'Parser for files with ''' || {extension('file_path')} || ''' extension not supported.' END AS error
+FROM {COMMIT_FILES} WHERE lower({extension('file_path')}) <> '.cs'"""

@@ -310,3 +310,224 @@ def q_language_routing(spark, sf):
     f = TB.commit_files(spark, sf)
     ext = X.extension(F.col("file_path"))
     return f.select("repo", "sha", "file_path", ext.alias("extension"), D.language_route(ext).alias("route"))
+
+
+# --------------------------------------------------------------------------- completions and routing
+from tidemark.operators import completion as CP  # noqa: E402
+from tidemark.operators import routing as R  # noqa: E402
+from tidemark.session import scratch_path  # noqa: E402
+
+
+def code_requests(spark, sf):
+    """One completion request per code version, its prompt built from the
+    whole file (no existing tests, no sample)."""
+    c = TB.code_versions(spark, sf)
+    return c.select(*CODE_KEYS, F.col("version").cast("string").alias("request_id"),
+                    CP.build_prompt(F.col("content"), F.lit("")).alias("prompt"))
+
+
+@query("build_prompt")
+def q_build_prompt(spark, sf):
+    r = code_requests(spark, sf)
+    return r.select(*CODE_KEYS, F.md5("prompt").alias("prompt_md5"), F.length("prompt").alias("prompt_len"))
+
+
+@query("chat_messages")
+def q_chat_messages(spark, sf):
+    r = code_requests(spark, sf)
+    m = CP.chat_messages(F.col("prompt"))
+    return r.select(*CODE_KEYS, F.transform(m, lambda x: x["role"]).alias("roles"),
+                    m[0]["content"].alias("system_text"), F.md5(m[1]["content"]).alias("user_md5"))
+
+
+@query("request_json")
+def q_request_json(spark, sf):
+    r = code_requests(spark, sf).withColumn("body", CP.request_json(F.col("prompt")))
+    g = lambda p: F.get_json_object(F.col("body"), p)
+    return r.select(*CODE_KEYS, F.json_object_keys("body").alias("keys"), g("$.model").alias("model"),
+                    F.md5(g("$.prompt")).alias("prompt_md5"), g("$.stream").alias("stream"),
+                    g("$.max_tokens").cast("int").alias("max_tokens"),
+                    g("$.temperature").cast("double").alias("temperature"))
+
+
+@query("provider_routing")
+def q_provider_routing(spark, sf):
+    r = code_requests(spark, sf).join(TB.completions(spark, sf).select("request_id", "provider"), "request_id")
+    p = r.withColumn("payload", CP.provider_payload(F.col("provider"), F.col("prompt")))
+    g = lambda q: F.get_json_object(F.col("payload"), q)
+    return p.select(*CODE_KEYS, "provider", F.json_object_keys("payload").alias("keys"),
+                    F.md5(F.coalesce(g("$.prompt"), g("$.messages[1].content"))).alias("prompt_md5"))
+
+
+@query("parse_completion")
+def q_parse_completion(spark, sf):
+    c = TB.completions(spark, sf)
+    txt, err = CP.parse_completion(F.col("provider"), F.col("http_status"), F.col("body"))
+    return c.select("request_id", "provider", "http_status", txt.alias("generated"), err.alias("error"))
+
+
+@query("completion_replay")
+def q_completion_replay(spark, sf):
+    r = CP.replay_completions(code_requests(spark, sf), TB.completions(spark, sf))
+    return r.select(*CODE_KEYS, "request_id", "generated", "completion_error", "code")
+
+
+def code_changes_rows(spark, sf):
+    c = V.previous_version(TB.code_versions(spark, sf), key="file_path")
+    return c.select(*CODE_KEYS, F.col("content").alias("new_content"), "old_content",
+                    F.lit("").alias("existing_test"), F.col("version").cast("string").alias("request_id"))
+
+
+def routed_code(spark, sf, prompt_user=False, staging_root=None):
+    skip, _ = _skip(spark)
+    return R.outcome_routing(code_changes_rows(spark, sf), CODE_KEYS, skip, CODE_LARGE_LINES,
+                             replay=TB.completions(spark, sf), prompt_user=prompt_user,
+                             staging_root=staging_root)
+
+
+def _routed_out(df, keys):
+    return df.select(*keys, "file_path", "status", "staging_path", "test_path", F.md5("prompt").alias("prompt_md5"),
+                     F.md5("generated_code").alias("code_md5"), "error")
+
+
+@query("outcome_routing")
+def q_outcome_routing(spark, sf):
+    return _routed_out(routed_code(spark, sf), ["version"])
+
+
+@query("outcome_ledger")
+def q_outcome_ledger(spark, sf):
+    return R.outcome_ledger(routed_code(spark, sf))
+
+
+@query("upsert_results")
+def q_upsert_results(spark, sf):
+    r = routed_code(spark, sf).filter(F.col("status") == "auto_applied") \
+        .select("test_path", "version", "generated_code")
+    out = R.upsert_results(r, ["version"], path=scratch_path(spark, "results"))
+    return out.select("test_path", "version", F.md5("generated_code").alias("code_md5"))
+
+
+def commit_change_rows(spark, sf):
+    e = before_after(spark, sf)
+    e = C.existing_tests(e, TB.blobs(spark, sf), TB.SRC_FOLDER, TB.TESTS_FOLDER)
+    return e.select("repo", "sha", "file_path", "old_content", "new_content", "existing_test",
+                    F.col("l_partkey").cast("string").alias("request_id"))
+
+
+COMMIT_KEYS = ["repo", "sha", "file_path"]
+
+
+def routed_commits(spark, sf):
+    skip, _ = _skip(spark)
+    return R.outcome_routing(commit_change_rows(spark, sf), COMMIT_KEYS, skip, CODE_LARGE_LINES,
+                             replay=TB.completions(spark, sf), prompt_user=True, staging_root=STAGING_ROOT)
+
+
+@query("change_run")
+def q_change_run(spark, sf):
+    return _routed_out(routed_commits(spark, sf), ["repo", "sha"])
+
+
+@query("change_set_manifest")
+def q_change_set_manifest(spark, sf):
+    return R.change_set_manifest(routed_commits(spark, sf), TB.commit_rows(spark, sf), TB.BRANCH_PREFIX)
+
+
+@query("review_cycle")
+def q_review_cycle(spark, sf):
+    staged = routed_code(spark, sf, prompt_user=True, staging_root=STAGING_ROOT) \
+        .filter(F.col("status") == "needs_review")
+    ans = TB.approvals(spark, sf)
+    j = staged.join(ans, staged["version"] == ans["doc_id"])
+    return j.select("file_path", "version", "test_path", "staging_path", "answer",
+                    FL.is_approved(F.col("answer")).alias("applied"),
+                    F.md5("generated_code").alias("code_md5"))
+
+
+# --------------------------------------------------------------------------- sources and streams
+from tidemark.sources import files as SF  # noqa: E402
+from tidemark.streaming import operators as ST  # noqa: E402
+from tidemark.streaming import runner as RUN  # noqa: E402
+
+
+@query("scan_whole_files")
+def q_scan_whole_files(spark, sf):
+    """S1 + S2: the documents written as one text file per document under a
+    folder per source, then scanned back whole with a glob filter."""
+    root = scratch_path(spark, "files")
+    d = TB.read_table(spark, sf, "documents").select("source", "text")
+    SF.write_one_file_per_row(d, root, "text", "source")
+    f = SF.scan_whole_files(spark, root, "*.txt")
+    return f.select(F.regexp_extract("file_path", r"source=([^/]+)/", 1).alias("source"),
+                    F.md5("content").alias("content_md5"), F.length("content").alias("n_chars"))
+
+
+def _stream_dirs(spark, name):
+    base = scratch_path(spark, name)
+    return f"{base}/log", f"{base}/sink", f"{base}/checkpoint"
+
+
+@query("stream_file_events")
+def q_stream_file_events(spark, sf):
+    log, sink, ckpt = _stream_dirs(spark, "file-events")
+    ev = TB.file_events(spark, sf)
+    RUN.stage(ev, log)
+    RUN.to_parquet_sink(RUN.read_log(spark, log, ev.schema), sink, ckpt)
+    return spark.read.parquet(sink)
+
+
+@query("stream_debounce")
+def q_stream_debounce(spark, sf):
+    """The event log, then two sentinel events on a path of their own far
+    in the future; each is its own run, so the watermark passes every real
+    session and the last run emits them.  Sentinel sessions never close."""
+    log, sink, ckpt = _stream_dirs(spark, "debounce")
+    ev = TB.file_events(spark, sf).select("path", "ts", "event_id", "event_type")
+    RUN.stage(ev, log)
+    out = ST.debounce_stream(RUN.read_log(spark, log, ev.schema), "path", "ts", DEBOUNCE_SECONDS)
+    RUN.to_parquet_sink(out, sink, ckpt)
+    for i, ts in enumerate(["2999-01-01 00:00:00", "2999-01-02 00:00:00"]):
+        sentinel = spark.createDataFrame([("__sentinel__", ts, -1 - i, "change")],
+                                         "path string, ts string, event_id long, event_type string") \
+            .select("path", F.to_timestamp("ts").alias("ts"), "event_id", "event_type")
+        RUN.stage(sentinel, log)
+        RUN.to_parquet_sink(out, sink, ckpt)
+    return spark.read.parquet(sink).filter(F.col("path") != "__sentinel__")
+
+
+@query("stream_previous_version")
+def q_stream_previous_version(spark, sf):
+    log, sink, ckpt = _stream_dirs(spark, "previous-version")
+    v = TB.file_versions(spark, sf)
+    RUN.stage(v, log)
+    RUN.to_parquet_sink(ST.previous_version_stream(RUN.read_log(spark, log, v.schema)), sink, ckpt)
+    return spark.read.parquet(sink)
+
+
+@query("stream_commit_cursor")
+def q_stream_commit_cursor(spark, sf):
+    log, sink, ckpt = _stream_dirs(spark, "commit-cursor")
+    p = commit_polls(spark, sf)
+    RUN.stage(p, log)
+    RUN.to_parquet_sink(ST.commit_cursor_stream(RUN.read_log(spark, log, p.schema)), sink, ckpt)
+    return spark.read.parquet(sink)
+
+
+@query("quarantine")
+def q_quarantine(spark, sf):
+    """Changed files streamed through the parser routing; files without
+    a parser go to the quarantine table with the error, the stream goes on."""
+    base = scratch_path(spark, "quarantine")
+    log, ckpt = f"{base}/log", f"{base}/checkpoint"
+    accepted, bad = f"{base}/accepted", f"{base}/quarantine"
+    f = TB.commit_files(spark, sf).select("repo", "sha", "file_path")
+    RUN.stage(f, log)
+    s = RUN.read_log(spark, log, f.schema)
+    ext = X.extension(F.col("file_path"))
+    route = D.language_route(ext)
+    s = s.withColumn("error", F.when(route == "unsupported",
+                                     F.concat(F.lit("Parser for files with '"), ext, F.lit("' extension not supported.")))
+                               .when(route == "not_implemented", F.lit("parser not implemented")))
+    RUN.run_to_end(s.writeStream.foreachBatch(ST.quarantine_writer(accepted, bad)), ckpt)
+    return spark.read.parquet(bad).select("repo", "sha", "file_path", "error")

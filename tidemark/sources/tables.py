@@ -122,22 +122,33 @@ def _line_path(partkey, linenumber) -> F.Column:
 
 
 def commit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(repo, sha, file_path, status, additions, deletions, l_partkey, l_linenumber)."""
+    """(repo, sha, file_path, status, additions, deletions, l_partkey, l_linenumber),
+    one row per path and commit."""
     li = read_table(spark, sf_dir, "lineitem")
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     j = li.join(o, li["l_orderkey"] == o["o_orderkey"])
-    return j.select(
+    rows = j.select(
         F.concat(F.lit("r"), F.col("o_custkey").cast("string")).alias("repo"),
         F.concat(F.lit("c"), F.col("l_orderkey").cast("string")).alias("sha"),
         _line_path(F.col("l_partkey"), F.col("l_linenumber")).alias("file_path"),
-        F.when(F.col("l_returnflag") == "R", F.lit("removed"))
-         .when(F.col("l_returnflag") == "A", F.lit("added"))
-         .otherwise(F.lit("modified")).alias("status"),
-        F.col("l_quantity").cast("int").alias("additions"),
-        F.col("l_linenumber").alias("deletions"),
-        F.col("l_partkey"),
-        F.col("l_linenumber"),
+        F.struct(
+            F.when(F.col("l_returnflag") == "R", F.lit("removed"))
+             .when(F.col("l_returnflag") == "A", F.lit("added"))
+             .otherwise(F.lit("modified")).alias("status"),
+            F.col("l_quantity").cast("int").alias("additions"),
+            F.col("l_linenumber").alias("deletions"),
+            F.col("l_partkey"),
+            F.col("l_linenumber"),
+        ).alias("f"),
+        F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+                 "l_returnflag").alias("o"),
     )
+    # a commit lists a path once: keep the line item that sorts last (line
+    # numbers repeat in the data, so the order key is the whole row) - a
+    # partial aggregate, combined map-side
+    return (rows.groupBy("repo", "sha", "file_path")
+                .agg(F.max_by("f", "o").alias("f"))
+                .select("repo", "sha", "file_path", "f.*"))
 
 
 def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,10 +160,7 @@ def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = d.select(F.col("doc_id"),
                     code_template(F.col("doc_id"), F.col("source"), F.col("lang"),
                                   F.col("n_chars"), F.col("text")).alias("content"))
-    j = cf.join(code, cf["l_partkey"] == code["doc_id"])
-    # (repo, sha, path) is a key: keep the highest line number on a clash
-    return (j.groupBy("repo", "sha", "file_path")
-              .agg(F.max_by("content", "l_linenumber").alias("content")))
+    return cf.join(code, cf["l_partkey"] == code["doc_id"]).select("repo", "sha", "file_path", "content")
 
 
 # --------------------------------------------------------------------------- completions
