@@ -467,7 +467,8 @@ SQL["chat_messages"] = f"""SELECT file_path, version, ['system', 'user'] AS role
   'You are a helpful AI that generates unit tests.' AS system_text, md5(prompt) AS user_md5 FROM {CODE_REQUESTS}"""
 
 SQL["request_json"] = f"""SELECT file_path, version, ['model', 'prompt', 'stream', 'max_tokens', 'temperature'] AS keys,
-  'your-model' AS model, md5(prompt) AS prompt_md5, 'false' AS stream, 1500 AS max_tokens, 0.2 AS temperature
+  'your-model' AS model, md5(prompt) AS prompt_md5, 'false' AS stream, 1500 AS max_tokens,
+  CAST(0.2 AS DOUBLE) AS temperature
 FROM {CODE_REQUESTS}"""
 
 SQL["provider_routing"] = f"""SELECT q.file_path, q.version, r.provider,

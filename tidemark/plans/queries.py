@@ -483,7 +483,9 @@ def q_stream_debounce(spark, sf):
     in the future; each is its own run, so the watermark passes every real
     session and the last run emits them.  Sentinel sessions never close."""
     log, sink, ckpt = _stream_dirs(spark, "debounce")
-    ev = TB.file_events(spark, sf).select("path", "ts", "event_id", "event_type")
+    # event time must be a TIMESTAMP (the table stores it without a zone;
+    # the session zone is UTC, so wall-clock values are unchanged)
+    ev = TB.file_events(spark, sf).select("path", F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type")
     RUN.stage(ev, log)
     out = ST.debounce_stream(RUN.read_log(spark, log, ev.schema), "path", "ts", DEBOUNCE_SECONDS)
     RUN.to_parquet_sink(out, sink, ckpt)

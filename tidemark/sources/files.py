@@ -10,10 +10,10 @@ def scan_whole_files(spark: SparkSession, root: str, glob: str | None = None) ->
     """S1 + S2: one row per file under ``root`` (recursive), ``content`` the
     whole text, ``file_path`` from the file metadata.  The glob prunes at
     listing time, before any file is opened."""
-    r = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    r = spark.read.option("recursiveFileLookup", True)
     if glob:
         r = r.option("pathGlobFilter", glob)
-    df = r.text(root)
+    df = r.text(root, wholetext=True)
     return df.select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("content"))
 
 
