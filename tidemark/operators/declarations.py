@@ -56,33 +56,43 @@ def _nl(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
 
 
+# Fixed value: a token's trailing trivia - blanks, block comments on the same
+# line, an optional line comment, then the end of the line.
+TRAILING_TRIVIA_RE = r"^[ \t\f\x0B]*+(?:/\*[^\n]*?\*/[ \t\f\x0B]*+)*+(?://[^\n]*+)?(?:\r\n|\n|\r)?"
+
+
 def segments(files: DataFrame, keys: Sequence[str], content: str = "content") -> DataFrame:
-    """One row per segment with offset, line, depth and raw classification."""
+    """One row per segment with its text, offset, line, depth and the
+    length of the trailing trivia it starts with.  Cheap columns only: the
+    masking and classification run later, on the few segments that can be
+    declarations."""
     keys = list(keys)
     parts = F.filter(F.regexp_extract_all(F.coalesce(F.col(content), F.lit("")), F.lit(SEGMENT_RE), 0),
                      lambda s: s != "")
     s = files.select(*keys, F.posexplode(parts).alias("idx", "seg"))
     last = F.substring(F.col("seg"), -1, 1)
     term = F.when(last.isin("{", "}", ";"), last).otherwise(F.lit(""))
-    s = s.select(*keys, "idx", F.length("seg").alias("len"), _nl(F.col("seg")).alias("nl"),
-                 term.alias("term"),
-                 mask(F.when(term == "", F.col("seg"))
-                      .otherwise(F.expr("substring(seg, 1, length(seg) - 1)"))).alias("h"))
-    # leading whitespace (node start) and the previous token's trailing trivia
-    s = s.withColumn("lead_ws", F.length(F.regexp_extract("h", r"^(?U)\s*", 0)))
-    s = s.withColumn("tt", F.length(F.regexp_extract("h", r"^[ \t\f\x0B]*+(?:\r\n|\n|\r)?", 0)))
-    s = s.withColumn("lead_nl", _nl(F.expr("substring(h, 1, lead_ws)")))
-
+    s = s.select(*keys, "idx", "seg", F.length("seg").alias("len"), _nl(F.col("seg")).alias("nl"),
+                 term.alias("term"), F.length(F.regexp_extract("seg", TRAILING_TRIVIA_RE, 0)).alias("tt"))
     w = Window.partitionBy(*keys).orderBy("idx")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     delta = F.when(F.col("term") == "{", 1).when(F.col("term") == "}", -1).otherwise(0)
-    s = s.select(
+    return s.select(
         "*",
         F.coalesce(F.sum("len").over(before), F.lit(0)).alias("seg_start"),
         F.coalesce(F.sum("nl").over(before), F.lit(0)).alias("nl_before"),
         F.coalesce(F.sum(delta).over(before), F.lit(0)).alias("depth"),
         F.coalesce(F.lead("tt").over(w), F.lit(0)).alias("next_tt"),
     )
+
+
+def _header(s: DataFrame) -> DataFrame:
+    """Masked header (segment without its terminator, literals and comments
+    blanked), node start and raw classification."""
+    h = mask(F.when(F.col("term") == "", F.col("seg")).otherwise(F.expr("substring(seg, 1, length(seg) - 1)")))
+    s = s.withColumn("h", h)
+    s = s.withColumn("lead_ws", F.length(F.regexp_extract("h", r"^(?U)\s*", 0)))
+    s = s.withColumn("lead_nl", _nl(F.expr("substring(h, 1, lead_ws)")))
     return _classify(s)
 
 
@@ -125,31 +135,33 @@ def declarations(files: DataFrame, keys: Sequence[str], content: str = "content"
     character offsets, ``end_pos``/``full_end`` exclusive; lines 1-based."""
     keys = list(keys)
     s = segments(files, keys, content)
-    info = ["idx", "raw_kind", "name"]
-    members = s.select(*keys, F.col("depth").alias("level"), "idx",
-                       F.lit(None).cast("struct<idx:int,raw_kind:string,name:string>").alias("opener"),
-                       F.col("term"), "seg_start", "len", "nl_before", "nl", "next_tt", F.lit(False).alias("is_opener"))
-    openers = s.filter(F.col("term") == "{").select(
+    # mask + classify every segment once; only small columns travel on
+    cls = _header(s).select(*keys, "idx", "depth", "term", "seg_start", "len", "nl_before", "nl", "next_tt", "tt",
+                            "raw_kind", "name", "is_public", "lead_ws", "lead_nl")
+    opener_type = "struct<idx:int,raw_kind:string,name:string>"
+    common = ["term", "seg_start", "len", "nl_before", "nl", "next_tt", "tt", "raw_kind", "name", "is_public",
+              "lead_ws", "lead_nl"]
+    openers = cls.filter(F.col("term") == "{").select(
         *keys, (F.col("depth") + 1).alias("level"), "idx",
-        F.struct(*[F.col(c) for c in info]).alias("opener"),
-        F.col("term"), "seg_start", "len", "nl_before", "nl", "next_tt", F.lit(True).alias("is_opener"))
-    u = members.unionByName(openers)
+        F.struct("idx", "raw_kind", "name").alias("opener"), *common, F.lit(True).alias("is_opener"))
+    members = cls.select(*keys, F.col("depth").alias("level"), "idx", F.lit(None).cast(opener_type).alias("opener"),
+                         *common, F.lit(False).alias("is_opener"))
     w = Window.partitionBy(*keys, "level").orderBy("idx", F.col("is_opener").desc())
     closer = F.when((~F.col("is_opener")) & (F.col("term") == "}"),
                     F.struct((F.col("seg_start") + F.col("len")).alias("end_pos"),
                              (F.col("nl_before") + F.col("nl") + 1).alias("end_line"),
                              F.col("next_tt").alias("end_tt")))
-    u = u.select(*keys, "idx", "is_opener",
-                 F.last("opener", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("parent"),
-                 F.first(closer, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("closer"))
-    parents = u.filter(~F.col("is_opener")).select(*keys, "idx", "parent")
+    u = members.unionByName(openers).select(
+        "*",
+        F.last("opener", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("parent"),
+        F.first(closer, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("closer"))
     closers = u.filter(F.col("is_opener")).select(*keys, "idx", "closer")
 
-    d = s.filter(F.col("raw_kind").isNotNull()).join(parents, [*keys, "idx"])
     pk = F.col("parent.raw_kind")
+    d = u.filter((~F.col("is_opener")) & F.col("raw_kind").isNotNull()
+                 & (pk.isNull() | pk.isin("namespace", *MEMBER_PARENTS))).drop("closer")
     kind = (F.when(F.col("raw_kind").isin("using", "namespace") & (pk.isNull() | (pk == "namespace")), F.col("raw_kind"))
-            .when(F.col("raw_kind").isin(*TYPE_KINDS) & (pk.isNull() | pk.isin("namespace", *MEMBER_PARENTS)),
-                  F.col("raw_kind"))
+            .when(F.col("raw_kind").isin(*TYPE_KINDS), F.col("raw_kind"))
             .when(pk.isin(*MEMBER_PARENTS) & (F.col("raw_kind") == "callable"),
                   F.when(F.col("name") == F.col("parent.name"), F.lit("constructor"))
                    .when(F.col("name").startswith("~"), F.lit("destructor"))

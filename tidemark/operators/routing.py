@@ -52,12 +52,22 @@ def outcome_routing(changes: DataFrame, keys: Sequence[str], skip: DataFrame, th
     names = skip_names(skip)
     c = (c.join(F.broadcast(names), F.lower(basename(F.col("file_path"))) == F.col("_skip_name"), "left")
           .withColumn("skipped", F.col("_skip_name").isNotNull()).drop("_skip_name"))
+    # the change rows feed five branches below: compute them once
+    c = materialize(c, "changes")
     ext = extension(F.col("file_path"))
     route = D.language_route(ext)
 
-    # declarations of the sources, computed once and shared by D4, J7, D6
-    files = c.select(*keys, F.col("source").alias("content")).filter(F.col("content").isNotNull())
-    decls = materialize(D.declarations(files, keys), "declarations")
+    # declarations of the sources, content-addressed: each distinct text is
+    # scanned once (copies of a file across commits share one scan), written
+    # once, and joined back to every file that holds it
+    files = c.select(*keys, F.col("source").alias("content")).filter(F.col("content").isNotNull()) \
+             .withColumn("content_id", F.sha2(F.col("content"), 256))
+    uniq = files.groupBy("content_id").agg(F.first("content").alias("content"))
+    decls = materialize(D.declarations(uniq, ["content_id"]), "declarations")
+    decls = decls.withColumn("full_text", F.when(F.col("kind").isin("using", "field", "constructor", "method"),
+                                                 F.col("full_text")))
+    decls = files.select(*keys, "content_id").join(decls, "content_id").drop("content_id")
+    files = files.drop("content_id")
     pub = D.public_methods(decls, files, keys).select(*keys, F.size("public_methods").alias("n_public"))
     changed = files.join(c.select(*keys, "old_content"), keys) \
                    .select(*keys, changed_line_numbers(F.col("old_content"), F.col("content")).alias("changed_lines"))

@@ -193,8 +193,9 @@ def q_commit_file_changes(spark, sf):
     return f.select("repo", "sha", "file_path", "status", "additions", "deletions")
 
 
-def before_after(spark, sf):
-    return C.content_before_after(source_changes(spark, sf), TB.commits(spark, sf), TB.blobs(spark, sf))
+def before_after(spark, sf, blobs=None):
+    blobs = TB.blobs(spark, sf) if blobs is None else blobs
+    return C.content_before_after(source_changes(spark, sf), TB.commits(spark, sf), blobs)
 
 
 @query("content_before_after")
@@ -236,6 +237,8 @@ def q_extract_code_block(spark, sf):
 # --------------------------------------------------------------------------- declarations
 from pyspark.sql import Window  # noqa: E402
 
+from tidemark.plans.materialize import materialize  # noqa: E402
+
 from tidemark.operators import declarations as D  # noqa: E402
 
 CODE_KEYS = ["file_path", "version"]
@@ -243,8 +246,11 @@ SOURCE_METHOD = "Load"
 TEST_PREFIX = "L"
 
 
-def code_decls(spark, sf, with_text=True):
-    return D.declarations(TB.code_versions(spark, sf), CODE_KEYS, with_text=with_text)
+def code_decls(spark, sf, with_text=True, shared=False):
+    """The declaration index of the code corpus; ``shared`` writes it to the
+    checkpoint folder once when several branches of a plan read it."""
+    d = D.declarations(TB.code_versions(spark, sf), CODE_KEYS, with_text=with_text)
+    return materialize(d, "declarations") if shared else d
 
 
 @query("declaration_index")
@@ -270,7 +276,7 @@ def q_tests_for_method(spark, sf):
 @query("public_methods")
 def q_public_methods(spark, sf):
     c = TB.code_versions(spark, sf)
-    return D.public_methods(code_decls(spark, sf, with_text=False), c, CODE_KEYS)
+    return D.public_methods(code_decls(spark, sf, with_text=False, shared=True), c, CODE_KEYS)
 
 
 def code_changes(spark, sf):
@@ -279,7 +285,7 @@ def code_changes(spark, sf):
 
 
 def affected(spark, sf, with_text=True):
-    return D.methods_around_lines(code_decls(spark, sf, with_text), code_changes(spark, sf), CODE_KEYS)
+    return D.methods_around_lines(code_decls(spark, sf, with_text, shared=True), code_changes(spark, sf), CODE_KEYS)
 
 
 @query("methods_around_lines")
@@ -300,7 +306,7 @@ def q_affected_methods(spark, sf):
 @query("context_assembly")
 def q_context_assembly(spark, sf):
     c = TB.code_versions(spark, sf)
-    decls = code_decls(spark, sf)
+    decls = code_decls(spark, sf, shared=True)
     m = D.methods_around_lines(decls, code_changes(spark, sf), CODE_KEYS)
     return D.context_assembly(decls, c, m, CODE_KEYS)
 
@@ -409,8 +415,9 @@ def q_upsert_results(spark, sf):
 
 
 def commit_change_rows(spark, sf):
-    e = before_after(spark, sf)
-    e = C.existing_tests(e, TB.blobs(spark, sf), TB.SRC_FOLDER, TB.TESTS_FOLDER)
+    blobs = materialize(TB.blobs(spark, sf), "blobs")   # read three times below
+    e = before_after(spark, sf, blobs)
+    e = C.existing_tests(e, blobs, TB.SRC_FOLDER, TB.TESTS_FOLDER)
     return e.select("repo", "sha", "file_path", "old_content", "new_content", "existing_test",
                     F.col("l_partkey").cast("string").alias("request_id"))
 
