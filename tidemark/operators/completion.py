@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.text import col, extract_code_block, not_blank
 
@@ -110,7 +111,8 @@ def complete_with_client(requests: DataFrame, client_factory: Callable[[], objec
     a list of prompts per Arrow batch and returns answers in order.  When a
     batch call fails the prompts are retried one by one, so only the failing
     rows get a ``completion_error``."""
-    out_schema = requests.schema.add("generated", "string").add("completion_error", "string")
+    out_schema = T.StructType([*requests.schema.fields, T.StructField("generated", T.StringType()),
+                               T.StructField("completion_error", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = client_factory()
