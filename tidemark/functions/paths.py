@@ -52,6 +52,32 @@ def test_path(file_path, src_folder, tests_folder, project_folder=None) -> Colum
     return combine(tests, directory_name(rel), name)
 
 
+def with_test_path(df, path_col: str, out_col: str, src_folder, tests_folder, project_folder=None):
+    """P2 as staged projections: each intermediate (segments, common prefix,
+    relative path) is its own column, so the optimizer keeps one copy of it
+    instead of inlining the nested expression at every use (which made the
+    generated code too large to compile)."""
+    from pyspark.sql import functions as Fn
+    src, tests = col(src_folder), col(tests_folder)
+    if project_folder is not None:
+        src, tests = combine(project_folder, src), combine(project_folder, tests)
+    t = "_tp_"
+    d = (df.withColumn(t + "rt", _segments(src)).withColumn(t + "p", _segments(col(path_col)))
+           .withColumn(t + "tests", tests))
+    rt, p = Fn.col(t + "rt"), Fn.col(t + "p")
+    m = Fn.least(Fn.size(rt), Fn.size(p))
+    d = d.withColumn(t + "c", Fn.when(m == 0, Fn.lit(0)).otherwise(
+        Fn.size(Fn.filter(Fn.sequence(Fn.lit(1), m), lambda i: Fn.slice(rt, 1, i) == Fn.slice(p, 1, i)))))
+    c = Fn.col(t + "c")
+    joined = Fn.array_join(Fn.concat(Fn.array_repeat(Fn.lit(".."), Fn.size(rt) - c),
+                                     Fn.slice(p, c + 1, Fn.greatest(Fn.size(p) - c, Fn.lit(0)))), "/")
+    d = d.withColumn(t + "rel", Fn.when(joined == "", Fn.lit(".")).otherwise(joined))
+    rel = Fn.col(t + "rel")
+    name = Fn.concat(stem(rel), Fn.lit("Tests"), extension(rel))
+    d = d.withColumn(out_col, combine(Fn.col(t + "tests"), directory_name(rel), name))
+    return d.drop(t + "rt", t + "p", t + "tests", t + "c", t + "rel")
+
+
 def staging_path(test_path_col, staging_root) -> Column:
     """``{stem}_temp{ext}`` under the staging folder."""
     name = F.concat(stem(test_path_col), F.lit("_temp"), extension(test_path_col))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.paths import (branch_name, commit_message, repo_path, staging_path,
-                                      test_path)
+                                      with_test_path)
 from tidemark.functions.text import basename, changed_line_numbers, extension, is_blank, not_blank
 from tidemark.operators import declarations as D
 from tidemark.operators.completion import build_prompt, replay_completions
@@ -89,11 +89,11 @@ def outcome_routing(changes: DataFrame, keys: Sequence[str], skip: DataFrame, th
                  .when(route == "unsupported",
                        F.concat(F.lit("Parser for files with '"), ext, F.lit("' extension not supported.")))
                  .when(route == "not_implemented", F.lit("parser not implemented")))
-    tp = test_path(F.col("file_path"), F.lit(src_folder), F.lit(tests_folder), project_folder)
+    c = with_test_path(c, "file_path", "test_path", F.lit(src_folder), F.lit(tests_folder), project_folder)
     existing = F.when(not_blank("existing_test"), F.col("existing_test")).otherwise(F.lit(""))
     method_code = F.when(large, F.col("context")).otherwise(F.col("source"))
     c = c.select(*keys, *fp, "request_id", pre.alias("status"), pre_error.alias("error"),
-                 tp.alias("test_path"), build_prompt(method_code, existing, sample).alias("prompt"))
+                 "test_path", build_prompt(method_code, existing, sample).alias("prompt"))
 
     done = c.filter(F.col("status").isNotNull()).select(
         *keys, *fp, "status", "test_path", F.lit(None).cast("string").alias("prompt"),

@@ -140,20 +140,21 @@ def q_approval_gate(spark, sf):
 
 @query("test_path_mapping")
 def q_test_path_mapping(spark, sf):
-    f = TB.commit_files(spark, sf)
-    project = F.concat(F.lit("proj/"), F.col("repo"))
-    full = F.concat(project, F.lit("/"), F.col("file_path"))
-    return f.select("repo", "sha", "file_path", "l_linenumber",
-                    P.test_path(F.col("file_path"), F.lit(TB.SRC_FOLDER), F.lit(TB.TESTS_FOLDER)).alias("test_path"),
-                    P.test_path(full, F.lit(TB.SRC_FOLDER), F.lit(TB.TESTS_FOLDER), project).alias("auto_test_path"))
+    f = TB.commit_files(spark, sf).select("repo", "sha", "file_path", "l_linenumber")
+    f = f.withColumn("_project", F.concat(F.lit("proj/"), F.col("repo"))) \
+         .withColumn("_full", F.concat(F.col("_project"), F.lit("/"), F.col("file_path")))
+    f = P.with_test_path(f, "file_path", "test_path", F.lit(TB.SRC_FOLDER), F.lit(TB.TESTS_FOLDER))
+    f = P.with_test_path(f, "_full", "auto_test_path", F.lit(TB.SRC_FOLDER), F.lit(TB.TESTS_FOLDER),
+                         F.col("_project"))
+    return f.drop("_project", "_full")
 
 
 @query("staging_paths")
 def q_staging_paths(spark, sf):
-    f = source_changes(spark, sf)
-    tp = P.test_path(F.col("file_path"), F.lit(TB.SRC_FOLDER), F.lit(TB.TESTS_FOLDER))
-    return f.select("repo", "sha", "file_path", tp.alias("test_path"),
-                    P.staging_path(tp, F.lit(STAGING_ROOT)).alias("staging_path"))
+    f = P.with_test_path(source_changes(spark, sf), "file_path", "test_path",
+                         F.lit(TB.SRC_FOLDER), F.lit(TB.TESTS_FOLDER))
+    return f.select("repo", "sha", "file_path", "test_path",
+                    P.staging_path(F.col("test_path"), F.lit(STAGING_ROOT)).alias("staging_path"))
 
 
 @query("repo_from_url")
