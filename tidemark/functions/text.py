@@ -19,6 +19,7 @@ WS_CHARS = "".join(chr(c) for c in [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680
                                      0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 THINK_RE = r"(?s)<think>.*?</think>"
 FENCE_RE = r"(?sU)```(?:\w+)?\s*(.*?)```"
+FIRST_FENCE_RE = r"(?sU)^.*?```(?:\w+)?\s*(.*?)```.*$"
 
 
 def col(c) -> Column:
@@ -78,12 +79,10 @@ def strip_think(c) -> Column:
 def extract_code_block(c) -> Column:
     """Blank -> ''; else after X1 the body of the first fenced block,
     trimmed; with no closed fence the whole (stripped) text."""
-    s = strip_think(c)
-    return (
-        F.when(is_blank(c), F.lit(""))
-        .when(s.rlike(FENCE_RE), unicode_trim(F.regexp_extract(s, FENCE_RE, 1)))
-        .otherwise(unicode_trim(s))
-    )
+    # one replace: with a fence the whole text becomes the first block's
+    # body, without one the text is left as it is (no separate match test)
+    body = F.regexp_replace(strip_think(c), FIRST_FENCE_RE, "$1")
+    return F.when(is_blank(c), F.lit("")).otherwise(unicode_trim(body))
 
 
 def basename(c) -> Column:

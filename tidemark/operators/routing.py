@@ -76,24 +76,31 @@ def outcome_routing(changes: DataFrame, keys: Sequence[str], skip: DataFrame, th
     n_hit = hit.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_affected"))
 
     c = c.join(pub, keys, "left").join(n_hit, keys, "left").join(ctx, keys, "left")
-    large = large_file_flag(F.col("source"), F.col("old_content"), threshold) & not_blank("new_content")
+    # staged columns: each flag is computed once and referenced by name, so
+    # the status, error and prompt expressions stay small enough to compile
+    c = (c.withColumn("_large", large_file_flag(F.col("source"), F.col("old_content"), threshold)
+                      & not_blank("new_content"))
+          .withColumn("_route", route).withColumn("_ext", ext)
+          .withColumn("_iface", is_interface_file(F.col("source"))))
+    large, route, ext = F.col("_large"), F.col("_route"), F.col("_ext")
     pre = (F.when(F.col("skipped"), F.lit("skipped_listed"))
            .when(F.col("source").isNull(), F.lit("error"))
-           .when(is_interface_file(F.col("source")), F.lit("skipped_interface"))
+           .when(F.col("_iface"), F.lit("skipped_interface"))
            .when(route != "supported", F.lit("error"))
            .when(F.coalesce(F.col("n_public"), F.lit(0)) == 0, F.lit("no_public_methods"))
            .when(large & (F.coalesce(F.col("n_affected"), F.lit(0)) == 0), F.lit("no_affected_methods")))
     pre_error = (F.when(F.col("skipped"), F.lit(None).cast("string"))
                  .when(F.col("source").isNull(), F.lit("source file not found"))
-                 .when(is_interface_file(F.col("source")), F.lit(None).cast("string"))
+                 .when(F.col("_iface"), F.lit(None).cast("string"))
                  .when(route == "unsupported",
                        F.concat(F.lit("Parser for files with '"), ext, F.lit("' extension not supported.")))
                  .when(route == "not_implemented", F.lit("parser not implemented")))
     c = with_test_path(c, "file_path", "test_path", F.lit(src_folder), F.lit(tests_folder), project_folder)
     existing = F.when(not_blank("existing_test"), F.col("existing_test")).otherwise(F.lit(""))
     method_code = F.when(large, F.col("context")).otherwise(F.col("source"))
-    c = c.select(*keys, *fp, "request_id", pre.alias("status"), pre_error.alias("error"),
-                 "test_path", build_prompt(method_code, existing, sample).alias("prompt"))
+    c = c.withColumn("status", pre).withColumn("error", pre_error).withColumn("_code", method_code)
+    c = c.select(*keys, *fp, "request_id", "status", "error",
+                 "test_path", build_prompt(F.col("_code"), existing, sample).alias("prompt"))
 
     done = c.filter(F.col("status").isNotNull()).select(
         *keys, *fp, "status", "test_path", F.lit(None).cast("string").alias("prompt"),

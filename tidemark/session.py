@@ -45,11 +45,21 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide checkpoint folder; created locally only when unset."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    base = None
+    try:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+    except Exception:  # noqa: BLE001 - some sessions refuse to read core confs
+        base = None
+    sc = None
+    try:
+        sc = spark.sparkContext
+        base = base or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    except Exception:  # noqa: BLE001 - no SparkContext in a remote session
+        sc = None
     if not base:
-        base = tempfile.mkdtemp(prefix="tidemark-ckpt-")
-        sc.setCheckpointDir(base)
+        base = tempfile.mkdtemp(prefix="tidemark-ckpt-")   # local runs and tests only
+        if sc is not None:
+            sc.setCheckpointDir(base)
     return base.rstrip("/")
 
 
