@@ -101,3 +101,12 @@ def test_language_routing(spark):
     df = spark.createDataFrame([(".cs",), (".CS",), (".java",), (".py",), (".ts",), (".js",), (".txt",)], "e string")
     got = [r[0] for r in df.select(D.language_route(F.col("e"))).collect()]
     assert got == ["supported", "supported"] + ["not_implemented"] * 4 + ["unsupported"]
+
+
+def test_parser_registry():
+    import pytest
+    assert D.parser_for(".CS") is D.declarations
+    with pytest.raises(NotImplementedError):
+        D.parser_for(".java")
+    with pytest.raises(ValueError):
+        D.parser_for(".txt")

@@ -273,6 +273,18 @@ def context_assembly(decls: DataFrame, files: DataFrame, methods: DataFrame, key
     return out.select(*keys, text.alias("context"))
 
 
+def parser_for(ext: str):
+    """The declaration scan for a file extension.  Only C# has one;
+    the other recognised languages raise like the source tool's stubs, and
+    unknown extensions are not supported."""
+    route = PARSER_EXTENSIONS.get(ext.lower(), "unsupported")
+    if route == "supported":
+        return declarations
+    if route == "not_implemented":
+        raise NotImplementedError(f"{ext} parsing is not implemented yet.")
+    raise ValueError(f"Parser for files with '{ext}' extension not supported.")
+
+
 def language_route(ext_col) -> Column:
     """Parser routing by lower-cased extension."""
     e = F.lower(ext_col)

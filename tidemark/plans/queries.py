@@ -503,7 +503,10 @@ def q_stream_debounce(spark, sf):
             .select("path", F.to_timestamp("ts").alias("ts"), "event_id", "event_type")
         RUN.stage(sentinel, log)
         RUN.to_parquet_sink(out, sink, ckpt)
-    return spark.read.parquet(sink).filter(F.col("path") != "__sentinel__")
+    # back to wall-clock (no zone) values, as the table stores them
+    return spark.read.parquet(sink).filter(F.col("path") != "__sentinel__") \
+        .select("path", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id", "event_type",
+                F.col("fire_ts").cast("timestamp_ntz").alias("fire_ts"))
 
 
 @query("stream_previous_version")

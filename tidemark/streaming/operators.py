@@ -77,7 +77,7 @@ def commit_cursor_stream(polls: DataFrame) -> DataFrame:
     the repository (one state slot per repository)."""
     return polls.groupBy("repo").applyInPandasWithState(
         _cursor_state,
-        outputStructType="repo string, poll_ts timestamp, poll_order long, poll_line int, sha string",
+        outputStructType="repo string, poll_ts timestamp_ntz, poll_order long, poll_line int, sha string",
         stateStructType="sha string",
         outputMode="append",
         timeoutConf=GroupStateTimeout.NoTimeout,
