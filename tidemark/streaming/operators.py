@@ -17,6 +17,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+# The state functions below run in Python workers.  Ship them by value so the
+# workers need no installed copy of this package (as with ``--py-files``).
+try:
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cloudpickle
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # noqa: BLE001 - older cloudpickle: fall back to import by name
+    pass
+
 
 def debounce_stream(events: DataFrame, key: str, ts: str, gap_seconds: int,
                     tiebreak: str = "event_id", payload=("event_type",)) -> DataFrame:
