@@ -249,27 +249,31 @@ def context_assembly(decls: DataFrame, files: DataFrame, methods: DataFrame, key
     """Usings; blank line; ``// BEGIN CLASS {name}``; with a first class:
     ``public class {name} {``, its fields and constructors (nested ones
     included), the given methods, ``// END CLASS``, ``}``.  With no class
-    the methods are dropped."""
+    the methods are dropped.
+
+    All parts of a file are gathered by one grouped pass (tagged rows, one
+    ``collect_list``), so the assembly costs one shuffle, not one per part."""
     keys = list(keys)
-    usings = decls.filter(F.col("kind") == "using").groupBy(*keys).agg(
-        ordered_concat("full_text", "start_pos").alias("usings"))
     first = decls.filter(F.col("kind") == "class").groupBy(*keys).agg(
         F.min_by(F.struct("name", "start_pos", "end_pos"), F.col("start_pos")).alias("cls"))
-    inner = decls.filter(F.col("kind").isin("field", "constructor")).join(first, keys) \
-        .filter((F.col("start_pos") >= F.col("cls.start_pos")) & (F.col("end_pos") <= F.col("cls.end_pos")))
-    fields = inner.filter(F.col("kind") == "field").groupBy(*keys).agg(
-        ordered_concat("full_text", "start_pos").alias("fields"))
-    ctors = inner.filter(F.col("kind") == "constructor").groupBy(*keys).agg(
-        ordered_concat("full_text", "start_pos").alias("ctors"))
-    meth = methods.groupBy(*keys).agg(ordered_concat("full_text", "start_pos").alias("methods"))
-    out = files.select(*keys)
-    for t in (usings, first, fields, ctors, meth):
-        out = out.join(t, keys, "left")
-    e = lambda c: F.coalesce(F.col(c), F.lit(""))
+    inner = (decls.filter(F.col("kind").isin("field", "constructor")).join(first, keys)
+             .filter((F.col("start_pos") >= F.col("cls.start_pos")) & (F.col("end_pos") <= F.col("cls.end_pos")))
+             .select(*keys, F.col("kind").alias("part"), "start_pos", "full_text"))
+    usings = decls.filter(F.col("kind") == "using").select(*keys, F.lit("using").alias("part"), "start_pos", "full_text")
+    meth = methods.select(*keys, F.lit("method").alias("part"), "start_pos", "full_text")
+    parts = (usings.unionByName(inner).unionByName(meth).groupBy(*keys)
+             .agg(F.array_sort(F.collect_list(F.struct("start_pos", "part", "full_text"))).alias("p")))
+
+    def cat(part: str) -> Column:
+        chosen = F.filter(F.coalesce(F.col("p"), F.array()), lambda x: x["part"] == part)
+        return F.array_join(F.transform(chosen, lambda x: F.concat(x["full_text"], F.lit("\n"))), "")
+
+    out = files.select(*keys).join(parts, keys, "left").join(first, keys, "left")
     cls_part = F.when(F.col("cls").isNotNull(), F.concat(
-        F.lit("public class "), F.col("cls.name"), F.lit(" {\n"), e("fields"), e("ctors"), e("methods"),
+        F.lit("public class "), F.col("cls.name"), F.lit(" {\n"), cat("field"), cat("constructor"), cat("method"),
         F.lit("// END CLASS\n}\n"))).otherwise(F.lit(""))
-    text = F.concat(e("usings"), F.lit("\n// BEGIN CLASS "), F.coalesce(F.col("cls.name"), F.lit("")), F.lit("\n"), cls_part)
+    text = F.concat(cat("using"), F.lit("\n// BEGIN CLASS "), F.coalesce(F.col("cls.name"), F.lit("")), F.lit("\n"),
+                    cls_part)
     return out.select(*keys, text.alias("context"))
 
 
