@@ -3,12 +3,25 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import paths as P
+from tidemark.functions import text as X
 from tidemark.functions.text import effective_loc
+from tidemark.operators import commits as C
+from tidemark.operators import completion as CP
+from tidemark.operators import declarations as D
+from tidemark.operators import filters as FL
+from tidemark.operators import routing as R
 from tidemark.operators import versions as V
+from tidemark.plans.materialize import materialize
 from tidemark.plans.registry import query
+from tidemark.session import scratch_path
+from tidemark.sources import files as SF
 from tidemark.sources import tables as TB
+from tidemark.streaming import operators as ST
+from tidemark.streaming import runner as RUN
 
 # Large-file threshold scaled to the corpora (the tool's own constant is 300
 # effective lines, ``tables.LARGE_FILE_LINES``; the benchmark documents are
@@ -82,10 +95,6 @@ def q_head_commit(spark, sf):
 
 
 # --------------------------------------------------------------------------- filters and paths
-from tidemark.functions import paths as P  # noqa: E402
-from tidemark.functions import text as X  # noqa: E402
-from tidemark.operators import commits as C  # noqa: E402
-from tidemark.operators import filters as FL  # noqa: E402
 
 STAGING_ROOT = "staging"
 
@@ -236,11 +245,7 @@ def q_extract_code_block(spark, sf):
 
 
 # --------------------------------------------------------------------------- declarations
-from pyspark.sql import Window  # noqa: E402
 
-from tidemark.plans.materialize import materialize  # noqa: E402
-
-from tidemark.operators import declarations as D  # noqa: E402
 
 CODE_KEYS = ["file_path", "version"]
 SOURCE_METHOD = "Load"
@@ -320,9 +325,6 @@ def q_language_routing(spark, sf):
 
 
 # --------------------------------------------------------------------------- completions and routing
-from tidemark.operators import completion as CP  # noqa: E402
-from tidemark.operators import routing as R  # noqa: E402
-from tidemark.session import scratch_path  # noqa: E402
 
 
 def code_requests(spark, sf):
@@ -454,9 +456,6 @@ def q_review_cycle(spark, sf):
 
 
 # --------------------------------------------------------------------------- sources and streams
-from tidemark.sources import files as SF  # noqa: E402
-from tidemark.streaming import operators as ST  # noqa: E402
-from tidemark.streaming import runner as RUN  # noqa: E402
 
 
 @query("scan_whole_files")
