@@ -7,12 +7,10 @@ def test_oracles_cover_registered_queries():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     assert len(q) >= 50
-    assert not [n for n in q if n.startswith("op") or "pipeline" in n]
 
 
 def test_entry_smoke(spark):
-    if not os.path.isdir(E.SMOKE_DIR):
-        return
+    assert os.path.isdir(E.SMOKE_DIR), f"test data missing: {E.SMOKE_DIR}"
     df = E.entry(spark)
     rows = df.collect()
     assert len(rows) > 0
