@@ -7,8 +7,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import minhash
+from tidemark.llm import hosts, minhash, mixture, sharding
 from tidemark.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,3 +24,29 @@ def query(fn):
 @query
 def op5_minhash_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(load(spark, sf_dir, "documents"), minhash.Params(shingle_words=2))
+
+
+@query
+def op6_host_reputation(spark, sf_dir):
+    return hosts.judge(load(spark, sf_dir, "pages"), load(spark, sf_dir, "labels"))
+
+
+SQL["op6_host_reputation"] = hosts.SQL
+
+
+@query
+def op7_mixture(spark, sf_dir):
+    return mixture.mixed_sizes(load(spark, sf_dir, "documents"))
+
+
+SQL["op7_mixture"] = mixture.SQL
+
+
+@query
+def op8_stratified_shards(spark, sf_dir):
+    s = sharding.stratified_shards(load(spark, sf_dir, "documents"))
+    return s.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                    F.lit(None).cast("int").alias("grown_shard"))
+
+
+SQL["op8_stratified_shards"] = sharding.SQL
