@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import hosts, minhash, mixture, sharding
+from tidemark.llm import hosts, language, minhash, mixture, sharding
 from tidemark.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +21,11 @@ def query(fn):
     return fn
 
 
+@query
+def op2_zstd_language(spark, sf_dir):
+    return language.predictions(load(spark, sf_dir, "documents"))
+
+
 @query
 def op5_minhash_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(load(spark, sf_dir, "documents"), minhash.Params(shingle_words=2))
