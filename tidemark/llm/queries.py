@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import hosts, language, minhash, mixture, sharding
+from tidemark.llm import embeddings, hosts, language, minhash, mixture, sharding, toxicity
 from tidemark.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,13 @@ def op8_stratified_shards(spark, sf_dir):
 
 
 SQL["op8_stratified_shards"] = sharding.SQL
+
+
+@query
+def op9_embedding_near_dedup(spark, sf_dir):
+    return embeddings.near_duplicates(load(spark, sf_dir, "embeddings"))
+
+
+@query
+def op10_toxicity(spark, sf_dir):
+    return toxicity.predictions(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
