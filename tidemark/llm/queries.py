@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import embeddings, hosts, language, minhash, mixture, sharding, toxicity
+from tidemark.llm import embeddings, hosts, language, minhash, mixture, sharding, toxicity, warc
 from tidemark.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,14 @@ def op2_zstd_language(spark, sf_dir):
     return language.predictions(load(spark, sf_dir, "documents"))
 
 
+@query
+def op4_warc_transactions(spark, sf_dir):
+    return warc.round_trip(load(spark, sf_dir, "pages"))
+
+
+SQL["op4_warc_transactions"] = warc.SQL
+
+
 @query
 def op5_minhash_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(load(spark, sf_dir, "documents"), minhash.Params(shingle_words=2))
