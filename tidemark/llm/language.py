@@ -33,6 +33,7 @@ import regex
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import batch, remainder
 
@@ -129,7 +130,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], p: Params = Params
             yield pa.RecordBatch.from_arrays([b.column("row"), *(pa.array(v, f.type) for v, f in zip((best, pred, score, margin), schema, strict=True))],
                                              names=["row", *schema.names])
 
-    out = f"row {df.schema['row'].dataType.simpleString()}, lang_best string, lang_pred string, score double, margin double"
+    out = T.StructType([df.schema["row"]]).add("lang_best", "string").add("lang_pred", "string").add("score", "double").add("margin", "double")
     return df.mapInArrow(run, out)
 
 

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import embeddings, hosts, language, minhash, mixture, sharding, toxicity, warc
+from tidemark.llm import decontaminate, embeddings, hosts, language, minhash, mixture, packing, sharding, toxicity, warc
 from tidemark.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,11 +21,21 @@ def query(fn):
     return fn
 
 
+@query
+def op1_benchmark_decontamination(spark, sf_dir):
+    return decontaminate.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 @query
 def op2_zstd_language(spark, sf_dir):
     return language.predictions(load(spark, sf_dir, "documents"))
 
 
+@query
+def op3_packed_token_rows(spark, sf_dir):
+    return packing.packed_rows(load(spark, sf_dir, "documents"))
+
+
 @query
 def op4_warc_transactions(spark, sf_dir):
     return warc.round_trip(load(spark, sf_dir, "pages"))

@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import batch, remainder, written
 
@@ -281,7 +282,7 @@ def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([row, pa.array(s, pa.float64()), pa.array([int(v >= 0.5) for v in s], pa.int32())],
                                              names=["row", "score", "predicted"])
 
-    return df.mapInArrow(run, f"row {df.schema['row'].dataType.simpleString()}, score double, predicted int")
+    return df.mapInArrow(run, T.StructType([df.schema["row"]]).add("score", "double").add("predicted", "integer"))
 
 
 def predictions(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
@@ -291,3 +292,8 @@ def predictions(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Dat
     held = remainder("doc_id", 5) == 0
     out = scored(docs, model, ["doc_id"]).select("row.doc_id", "score", "predicted")
     return out.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, all columns as they are."""
+    return scored(docs, learn(docs, labels, p), docs.columns).where("predicted = 0").select("row.*")
