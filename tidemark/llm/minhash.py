@@ -13,8 +13,9 @@ exact confirmation, components.
    ``miss``.  Survivors are confirmed on the full sets.
 5. Components of the confirmed links.  Round 2 revisits the buckets that
    still hold several components and compares only classes of different
-   components, in blocks of bounded size; copies of one group, which round 1
-   has joined, are never compared pairwise.
+   components, in blocks of bounded size: the same check, the same
+   confirmation, inside the task.  Copies of one group, which round 1 has
+   joined, are never compared pairwise, and no table of pairs is written.
 
 So every pair that shares a band is either confirmed, rejected by the
 Bayesian bound, rejected exactly, or already in one component.  With 32 bands
@@ -36,7 +37,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import batch, grouped, utf8, written
@@ -55,7 +56,7 @@ class Params:
     rows: int = 4
     batch: int = 32
     miss: float = 1e-6
-    block: int = 256
+    block: int = 512
     seed: int = 20
 
     @property
@@ -110,13 +111,13 @@ def signature(s: np.ndarray, mult: np.ndarray) -> bytes:
     return (out >> np.uint64(32)).astype("<u4").tobytes()
 
 
-SKETCH = "node long, n_shingles long, set_key binary, sig binary"
+SKETCH = "node long, h long, n_shingles long, set_key binary, sig binary"
 
 
 def sketch(nodes: DataFrame, p: Params) -> DataFrame:
-    """(node, n_shingles, set_key, sig); key and signature are null for the
+    """(node, h, n_shingles, set_key, sig); key and signature are null for the
     empty set."""
-    schema = pa.schema([("node", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("sig", pa.binary())])
+    schema = pa.schema([("node", pa.int64()), ("h", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("sig", pa.binary())])
 
     def run(batches):
         mult, hashes = multipliers(p), WordHashes()
@@ -127,9 +128,9 @@ def sketch(nodes: DataFrame, p: Params) -> DataFrame:
                 n.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sigs.append(signature(s, mult) if len(s) else None)
-            yield batch(schema, [b.column("node"), n, keys, sigs])
+            yield batch(schema, [b.column("node"), b.column("h"), n, keys, sigs])
 
-    return nodes.select("node", utf8("text").alias("text")).mapInArrow(run, SKETCH)
+    return nodes.select("node", "h", utf8("text").alias("text")).mapInArrow(run, SKETCH)
 
 
 # -- verification -----------------------------------------------------------
@@ -181,6 +182,13 @@ def bayes_filter(pairs: DataFrame, sigs: DataFrame, p: Params) -> DataFrame:
                  .select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"))
 
 
+def similar(x: np.ndarray, y: np.ndarray, p: Params) -> bool:
+    both = np.concatenate([x, y])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= p.percent * (len(both) - common)
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     """Pairs whose full shingle sets reach the threshold."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -192,9 +200,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
             for a, c, ta, tb in zip(*(b.column(n).to_pylist() for n in ("a", "b", "ta", "tb")), strict=True):
                 if a != last:
                     last, left = a, shingle_set(ta, p.shingle_words, hashes)
-                right = shingle_set(tb, p.shingle_words, hashes)
-                union = len(np.union1d(left, right))
-                if 100 * (len(left) + len(right) - union) >= p.percent * union:
+                if similar(left, shingle_set(tb, p.shingle_words, hashes), p):
                     out.append((a, c))
             yield batch(schema, zip(*out) if out else ([], []))
 
@@ -203,42 +209,56 @@ def confirm(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
                  .select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
 
 
-def cross_component_pairs(members: DataFrame, p: Params) -> DataFrame:
-    """Round 2.  ``members(key, band, leader, size, node, component, sig)`` of
-    buckets with several components -> pairs of different components that pass
-    the sequential check.  A bucket is cut into blocks of ``p.block`` classes;
-    a task holds two blocks at a time, and writes survivors only.  Pairs with
-    the leader were compared in round 1; a pair that shares an earlier band is
-    left to that band."""
+def cross_component_links(members: DataFrame, p: Params) -> DataFrame:
+    """Round 2.  ``members(key, band, leader, size, node, component, sig,
+    text)`` of buckets with several components -> links between components.
+    A bucket is cut into blocks of ``p.block`` classes and a task holds two
+    blocks at a time.  Pairs with the leader were compared in round 1, a pair
+    that shares an earlier band is left to that band, and components that one
+    link has joined are not compared again.  Only links leave the task, at
+    most one per component and pair of blocks."""
     blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / p.block)).cast("int")
     schema, looks, width, rows = pa.schema([("a", pa.int64()), ("b", pa.int64())]), least_matches(p), p.hashes, p.rows
     own = F.pmod(F.xxhash64("node", "key"), blocks.cast("long")).cast("int")
-    dealt = (members.where("node <> leader").withColumn("own", own).withColumn("blocks", blocks)
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = (members.where("node <> leader").withColumn("own", own)
+             .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
              .select("key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                     "own", "node", "component", "sig"))
+                     "own", "node", "component", "sig", utf8("text").alias("text")))
 
     def run(batches):
+        hashes = WordHashes()
         for g in grouped(batches, ["key", "i", "j"]):
-            if g.num_rows < 2:
+            own_, node, comp = (g.column(c).to_numpy().copy() for c in ("own", "node", "component"))
+            if len(node) < 2 or (comp == comp[0]).all():
                 continue
-            own_, node, comp = (g.column(c).to_numpy() for c in ("own", "node", "component"))
             i, j, band = g.column("i")[0].as_py(), g.column("j")[0].as_py(), g.column("band")[0].as_py()
-            sig = matrix(g.column("sig").to_pylist(), width)
+            sig, texts, sets, out = matrix(g.column("sig").to_pylist(), width), g.column("text"), {}, []
+
+            def full(k):
+                if k not in sets:
+                    sets[k] = shingle_set(texts[k].as_py(), p.shingle_words, hashes)
+                return sets[k]
+
             left = np.flatnonzero(own_ == i)
             right = left if i == j else np.flatnonzero(own_ == j)
-            for at in left:
-                to = right[(comp[right] != comp[at]) & (node[right] > node[at])] if i == j else right[comp[right] != comp[at]]
+            for at in left.tolist():
+                to = right[comp[right] != comp[at]]
+                if i == j:
+                    to = to[to > at]
                 if band and len(to):
                     same = (sig[to, :band * rows] == sig[at, :band * rows]).reshape(len(to), band, rows).all(axis=2).any(axis=1)
                     to = to[~same]
                 if len(to):
                     to = to[surviving(np.broadcast_to(sig[at], (len(to), width)), sig[to], looks)]
-                if len(to):
-                    yield batch(schema, [np.minimum(node[to], node[at]), np.maximum(node[to], node[at])])
+                for k in to.tolist():
+                    if comp[k] != comp[at] and similar(full(at), full(k), p):
+                        out.append((int(node[at]), int(node[k])))
+                        comp[comp == comp[k]] = comp[at]
+            if out:
+                yield batch(schema, zip(*out))
 
     return (dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-                 .mapInArrow(run, "a long, b long").distinct())
+                 .mapInArrow(run, "a long, b long"))
 
 
 # -- the operator -----------------------------------------------------------
@@ -248,16 +268,17 @@ STAND_IN = 1 << 62
 
 
 def with_node(docs: DataFrame) -> DataFrame:
-    """(node, text): the id, or for a null id a stand-in above every id, made
-    from the text."""
-    stand_in = F.lit(STAND_IN) + F.xxhash64("text").bitwiseAND(F.lit(STAND_IN - 1))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), stand_in).alias("node"), "text")
+    """(node, h, text): the id, or for a null id a stand-in above every id,
+    made from the text; a hash of the text."""
+    return docs.select(node_of("doc_id", "text").alias("node"), F.xxhash64("text").alias("h"), "text")
 
 
-def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """``docs(doc_id, text, ...)`` -> one row per row of ``docs``: doc_id,
-    n_shingles, component_id (smallest doc_id reachable over links, itself
-    included) and kept (doc_id = component_id).  Other columns are not read."""
+def node_of(doc_id: str, text: str) -> Column:
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(STAND_IN) + F.xxhash64(text).bitwiseAND(F.lit(STAND_IN - 1)))
+
+
+def components(docs: DataFrame, p: Params) -> DataFrame:
+    """(node, h, n_shingles, component) per row of ``docs``."""
     nodes = with_node(docs)
     t = written(sketch(nodes, p), "minhash-sketch")
     classes = written(t.where("set_key is not null").groupBy("set_key")
@@ -270,25 +291,39 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     buckets = written(banded.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("size"), F.min("band").alias("band"))
                             .where("size > 1"), "minhash-buckets")
     members = written(banded.select("key", "node").join(buckets, "key"), "minhash-members")
-    texts = written(nodes.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node", "text"]), "minhash-texts")
+    texts = written(nodes.drop("h").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node", "text"]), "minhash-texts")
 
     star = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     passed = written(bayes_filter(star, sigs, p), "minhash-passed")
     first = written(confirm(passed, texts, p), "minhash-links")
     found = connected_components(first, "minhash-cc1")
 
-    labelled = written(members.where("size > 2").join(found, "node", "left")
+    labelled = written(members.where("size > 2 and node <> leader").join(found, "node", "left")
                               .withColumn("component", F.coalesce("component", "node")), "minhash-labelled")
     mixed = (labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
                      .where("x <> y").select("key"))
-    open_ = labelled.join(written(mixed, "minhash-mixed"), "key", "left_semi").join(sigs, "node")
-    second = written(confirm(written(cross_component_pairs(open_, p), "minhash-cross"), texts, p), "minhash-links2")
+    open_ = labelled.join(written(mixed, "minhash-mixed"), "key", "left_semi").join(sigs, "node").join(texts, "node")
+    second = written(cross_component_links(open_, p), "minhash-links2")
 
     final = connected_components(first.unionByName(second), "minhash-cc2")
     label = written(classes.select("set_key", "node").join(final, "node", "left")
                            .select("set_key", F.coalesce("component", "node").alias("component")), "minhash-label")
-    out = t.select("node", "n_shingles", "set_key").join(label, "set_key", "left")
-    component = F.coalesce("component", "node")
-    return out.select(F.expr(f"if(node < {STAND_IN}, node, null)").alias("doc_id"), "n_shingles",
-                      F.when(component < STAND_IN, component).alias("component_id"),
-                      (F.col("node") == component).alias("kept"))
+    out = t.select("node", "h", "n_shingles", "set_key").join(label, "set_key", "left")
+    return out.select("node", "h", "n_shingles", F.coalesce("component", "node").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
+    """``docs(doc_id, text, ...)`` -> one row per row of ``docs``: doc_id,
+    n_shingles, component_id (smallest doc_id reachable over links, itself
+    included) and kept (doc_id = component_id).  Other columns are not read."""
+    node, component = F.col("node"), F.col("component")
+    return components(docs, p).select(F.when(node < STAND_IN, node).alias("doc_id"), "n_shingles",
+                                      F.when(component < STAND_IN, component).alias("component_id"), (node == component).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, p: Params = Params()) -> DataFrame:
+    """The rows of ``docs`` with one document of each group, all columns as
+    they are; of repeated rows (same id, same text) one stays."""
+    gone = written(components(docs, p).where("node <> component").select("node", "h").distinct(), "minhash-gone")
+    rows = docs.select(F.struct("*").alias("row"), node_of("doc_id", "text").alias("node"), F.xxhash64("text").alias("h"))
+    return rows.join(gone, ["node", "h"], "left_anti").dropDuplicates(["node", "h"]).select("row.*")
