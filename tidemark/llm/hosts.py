@@ -4,7 +4,7 @@ Labelled page outcomes (1 = bad) are counted per host.  A beta-binomial prior
 is fitted by moments at three levels - suffix under the whole web, registered
 domain under its suffix, host under its domain - so a host with few labels is
 shrunk to its domain, a small domain to its suffix and a small suffix to the
-overall rate.  A host is blocked when the lower bound of its posterior bad
+overall rate (itself with a weak prior of 1 bad page in 10).  A host is blocked when the lower bound of its posterior bad
 rate (mean - z standard deviations) is above ``worst``.  Explicit rules come
 first: the longest rule that fits a URL decides.
 
@@ -47,7 +47,7 @@ class Reputation:
 
     z: float = 1.645
     worst: float = 0.5
-    least: float = 1.0
+    least: float = 10.0
     most: float = 10000.0
 
 
@@ -104,7 +104,7 @@ def reputations(evidence: DataFrame, cfg: Reputation = Reputation()) -> DataFram
     """``evidence(host, n, k)`` (n labelled pages, k bad ones; repeats are
     summed) -> host, n, k, bad_mean, bad_lower."""
     hosts = written(with_levels(evidence.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))), "host-counts")
-    rate = hosts.agg((F.coalesce(F.sum("k"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1.0)).first()[0]
+    rate = hosts.agg((F.coalesce(F.sum("k"), F.lit(0)) + 1.0) / (F.coalesce(F.sum("n"), F.lit(0)) + 10.0)).first()[0]
     suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).withColumn("rate", F.lit(rate))
     suffixes = written(_shrunk(suffixes, "rate", "suffix_rate", cfg).select("suffix", "suffix_rate"), "host-suffixes")
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).join(suffixes, "suffix")
@@ -152,13 +152,13 @@ WITH p AS (
 ), h AS (
   SELECT host, n, k, array_to_string(l[greatest(1, len(l) - w + 1):], '.') AS suffix, array_to_string(l[greatest(1, len(l) - w):], '.') AS domain FROM s
 ), s0 AS (
-  SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT (sum(k) + 0.5) / (sum(n) + 1.0) FROM h) AS up FROM h GROUP BY suffix
+  SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT (sum(k) + 1.0) / (sum(n) + 10.0) FROM h) AS up FROM h GROUP BY suffix
 ), s1 AS (
   SELECT sum(n * (k / n - up) * (k / n - up)) AS s, sum(n) AS total, sum(n * n) AS sq, count(*) AS m, sum(n * up * (1 - up)) / sum(n) AS v FROM s0 WHERE n > 0
 ), s2 AS (
   SELECT CASE WHEN v > 0 AND total - sq / total - (m - 1) > 0 THEN (s / v - (m - 1)) / (total - sq / total - (m - 1)) END AS rho FROM s1
 ), s3 AS (
-  SELECT suffix, (k + z * up) / (n + z) AS rate FROM s0, (SELECT least(greatest(coalesce(CASE WHEN rho > 0 THEN 1 / rho - 1 END, 10000), 1), 10000) AS z FROM s2)
+  SELECT suffix, (k + z * up) / (n + z) AS rate FROM s0, (SELECT least(greatest(coalesce(CASE WHEN rho > 0 THEN 1 / rho - 1 END, 10000), 10), 10000) AS z FROM s2)
 ), d0 AS (
   SELECT suffix, domain, sum(n) AS n, sum(k) AS k, max(rate) AS up FROM h JOIN s3 USING (suffix) GROUP BY suffix, domain
 ), d1 AS (
@@ -166,7 +166,7 @@ WITH p AS (
 ), d2 AS (
   SELECT CASE WHEN v > 0 AND total - sq / total - (m - 1) > 0 THEN (s / v - (m - 1)) / (total - sq / total - (m - 1)) END AS rho FROM d1
 ), d3 AS (
-  SELECT suffix, domain, (k + z * up) / (n + z) AS rate FROM d0, (SELECT least(greatest(coalesce(CASE WHEN rho > 0 THEN 1 / rho - 1 END, 10000), 1), 10000) AS z FROM d2)
+  SELECT suffix, domain, (k + z * up) / (n + z) AS rate FROM d0, (SELECT least(greatest(coalesce(CASE WHEN rho > 0 THEN 1 / rho - 1 END, 10000), 10), 10000) AS z FROM d2)
 ), h0 AS (
   SELECT host, n, k, rate AS up FROM h JOIN d3 USING (suffix, domain)
 ), h1 AS (
@@ -174,7 +174,7 @@ WITH p AS (
 ), h2 AS (
   SELECT CASE WHEN v > 0 AND total - sq / total - (m - 1) > 0 THEN (s / v - (m - 1)) / (total - sq / total - (m - 1)) END AS rho FROM h1
 ), h3 AS (
-  SELECT host, (k + z * up) / (n + z) AS mean, n + z + 1 AS size FROM h0, (SELECT least(greatest(coalesce(CASE WHEN rho > 0 THEN 1 / rho - 1 END, 10000), 1), 10000) AS z FROM h2)
+  SELECT host, (k + z * up) / (n + z) AS mean, n + z + 1 AS size FROM h0, (SELECT least(greatest(coalesce(CASE WHEN rho > 0 THEN 1 / rho - 1 END, 10000), 10), 10000) AS z FROM h2)
 ), b AS (
   SELECT host, mean - 1.645 * sqrt(mean * (1 - mean) / size) AS bad_lower FROM h3
 ), x AS (
