@@ -35,12 +35,14 @@ def test_held_out_accuracy_and_contract(spark):
 
 def test_edge_cases(spark):
     rows = texts(80)
-    odd = [(900, None, "aa"), (901, "", "aa"), (902, "123 ... !!", "bb"), (903, LONG, None), (904, "eau", None), (905, "eau", None), (None, "strö grüb", None)]
+    odd = [(900, None, "aa"), (901, "", "aa"), (902, "123 ... !!", "bb"), (903, LONG, None), (904, "eauille tionère ouique", None), (905, "eauille tionère ouique", None), (906, "x", None), (None, "strö grüb", None)]
     got = L.predictions(frame(spark, rows + odd)).collect()
     assert len(got) == len(rows) + len(odd)
     by = {r["doc_id"]: r for r in got}
     assert [by[i]["lang_pred"] for i in (900, 901, 902)] == ["und"] * 3 and by[902]["score"] == 0
     assert by[903]["lang_pred"] in SYLLABLES and by[904]["lang_pred"] == by[905]["lang_pred"] == "cc"
+    learned = [lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert by[906]["lang_pred"] == max(sorted(SYLLABLES), key=learned.count)      # a tie goes to the language with most rows
     nothing = L.predictions(frame(spark, [(1, "eau", None), (2, "ka lo", None)])).collect()
     assert [r["lang_pred"] for r in nothing] == ["und", "und"]
     assert L.predictions(frame(spark, [])).count() == 0

@@ -46,7 +46,6 @@ class Params:
     end: int = 50256
     length: int = 2048
     pool: int = 8192
-    pieces_per_task: int = 65536
 
     @property
     def dtype(self) -> str:
@@ -114,8 +113,6 @@ def encoder(ranks: dict[bytes, int]):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-#: Texts are encoded in stretches cut between a non-space and a space, so a
-#: long run of one kind cannot slow the vocabulary's merge search.
 PIECES = "doc_id long, piece int, first long, n int, ids binary"
 
 
