@@ -35,7 +35,7 @@ def test_best_fit_decreasing_against_brute_force(length):
 def test_round_trip_is_lossless(spark, docs):
     rnd = random.Random(1)
     rows = [(i, " ".join(rnd.choice(["alpha", "βeta", "γ", "12", "!?", "日本"]) for _ in range(rnd.randrange(0, 300)))) for i in range(120)]
-    rows += [(200, LONG), (201, ""), (202, None), (203, "same"), (203, "same"), (None, "no id"), (204, "a" * 5000), (205, " " * 3000)]
+    rows += [(200, LONG), (201, ""), (202, None), (203, "same"), (203, "same"), (None, "no id"), (204, "a" * 5000), (205, " " * 3000), (206, "a" + " \n" * 300_000 + "b"), (207, "!?" * 300_000)]
     p = K.Params(length=256, pool=64)
     packed = K.packed_rows(docs(rows), p)
     for r in packed.collect():

@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -113,6 +114,19 @@ def encoder(ranks: dict[bytes, int]):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: The splitting pattern backtracks over white space, so longer runs of it are
+#: cut into stretches of this length, which are encoded one by one.
+SPACES = re.compile(r"\s{10000}")
+
+
+def encode(e, text: str) -> list[int]:
+    out, at = [], 0
+    for m in SPACES.finditer(text):
+        out += e.encode_ordinary(text[at:m.end()])
+        at = m.end()
+    return out + e.encode_ordinary(text[at:])
+
+
 PIECES = "doc_id long, piece int, first long, n int, ids binary"
 
 
@@ -129,7 +143,7 @@ def tokenized(docs: DataFrame, p: Params = Params()) -> DataFrame:
                 t = text.as_py()
                 if t is None:
                     continue
-                ids = np.array(e.encode_ordinary(t) + [p.end], p.dtype)
+                ids = np.array(encode(e, t) + [p.end], p.dtype)
                 for k, at in enumerate(range(0, len(ids), p.length)):
                     part = ids[at:at + p.length]
                     out.append((doc_id, k, at, len(part), part.tobytes()))
