@@ -13,17 +13,17 @@ def parse(spark, rows):
 
 def test_parse_completion_vectors(spark):
     got = parse(spark, [
-        ("openai", 200, '{"choices":[{"text":"Generated Test"}]}'),
+        ("openai", 200, '{"choices":[{"text":"answer one"}]}'),
         ("openai", 200, '{"choices":[]}'),
         ("openai", 200, '{"choices":[{"text":null}]}'),
         ("openai", 400, "{}"),
         ("openai", 200, '{"other":1}'),
-        ("ollama", 200, '{"response":"Generated Test Code"}'),
+        ("ollama", 200, '{"response":"answer two"}'),
         ("ollama", 200, '{"response":""}'),
         ("azure", 200, '{"content":[{"type":"text","text":"hi"}]}'),
     ])
-    assert got == [("Generated Test", None), ("", None), ("", None), ("", None),
-                   (None, "missing property: choices"), ("Generated Test Code", None), ("", None), ("hi", None)]
+    assert got == [("answer one", None), ("", None), ("", None), ("", None),
+                   (None, "missing property: choices"), ("answer two", None), ("", None), ("hi", None)]
 
 
 def test_prompt_text(spark):

@@ -5,13 +5,13 @@ from tidemark.sources.tables import skip_list
 
 CLASS_ONE = "public class Calc\n{\n    public int Add(int a, int b) { return a + b; }\n}\n"
 NO_PUBLIC = "public class Calc\n{\n    private int Add(int a, int b) { return a + b; }\n}\n"
-IFACE = "public interface IMyInterface {}\n"
+IFACE = "public interface IArea { }\n"
 
 
 def route(spark, rows, prompt_user=True):
     ch = spark.createDataFrame(rows, "file_path string, old_content string, new_content string, "
                                      "existing_test string, request_id string")
-    rep = spark.createDataFrame([("ok", "openai", 200, '{"choices":[{"text":"Generated Test Code"}]}'),
+    rep = spark.createDataFrame([("ok", "openai", 200, '{"choices":[{"text":"class CalcTests { }"}]}'),
                                  ("blank", "openai", 200, '{"choices":[{"text":"  "}]}'),
                                  ("bad", "openai", 200, '{"nope":1}')],
                                 "request_id string, provider string, http_status int, body string")
@@ -36,7 +36,7 @@ def test_outcomes(spark):
                       "src/N.cs": "no_public_methods", "src/A.cs": "needs_review", "src/B.cs": "empty_response",
                       "src/C.cs": "error", "src/D.cs": "error", "src/E.txt": "error"}
     a = got["src/A.cs"]
-    assert a.generated_code == "Generated Test Code"
+    assert a.generated_code == "class CalcTests { }"
     assert a.test_path == "tests/ATests.cs" and a.staging_path == "tmp/ATests_temp.cs"
     assert "Method Code:\n" + CLASS_ONE in a.prompt
 

@@ -6,22 +6,30 @@ around changed lines, context for a large file) is then a query on it.
 
 The scan is built from Spark SQL only:
 
-1. ``regexp_extract_all`` cuts each file into *segments*, each ending in
-   ``{``, ``}`` or ``;``.  String/char literals and comments are matched as
-   whole tokens, so braces inside them never cut.
-2. ``posexplode`` gives one row per segment; a window per file (running
+1. Files are dealt by their keys, the only exchange of the scan.  Branches
+   of ``#if`` blocks that are not compiled are blanked at equal length.
+2. ``regexp_extract_all`` cuts each file into *segments*, each ending in
+   ``{``, ``}`` or ``;``.  String and char literals, comments, directives and
+   bracketed lists (attributes) are matched as whole tokens, so braces inside
+   them never cut.
+3. ``posexplode`` gives one row per segment; a window per file (running
    sums) gives each segment its offset, line and brace depth.
-3. Each segment is classified from its masked header (literals and
-   comments blanked at equal length, leading attributes removed).
-4. Parent and matching ``}``: each opening segment plays two roles - a
-   member at its own depth and an *opener* at the depth it opens.  A
-   window over ``(file, depth)`` gives every member the last opener before
-   it (its parent) and every opener the first closing segment after it.
-5. A join back to the file text cuts the full text of each declaration,
-   with leading and trailing trivia as a syntax tree's full string has it.
+4. Each segment is classified from its masked header (literals, comments and
+   directives blanked at equal length, leading attributes removed, the
+   contents of parentheses folded).
+5. Parent and end: each opening segment plays two roles, a member at its own
+   depth and an opener at the depth it opens.  A window over ``(file, depth)``
+   gives every member the last opener before it (its parent) and the end of an
+   initializer or expression body (the next ``;`` at its depth), and every
+   opener the first closing segment after it; a window over ``(file, segment)``
+   puts the two roles together.  All windows use the partitioning of step 1.
+6. Only for ``with_text``: a join back to the file text cuts the full text of
+   each declaration, with leading and trailing trivia as a syntax tree's full
+   string has it.
 
 A file's segments are processed by one task (the windows are per file), so
-work is bounded by the largest single file, never by a hot key.
+work is bounded by the largest single file, never by a hot key.  A file whose
+braces do not balance has no declarations (``braces_balance`` tells).
 """
 
 from __future__ import annotations
@@ -33,25 +41,73 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import unicode_trim
 
-# Token and segment patterns (Java regex, possessive where safe).
-_LIT = (r'"""[\s\S]*?"""|@"(?:[^"]|"")*+"|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
-        r"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|//[^\n]*+|/\*[\s\S]*?\*/")
-TOKEN_RE = _LIT + r"""|[^"'/@]++|[\s\S]"""
-SEGMENT_RE = r"(?:" + _LIT + r"""|[^"'/@{};]++|[^{};])*+(?:[{};]|\z)"""
-MASKED_TOKEN_RE = r"""^(?:"|@"|'|//|/\*)"""
+# Token patterns of the language (Java regex, possessive where safe).
+_RAW = r'\$*+(?<q>"{3,}+)[\s\S]*?(?<!")\k<q>(?!")'
+_HOLE = r'\{(?:[^{}"]++|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|\{[^{}]*+\})*+\}'
+_INTERPOLATED = (r'\$"(?:[^"\\{\n]++|\\.|\{\{|' + _HOLE + r')*+"'
+                 r'|(?:\$@|@\$)"(?:[^"{]++|""|\{\{|' + _HOLE + r')*+"')
+_STRING = r'@"(?:[^"]|"")*+"|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"' + r"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
+_COMMENT = r"//[^\n]*+|/\*[\s\S]*?\*/"
+_DIRECTIVE = r"(?<=(?:\A|\n)[ \t\uFEFF]{0,99})#[^\n]*+"
+_LIT = "|".join([_RAW, _INTERPOLATED, _STRING, _COMMENT, _DIRECTIVE])
+_PLAIN = r"""[^"'/@#$\[\]{};]++"""
+_LIST = r"\[(?:" + _PLAIN + "|" + _LIT.replace("<q>", "<r>") + r"|\{[^{}\[\]]*+\}|\[(?:[^\[\]{};]++|\{[^{}]*+\})*+\])*+\]"
+TOKEN_RE = _LIT + r"""|[^"'/@#$]++|[\s\S]"""
+SEGMENT_RE = "(?:" + _LIT + "|" + _LIST + "|" + _PLAIN + r"|[^{};])*+(?:[{};]|\z)"
+MASKED_TOKEN_RE = r"""^(?:\$*"{3}|\$?@?\$?"|'|//|/\*|#)"""
+ATTRIBUTES_RE = r"^(?U)(?:\s*\[(?:[^\[\]]++|\[(?:[^\[\]]++|\[[^\[\]]*+\])*+\])*+\])+"
+BLANK_RE = r"^(?U)[\s\uFEFF]*"
+TYPE_RE = r"^(?:\w+\s+)*?(class|struct|interface|record|enum)\s+(?:struct\s+|class\s+)?(\w+)"
 TYPE_KINDS = ("class", "struct", "interface", "record", "enum")
 MEMBER_PARENTS = ("class", "struct", "interface", "record")
 PARSER_EXTENSIONS = {".cs": "supported", ".java": "not_implemented", ".py": "not_implemented",
                      ".ts": "not_implemented", ".js": "not_implemented"}
+UNBALANCED = "source has unbalanced braces"
 
 
 def mask(c: Column) -> Column:
-    """Blank literals and comments at equal length, keeping newlines."""
+    """Blank literals, comments and directives at equal length, keeping newlines."""
     toks = F.regexp_extract_all(c, F.lit(TOKEN_RE), 0)
     return F.array_join(F.transform(toks, lambda t: F.when(t.rlike(MASKED_TOKEN_RE),
                                                          F.regexp_replace(t, r"[^\n]", " ")).otherwise(t)), "")
 
 
+def braces_balance(content) -> Column:
+    """Whether a text has as many ``{`` as ``}`` outside literals and comments."""
+    c = F.col(content) if isinstance(content, str) else content
+    toks = F.regexp_extract_all(compiled_text(F.coalesce(c, F.lit(""))), F.lit(_LIT + "|[{}]"), 0)
+    return F.size(F.filter(toks, lambda t: t == "{")) == F.size(F.filter(toks, lambda t: t == "}"))
+
+
+def compiled_text(c: Column) -> Column:
+    """Blank, at equal length, the branches of ``#if`` blocks that are not
+    compiled when no symbol is defined (``!X`` and ``true`` hold, ``X`` does
+    not; ``&&`` and ``||`` combine them).  Only the few directive lines are
+    folded into a state: one letter per open block, ``a`` (this branch
+    compiles), ``w`` (none yet), ``d`` (an earlier one did)."""
+    lines = F.split(c, "\n", -1)
+    d = F.filter(F.transform(lines, lambda l, i: F.struct(i.alias("i"), F.regexp_extract(l, r"^\s*#\s*(if|elif|else|endif)\b", 1).alias("d"),
+                                                          F.regexp_extract(l, r"^\s*#\s*(?:if|elif)\b([^/]*)", 1).alias("c"))),
+                 lambda x: x["d"] != "")
+    holds = lambda e: F.exists(F.split(e, r"\|\|"), lambda o: F.forall(F.split(o, "&&"), lambda t: F.trim(t).rlike(r"^\(*\s*(?:!\s*\(?\s*\w+|true)\s*\)*\s*$")))
+
+    def step(s, x):
+        top = F.right(s["open"], F.lit(1))
+        rest = F.substring(s["open"], F.lit(1), F.greatest(F.length(s["open"]) - 1, F.lit(0)))
+        now = (F.when(x["d"] == "if", F.concat(s["open"], F.when(holds(x["c"]), "a").otherwise("w")))
+                .when(x["d"] == "endif", rest)
+                .when(top != "w", F.concat(rest, F.lit("d")))
+                .when((x["d"] == "else") | holds(x["c"]), F.concat(rest, F.lit("a")))
+                .otherwise(s["open"]))
+        return F.struct(now.alias("open"), F.concat(s["marks"], F.array(F.struct(x["i"].alias("i"), (~now.rlike("[wd]")).alias("on")))).alias("marks"))
+
+    start = F.struct(F.lit("").alias("open"), F.array().cast("array<struct<i:int,on:boolean>>").alias("marks"))
+    marks = F.aggregate(d, start, step, lambda s: s["marks"])
+    on = lambda i: F.coalesce(F.try_element_at(F.filter(marks, lambda m: m["i"] <= i), F.lit(-1))["on"], F.lit(True))
+    text = F.array_join(F.transform(lines, lambda l, i: F.when(on(i) | l.rlike(r"^\s*#"), l).otherwise(F.regexp_replace(l, ".", " "))), "\n")
+    return F.when(c.contains("#if"), text).otherwise(c)
+
+
 def _nl(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
 
@@ -62,15 +118,16 @@ TRAILING_TRIVIA_RE = r"^[ \t\f\x0B]*+(?:/\*[^\n]*?\*/[ \t\f\x0B]*+)*+(?://[^\n]*
 
 
 def segments(files: DataFrame, keys: Sequence[str], content: str = "content") -> DataFrame:
-    """One row per segment with its text, offset, line, depth and the
-    length of the trailing trivia it starts with.  Cheap columns only: the
-    masking and classification run later, on the few segments that can be
-    declarations."""
+    """One row per segment with its text, offset, line, depth and the length
+    of the trailing trivia it starts with; none of files whose braces do not
+    balance.  Files are dealt by their keys first; everything later in the
+    scan stays in that partitioning."""
     keys = list(keys)
-    parts = F.filter(F.regexp_extract_all(F.coalesce(F.col(content), F.lit("")), F.lit(SEGMENT_RE), 0),
+    parts = F.filter(F.regexp_extract_all(compiled_text(F.coalesce(F.col(content), F.lit(""))), F.lit(SEGMENT_RE), 0),
                      lambda s: s != "")
-    s = files.select(*keys, F.posexplode(parts).alias("idx", "seg"))
-    last = F.substring(F.col("seg"), -1, 1)
+    s = files.select(*keys, content).repartition(*keys).select(*keys, F.posexplode(parts).alias("idx", "seg"))
+    # a comment or directive may end the file in one of these characters
+    last = F.substring(F.when(F.col("seg").rlike(COMMENT_LAST_RE), mask(F.col("seg"))).otherwise(F.col("seg")), -1, 1)
     term = F.when(last.isin("{", "}", ";"), last).otherwise(F.lit(""))
     s = s.select(*keys, "idx", "seg", F.length("seg").alias("len"), _nl(F.col("seg")).alias("nl"),
                  term.alias("term"), F.length(F.regexp_extract("seg", TRAILING_TRIVIA_RE, 0)).alias("tt"))
@@ -83,7 +140,22 @@ def segments(files: DataFrame, keys: Sequence[str], content: str = "content") ->
         F.coalesce(F.sum("nl").over(before), F.lit(0)).alias("nl_before"),
         F.coalesce(F.sum(delta).over(before), F.lit(0)).alias("depth"),
         F.coalesce(F.lead("tt").over(w), F.lit(0)).alias("next_tt"),
-    )
+        F.sum(delta).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("surplus"),
+    ).where("surplus = 0").drop("surplus")
+
+
+# A segment whose last line may hold a comment or directive.
+COMMENT_LAST_RE = r"(?://|/\*|(?:^|\n)[ \t]*#)[^\n]*\z"
+
+OPEN, CLOSE = "\u2039", "\u203a"           # stand for a folded pair of parentheses
+FOLDED = OPEN + CLOSE
+
+
+def _folded(h: Column) -> Column:
+    """A header with every pair of parentheses and its contents as one sign."""
+    for _ in range(4):
+        h = F.regexp_replace(h, r"\([^()]*\)", FOLDED)
+    return h
 
 
 def _header(s: DataFrame) -> DataFrame:
@@ -91,75 +163,80 @@ def _header(s: DataFrame) -> DataFrame:
     blanked), node start and raw classification."""
     h = mask(F.when(F.col("term") == "", F.col("seg")).otherwise(F.expr("substring(seg, 1, length(seg) - 1)")))
     s = s.withColumn("h", h)
-    s = s.withColumn("lead_ws", F.length(F.regexp_extract("h", r"^(?U)\s*", 0)))
+    s = s.withColumn("lead_ws", F.length(F.regexp_extract("h", BLANK_RE, 0)))
     s = s.withColumn("lead_nl", _nl(F.expr("substring(h, 1, lead_ws)")))
     return _classify(s)
 
 
 def _classify(s: DataFrame) -> DataFrame:
-    ht = unicode_trim(F.regexp_replace(F.col("h"), r"^(?U)(?:\s*\[[^\]]*\])+", ""))
-    s = s.withColumn("ht", ht)
-    h = F.col("ht")
-    term = F.col("term")
-    p_paren = F.instr(h, "(")
-    p_arrow = F.instr(h, "=>")
-    p_assign = F.regexp_instr(h, F.lit(r"(?<![=!<>])=(?![=>])"))
-    type_re = r"^(?:\w+\s+)*?(class|struct|interface|record|enum)\s+(\w+)"
-    type_kw = F.regexp_extract(h, type_re, 1)
-    is_callable = (p_paren > 0) & ((p_assign == 0) | (p_paren < p_assign)) & ((p_arrow == 0) | (p_paren < p_arrow))
+    bare = F.regexp_replace(F.regexp_replace(F.col("h"), BLANK_RE, ""), ATTRIBUTES_RE, "")
+    s = s.withColumn("ht", unicode_trim(bare))
+    s = s.withColumn("hf", _folded(F.col("ht")))
+    # the signature: up to an initializer or expression body, without base call and constraints
+    s = s.withColumn("sig", F.regexp_replace("hf", r"(?s)(?:=>|(?<![=!<>])=(?![=>])).*$", ""))
+    s = s.withColumn("is_expr", F.col("sig") != F.col("hf"))
+    s = s.withColumn("sig", unicode_trim(F.regexp_replace(F.regexp_replace("sig", r"(?s)\swhere\s.*$", ""),
+                                                          r"\s*:\s*(?:base|this)\s*" + FOLDED + r"\s*$", "")))
+    h, hf, sig, term = F.col("ht"), F.col("hf"), F.col("sig"), F.col("term")
+    called = r"(~?\s*\w+)\s*(?:<[\w\s,<>\[\]?.@]*>)?\s*" + FOLDED + "$"
+    word = lambda w: sig.rlike(rf"^(?:\w+\s+)*?{w}\b")
+    type_kw = F.regexp_extract(hf, TYPE_RE, 1)
+    arrow_first = hf.rlike(r"(?s)^" + r"(?:(?!=>|(?<![=!<>])=(?![=>])).)*+=>")
     raw = (F.when((term == ";") & h.rlike(r"^(?:global\s+)?using\s"), F.lit("using"))
            .when(term.isin("{", ";") & h.rlike(r"^namespace\s+[\w.]+$"), F.lit("namespace"))
-           .when(term.isin("{", ";") & (type_kw != "") &
-                 ((p_paren == 0) | (F.instr(h, type_kw) < p_paren)), type_kw)
-           .when((term == "}") | (term == "") | (h == ""), F.lit(None).cast("string"))
-           .when(is_callable, F.lit("callable"))
-           .when((p_arrow > 0) & ((p_assign == 0) | (p_arrow < p_assign)), F.lit("property"))
-           .when((term == ";") | (p_assign > 0), F.lit("field"))
+           .when(term.isin("{", ";") & (type_kw != ""), type_kw)
+           .when((term == "}") | (term == "") | (h == "") | h.rlike(r"^[=).,\]?:&|+*/<>-]"), F.lit(None).cast("string"))
+           .when(word("delegate"), F.lit("delegate"))
+           .when(word("event"), F.lit("event"))
+           .when(sig.rlike(r"\boperator\b"), F.lit("operator"))
+           .when(sig.rlike(r"\bthis\s*\["), F.lit("property"))
+           .when(sig.rlike(called), F.lit("callable"))
+           .when(F.col("is_expr") & arrow_first, F.lit("property"))
+           .when((term == ";") | F.col("is_expr"), F.lit("field"))
            .when(term == "{", F.lit("property")))
-    before_assign = F.when(p_assign > 0, F.expr("substring(ht, 1, regexp_instr(ht, '(?<![=!<>])=(?![=>])') - 1)")) \
-                     .otherwise(F.when(p_arrow > 0, F.expr("substring(ht, 1, instr(ht, '=>') - 1)")).otherwise(h))
     name = (F.when(raw == "using", F.regexp_extract(h, r"^(?:global\s+)?using\s+(?:static\s+)?(?:\w+\s*=\s*)?([\w.]+)", 1))
             .when(raw == "namespace", F.regexp_extract(h, r"^namespace\s+([\w.]+)", 1))
-            .when(raw.isin(*TYPE_KINDS), F.regexp_extract(h, type_re, 2))
-            .when(raw == "callable", F.regexp_extract(h, r"([~\w]+)\s*(?:<[^>]*>)?\s*\(", 1))
-            .when(raw.isin("field", "property"), F.regexp_extract(before_assign, r"(\w+)\s*$", 1)))
+            .when(raw.isin(*TYPE_KINDS), F.regexp_extract(hf, TYPE_RE, 2))
+            .when(raw == "callable", F.regexp_replace(F.regexp_extract(sig, called, 1), r"\s", ""))
+            .when(sig.rlike(r"\bthis\s*\["), F.lit("this"))
+            .when(raw.isin("field", "property"), F.regexp_extract(sig, r"(\w+)\s*$", 1)))
     return (s.withColumn("raw_kind", raw).withColumn("name", name)
-             .withColumn("is_public", h.rlike(r"^(?:\w+\s+)*?public\b")))
+             .withColumn("is_public", h.rlike(r"^(?:\w+\s+)*?public\b"))
+             .withColumn("starts_eq", h.startswith("=")))
 
 
 def declarations(files: DataFrame, keys: Sequence[str], content: str = "content",
                  with_text: bool = True) -> DataFrame:
     """``declarations`` rows (keys..., decl_id, kind, name, is_public,
-    parent_id, parent_kind, parent_name, start_pos, end_pos, full_start,
-    full_end, start_line, end_line[, full_text]).  Positions are 0-based
-    character offsets, ``end_pos``/``full_end`` exclusive; lines 1-based."""
+    parent_id, parent_kind, parent_name, parent_pos, start_pos, end_pos,
+    full_start, full_end, start_line, end_line[, full_text]).  Positions are
+    0-based character offsets, ``end_pos``/``full_end`` exclusive; lines
+    1-based.  Operators, delegates, events and indexers are not members here."""
     keys = list(keys)
     s = segments(files, keys, content)
     # mask + classify every segment once; only small columns travel on
     cls = _header(s).select(*keys, "idx", "depth", "term", "seg_start", "len", "nl_before", "nl", "next_tt", "tt",
-                            "raw_kind", "name", "is_public", "lead_ws", "lead_nl")
-    opener_type = "struct<idx:int,raw_kind:string,name:string>"
-    common = ["term", "seg_start", "len", "nl_before", "nl", "next_tt", "tt", "raw_kind", "name", "is_public",
-              "lead_ws", "lead_nl"]
-    openers = cls.filter(F.col("term") == "{").select(
-        *keys, (F.col("depth") + 1).alias("level"), "idx",
-        F.struct("idx", "raw_kind", "name").alias("opener"), *common, F.lit(True).alias("is_opener"))
-    members = cls.select(*keys, F.col("depth").alias("level"), "idx", F.lit(None).cast(opener_type).alias("opener"),
-                         *common, F.lit(False).alias("is_opener"))
-    w = Window.partitionBy(*keys, "level").orderBy("idx", F.col("is_opener").desc())
-    closer = F.when((~F.col("is_opener")) & (F.col("term") == "}"),
-                    F.struct((F.col("seg_start") + F.col("len")).alias("end_pos"),
-                             (F.col("nl_before") + F.col("nl") + 1).alias("end_line"),
-                             F.col("next_tt").alias("end_tt")))
-    u = members.unionByName(openers).select(
+                            "raw_kind", "name", "is_public", "lead_ws", "lead_nl", "is_expr", "starts_eq")
+    role = lambda level, opens: F.struct(level.alias("level"), F.lit(opens).alias("is_opener"))
+    roles = F.when(F.col("term") == "{", F.array(role(F.col("depth"), False), role(F.col("depth") + 1, True))) \
+             .otherwise(F.array(role(F.col("depth"), False)))
+    u = cls.withColumn("role", F.explode(roles)).select("*", "role.level", "role.is_opener").drop("role")
+    w = Window.partitionBy(*keys, "level").orderBy("idx")
+    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    end = F.struct((F.col("seg_start") + F.col("len")).alias("pos"), (F.col("nl_before") + F.col("nl") + 1).alias("line"),
+                   F.col("next_tt").alias("tt"))
+    opener = F.struct("idx", "raw_kind", "name", (F.col("seg_start") + F.col("lead_ws")).alias("pos"))
+    u = u.select(
         "*",
-        F.last("opener", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("parent"),
-        F.first(closer, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("closer"))
-    closers = u.filter(F.col("is_opener")).select(*keys, "idx", "closer")
+        F.last(F.when(F.col("is_opener"), opener), ignorenulls=True).over(before).alias("parent"),
+        F.when(F.col("is_opener"), F.first(F.when(~F.col("is_opener") & (F.col("term") == "}"), end), ignorenulls=True).over(after)).alias("closer"),
+        F.first(F.when(~F.col("is_opener") & (F.col("term") == ";"), end), ignorenulls=True).over(after).alias("semicolon"),
+        F.coalesce(F.lead("starts_eq").over(w), F.lit(False)).alias("assigned"))
+    u = u.withColumn("closer", F.max("closer").over(Window.partitionBy(*keys, "idx")))
 
     pk = F.col("parent.raw_kind")
     d = u.filter((~F.col("is_opener")) & F.col("raw_kind").isNotNull()
-                 & (pk.isNull() | pk.isin("namespace", *MEMBER_PARENTS))).drop("closer")
+                 & (pk.isNull() | pk.isin("namespace", *MEMBER_PARENTS)))
     kind = (F.when(F.col("raw_kind").isin("using", "namespace") & (pk.isNull() | (pk == "namespace")), F.col("raw_kind"))
             .when(F.col("raw_kind").isin(*TYPE_KINDS), F.col("raw_kind"))
             .when(pk.isin(*MEMBER_PARENTS) & (F.col("raw_kind") == "callable"),
@@ -168,19 +245,18 @@ def declarations(files: DataFrame, keys: Sequence[str], content: str = "content"
                    .otherwise(F.lit("method")))
             .when(pk.isin(*MEMBER_PARENTS) & F.col("raw_kind").isin("field", "property"), F.col("raw_kind")))
     d = d.withColumn("kind", kind).filter(F.col("kind").isNotNull())
-    d = d.join(closers, [*keys, "idx"], "left")
-    opens = F.col("term") == "{"
-    end_pos = F.when(opens, F.col("closer.end_pos")).otherwise(F.col("seg_start") + F.col("len"))
-    end_line = F.when(opens, F.col("closer.end_line")).otherwise(F.col("nl_before") + F.col("nl") + 1)
-    end_tt = F.when(opens, F.col("closer.end_tt")).otherwise(F.col("next_tt"))
+    # an initializer or expression body goes on to its semicolon
+    d = d.withColumn("end", F.when(F.col("term") != "{", end).when(F.col("is_expr") | F.col("assigned"), F.col("semicolon"))
+                             .otherwise(F.col("closer")))
     full_start = F.when(F.col("idx") == 0, F.lit(0)).otherwise(F.col("seg_start") + F.col("tt"))
     d = d.select(
         *keys, F.col("idx").alias("decl_id"), "kind", "name", "is_public",
         F.col("parent.idx").alias("parent_id"), pk.alias("parent_kind"), F.col("parent.name").alias("parent_name"),
-        (F.col("seg_start") + F.col("lead_ws")).alias("start_pos"), end_pos.alias("end_pos"),
-        full_start.alias("full_start"), (end_pos + end_tt).alias("full_end"),
+        F.col("parent.pos").alias("parent_pos"),
+        (F.col("seg_start") + F.col("lead_ws")).alias("start_pos"), F.col("end.pos").alias("end_pos"),
+        full_start.alias("full_start"), (F.col("end.pos") + F.col("end.tt")).alias("full_end"),
         (F.col("nl_before") + F.col("lead_nl") + 1).cast("int").alias("start_line"),
-        end_line.cast("int").alias("end_line"),
+        F.col("end.line").cast("int").alias("end_line"),
     )
     if not with_text:
         return d
@@ -222,11 +298,8 @@ def public_methods(decls: DataFrame, files: DataFrame, keys: Sequence[str]) -> D
     """Public methods declared directly in classes (nested classes are
     visited as classes of their own, outer class first); overloads repeat."""
     m = decls.filter((F.col("kind") == "method") & F.col("is_public") & (F.col("parent_kind") == "class"))
-    cls = decls.filter(F.col("kind") == "class").select(*keys, F.col("decl_id").alias("parent_id"),
-                                                       F.col("start_pos").alias("class_pos"))
-    m = m.join(cls, [*keys, "parent_id"])
     a = m.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("class_pos", "start_pos", "name"))),
+        F.transform(F.array_sort(F.collect_list(F.struct("parent_pos", "start_pos", "name"))),
                     lambda x: x["name"]).alias("public_methods"))
     return _per_file(files, keys, a, "public_methods", F.array().cast("array<string>"))
 
@@ -234,15 +307,11 @@ def public_methods(decls: DataFrame, files: DataFrame, keys: Sequence[str]) -> D
 def methods_around_lines(decls: DataFrame, changed: DataFrame, keys: Sequence[str],
                          lines_col: str = "changed_lines") -> DataFrame:
     """Methods (any type) whose line span holds at least one changed
-    line.  The range join is turned into an equi join on (file, line): each
-    method span is expanded to its lines, so the join has no residual and
-    partitions evenly."""
+    line: an equi join on the file with its array of changed lines."""
     keys = list(keys)
-    m = decls.filter(F.col("kind") == "method")
-    spans = m.select(*keys, "decl_id", F.explode(F.sequence("start_line", "end_line")).alias("line"))
-    lines = changed.select(*keys, F.explode(F.col(lines_col)).alias("line")).distinct()
-    hit = spans.join(lines, [*keys, "line"], "left_semi").select(*keys, "decl_id").distinct()
-    return m.join(hit, [*keys, "decl_id"], "left_semi")
+    lines = changed.select(*keys, F.col(lines_col).alias("_changed"))
+    return (decls.filter(F.col("kind") == "method").join(lines, keys)
+                 .filter(F.exists("_changed", lambda l: l.between(F.col("start_line"), F.col("end_line")))).drop("_changed"))
 
 
 def context_assembly(decls: DataFrame, files: DataFrame, methods: DataFrame, keys: Sequence[str]) -> DataFrame:

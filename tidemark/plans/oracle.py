@@ -11,6 +11,24 @@ from __future__ import annotations
 
 NL = "chr(10)"
 
+# lines 26+n .. 40+n of every 5th code file
+EXTRA = """#region Extra {
+        [Tag(typeof(int[])), Use(new[] {1})] public (int a, int b) Pair(int x = 1) { return (x, x); }
+#endregion
+        public static @ operator +(@ a, @ b) { return a; }
+        public delegate void Hook(int x);
+        public event System.Action Fired;
+        public string Name { get; set; } = "n{";
+        private int[] _seq = new[] { 1, 2 };
+#if DEBUG
+        public void Ghost() {
+#else
+        public void Real() {
+#endif
+            var t = $"{{ {(true ? "}" : "{")}"; var r = \"\"\" { " \"\"\"; }
+        public record struct Point(int X) { public int Twice() => X * 2; }
+"""
+
 # code file rendering: the same rule as tidemark.sources.corpus.code_template
 CODE_TEMPLATE = """(
   'using System;
@@ -41,7 +59,7 @@ namespace Corpus.' || source || '
 '), '') || '        }
 
         protected bool Check(string s) { return s == "}"; }
-    }
+' || CASE WHEN doc_id % 5 = 0 THEN replace('""" + EXTRA + """', '@', 'Doc' || CAST(doc_id AS VARCHAR)) ELSE '' END || '    }
 }
 ')"""
 
@@ -312,14 +330,15 @@ SQL["extract_code_block"] = f"SELECT conv_id, turn, {extract_code('answer')} AS
 CODE_BASE = f"""(SELECT {CODE_FILE_PATH} AS file_path, doc_id AS version, doc_id, source, lang, text,
    CAST(len(string_split(coalesce(text, ''), chr(10))) AS INTEGER) AS n,
    CASE WHEN doc_id % 11 = 0 THEN 'internal' ELSE 'public' END AS vis,
-   CASE WHEN doc_id % 11 = 0 THEN 'private' ELSE 'public' END AS ping
+   CASE WHEN doc_id % 11 = 0 THEN 'private' ELSE 'public' END AS ping,
+   CASE WHEN doc_id % 5 = 0 THEN 15 ELSE 0 END AS ex
  FROM documents)"""
 
 DECL_ROWS = [
     ("1", "'using'", "'System'", "false", "NULL", "1", "1"),
     ("2", "'using'", "'System.Collections.Generic'", "false", "NULL", "2", "2"),
-    ("3", "'namespace'", "'Corpus.' || source", "false", "NULL", "4", "27 + n"),
-    ("4", "'class'", "'Doc' || CAST(doc_id AS VARCHAR)", "true", "'namespace'", "7", "26 + n"),
+    ("3", "'namespace'", "'Corpus.' || source", "false", "NULL", "4", "27 + n + ex"),
+    ("4", "'class'", "'Doc' || CAST(doc_id AS VARCHAR)", "true", "'namespace'", "7", "26 + n + ex"),
     ("5", "'field'", "'_log'", "false", "'class'", "9", "9"),
     ("6", "'field'", "'_size'", "false", "'class'", "10", "10"),
     ("7", "CASE WHEN doc_id % 13 = 0 THEN 'interface' ELSE 'struct' END",
@@ -334,12 +353,20 @@ DECL_ROWS = [
     ("14", "'method'", "'Load'", "false", "'class'", "21", "23 + n"),
     ("15", "'method'", "'Check'", "false", "'class'", "25 + n", "25 + n"),
 ]
+EXTRA_ROWS = [
+    ("16", "'method'", "'Pair'", "true", "'class'", "27 + n", "27 + n"),
+    ("17", "'property'", "'Name'", "true", "'class'", "32 + n", "32 + n"),
+    ("18", "'field'", "'_seq'", "false", "'class'", "33 + n", "33 + n"),
+    ("19", "'method'", "'Real'", "true", "'class'", "37 + n", "39 + n"),
+    ("20", "'record'", "'Point'", "true", "'class'", "40 + n", "40 + n"),
+    ("21", "'method'", "'Twice'", "true", "'record'", "40 + n", "40 + n"),
+]
 
 SQL["declaration_index"] = "\nUNION ALL\n".join(
     f"SELECT file_path, version, CAST({no} AS INTEGER) AS decl_no, {kind} AS kind, {name} AS name, "
     f"{pub} AS is_public, CAST({pk} AS VARCHAR) AS parent_kind, CAST({sl} AS INTEGER) AS start_line, "
-    f"CAST({el} AS INTEGER) AS end_line FROM {CODE_BASE}"
-    for no, kind, name, pub, pk, sl, el in DECL_ROWS)
+    f"CAST({el} AS INTEGER) AS end_line FROM {CODE_BASE} WHERE {where}"
+    for where, rows in (("true", DECL_ROWS), ("ex > 0", EXTRA_ROWS)) for no, kind, name, pub, pk, sl, el in rows)
 
 LOAD_BODY = """array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)),
         lambda l: '            _log.Add("' || replace(replace(l, '\\', '\\\\'), '"', '\\"') || '");
@@ -367,15 +394,27 @@ SQL["tests_for_method"] = f"""SELECT file_path, version, {LANG_TEXT} || '
 ' || {LOAD_TEXT} || '
 ' AS tests FROM {CODE_BASE}"""
 SQL["public_methods"] = f"""SELECT file_path, version,
-  CASE WHEN doc_id % 11 = 0 THEN CAST([] AS VARCHAR[]) ELSE ['Size', 'Lang', 'Ping'] END AS public_methods
+  CAST(CASE WHEN doc_id % 11 = 0 THEN [] ELSE ['Size', 'Lang'] END || CASE WHEN ex > 0 THEN ['Pair', 'Real'] ELSE [] END
+    || CASE WHEN doc_id % 11 = 0 THEN [] ELSE ['Ping'] END AS VARCHAR[]) AS public_methods
 FROM {CODE_BASE}"""
 
+
+
+def extra_lines(first: int, end: int) -> str:
+    return "'" + "".join(EXTRA.splitlines(keepends=True)[first:end]) + "'"
+
+
+SEQ_TEXT = f"CASE WHEN doc_id % 5 = 0 THEN {extra_lines(7, 8)} || chr(10) ELSE '' END"
+
 METHOD_SPANS = f"""[{{'name': 'Area', 's': 11, 'e': 11, 'txt': {AREA_TEXT}}},
   {{'name': 'Ping', 's': 12, 'e': 12, 'txt': {PING_TEXT}}},
   {{'name': 'Size', 's': 16, 'e': 16, 'txt': {SIZE_TEXT}}},
   {{'name': 'Lang', 's': 18, 'e': 19, 'txt': {LANG_TEXT}}},
   {{'name': 'Load', 's': 21, 'e': 23 + n, 'txt': {LOAD_TEXT}}},
-  {{'name': 'Check', 's': 25 + n, 'e': 25 + n, 'txt': {CHECK_TEXT}}}]"""
+  {{'name': 'Check', 's': 25 + n, 'e': 25 + n, 'txt': {CHECK_TEXT}}}] || CASE WHEN doc_id % 5 = 0 THEN [
+  {{'name': 'Pair', 's': 27 + n, 'e': 27 + n, 'txt': {extra_lines(0, 2)}}},
+  {{'name': 'Real', 's': 37 + n, 'e': 39 + n, 'txt': {extra_lines(8, 14)}}},
+  {{'name': 'Twice', 's': 40 + n, 'e': 40 + n, 'txt': 'public int Twice() => X * 2; '}}] ELSE [] END"""
 
 AFFECTED = f"""(SELECT file_path, version, doc_id, n, lang, vis, ping, text,
    list_filter({METHOD_SPANS}, lambda m: len(list_filter(ch, lambda l: l BETWEEN m.s AND m.e)) > 0) AS hits
@@ -399,7 +438,7 @@ public class Doc' || CAST(doc_id AS VARCHAR) || ' {{
 
         private int _size = ' || CAST(d.n_chars AS VARCHAR) || ';
 
-
+' || {SEQ_TEXT} || '
         public Doc' || CAST(doc_id AS VARCHAR) || '(int size) {{ _size = size; }}
 
 ' || array_to_string(list_transform(hits, lambda m: m.txt || chr(10)), '') || '// END CLASS
@@ -498,7 +537,7 @@ public class Doc' || CAST(doc_id AS VARCHAR) || ' {
 
         private int _size = ' || CAST(n_chars AS VARCHAR) || ';
 
-
+' || """ + SEQ_TEXT + """ || '
         public Doc' || CAST(doc_id AS VARCHAR) || '(int size) { _size = size; }
 
 ' || array_to_string(list_transform(hits, lambda m: m.txt || chr(10)), '') || '// END CLASS
@@ -519,7 +558,7 @@ def routing_sql(base: str, prompt_user: bool, staging: bool) -> str:
 WITH b AS {base},
 x AS (SELECT b.*, CASE WHEN {not_blank('new_content')} THEN new_content END AS source,
         lower({BASENAME.format('file_path')}) IN {SKIP_LOWER} AS skipped,
-        {ext} AS ext, CASE WHEN doc_id % 11 = 0 THEN 0 ELSE 3 END AS n_public,
+        {ext} AS ext, CASE WHEN doc_id % 11 = 0 THEN 0 ELSE 3 END + CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 0 END AS n_public,
         {changed_lines('old_content', 'new_content')} AS ch,
         {test_path('file_path', "'src'", "'tests'")} AS test_path
       FROM b),

@@ -4,8 +4,12 @@ Each document becomes one C# file.  Every line of the document text becomes
 one statement ``_log.Add("...");`` inside ``Load()``, so the whole text is
 carried, string literals hold quotes, and the file size grows with the text.
 Variants by ``doc_id``: every 13th file declares a nested interface, every
-11th file has no public method.  ``tidemark.plans.oracle`` renders the same
-text in SQL.
+11th file has no public method among the plain ones, every 5th file ends its
+class with 15 lines of less common syntax (``EXTRA``: directives with and
+without compiled branches, attributes with brackets and braces, tuples, an
+operator, a delegate, an event, initializers, an interpolated and a raw
+string, a record struct).  ``tidemark.plans.oracle`` renders the same text in
+SQL.
 
 Line layout (n = number of text lines)::
 
@@ -26,6 +30,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Lines 26+n .. 40+n of every 5th file; ``@`` stands for the class's name.
+EXTRA = """\
+#region Extra {
+        [Tag(typeof(int[])), Use(new[] {1})] public (int a, int b) Pair(int x = 1) { return (x, x); }
+#endregion
+        public static @ operator +(@ a, @ b) { return a; }
+        public delegate void Hook(int x);
+        public event System.Action Fired;
+        public string Name { get; set; } = "n{";
+        private int[] _seq = new[] { 1, 2 };
+#if DEBUG
+        public void Ghost() {
+#else
+        public void Real() {
+#endif
+            var t = $"{{ {(true ? "}" : "{")}"; var r = \"\"\" { " \"\"\"; }
+        public record struct Point(int X) { public int Twice() => X * 2; }
+"""
+
+
 def escape_literal(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
 
@@ -56,5 +80,6 @@ def code_template(doc_id: Column, source: Column, lang: Column, n_chars: Column,
         body,
         F.lit("        }\n\n"),
         F.lit('        protected bool Check(string s) { return s == "}"; }\n'),
+        F.when(F.pmod(doc_id, F.lit(5)) == 0, F.replace(F.lit(EXTRA), F.lit("@"), F.concat(F.lit("Doc"), did))).otherwise(F.lit("")),
         F.lit("    }\n}\n"),
     )
