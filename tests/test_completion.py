@@ -21,9 +21,10 @@ def test_parse_completion_vectors(spark):
         ("ollama", 200, '{"response":"answer two"}'),
         ("ollama", 200, '{"response":""}'),
         ("azure", 200, '{"content":[{"type":"text","text":"hi"}]}'),
+        ("azure", 503, "{}"),
     ])
     assert got == [("answer one", None), ("", None), ("", None), ("", None),
-                   (None, "missing property: choices"), ("answer two", None), ("", None), ("hi", None)]
+                   (None, "missing property: choices"), ("answer two", None), ("", None), ("hi", None), (None, "chat request failed with status 503")]
 
 
 def test_prompt_text(spark):
@@ -63,3 +64,16 @@ def test_replay_join(spark):
                                 "request_id string, provider string, http_status int, body string")
     got = {r.request_id: (r.generated is None, r.code) for r in CP.replay_completions(req, rep).collect()}
     assert got == {"1": (False, "T"), "9": (True, "")}
+    errors = {r.request_id: r.completion_error for r in CP.replay_completions(req, rep).collect()}
+    assert errors == {"1": None, "9": CP.NO_COMPLETION}
+
+
+def test_client_that_returns_too_few_answers(spark):
+    class Short:
+        def complete(self, prompts):
+            return [p.upper() for p in prompts if p != "none"]
+
+    rows = [(str(i), "none" if i == 5 else f"p{i}") for i in range(40)]
+    out = {r.request_id: r for r in CP.complete_with_client(spark.createDataFrame(rows, "request_id string, prompt string").coalesce(1), Short).collect()}
+    assert "0 answers for 1 prompts" in out["5"].completion_error
+    assert all(out[i].generated == p.upper() and out[i].completion_error is None for i, p in rows if i != "5")

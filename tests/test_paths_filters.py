@@ -52,14 +52,14 @@ def test_branch_name(spark):
 def test_skip_list(spark):
     files = spark.createDataFrame([("Program.cs",), ("PROGRAM.cs",), ("C:\\Project\\Program.cs",), ("MyClass.cs",)],
                                   "file_path string")
-    kept = FL.drop_skipped(files, skip_list(spark), skip_size=len(SKIP_FILES)).collect()
+    kept = FL.drop_skipped(files, skip_list(spark)).collect()
     assert [r[0] for r in kept] == ["MyClass.cs"]
 
 
 def test_changed_source_files(spark):
     files = spark.createDataFrame([("src/SomeFile.cs",), ("src/SomeFile.txt",), ("  ",), ("tests/aTests.cs",),
                                    ("src/latests/a.cs",), ("src/Program.cs",), ("src/B.CS",)], "file_path string")
-    got = FL.changed_source_files(files, skip_list(spark), ".cs", "tests", skip_size=5).collect()
+    got = FL.changed_source_files(files, skip_list(spark), ".cs", "tests").collect()
     assert sorted(r[0] for r in got) == ["src/B.CS", "src/SomeFile.cs"]
 
 

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.operators import routing as R
+from tidemark.session import scratch_path
 from tidemark.sources.tables import skip_list
 
 CLASS_ONE = "public class Calc\n{\n    public int Add(int a, int b) { return a + b; }\n}\n"
@@ -69,3 +70,24 @@ def test_ledger_upsert_and_manifest(spark):
     res = spark.createDataFrame([("t1", 1, "old"), ("t1", 2, "new"), ("t2", 1, "z")], "test_path string, v int, code string")
     got = {r.test_path: r.code for r in R.upsert_results(res, ["v"]).collect()}
     assert got == {"t1": "new", "t2": "z"}
+
+
+def test_upsert_keeps_earlier_results_and_is_replay_safe(spark):
+    path = scratch_path(spark, "t-results")
+    batch = lambda *rows: spark.createDataFrame(rows, "test_path string, v int, code string")
+    state = lambda: sorted((r.test_path, r.v, r.code) for r in R.current_results(spark, path).collect())
+    assert R.current_results(spark, path) is None
+    write = R.upsert_writer(path, ["v"])
+    write(batch(("t1", 1, "a"), ("t2", 1, "b")), 0)
+    write(batch(("t3", 1, "c"), ("t1", 2, "d")), 1)
+    want = [("t1", 2, "d"), ("t2", 1, "b"), ("t3", 1, "c")]
+    assert state() == want
+    write(batch(("t3", 1, "c"), ("t1", 2, "d")), 1)          # the batch again after a failure
+    write(batch(("t1", 1, "late")), 2)                       # an older row does not win
+    assert state() == want
+
+
+def test_unbalanced_source_and_unanswered_request(spark):
+    got = route(spark, [("src/A.cs", "", CLASS_ONE + "{", "", "ok"), ("src/B.cs", "", CLASS_ONE, "", "never asked")])
+    assert (got["src/A.cs"].status, got["src/A.cs"].error) == ("error", "source has unbalanced braces")
+    assert (got["src/B.cs"].status, got["src/B.cs"].error) == ("error", "no completion")

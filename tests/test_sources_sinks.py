@@ -1,6 +1,7 @@
+import pytest
 from pyspark.sql import functions as F
 
-from tidemark.session import scratch_path
+from tidemark.session import scratch_path, shared_dir
 from tidemark.sources import files as SF
 from tidemark.streaming.operators import quarantine_writer
 
@@ -16,10 +17,29 @@ def test_whole_file_scan_round_trip(spark):
 
 def test_quarantine_writer_is_replay_safe(spark):
     base = scratch_path(spark, "t-quarantine")
-    write = quarantine_writer(f"{base}/ok", f"{base}/bad")
+    write = quarantine_writer(f"{base}/files")
     batch = spark.createDataFrame([("a.cs", None), ("b.txt", "no parser")], "file_path string, error string")
     write(batch, 0)
     write(batch, 0)          # the same epoch replayed after a failure
     write(batch.filter(F.col("error").isNull()), 1)
-    assert spark.read.parquet(f"{base}/bad").count() == 1
-    assert sorted(r.epoch_id for r in spark.read.parquet(f"{base}/ok").collect()) == [0, 1]
+    out = spark.read.parquet(f"{base}/files")
+    assert sorted((r.epoch_id, r.file_path, r.failed) for r in out.collect()) == [(0, "a.cs", "false"), (0, "b.txt", "true"), (1, "a.cs", "false")]
+
+
+def test_byte_order_mark_is_no_content(spark):
+    df = spark.createDataFrame([("\ufeffusing A;",), ("x\ufeff",)], "v string")
+    assert [r[0] for r in df.select(SF.without_bom("v")).collect()] == ["using A;", "x\ufeff"]
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(lambda: type("C", (), {"get": staticmethod(lambda k, d=None: d)}))
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = type("C", (), {"get": staticmethod(lambda k, d=None: d)})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Session)

@@ -1,44 +1,102 @@
+import random
+
 from pyspark.sql import functions as F
 
+from tidemark.operators import versions as V
 from tidemark.session import scratch_path
 from tidemark.streaming import operators as ST
 from tidemark.streaming import runner as RUN
 
+EVENT = "path string, s double, event_id long, event_type string"
+
+
+def events(spark, rows):
+    return spark.createDataFrame(rows, EVENT).select("path", F.timestamp_seconds("s").alias("ts"), "event_id", "event_type")
+
+
+def dirs(spark, name):
+    base = scratch_path(spark, name)
+    return f"{base}/log", f"{base}/sink", f"{base}/ckpt"
+
 
-def test_debounce_stream_matches_batch_rule(spark):
-    base = scratch_path(spark, "t-debounce")
-    log, sink, ckpt = f"{base}/log", f"{base}/sink", f"{base}/ckpt"
-    ev = spark.createDataFrame([("p", s, i, "change") for i, s in enumerate([0.0, 0.5, 1.5, 4.0])],
-                               "path string, s double, event_id long, event_type string") \
-        .select("path", F.timestamp_seconds("s").alias("ts"), "event_id", "event_type")
-    RUN.stage(ev, log)
-    out = ST.debounce_stream(RUN.read_log(spark, log, ev.schema), "path", "ts", 1)
-    RUN.to_parquet_sink(out, sink, ckpt)
-    for i, s in enumerate([1000.0, 2000.0]):
-        sentinel = spark.createDataFrame([("z", s, 100 + i, "change")],
-                                         "path string, s double, event_id long, event_type string") \
-            .select("path", F.timestamp_seconds("s").alias("ts"), "event_id", "event_type")
-        RUN.stage(sentinel, log)
+def close(spark, log, out, sink, ckpt):
+    for i, s in enumerate([1e6, 2e6]):
+        RUN.stage(events(spark, [("z", s, 900 + i, "change")]), log)
         RUN.to_parquet_sink(out, sink, ckpt)
-    got = sorted(r.event_id for r in spark.read.parquet(sink).filter("path = 'p'").collect())
-    assert got == [2, 3]          # fires after 1.5 s and 4 s
-
-
-def test_previous_version_and_cursor_state(spark):
-    base = scratch_path(spark, "t-state")
-    v = spark.createDataFrame([("p", 2, "v2"), ("p", 1, "v1"), ("p", 3, "v3")],
-                              "path string, version long, content string")
-    RUN.stage(v, f"{base}/log")
-    RUN.to_parquet_sink(ST.previous_version_stream(RUN.read_log(spark, f"{base}/log", v.schema)),
-                        f"{base}/sink", f"{base}/ckpt")
-    got = sorted((r.version, r.old_content) for r in spark.read.parquet(f"{base}/sink").collect())
-    assert got == [(1, ""), (2, "v1"), (3, "v2")]
-
-    polls = spark.createDataFrame([("r", i, i, 1, s) for i, s in enumerate(["A", "B", "A", "A"])],
-                                  "repo string, t long, poll_order long, poll_line int, sha string") \
-        .withColumn("poll_ts", F.timestamp_seconds("t")).drop("t")
-    RUN.stage(polls, f"{base}/plog")
-    RUN.to_parquet_sink(ST.commit_cursor_stream(RUN.read_log(spark, f"{base}/plog", polls.schema)),
-                        f"{base}/psink", f"{base}/pckpt")
-    got = [r.sha for r in spark.read.parquet(f"{base}/psink").orderBy("poll_order").collect()]
-    assert got == ["A", "B", "A"]
+
+
+def test_debounce_over_batches_with_late_events_equals_the_batch_form(spark):
+    log, sink, ckpt = dirs(spark, "t-debounce")
+    rnd = random.Random(2)
+    rows = [(rnd.choice("pqr"), float(s), i, "change") for i, s in enumerate(rnd.sample(range(300), 60))]    # in no order
+    for i in range(0, 60, 12):                                    # five micro-batches
+        RUN.stage(events(spark, rows[i:i + 12]).coalesce(1), log)
+        out = ST.debounce_stream(RUN.read_log(spark, log, events(spark, rows).schema), "path", "ts", 3, 300)
+        RUN.to_parquet_sink(out, sink, ckpt)
+    close(spark, log, out, sink, ckpt)
+    got = sorted(r.event_id for r in spark.read.parquet(sink).filter("path <> 'z'").collect())
+    want = sorted(r.event_id for r in V.debounce(events(spark, rows), "path", "ts", 3, tiebreak=["event_id"]).collect())
+    assert got == want and len(got) > 20
+
+
+def test_events_beyond_the_lateness_are_kept_apart(spark):
+    base = scratch_path(spark, "t-late")
+    write = ST.late_events_writer(base, "ts", 10)
+    write(events(spark, [("p", 100.0, 1, "change"), ("p", 50.0, 2, "change")]), 0)
+    for _ in range(2):                                            # the second time is a replay
+        write(events(spark, [("p", 85.0, 3, "change"), ("p", 95.0, 4, "change"), ("p", 200.0, 5, "change")]), 1)
+    write(events(spark, [("p", 120.0, 6, "change")]), 2)
+    assert sorted(r.event_id for r in spark.read.parquet(f"{base}/late").collect()) == [3, 6]
+
+
+def test_stop_and_resume_keeps_open_sessions(spark):
+    log, sink, ckpt = dirs(spark, "t-resume")
+    RUN.stage(events(spark, [("p", 0.0, 1, "change"), ("p", 2.0, 2, "change")]), log)
+    schema = events(spark, []).schema
+    start = lambda: RUN.run_to_end(ST.debounce_stream(RUN.read_log(spark, log, schema), "path", "ts", 3, 5)
+                                   .writeStream.format("parquet").option("path", sink).outputMode("append"), ckpt, available_now=False)
+    q = start()
+    q.processAllAvailable()
+    q.stop()                                                      # the session of p is open
+    assert not q.isActive and q.exception() is None
+    RUN.stage(events(spark, [("p", 4.0, 3, "change")]), log)
+    q = start()
+    q.processAllAvailable()
+    for i, s in enumerate([1e6, 2e6]):
+        RUN.stage(events(spark, [("z", s, 900 + i, "change")]), log)
+        q.processAllAvailable()
+    q.stop()
+    assert [r.event_id for r in spark.read.parquet(sink).filter("path = 'p'").collect()] == [3]
+
+
+def run_batches(spark, name, frame, writer, parts):
+    log, sink, ckpt = dirs(spark, name)
+    for p in parts:
+        RUN.stage(frame(p).coalesce(1), log)
+        RUN.run_to_end(RUN.read_log(spark, log, frame(p).schema).writeStream.foreachBatch(writer(sink, f"{sink}-state")), ckpt)
+    return spark.read.parquet(sink)
+
+
+def test_previous_version_over_batches(spark):
+    rows = [("hot" if i % 3 else f"p{i % 7}" if i % 5 else None, i, f"text {i}") for i in range(200)]
+    frame = lambda r: spark.createDataFrame(r, "path string, version long, content string")
+    got = run_batches(spark, "t-prev", frame, ST.previous_version_writer, [rows[i:i + 50] for i in range(0, 200, 50)])
+    want = V.previous_version(frame(rows)).select("path", "version", "old_content").collect()
+    assert sorted((str(r.path), r.version, r.old_content) for r in got.collect()) == sorted((str(r.path), r.version, r.old_content) for r in want)
+    assert sum(r.old_content == "" for r in want) == len({r[0] for r in rows})
+
+
+def test_commit_cursor_over_batches_with_null_heads(spark):
+    rnd = random.Random(1)
+    rows = [(rnd.choice(["r", "r", "q", None]), i, i, 1, rnd.choice(["A", "A", "B", None])) for i in range(160)]
+    frame = lambda r: spark.createDataFrame(r, "repo string, t long, poll_order long, poll_line int, sha string") \
+        .select("repo", F.timestamp_seconds("t").cast("timestamp_ntz").alias("poll_ts"), "poll_order", "poll_line", "sha")
+    got = run_batches(spark, "t-cursor", frame, ST.commit_cursor_writer, [rows[i:i + 40] for i in range(0, 160, 40)])
+    want = V.commit_cursor(frame(rows), ["repo"], "poll_ts", tiebreak=["poll_order", "poll_line"])
+    key = lambda df: sorted((str(r.repo), r.poll_order, r.sha) for r in df.collect())
+    assert key(got) == key(want) and all(r.sha for r in got.collect())
+
+
+def test_source_events(spark):
+    e = events(spark, [("a.cs", 1.0, 1, "change"), ("b.CS", 1.0, 2, "rename"), ("c.cs", 1.0, 3, "delete"), ("d.txt", 1.0, 4, "change")])
+    assert sorted(r.event_id for r in ST.source_events(e, ".cs").collect()) == [1, 2]

@@ -40,8 +40,8 @@ def test_neighbour_plan_matches_plain_window(spark):
     want = {r.t: (r.p, r.n) for r in df.select("t", F.lag("v").over(w).alias("p"),
                                                F.lead("v").over(w).alias("n")).collect()}
     for width in (1, 3, 17, 1000):
-        p = with_neighbour(df, ["k"], "o", ["v"], tiebreak=["t"], bucket_width=width)
-        n = with_neighbour(p, ["k"], "o", ["v"], tiebreak=["t"], direction="next", bucket_width=width)
+        p = with_neighbour(df, ["k"], "o", ["v"], tiebreak=["t"], buckets=width)
+        n = with_neighbour(p, ["k"], "o", ["v"], tiebreak=["t"], direction="next", buckets=width)
         got = {r.t: (r.prev_v, r.next_v) for r in n.collect()}
         assert got == want, width
 

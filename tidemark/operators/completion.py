@@ -27,6 +27,8 @@ MODEL = "your-model"
 MAX_TOKENS = 1500
 TEMPERATURE = 0.2
 PROVIDERS = ("openai", "ollama", "azure")
+NO_COMPLETION = "no completion"
+CLIENT_BATCH = 16                # prompts per client call; a failure re-sends one call's prompts at most
 
 
 def build_prompt(method_code, existing_tests, sample=None, base: str = DEFAULT_PROMPT) -> Column:
@@ -67,7 +69,8 @@ def _has_key(json_col: Column, key: str) -> Column:
 
 
 def parse_completion(provider, http_status, body) -> tuple[Column, Column]:
-    """X3 + X4: (generated text, error).  A non-success status gives ''.
+    """X3 + X4: (generated text, error).  A non-success status gives '' for the
+    completion providers; the chat provider's call raises, so it is an error.
     OpenAI: ``choices[0].text``, an empty array gives ''; Ollama:
     ``response``; chat: the first content part's text.  A missing property
     is an error; a JSON null text gives ''."""
@@ -84,9 +87,10 @@ def parse_completion(provider, http_status, body) -> tuple[Column, Column]:
     ollama_txt = F.coalesce(F.get_json_object(b, "$.response"), F.lit(""))
     chat_err = F.when(~_has_key(first_part, "text"), F.lit("missing property: content[0].text"))
     chat_txt = F.coalesce(F.get_json_object(b, "$.content[0].text"), F.lit(""))
-    err = F.when(~ok, F.lit(None).cast("string")) \
+    err = F.when(~ok & (p == "azure"), F.concat(F.lit("chat request failed with status "), col(http_status).cast("string"))) \
+           .when(~ok, F.lit(None).cast("string")) \
            .when(p == "ollama", ollama_err).when(p == "azure", chat_err).otherwise(openai_err)
-    txt = F.when(~ok, F.lit("")).when(err.isNotNull(), F.lit(None).cast("string")) \
+    txt = F.when(err.isNotNull(), F.lit(None).cast("string")).when(~ok, F.lit("")) \
            .when(p == "ollama", ollama_txt).when(p == "azure", chat_txt).otherwise(openai_txt)
     return txt, err
 
@@ -94,12 +98,13 @@ def parse_completion(provider, http_status, body) -> tuple[Column, Column]:
 def replay_completions(requests: DataFrame, replay: DataFrame, id_col: str = "request_id") -> DataFrame:
     """Left join requests to a replay table of recorded answers; adds
     ``generated`` (raw text), ``completion_error`` and ``code`` (X1 + X2).
-    A request with no recorded answer gets a null ``generated``."""
+    A request with no recorded answer gets a null ``generated`` and the error
+    ``no completion``: no answer is not a blank answer."""
     j = requests.join(replay, id_col, "left")
     txt, err = parse_completion(F.col("provider"), F.col("http_status"), F.col("body"))
     answered = F.col("body").isNotNull()
     return (j.withColumn("generated", F.when(answered, txt))
-             .withColumn("completion_error", F.when(answered, err))
+             .withColumn("completion_error", F.when(answered, err).otherwise(F.lit(NO_COMPLETION)))
              .withColumn("code", extract_code_block(F.col("generated")))
              .drop("provider", "http_status", "body"))
 
@@ -107,28 +112,29 @@ def replay_completions(requests: DataFrame, replay: DataFrame, id_col: str = "re
 def complete_with_client(requests: DataFrame, client_factory: Callable[[], object],
                          prompt_col: str = "prompt") -> DataFrame:
     """Call an external completion client.  ``client_factory()`` runs
-    once per partition (inside the task); ``client.complete(prompts)`` gets
-    a list of prompts per Arrow batch and returns answers in order.  When a
-    batch call fails the prompts are retried one by one, so only the failing
-    rows get a ``completion_error``."""
+    once per partition (inside the task); ``client.complete(prompts)`` gets a
+    list of at most ``CLIENT_BATCH`` prompts and returns answers in order.
+    When a call fails, or returns another number of answers, its prompts are
+    sent one by one, so only the failing rows get a ``completion_error``."""
     out_schema = T.StructType([*requests.schema.fields, T.StructField("generated", T.StringType()),
                                T.StructField("completion_error", T.StringType())])
 
+    def ask(client, prompts: list[str]) -> list[tuple]:
+        try:
+            answers = list(client.complete(prompts))
+            if len(answers) != len(prompts):
+                raise ValueError(f"{len(answers)} answers for {len(prompts)} prompts")
+            return [(a, None) for a in answers]
+        except Exception as e:  # noqa: BLE001 - isolate the failing rows
+            if len(prompts) == 1:
+                return [(None, f"{type(e).__name__}: {e}")]
+            return [r for p in prompts for r in ask(client, [p])]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = client_factory()
         for pdf in batches:
             prompts = pdf[prompt_col].fillna("").tolist()
-            try:
-                answers, errors = list(client.complete(prompts)), [None] * len(prompts)
-            except Exception:  # noqa: BLE001 - retry one by one to isolate the failing rows
-                answers, errors = [], []
-                for p in prompts:
-                    try:
-                        answers.append(list(client.complete([p]))[0])
-                        errors.append(None)
-                    except Exception as e:  # noqa: BLE001
-                        answers.append(None)
-                        errors.append(f"{type(e).__name__}: {e}")
-            yield pdf.assign(generated=answers, completion_error=errors)
+            got = [r for i in range(0, len(prompts), CLIENT_BATCH) for r in ask(client, prompts[i:i + CLIENT_BATCH])]
+            yield pdf.assign(generated=[a for a, _ in got], completion_error=[e for _, e in got])
 
     return requests.mapInPandas(run, out_schema).withColumn("code", extract_code_block(F.col("generated")))

@@ -76,7 +76,7 @@ def braces_balance(content) -> Column:
     """Whether a text has as many ``{`` as ``}`` outside literals and comments."""
     c = F.col(content) if isinstance(content, str) else content
     toks = F.regexp_extract_all(compiled_text(F.coalesce(c, F.lit(""))), F.lit(_LIT + "|[{}]"), 0)
-    return F.size(F.filter(toks, lambda t: t == "{")) == F.size(F.filter(toks, lambda t: t == "}"))
+    return F.aggregate(toks, F.lit(0), lambda s, t: s + F.when(t == "{", 1).when(t == "}", -1).otherwise(0)) == 0
 
 
 def compiled_text(c: Column) -> Column:
@@ -85,10 +85,9 @@ def compiled_text(c: Column) -> Column:
     not; ``&&`` and ``||`` combine them).  Only the few directive lines are
     folded into a state: one letter per open block, ``a`` (this branch
     compiles), ``w`` (none yet), ``d`` (an earlier one did)."""
-    lines = F.split(c, "\n", -1)
-    d = F.filter(F.transform(lines, lambda l, i: F.struct(i.alias("i"), F.regexp_extract(l, r"^\s*#\s*(if|elif|else|endif)\b", 1).alias("d"),
+    d = lambda lines: F.filter(F.transform(lines, lambda l, i: F.struct(i.alias("i"), F.regexp_extract(l, r"^\s*#\s*(if|elif|else|endif)\b", 1).alias("d"),
                                                           F.regexp_extract(l, r"^\s*#\s*(?:if|elif)\b([^/]*)", 1).alias("c"))),
-                 lambda x: x["d"] != "")
+                               lambda x: x["d"] != "")
     holds = lambda e: F.exists(F.split(e, r"\|\|"), lambda o: F.forall(F.split(o, "&&"), lambda t: F.trim(t).rlike(r"^\(*\s*(?:!\s*\(?\s*\w+|true)\s*\)*\s*$")))
 
     def step(s, x):
@@ -102,10 +101,15 @@ def compiled_text(c: Column) -> Column:
         return F.struct(now.alias("open"), F.concat(s["marks"], F.array(F.struct(x["i"].alias("i"), (~now.rlike("[wd]")).alias("on")))).alias("marks"))
 
     start = F.struct(F.lit("").alias("open"), F.array().cast("array<struct<i:int,on:boolean>>").alias("marks"))
-    marks = F.aggregate(d, start, step, lambda s: s["marks"])
-    on = lambda i: F.coalesce(F.try_element_at(F.filter(marks, lambda m: m["i"] <= i), F.lit(-1))["on"], F.lit(True))
-    text = F.array_join(F.transform(lines, lambda l, i: F.when(on(i) | l.rlike(r"^\s*#"), l).otherwise(F.regexp_replace(l, ".", " "))), "\n")
-    return F.when(c.contains("#if"), text).otherwise(c)
+
+    def blanked(x):
+        on = lambda i: F.coalesce(F.try_element_at(F.filter(x["marks"], lambda m: m["i"] <= i), F.lit(-1))["on"], F.lit(True))
+        return F.transform(x["lines"], lambda l, i: F.when(on(i) | l.rlike(r"^\s*#"), l).otherwise(F.regexp_replace(l, ".", " ")))
+
+    # arrays of one element bind the lines, then the marks, so that each is worked out once
+    bound = F.transform(F.array(F.split(c, "\n", -1)),
+                        lambda lines: F.struct(lines.alias("lines"), F.aggregate(d(lines), start, step, lambda s: s["marks"]).alias("marks")))
+    return F.when(c.contains("#if"), F.array_join(F.transform(bound, blanked)[0], "\n")).otherwise(c)
 
 
 def _nl(c: Column) -> Column:
@@ -314,30 +318,31 @@ def methods_around_lines(decls: DataFrame, changed: DataFrame, keys: Sequence[st
                  .filter(F.exists("_changed", lambda l: l.between(F.col("start_line"), F.col("end_line")))).drop("_changed"))
 
 
-def context_assembly(decls: DataFrame, files: DataFrame, methods: DataFrame, keys: Sequence[str]) -> DataFrame:
+def context_assembly(decls: DataFrame, files: DataFrame, methods: DataFrame, keys: Sequence[str],
+                     content: str = "content") -> DataFrame:
     """Usings; blank line; ``// BEGIN CLASS {name}``; with a first class:
     ``public class {name} {``, its fields and constructors (nested ones
     included), the given methods, ``// END CLASS``, ``}``.  With no class
     the methods are dropped.
 
-    All parts of a file are gathered by one grouped pass (tagged rows, one
-    ``collect_list``), so the assembly costs one shuffle, not one per part."""
+    Declarations travel as positions; all parts of a file are gathered by one
+    grouped pass, and the texts are cut from the file in one join at the end."""
     keys = list(keys)
     first = decls.filter(F.col("kind") == "class").groupBy(*keys).agg(
         F.min_by(F.struct("name", "start_pos", "end_pos"), F.col("start_pos")).alias("cls"))
+    own = [F.col("kind").alias("part"), "start_pos", "full_start", "full_end"]
     inner = (decls.filter(F.col("kind").isin("field", "constructor")).join(first, keys)
-             .filter((F.col("start_pos") >= F.col("cls.start_pos")) & (F.col("end_pos") <= F.col("cls.end_pos")))
-             .select(*keys, F.col("kind").alias("part"), "start_pos", "full_text"))
-    usings = decls.filter(F.col("kind") == "using").select(*keys, F.lit("using").alias("part"), "start_pos", "full_text")
-    meth = methods.select(*keys, F.lit("method").alias("part"), "start_pos", "full_text")
-    parts = (usings.unionByName(inner).unionByName(meth).groupBy(*keys)
-             .agg(F.array_sort(F.collect_list(F.struct("start_pos", "part", "full_text"))).alias("p")))
+             .filter((F.col("start_pos") >= F.col("cls.start_pos")) & (F.col("end_pos") <= F.col("cls.end_pos"))).select(*keys, *own))
+    rest = decls.filter(F.col("kind") == "using").unionByName(methods).select(*keys, *own)
+    parts = (rest.unionByName(inner).groupBy(*keys)
+             .agg(F.array_sort(F.collect_list(F.struct("start_pos", "part", "full_start", "full_end"))).alias("p")))
 
     def cat(part: str) -> Column:
         chosen = F.filter(F.coalesce(F.col("p"), F.array()), lambda x: x["part"] == part)
-        return F.array_join(F.transform(chosen, lambda x: F.concat(x["full_text"], F.lit("\n"))), "")
+        return F.array_join(F.transform(chosen, lambda x: F.concat(
+            F.substring("_text", x["full_start"].cast("int") + 1, (x["full_end"] - x["full_start"]).cast("int")), F.lit("\n"))), "")
 
-    out = files.select(*keys).join(parts, keys, "left").join(first, keys, "left")
+    out = files.select(*keys, F.col(content).alias("_text")).join(parts, keys, "left").join(first, keys, "left")
     cls_part = F.when(F.col("cls").isNotNull(), F.concat(
         F.lit("public class "), F.col("cls.name"), F.lit(" {\n"), cat("field"), cat("constructor"), cat("method"),
         F.lit("// END CLASS\n}\n"))).otherwise(F.lit(""))

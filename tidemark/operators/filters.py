@@ -7,24 +7,16 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import basename, col, not_blank
 
-# A skip list is a settings table; above this many names it is joined
-# without a broadcast hint and AQE decides from measured sizes.
-MAX_BROADCAST_SKIP_NAMES = 100_000
-
-
 def skip_names(skip: DataFrame, name_col: str = "file_name") -> DataFrame:
     """A5: case-insensitive distinct set of names."""
     return skip.select(F.lower(F.col(name_col)).alias("_skip_name")).distinct()
 
 
-def drop_skipped(df: DataFrame, skip: DataFrame, path_col: str = "file_path",
-                 skip_size: int | None = None) -> DataFrame:
+def drop_skipped(df: DataFrame, skip: DataFrame, path_col: str = "file_path") -> DataFrame:
     """Drop rows whose base name (either separator) is in the skip
-    list, ignoring case.  The skip list is broadcast only when its size is
-    known and bounded."""
+    list, ignoring case.  Spark broadcasts the list when its measured size
+    allows."""
     names = skip_names(skip)
-    if skip_size is not None and skip_size <= MAX_BROADCAST_SKIP_NAMES:
-        names = F.broadcast(names)
     return df.join(names, F.lower(basename(F.col(path_col))) == F.col("_skip_name"), "left_anti")
 
 
@@ -34,12 +26,12 @@ def has_extension(path, ext: str) -> Column:
 
 
 def changed_source_files(df: DataFrame, skip: DataFrame, ext: str, tests_folder: str,
-                         path_col: str = "file_path", skip_size: int | None = None) -> DataFrame:
+                         path_col: str = "file_path") -> DataFrame:
     """F5 = F3 non-blank path, F2 extension, F4 not under the tests folder
     (substring, case-sensitive), F1 skip list."""
     p = F.col(path_col)
     kept = df.filter(not_blank(p) & has_extension(p, ext) & ~p.contains(tests_folder))
-    return drop_skipped(kept, skip, path_col, skip_size)
+    return drop_skipped(kept, skip, path_col)
 
 
 def is_interface_file(content) -> Column:

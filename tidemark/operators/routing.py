@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,15 @@ OUTCOMES = ("error", "skipped_listed", "skipped_interface", "no_public_methods",
             "empty_response", "auto_applied", "needs_review")
 
 
+# Messages of the parser factory.
+def unsupported(ext) -> F.Column:
+    return F.concat(F.lit("Parser for files with '"), ext, F.lit("' extension not supported."))
+
+
+def not_implemented(ext) -> F.Column:
+    return F.concat(ext, F.lit(" parsing is not implemented yet."))
+
+
 def outcome_routing(changes: DataFrame, keys: Sequence[str], skip: DataFrame, threshold: int,
                     replay: DataFrame | None = None, completer=None, src_folder: str = "src",
                     tests_folder: str = "tests", project_folder=None, sample=None,
@@ -48,53 +58,49 @@ def outcome_routing(changes: DataFrame, keys: Sequence[str], skip: DataFrame, th
     keys = list(keys)
     fp = [] if "file_path" in keys else ["file_path"]
     src = F.when(not_blank("new_content"), F.col("new_content"))
-    c = changes.withColumn("source", src)
     names = skip_names(skip)
-    c = (c.join(F.broadcast(names), F.lower(basename(F.col("file_path"))) == F.col("_skip_name"), "left")
-          .withColumn("skipped", F.col("_skip_name").isNotNull()).drop("_skip_name"))
-    # the change rows feed five branches below: compute them once
-    c = materialize(c, "changes")
-    ext = extension(F.col("file_path"))
-    route = D.language_route(ext)
-
-    # declarations of the sources, content-addressed: each distinct text is
-    # scanned once (copies of a file across commits share one scan), written
-    # once, and joined back to every file that holds it
-    files = c.select(*keys, F.col("source").alias("content")).filter(F.col("content").isNotNull()) \
-             .withColumn("content_id", F.sha2(F.col("content"), 256))
-    uniq = files.groupBy("content_id").agg(F.first("content").alias("content"))
-    decls = materialize(D.declarations(uniq, ["content_id"]), "declarations")
-    decls = decls.withColumn("full_text", F.when(F.col("kind").isin("using", "field", "constructor", "method"),
-                                                 F.col("full_text")))
-    decls = files.select(*keys, "content_id").join(decls, "content_id").drop("content_id")
-    files = files.drop("content_id")
-    pub = D.public_methods(decls, files, keys).select(*keys, F.size("public_methods").alias("n_public"))
-    changed = files.join(c.select(*keys, "old_content"), keys) \
-                   .select(*keys, changed_line_numbers(F.col("old_content"), F.col("content")).alias("changed_lines"))
-    hit = D.methods_around_lines(decls, changed, keys)
-    ctx = D.context_assembly(decls, files, hit, keys)
+    c = (changes.withColumn("source", src)
+                .join(names, F.lower(basename(F.col("file_path"))) == F.col("_skip_name"), "left")
+                .withColumn("skipped", F.col("_skip_name").isNotNull()).drop("_skip_name"))
+    c = c.withColumn("_ext", extension(F.col("file_path"))).withColumn("_route", D.language_route(F.col("_ext")))
+    scanned = ~F.col("skipped") & F.col("source").isNotNull() & ~F.col("_iface") & (F.col("_route") == "supported")
+    # every flag is computed once, here; rows decided by a cheap one are not scanned for braces or size
+    c = c.withColumn("_iface", F.coalesce(is_interface_file(F.col("source")), F.lit(False))).withColumn("_scan", scanned)
+    c = (c.withColumn("_balanced", F.when(F.col("_scan"), D.braces_balance(F.col("source"))).otherwise(F.lit(True)))
+          .withColumn("_large", F.col("_scan") & large_file_flag(F.col("source"), F.col("old_content"), threshold))
+          .withColumn("content_id", F.when(F.col("_scan"), F.sha2(F.col("source"), 256))))
+    c = materialize(c, "changes")          # feeds the branches below
+
+    # declarations, content-addressed: each distinct text is scanned once
+    # (copies of a file across commits share one scan) and kept as positions
+    todo = c.filter("_scan and _balanced")
+    uniq = todo.groupBy("content_id").agg(F.first("source").alias("content"))
+    decls = materialize(D.declarations(uniq, ["content_id"], with_text=False), "declarations")
+    public = (decls.filter((F.col("kind") == "method") & F.col("is_public") & (F.col("parent_kind") == "class"))
+                   .groupBy("content_id").agg(F.count(F.lit(1)).alias("n_public")))
+
+    # changed lines, affected methods and context only for large files
+    large = todo.filter("_large")
+    changed = large.select(*keys, changed_line_numbers(F.col("old_content"), F.col("source")).alias("changed_lines"))
+    of_large = decls.join(large.select(*keys, "content_id"), "content_id").drop("content_id")
+    hit = D.methods_around_lines(of_large, changed, keys)
+    ctx = D.context_assembly(of_large, large, hit, keys, content="source")
     n_hit = hit.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_affected"))
 
-    c = c.join(pub, keys, "left").join(n_hit, keys, "left").join(ctx, keys, "left")
-    # staged columns: each flag is computed once and referenced by name, so
-    # the status, error and prompt expressions stay small enough to compile
-    c = (c.withColumn("_large", large_file_flag(F.col("source"), F.col("old_content"), threshold)
-                      & not_blank("new_content"))
-          .withColumn("_route", route).withColumn("_ext", ext)
-          .withColumn("_iface", is_interface_file(F.col("source"))))
+    c = c.join(public, "content_id", "left").join(n_hit, keys, "left").join(ctx, keys, "left")
     large, route, ext = F.col("_large"), F.col("_route"), F.col("_ext")
     pre = (F.when(F.col("skipped"), F.lit("skipped_listed"))
            .when(F.col("source").isNull(), F.lit("error"))
            .when(F.col("_iface"), F.lit("skipped_interface"))
-           .when(route != "supported", F.lit("error"))
+           .when((route != "supported") | ~F.col("_balanced"), F.lit("error"))
            .when(F.coalesce(F.col("n_public"), F.lit(0)) == 0, F.lit("no_public_methods"))
            .when(large & (F.coalesce(F.col("n_affected"), F.lit(0)) == 0), F.lit("no_affected_methods")))
     pre_error = (F.when(F.col("skipped"), F.lit(None).cast("string"))
                  .when(F.col("source").isNull(), F.lit("source file not found"))
                  .when(F.col("_iface"), F.lit(None).cast("string"))
-                 .when(route == "unsupported",
-                       F.concat(F.lit("Parser for files with '"), ext, F.lit("' extension not supported.")))
-                 .when(route == "not_implemented", F.lit("parser not implemented")))
+                 .when(route == "unsupported", unsupported(ext))
+                 .when(route == "not_implemented", not_implemented(ext))
+                 .when(~F.col("_balanced"), F.lit(D.UNBALANCED)))
     c = with_test_path(c, "file_path", "test_path", F.lit(src_folder), F.lit(tests_folder), project_folder)
     existing = F.when(not_blank("existing_test"), F.col("existing_test")).otherwise(F.lit(""))
     method_code = F.when(large, F.col("context")).otherwise(F.col("source"))
@@ -127,17 +133,43 @@ def outcome_ledger(routed: DataFrame) -> DataFrame:
     return routed.groupBy("status").agg(F.count(F.lit(1)).alias("n_files"))
 
 
+def current_results(spark, path: str) -> DataFrame | None:
+    """The newest version of a results table; None before the first."""
+    try:
+        t = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    return t.where(F.col("table_version") == t.agg(F.max("table_version")).first()[0]).drop("table_version")
+
+
 def upsert_results(results: DataFrame, order: Sequence[str], path: str | None = None,
                    key: str = "test_path") -> DataFrame:
     """Last write wins per test path - the newest row per key (a partial
-    ``max_by`` aggregate) - written as a table; with ``path`` the table is
-    written there and read back."""
+    ``max_by`` aggregate).  With ``path`` the rows are merged with the table
+    there and written as its next version, which readers see only when it is
+    complete; keys that are not in ``results`` stay, and the same rows a
+    second time change nothing."""
     cols = [c for c in results.columns if c != key]
-    latest = latest_per_key(results, [key], list(order), cols)
     if path is None:
-        return latest
-    latest.write.mode("overwrite").parquet(path)
-    return results.sparkSession.read.parquet(path)
+        return latest_per_key(results, [key], list(order), cols)
+    spark = results.sparkSession
+    before = current_results(spark, path)
+    rows, number = results, 0
+    if before is not None:
+        rows = before.select(*results.columns).unionByName(results)
+        number = spark.read.parquet(path).agg(F.max("table_version")).first()[0] + 1
+    latest_per_key(rows, [key], list(order), cols).write.mode("overwrite").parquet(f"{path}/table_version={number}")
+    return current_results(spark, path)
+
+
+def upsert_writer(path: str, order: Sequence[str], key: str = "test_path"):
+    """S7 for a stream: a ``foreachBatch`` function.  A batch that is replayed
+    merges to the same table."""
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        upsert_results(batch, order, path, key)
+    return write
 
 
 def change_set_manifest(routed: DataFrame, commits: DataFrame, prefix: str) -> DataFrame:

@@ -18,11 +18,11 @@ from tidemark.plans.ordered import latest_per_key, with_neighbour
 
 def previous_version(df: DataFrame, key: str = "path", order: str = "version",
                      content: str = "content", tiebreak: Sequence[str] = (),
-                     bucket_width: int | None = None) -> DataFrame:
+                     buckets: int | None = None) -> DataFrame:
     """Add ``old_content`` = the content of the previous version of the
     same key, ``''`` for the first version."""
     out = with_neighbour(df, [key], order, [content], tiebreak=tiebreak, prefix="_prev_",
-                         bucket_width=bucket_width, found_col="_has_prev")
+                         buckets=buckets, found_col="_has_prev")
     return (out.withColumn("old_content", F.when(F.col("_has_prev"), F.coalesce(F.col(f"_prev_{content}"), F.lit("")))
                            .otherwise(F.lit("")))
                .drop(f"_prev_{content}", "_has_prev"))

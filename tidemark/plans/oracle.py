@@ -168,7 +168,8 @@ SOURCE_CHANGES = f"""(SELECT * FROM {COMMIT_FILES} cf
     AND NOT contains(file_path, 'tests') AND lower({BASENAME.format('file_path')}) NOT IN {SKIP_LOWER})"""
 
 BLOBS = f"""(SELECT cf.repo, cf.sha, cf.file_path, {CODE_TEMPLATE} AS content
-   FROM {COMMIT_FILES} cf JOIN documents d ON cf.l_partkey = d.doc_id WHERE cf.status <> 'removed')"""
+   FROM {COMMIT_FILES} cf JOIN documents d ON cf.l_partkey % (SELECT max(doc_id) + 1 FROM documents) = d.doc_id
+   WHERE cf.status <> 'removed')"""
 
 COMMITS = """(SELECT repo, sha, committed_at, commit_key,
    lag(sha) OVER (PARTITION BY repo ORDER BY committed_at, commit_key) AS parent_sha FROM (
@@ -463,25 +464,29 @@ def prompt_sql(code: str, tests: str) -> str:
             f"|| coalesce({tests}, '') || '\n\nProvide the complete updated test file content as output.')")
 
 
-CODE_REQUESTS = f"""(SELECT file_path, version, CAST(version AS VARCHAR) AS request_id,
+def request_id(number: str) -> str:
+    return f"(CAST({number} % ((SELECT max(conv_id) + 1 FROM conversations) * 11 // 10 + 1) AS VARCHAR) || ':1')"
+
+
+CODE_REQUESTS = f"""(SELECT file_path, version, {request_id('version')} AS request_id,
    {prompt_sql('content', "''")} AS prompt FROM {CODE_VERSIONS})"""
 
-REPLAY = f"""(SELECT CAST(conv_id AS VARCHAR) AS request_id,
+REPLAY = f"""(SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS request_id,
    CASE conv_id % 3 WHEN 0 THEN 'openai' WHEN 1 THEN 'ollama' ELSE 'azure' END AS provider,
    CASE WHEN conv_id % 17 = 5 THEN 400 ELSE 200 END AS http_status,
    CASE conv_id % 3
      WHEN 0 THEN CASE WHEN conv_id % 19 = 7 THEN '{{"choices":[]}}' ELSE to_json({{'choices': [{{'text': {COMPLETION_TEXT}}}]}}) END
      WHEN 1 THEN to_json({{'response': {COMPLETION_TEXT}}})
      ELSE to_json({{'content': [{{'type': 'text', 'text': {COMPLETION_TEXT}}}]}}) END AS body
- FROM (SELECT conv_id, min(turn) AS turn, arg_min(text, turn) AS text FROM conversations
-       WHERE role = 'assistant' GROUP BY conv_id))"""
+ FROM conversations WHERE role = 'assistant')"""
 
 
 def has_key(j: str, k: str) -> str:
     return f"coalesce(list_contains(json_keys({j}), '{k}'), false)"
 
 
-PARSE_ERR = f"""(CASE WHEN http_status NOT BETWEEN 200 AND 299 THEN NULL
+PARSE_ERR = f"""(CASE WHEN http_status NOT BETWEEN 200 AND 299 THEN
+    CASE WHEN provider = 'azure' THEN 'chat request failed with status ' || CAST(http_status AS VARCHAR) END
   WHEN provider = 'ollama' THEN CASE WHEN NOT {has_key('body', 'response')} THEN 'missing property: response' END
   WHEN provider = 'azure' THEN CASE WHEN NOT {has_key("json_extract(body, '$.content[0]')", 'text')}
                                     THEN 'missing property: content[0].text' END
@@ -489,8 +494,8 @@ PARSE_ERR = f"""(CASE WHEN http_status NOT BETWEEN 200 AND 299 THEN NULL
             WHEN json_array_length(body, '$.choices') > 0 AND NOT {has_key("json_extract(body, '$.choices[0]')", 'text')}
             THEN 'missing property: text' END END)"""
 
-PARSE_TXT = f"""(CASE WHEN http_status NOT BETWEEN 200 AND 299 THEN ''
-  WHEN {PARSE_ERR} IS NOT NULL THEN NULL
+PARSE_TXT = f"""(CASE WHEN {PARSE_ERR} IS NOT NULL THEN NULL
+  WHEN http_status NOT BETWEEN 200 AND 299 THEN ''
   WHEN provider = 'ollama' THEN coalesce(json_extract_string(body, '$.response'), '')
   WHEN provider = 'azure' THEN coalesce(json_extract_string(body, '$.content[0].text'), '')
   ELSE CASE WHEN coalesce(json_array_length(body, '$.choices'), 0) = 0 THEN ''
@@ -510,17 +515,18 @@ SQL["request_json"] = f"""SELECT file_path, version, ['model', 'prompt', 'stream
   CAST(0.2 AS DOUBLE) AS temperature
 FROM {CODE_REQUESTS}"""
 
-SQL["provider_routing"] = f"""SELECT q.file_path, q.version, r.provider,
-  CASE WHEN r.provider = 'azure' THEN ['model', 'messages', 'max_output_tokens', 'temperature']
+SQL["provider_routing"] = f"""SELECT q.file_path, q.version,
+  CASE q.version % 3 WHEN 0 THEN 'openai' WHEN 1 THEN 'ollama' ELSE 'azure' END AS provider,
+  CASE WHEN q.version % 3 = 2 THEN ['model', 'messages', 'max_output_tokens', 'temperature']
        ELSE ['model', 'prompt', 'stream', 'max_tokens', 'temperature'] END AS keys,
   md5(q.prompt) AS prompt_md5
-FROM {CODE_REQUESTS} q JOIN {REPLAY} r ON q.request_id = r.request_id"""
+FROM {CODE_REQUESTS} q"""
 
 SQL["parse_completion"] = f"SELECT request_id, provider, http_status, txt AS generated, err AS error FROM {PARSED_REPLAY}"
 
 SQL["completion_replay"] = f"""SELECT q.file_path, q.version, q.request_id,
   CASE WHEN r.body IS NOT NULL THEN r.txt END AS generated,
-  CASE WHEN r.body IS NOT NULL THEN r.err END AS completion_error,
+  CASE WHEN r.body IS NOT NULL THEN r.err ELSE 'no completion' END AS completion_error,
   {extract_code("CASE WHEN r.body IS NOT NULL THEN r.txt END")} AS code
 FROM {CODE_REQUESTS} q LEFT JOIN {PARSED_REPLAY} r ON q.request_id = r.request_id"""
 
@@ -574,13 +580,13 @@ z AS (SELECT y.*,
              WHEN large AND len(hits) = 0 THEN 'no_affected_methods' END AS pre,
         CASE WHEN skipped THEN NULL WHEN source IS NULL THEN 'source file not found'
              WHEN contains(source, 'interface') THEN NULL
-             WHEN lower(ext) IN ('.java', '.py', '.ts', '.js') THEN 'parser not implemented'
+             WHEN lower(ext) IN ('.java', '.py', '.ts', '.js') THEN ext || ' parsing is not implemented yet.'
              WHEN lower(ext) <> '.cs' THEN 'Parser for files with ''' || ext || ''' extension not supported.' END AS pre_error,
         {prompt_sql(f"CASE WHEN large THEN {CONTEXT_SQL} ELSE source END",
                     f"CASE WHEN {not_blank('existing_test')} THEN existing_test ELSE '' END")} AS prompt0
       FROM y),
 a AS (SELECT z.*, CASE WHEN r.body IS NOT NULL THEN r.txt END AS generated,
-        CASE WHEN r.body IS NOT NULL THEN r.err END AS completion_error
+        CASE WHEN r.body IS NOT NULL THEN r.err ELSE 'no completion' END AS completion_error
       FROM z LEFT JOIN {PARSED_REPLAY} r ON z.request_id = r.request_id),
 c AS (SELECT a.*, {extract_code('generated')} AS code FROM a),
 o AS (SELECT c.*,
@@ -594,7 +600,7 @@ SELECT o.*, {stage} AS staging_path FROM o"""
 
 
 CODE_ROUTING_BASE = f"""(SELECT p.file_path, p.version, p.old_content, p.content AS new_content, '' AS existing_test,
-   CAST(p.version AS VARCHAR) AS request_id, b.doc_id, b.n, b.lang, b.vis, b.ping, b.text, d.n_chars
+   {request_id('p.version')} AS request_id, b.doc_id, b.n, b.lang, b.vis, b.ping, b.text, d.n_chars
  FROM {CODE_WITH_PREV} p JOIN {CODE_BASE} b ON p.file_path = b.file_path AND p.version = b.version
  JOIN (SELECT doc_id AS did, n_chars FROM documents) d ON d.did = b.doc_id)"""
 
@@ -615,7 +621,7 @@ WHERE r.status = 'needs_review'"""
 
 COMMIT_ROUTING_BASE = f"""(SELECT f.repo, f.sha, f.file_path, coalesce(bo.content, '') AS old_content,
    coalesce(bn.content, '') AS new_content, coalesce(bt.content, '') AS existing_test,
-   CAST(f.l_partkey AS VARCHAR) AS request_id, d.doc_id, d.n, d.lang, d.vis, d.ping, d.text, d.n_chars
+   {request_id('f.l_partkey')} AS request_id, d.doc_id, d.n, d.lang, d.vis, d.ping, d.text, d.n_chars
  FROM (SELECT *, {test_path('file_path', "'src'", "'tests'")} AS tpath FROM {SOURCE_CHANGES}) f
  LEFT JOIN {COMMITS} c ON f.repo = c.repo AND f.sha = c.sha
  LEFT JOIN {BLOBS} bo ON bo.repo = f.repo AND bo.sha = c.parent_sha AND bo.file_path = f.file_path
@@ -624,7 +630,7 @@ COMMIT_ROUTING_BASE = f"""(SELECT f.repo, f.sha, f.file_path, coalesce(bo.conten
  LEFT JOIN (SELECT doc_id, lang, text, n_chars, CAST(len(string_split(coalesce(text, ''), chr(10))) AS INTEGER) AS n,
               CASE WHEN doc_id % 11 = 0 THEN 'internal' ELSE 'public' END AS vis,
               CASE WHEN doc_id % 11 = 0 THEN 'private' ELSE 'public' END AS ping FROM documents) d
-   ON d.doc_id = f.l_partkey)"""
+   ON d.doc_id = f.l_partkey % (SELECT max(doc_id) + 1 FROM documents))"""
 
 SQL["change_run"] = ROUTED_OUT.format(keys="repo, sha", q=routing_sql(COMMIT_ROUTING_BASE, True, True))
 
@@ -640,11 +646,12 @@ FROM f"""
 # --------------------------------------------------------------------------- sources and streams
 SQL["scan_whole_files"] = """SELECT source, md5(text || chr(10)) AS content_md5,
   CAST(length(text) + 1 AS INTEGER) AS n_chars FROM documents"""
-SQL["stream_file_events"] = f"SELECT * FROM {FILE_EVENTS}"
+SQL["stream_file_events"] = f"""SELECT path || '.cs' AS path, ts, event_id, event_type, content FROM {FILE_EVENTS}
+WHERE event_id % 3 = 0 AND event_id % 7 <> 0"""
 SQL["stream_debounce"] = SQL["debounce_batch"]
 SQL["stream_previous_version"] = SQL["previous_version"]
 SQL["stream_commit_cursor"] = SQL["commit_cursor"]
 SQL["quarantine"] = f"""SELECT repo, sha, file_path,
-  CASE WHEN lower({extension('file_path')}) IN ('.java', '.py', '.ts', '.js') THEN 'parser not implemented'
+  CASE WHEN lower({extension('file_path')}) IN ('.java', '.py', '.ts', '.js') THEN {extension('file_path')} || ' parsing is not implemented yet.'
        ELSE 'Parser for files with ''' || {extension('file_path')} || ''' extension not supported.' END AS error
 FROM {COMMIT_FILES} WHERE lower({extension('file_path')}) <> '.cs'"""

@@ -3,8 +3,9 @@
 ``lag``/``lead`` over ``Window.partitionBy(key)`` sends every row of a key to
 one task.  When one path, repository or user holds a third of all rows that
 task is the whole job.  The plans here split each key into buckets of its
-order column (``floor(order / width)``), so a hot key is spread over many
-tasks:
+order column, cut at quantiles of that column over all rows, so every bucket
+holds about the same number of rows whatever the values are and a hot key is
+spread over as many tasks as there are buckets:
 
 1. ``lag``/``lead`` inside ``(key, bucket)`` (a bounded group);
 2. one row per ``(key, bucket)`` with the last (first) row of the bucket,
@@ -15,8 +16,10 @@ tasks:
 4. a join on ``(key, bucket)`` - the big side is already hash-partitioned on
    those columns by step 1, so only the small edge table moves.
 
-The result is identical to the plain window: a row's neighbour is the
-nearest row of the same key in ``(order, tiebreak)`` order.
+The result is identical to the plain window: a row's neighbour is the nearest
+row of the same key in ``(order, tiebreak)`` order.  Null keys are keys like
+others (keys are compared as one struct, in which nulls are equal), and a null
+order comes first.
 """
 
 from __future__ import annotations
@@ -27,29 +30,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DEFAULT_BUCKET_WIDTH = 1 << 16           # numeric order columns (ids)
-DEFAULT_TIME_BUCKET_SECONDS = 86_400     # timestamp order columns
 
-
-def bucket_of(df: DataFrame, order: str, width: int | None) -> Column:
+def bucket_of(df: DataFrame, order: str, buckets: int | None = None) -> Column:
+    """Number of the quantile cuts of ``order`` at or below a row's value.
+    The cuts (one per shuffle partition) come from one pass over that column
+    alone; they only steer the work, never the result."""
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dtype = df.schema[order].dataType
+    value = F.col(order)
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        secs = width or DEFAULT_TIME_BUCKET_SECONDS
-        micros = F.unix_micros(F.col(order).cast("timestamp"))
-        return F.floor(micros / F.lit(secs * 1_000_000))
-    return F.floor(F.col(order) / F.lit(width or DEFAULT_BUCKET_WIDTH))
+        value = F.unix_micros(value.cast("timestamp"))
+    cuts = df.agg(F.percentile_approx(value, [i / n for i in range(1, n)], 1000)).first()[0] if n > 1 else None
+    cuts = sorted(set(cuts or []))
+    if not cuts:
+        return F.lit(0)
+    return F.coalesce(F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c <= value)), F.lit(0))
 
 
 def with_neighbour(df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str],
                    tiebreak: Sequence[str] = (), direction: str = "prev",
-                   prefix: str | None = None, bucket_width: int | None = None,
-                   found_col: str | None = None, null_safe_keys: bool = False) -> DataFrame:
+                   prefix: str | None = None, buckets: int | None = None,
+                   found_col: str | None = None) -> DataFrame:
     """Add ``{prefix}{v}`` for each ``v`` in ``values``: the value on the
     previous (``direction='prev'``) or next row of the same key.
 
     ``found_col`` (optional) names a boolean column that is true when a
     neighbour exists, so a genuine null value can be told from "no row".
-    Set ``null_safe_keys`` when a key column may be null.
     """
     keys = list(keys)
     values = list(values)
@@ -59,38 +65,32 @@ def with_neighbour(df: DataFrame, keys: Sequence[str], order: str, values: Seque
     payload = F.struct(*[F.col(c).alias(c) for c in fields])
     okey = F.struct(*[F.col(c) for c in ordering])
 
-    b = "_tm_bucket"
-    base = df.withColumn(b, bucket_of(df, order, bucket_width))
+    k, b = "_tm_key", "_tm_bucket"
+    base = df.withColumn(k, F.struct(*keys)).withColumn(b, bucket_of(df, order, buckets))
 
     # 1. neighbour inside the bucket
-    w = Window.partitionBy(*keys, b).orderBy(*ordering)
+    w = Window.partitionBy(k, b).orderBy(*ordering)
     inner = F.lag(payload).over(w) if direction == "prev" else F.lead(payload).over(w)
     rows = base.withColumn("_tm_in", inner)
 
     # 2. one edge row per (key, bucket): last row for prev, first row for next
     pick = F.max_by if direction == "prev" else F.min_by
-    edges = base.groupBy(*keys, b).agg(pick(payload, okey).alias("_tm_edge"))
+    edges = base.groupBy(k, b).agg(pick(payload, okey).alias("_tm_edge"))
 
     # 3. carry edges across buckets (small table: one row per key-bucket)
-    we = Window.partitionBy(*keys).orderBy(b)
+    we = Window.partitionBy(k).orderBy(b)
     carry = F.lag("_tm_edge").over(we) if direction == "prev" else F.lead("_tm_edge").over(we)
-    ek = [f"_tm_k{i}" for i in range(len(keys))]
-    edges = edges.select(*[F.col(k).alias(e) for k, e in zip(keys, ek)],
-                         F.col(b).alias("_tm_eb"), carry.alias("_tm_carry"))
-
-    # 4. stitch.  Plain equality keeps the join on the window's hash
-    # partitioning (no second shuffle of the big side); null keys need the
-    # null-safe form, which re-shuffles.
-    eq = (lambda x, y: x.eqNullSafe(y)) if null_safe_keys else (lambda x, y: x == y)
-    cond = [eq(F.col(k), F.col(e)) for k, e in zip(keys, ek)] + [F.col(b) == F.col("_tm_eb")]
-    joined = rows.join(edges, cond, "left").drop(*ek, "_tm_eb")
+    edges = edges.select(F.col(k).alias("_tm_ek"), F.col(b).alias("_tm_eb"), carry.alias("_tm_carry"))
+
+    # 4. stitch
+    joined = rows.join(edges, (F.col(k) == F.col("_tm_ek")) & (F.col(b) == F.col("_tm_eb")), "left").drop("_tm_ek", "_tm_eb")
     nb = F.coalesce(F.col("_tm_in"), F.col("_tm_carry"))
     out = joined
     for v in values:
         out = out.withColumn(f"{prefix}{v}", nb[v])
     if found_col:
         out = out.withColumn(found_col, nb.isNotNull())
-    return out.drop("_tm_in", "_tm_carry", b)
+    return out.drop("_tm_in", "_tm_carry", b, k)
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],

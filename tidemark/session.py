@@ -43,26 +43,35 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+_scratch: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster-wide checkpoint folder; created locally only when unset."""
-    base = None
-    try:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-    except Exception:  # noqa: BLE001 - some sessions refuse to read core confs
-        base = None
-    sc = None
-    try:
-        sc = spark.sparkContext
-        base = base or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    except Exception:  # noqa: BLE001 - no SparkContext in a remote session
-        sc = None
+    """The cluster-wide checkpoint folder (``spark.checkpoint.dir``).  It is
+    created only on a local master, where every task sees the driver's disk;
+    elsewhere a missing setting is an error, as each executor would write to
+    its own disk."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="tidemark-ckpt-")   # local runs and tests only
-        if sc is not None:
-            sc.setCheckpointDir(base)
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="tidemark-ckpt-")
+        sc.setCheckpointDir(base)
     return base.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared folder for one run of one operator."""
-    return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex[:12]}"
+    _scratch.append(path)
+    return path
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Delete the scratch folders of this process.  Results that still read
+    them must have been written or collected before."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _scratch:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        path.getFileSystem(conf).delete(path, True)

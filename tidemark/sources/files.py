@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def without_bom(content: str) -> Column:
+    """A text without the byte order mark that may start a file."""
+    return F.regexp_replace(content, "^\uFEFF", "")
+
+
 def scan_whole_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     """S1 + S2: one row per file under ``root`` (recursive), ``content`` the
     whole text, ``file_path`` from the file metadata.  The glob prunes at
@@ -14,7 +19,7 @@ def scan_whole_files(spark: SparkSession, root: str, glob: str | None = None) ->
     if glob:
         r = r.option("pathGlobFilter", glob)
     df = r.text(root, wholetext=True)
-    return df.select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("content"))
+    return df.select(F.col("_metadata.file_path").alias("file_path"), without_bom("value").alias("content"))
 
 
 def write_one_file_per_row(df: DataFrame, root: str, text_col: str, folder_col: str) -> None:

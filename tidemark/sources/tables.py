@@ -153,14 +153,15 @@ def commit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File content at (repo, sha, path): the code file of document
-    ``l_partkey`` for every file a commit did not remove.  Parts without a
-    document have no blob (read as '')."""
+    ``l_partkey`` (counted round the documents) for every file a commit did
+    not remove."""
     cf = commit_files(spark, sf_dir).filter(F.col("status") != "removed")
     d = read_table(spark, sf_dir, "documents")
+    last = d.agg(F.max("doc_id")).first()[0] or 0
     code = d.select(F.col("doc_id"),
                     code_template(F.col("doc_id"), F.col("source"), F.col("lang"),
                                   F.col("n_chars"), F.col("text")).alias("content"))
-    return cf.join(code, cf["l_partkey"] == code["doc_id"]).select("repo", "sha", "file_path", "content")
+    return cf.join(code, F.pmod(cf["l_partkey"], F.lit(last + 1)) == code["doc_id"]).select("repo", "sha", "file_path", "content")
 
 
 # --------------------------------------------------------------------------- completions
@@ -175,25 +176,33 @@ def completion_text(conv_id, turn, text) -> F.Column:
             .otherwise(F.concat(F.lit("<think>plan</think>  "), text, F.lit("  "))))
 
 
+def provider_of(number) -> F.Column:
+    """The provider is a setting of the project; projects take turns."""
+    k = F.pmod(number, F.lit(3))
+    return F.when(k == 0, F.lit("openai")).when(k == 1, F.lit("ollama")).otherwise(F.lit("azure"))
+
+
+def request_of(spark: SparkSession, sf_dir: str, number) -> F.Column:
+    """Request id of file ``number``: turn 1 of a conversation, dealt over all
+    conversations and as many again by a tenth, which no answer has."""
+    last = read_table(spark, sf_dir, "conversations").agg(F.max("conv_id")).first()[0] or 0
+    return F.concat(F.pmod(number, F.lit((last + 1) * 11 // 10 + 1)).cast("string"), F.lit(":1"))
+
+
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replay table (request_id, provider, http_status, body): the first
-    assistant turn of each conversation is the answer to request
-    ``conv_id``; provider and status follow fixed rules."""
+    """Replay table (request_id, provider, http_status, body): every
+    assistant turn is the answer to request ``{conv_id}:{turn}``; provider
+    and status follow fixed rules."""
     c = read_table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
-    first = (c.groupBy("conv_id")
-              .agg(F.min_by(F.struct("turn", "text"), F.col("turn")).alias("t"))
-              .select("conv_id", F.col("t.turn").alias("turn"), F.col("t.text").alias("text")))
     answer = completion_text(F.col("conv_id"), F.col("turn"), F.col("text"))
-    provider = (F.when(F.pmod(F.col("conv_id"), F.lit(3)) == 0, F.lit("openai"))
-                .when(F.pmod(F.col("conv_id"), F.lit(3)) == 1, F.lit("ollama"))
-                .otherwise(F.lit("azure")))
+    provider = provider_of(F.col("conv_id"))
     status = F.when(F.pmod(F.col("conv_id"), F.lit(17)) == 5, F.lit(400)).otherwise(F.lit(200))
     body = (F.when(provider == "openai",
                    F.when(F.pmod(F.col("conv_id"), F.lit(19)) == 7, F.lit('{"choices":[]}'))
                    .otherwise(F.to_json(F.struct(F.array(F.struct(answer.alias("text"))).alias("choices")))))
             .when(provider == "ollama", F.to_json(F.struct(answer.alias("response"))))
             .otherwise(F.to_json(F.struct(F.array(F.struct(F.lit("text").alias("type"), answer.alias("text"))).alias("content")))))
-    return first.select(F.col("conv_id").cast("string").alias("request_id"),
+    return c.select(F.concat_ws(":", "conv_id", "turn").alias("request_id"),
                         provider.alias("provider"), status.alias("http_status"), body.alias("body"))
 
 

@@ -1,41 +1,45 @@
 """Streaming operators.
 
+* S3 source events: changes of files with the watched extension.
 * T1 debounce: event-time session windows with a watermark; a session
   closes when no event follows within the gap, and emits its last event.
-* T2 previous version and T3 commit cursor: keyed state in
-  ``applyInPandasWithState`` (one state slot per path / repository).
+* T2 previous version and T3 commit cursor: ``foreachBatch``.  Inside a
+  micro-batch the neighbour comes from the batch plan (a hot path or
+  repository is spread over many tasks); only the first row of each key needs
+  the state, a table with one row per key that every batch writes anew.
 * T6 quarantine: ``foreachBatch`` splits each micro-batch into accepted
   rows and rows that failed a check, written to separate tables.
+
+Every ``foreachBatch`` output is one folder per epoch, overwritten when a
+batch is replayed after a failure, so no row is lost or doubled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-# The state functions below run in Python workers.  Ship them by value so the
-# workers need no installed copy of this package (as with ``--py-files``).
-try:
-    import sys as _sys
+from tidemark.operators.filters import has_extension
+from tidemark.plans.ordered import latest_per_key, with_neighbour
+
 
-    from pyspark import cloudpickle as _cloudpickle
-    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
-except Exception:  # noqa: BLE001 - older cloudpickle: fall back to import by name
-    pass
+def source_events(events: DataFrame, ext: str, path: str = "path") -> DataFrame:
+    """S3: events of files with the extension; deletes are not changes."""
+    return events.filter(has_extension(F.col(path), ext) & (F.col("event_type") != "delete"))
 
 
-def debounce_stream(events: DataFrame, key: str, ts: str, gap_seconds: int,
+def debounce_stream(events: DataFrame, key: str, ts: str, gap_seconds: int, lateness_seconds: int,
                     tiebreak: str = "event_id", payload=("event_type",)) -> DataFrame:
     """Trailing-edge debounce as ``session_window``; emits the last event
-    of each closed session and ``fire_ts`` = session end (last ts + gap)."""
+    of each closed session and ``fire_ts`` = session end (last ts + gap).
+    Sessions stay open for ``lateness_seconds`` of event time, so events up to
+    that late still join theirs; ``late_events_writer`` keeps later ones."""
     gap = f"{gap_seconds} seconds"
     last = F.max_by(F.struct(F.col(ts), F.col(tiebreak), *[F.col(p) for p in payload]),
                     F.struct(F.col(ts), F.col(tiebreak)))
-    s = (events.withWatermark(ts, gap)
+    s = (events.withWatermark(ts, f"{lateness_seconds} seconds")
                .groupBy(F.col(key), F.session_window(F.col(ts), gap).alias("w"))
                .agg(last.alias("last")))
     return s.select(key, F.col("last").getField(ts).alias(ts), F.col("last").getField(tiebreak).alias(tiebreak),
@@ -43,66 +47,71 @@ def debounce_stream(events: DataFrame, key: str, ts: str, gap_seconds: int,
                     F.col("w.end").alias("fire_ts"))
 
 
-def _prev_version_state(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One state slot per path: the last version seen and its content.  Rows
-    of a micro-batch are ordered by version before the state is applied."""
-    rows = pd.concat(list(pdfs), ignore_index=True).sort_values("version", kind="stable")
-    if state.exists:
-        _, last_content = state.get
+def _state_before(spark, path: str, epoch_id: int) -> DataFrame | None:
+    """The state as the batch before this one left it."""
+    return spark.read.parquet(f"{path}/epoch_id={epoch_id - 1}") if epoch_id else None
+
+
+def late_events_writer(path: str, ts: str, lateness_seconds: int):
+    """A ``foreachBatch`` function for the same events that keeps those
+    behind the newest event of earlier batches by more than the lateness -
+    all that a watermark may drop - as a table under ``{path}/late``."""
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        spark = batch.sparkSession
+        before = _state_before(spark, f"{path}/newest", epoch_id)
+        newest = before.first()[0] if before is not None else None
+        late = F.lit(False) if newest is None else F.col(ts) < F.lit(newest) - F.make_dt_interval(secs=F.lit(lateness_seconds))
+        batch.filter(late).write.mode("overwrite").parquet(f"{path}/late/epoch_id={epoch_id}")
+        seen = batch.select(ts) if before is None else batch.select(ts).unionByName(before)
+        seen.agg(F.max(ts).alias(ts)).write.mode("overwrite").parquet(f"{path}/newest/epoch_id={epoch_id}")
+    return write
+
+
+def _carried_neighbour(batch: DataFrame, key: str, order: Sequence[str], value: str, state: str, epoch_id: int) -> DataFrame:
+    """``batch`` with ``carried``, the value on the previous row of the key in
+    the batch or, for the first row of a key, the last value of earlier
+    batches (null if there is none); writes the state for the next batch."""
+    spark = batch.sparkSession
+    rows = with_neighbour(batch, [key], order[0], [value], tiebreak=list(order[1:]), prefix="in_batch_", found_col="in_batch")
+    last = latest_per_key(batch, [key], list(order), [value]).withColumn("epoch", F.lit(epoch_id))
+    before = _state_before(spark, state, epoch_id)
+    if before is None:
+        rows = rows.withColumn("carried", F.col(f"in_batch_{value}"))
     else:
-        last_content = ""
-    old = rows["content"].shift(1)
-    old.iloc[0] = last_content
-    out = pd.DataFrame({"path": rows["path"].values, "version": rows["version"].values,
-                        "old_content": old.fillna("").values})
-    state.update((int(rows["version"].iloc[-1]), rows["content"].iloc[-1]))
-    yield out
+        old = before.select(F.col(key).alias("state_key"), F.col(value).alias("state_value"))
+        rows = rows.join(old, F.col(key).eqNullSafe(F.col("state_key")) & ~F.col("in_batch"), "left")
+        rows = rows.withColumn("carried", F.when(F.col("in_batch"), F.col(f"in_batch_{value}")).otherwise(F.col("state_value")))
+        last = latest_per_key(last.unionByName(before), [key], ["epoch"], [value, "epoch"])
+    last.write.mode("overwrite").parquet(f"{state}/epoch_id={epoch_id}")
+    return rows.select(*batch.columns, "carried")
 
 
-def previous_version_stream(versions: DataFrame) -> DataFrame:
+def previous_version_writer(sink: str, state: str):
     """(path, version, old_content) with '' for a path's first version.
     No expiry: the state holds one row per path, as the source tool's cache."""
-    return versions.groupBy("path").applyInPandasWithState(
-        _prev_version_state,
-        outputStructType="path string, version long, old_content string",
-        stateStructType="version long, content string",
-        outputMode="append",
-        timeoutConf=GroupStateTimeout.NoTimeout,
-    )
-
-
-def _cursor_state(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(pdfs), ignore_index=True).sort_values(
-        ["poll_ts", "poll_order", "poll_line"], kind="stable")
-    last = state.get[0] if state.exists else None
-    prev = rows["sha"].shift(1)
-    prev.iloc[0] = last
-    keep = rows[rows["sha"] != prev]
-    state.update((rows["sha"].iloc[-1],))
-    yield keep[["repo", "poll_ts", "poll_order", "poll_line", "sha"]]
-
-
-def commit_cursor_stream(polls: DataFrame) -> DataFrame:
-    """Emit a poll when its head sha differs from the last one seen for
-    the repository (one state slot per repository)."""
-    return polls.groupBy("repo").applyInPandasWithState(
-        _cursor_state,
-        outputStructType="repo string, poll_ts timestamp_ntz, poll_order long, poll_line int, sha string",
-        stateStructType="sha string",
-        outputMode="append",
-        timeoutConf=GroupStateTimeout.NoTimeout,
-    )
-
-
-def quarantine_writer(accepted_path: str, quarantine_path: str, error_col: str = "error"):
-    """A ``foreachBatch`` function that appends rows without an error to
-    the accepted table and rows with one to the quarantine table; one bad
-    row never stops the stream."""
     def write(batch: DataFrame, epoch_id: int) -> None:
-        # one folder per epoch, overwritten on replay: a retried batch after
-        # a lost executor or driver restart never duplicates rows
-        batch.filter(F.col(error_col).isNull()).drop(error_col) \
-             .write.mode("overwrite").parquet(f"{accepted_path}/epoch_id={epoch_id}")
-        batch.filter(F.col(error_col).isNotNull()) \
-             .write.mode("overwrite").parquet(f"{quarantine_path}/epoch_id={epoch_id}")
+        rows = _carried_neighbour(batch, "path", ["version"], "content", state, epoch_id)
+        (rows.select("path", "version", F.coalesce("carried", F.lit("")).alias("old_content"))
+             .write.mode("overwrite").parquet(f"{sink}/epoch_id={epoch_id}"))
+    return write
+
+
+def commit_cursor_writer(sink: str, state: str):
+    """A poll is kept when its head sha differs from the last one seen for
+    the repository; polls without a head are no polls."""
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        polls = batch.filter(F.col("sha").isNotNull())
+        rows = _carried_neighbour(polls, "repo", ["poll_ts", "poll_order", "poll_line"], "sha", state, epoch_id)
+        (rows.filter(~F.col("sha").eqNullSafe(F.col("carried"))).drop("carried")
+             .write.mode("overwrite").parquet(f"{sink}/epoch_id={epoch_id}"))
+    return write
+
+
+def quarantine_writer(path: str, error_col: str = "error"):
+    """A ``foreachBatch`` function that writes each batch once, rows with
+    an error under ``failed=true`` and the others under ``failed=false``; one
+    bad row never stops the stream."""
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        (batch.withColumn("failed", F.col(error_col).isNotNull())
+              .write.mode("overwrite").partitionBy("failed").parquet(f"{path}/epoch_id={epoch_id}"))
     return write
