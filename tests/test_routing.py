@@ -63,10 +63,13 @@ def test_ledger_upsert_and_manifest(spark):
     assert {r.status: r.n_files for r in R.outcome_ledger(routed).collect()} == \
         {"needs_review": 1, "skipped_listed": 1}
     commits = spark.createDataFrame([("r", "c1", "2024-01-02 03:04:05")], "repo string, sha string, t string") \
-        .withColumn("committed_at", F.to_timestamp("t"))
+        .withColumn("run_ts", F.to_timestamp("t"))
     m = R.change_set_manifest(routed, commits, "auto/test-update-").collect()
     assert len(m) == 1 and m[0].branch == "auto/test-update-20240102030405"
     assert m[0].test_path == "tests/aTests.cs" and m[0].message == "Add/update test for src/a.cs" and m[0].n_files == 1
+    assert m[0].content == "x" and m[0].base_branch == "main"
+    req = R.review_requests(R.change_set_manifest(routed, commits, "auto/test-update-")).collect()
+    assert [(r.branch, r.n_files, r.title) for r in req] == [("auto/test-update-20240102030405", 1, R.REVIEW_TITLE)]
     res = spark.createDataFrame([("t1", 1, "old"), ("t1", 2, "new"), ("t2", 1, "z")], "test_path string, v int, code string")
     got = {r.test_path: r.code for r in R.upsert_results(res, ["v"]).collect()}
     assert got == {"t1": "new", "t2": "z"}
@@ -91,3 +94,17 @@ def test_unbalanced_source_and_unanswered_request(spark):
     got = route(spark, [("src/A.cs", "", CLASS_ONE + "{", "", "ok"), ("src/B.cs", "", CLASS_ONE, "", "never asked")])
     assert (got["src/A.cs"].status, got["src/A.cs"].error) == ("error", "source has unbalanced braces")
     assert (got["src/B.cs"].status, got["src/B.cs"].error) == ("error", "no completion")
+
+
+def test_source_and_existing_test_come_from_the_working_tree(spark):
+    ch = spark.createDataFrame([("src/A.cs", "", "", "", "ok"), ("src/B.cs", "", "", "own test", "ok"), ("src/C.cs", "", " ", "", "ok"),
+                                ("src/D.cs", "", CLASS_ONE, "", "ok")],
+                               "file_path string, old_content string, new_content string, existing_test string, request_id string")
+    tree = spark.createDataFrame([("src/A.cs", CLASS_ONE), ("src/B.cs", NO_PUBLIC.replace("private", "public")), ("tests/ATests.cs", "// kept"),
+                                  ("tests/BTests.cs", "// other"), ("src/D.cs", "stale")], "path string, content string")
+    rep = spark.createDataFrame([("ok", "ollama", 200, '{"response":"class T { }"}')], "request_id string, provider string, http_status int, body string")
+    got = {r.file_path: r for r in R.outcome_routing(ch, ["file_path"], skip_list(spark), 300, replay=rep, working_tree=tree).collect()}
+    assert {k: (r.status, r.error) for k, r in got.items()} == {"src/A.cs": ("needs_review", None), "src/B.cs": ("needs_review", None),
+                                                                "src/C.cs": ("error", "source file not found"), "src/D.cs": ("needs_review", None)}
+    assert CLASS_ONE in got["src/A.cs"].prompt and "// kept" in got["src/A.cs"].prompt
+    assert "own test" in got["src/B.cs"].prompt and "// other" not in got["src/B.cs"].prompt and "stale" not in got["src/D.cs"].prompt

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.paths import (branch_name, commit_message, repo_path, staging_path,
                                       with_test_path)
-from tidemark.functions.text import basename, changed_line_numbers, extension, is_blank, not_blank
+from tidemark.functions.text import basename, blank_coalesce, changed_line_numbers, extension, is_blank, not_blank
 from tidemark.operators import declarations as D
 from tidemark.operators.completion import build_prompt, replay_completions
 from tidemark.operators.filters import is_interface_file, skip_names
@@ -46,20 +46,32 @@ def not_implemented(ext) -> F.Column:
 def outcome_routing(changes: DataFrame, keys: Sequence[str], skip: DataFrame, threshold: int,
                     replay: DataFrame | None = None, completer=None, src_folder: str = "src",
                     tests_folder: str = "tests", project_folder=None, sample=None,
-                    prompt_user: bool = True, staging_root: str | None = None) -> DataFrame:
+                    prompt_user: bool = True, staging_root: str | None = None,
+                    working_tree: DataFrame | None = None) -> DataFrame:
     """R1 over change rows (keys..., file_path, old_content, new_content,
     existing_test, request_id).
 
     ``replay`` (J8) or ``completer`` (a function DataFrame -> DataFrame adding
     ``generated``/``completion_error``/``code``, e.g. U2) answers prompts.
+    ``working_tree(path, content)``, the output of a whole-file scan, gives the
+    source of a row without new content and the existing test of a row without
+    one.
     Returns keys, file_path, status, test_path, staging_path, prompt,
     generated_code, error.
     """
     keys = list(keys)
     fp = [] if "file_path" in keys else ["file_path"]
-    src = F.when(not_blank("new_content"), F.col("new_content"))
     names = skip_names(skip)
-    c = (changes.withColumn("source", src)
+    c = changes
+    if working_tree is not None:
+        c = with_test_path(c, "file_path", "_test", F.lit(src_folder), F.lit(tests_folder), project_folder)
+        for path, own, out in (("file_path", "new_content", "_local"), ("_test", "existing_test", "_local_test")):
+            c = c.join(working_tree.select(F.col("path").alias(path), F.col("content").alias(out)), path, "left")
+            c = c.withColumn(out, blank_coalesce(own, out))
+        c = c.withColumn("existing_test", F.col("_local_test")).drop("_test", "_local_test")
+    else:
+        c = c.withColumn("_local", F.col("new_content"))
+    c = (c.withColumn("source", F.when(not_blank("_local"), F.col("_local"))).drop("_local")
                 .join(names, F.lower(basename(F.col("file_path"))) == F.col("_skip_name"), "left")
                 .withColumn("skipped", F.col("_skip_name").isNotNull()).drop("_skip_name"))
     c = c.withColumn("_ext", extension(F.col("file_path"))).withColumn("_route", D.language_route(F.col("_ext")))
@@ -67,7 +79,8 @@ def outcome_routing(changes: DataFrame, keys: Sequence[str], skip: DataFrame, th
     # every flag is computed once, here; rows decided by a cheap one are not scanned for braces or size
     c = c.withColumn("_iface", F.coalesce(is_interface_file(F.col("source")), F.lit(False))).withColumn("_scan", scanned)
     c = (c.withColumn("_balanced", F.when(F.col("_scan"), D.braces_balance(F.col("source"))).otherwise(F.lit(True)))
-          .withColumn("_large", F.col("_scan") & large_file_flag(F.col("source"), F.col("old_content"), threshold))
+          .withColumn("_large", F.col("_scan") & not_blank("new_content")
+                                & large_file_flag(F.col("source"), F.col("old_content"), threshold))
           .withColumn("content_id", F.when(F.col("_scan"), F.sha2(F.col("source"), 256))))
     c = materialize(c, "changes")          # feeds the branches below
 
@@ -172,16 +185,27 @@ def upsert_writer(path: str, order: Sequence[str], key: str = "test_path"):
     return write
 
 
-def change_set_manifest(routed: DataFrame, commits: DataFrame, prefix: str) -> DataFrame:
-    """One branch per processed commit, one entry per file with
-    generated code, only for non-empty sets.  Kept as one row per file (a
-    commit with a third of all files must not become one array in one
-    task); the file count per branch comes from a partial aggregate."""
+# Title and body of a review request.
+REVIEW_TITLE = "Automated Test Update"
+REVIEW_BODY = "This PR was generated automatically to add/update unit tests for modified files."
+
+
+def change_set_manifest(routed: DataFrame, commits: DataFrame, prefix: str, base_branch: str = "main") -> DataFrame:
+    """One branch off ``base_branch`` per processed commit, named by its
+    run timestamp (``commits.run_ts``), and one commit per file with generated
+    code: path, content, message.  Kept as one row per file (a commit with a
+    third of all files must not become one array in one task); the file count
+    per branch comes from a partial aggregate."""
     files = routed.filter(F.col("generated_code").isNotNull())
-    c = commits.select("repo", "sha", "committed_at")
+    c = commits.select("repo", "sha", branch_name(F.lit(prefix), F.col("run_ts")).alias("branch"))
     f = files.join(c, ["repo", "sha"])
-    counts = f.groupBy("repo", "sha").agg(F.count(F.lit(1)).alias("n_files"))
-    return (f.join(counts, ["repo", "sha"])
-             .select("repo", "sha", branch_name(F.lit(prefix), F.col("committed_at")).alias("branch"),
-                     repo_path(F.col("test_path")).alias("test_path"),
-                     commit_message(F.col("file_path")).alias("message"), "n_files"))
+    counts = f.groupBy("repo", "branch").agg(F.count(F.lit(1)).alias("n_files"))
+    return (f.join(counts, ["repo", "branch"])
+             .select("repo", "sha", "branch", F.lit(base_branch).alias("base_branch"), repo_path(F.col("test_path")).alias("test_path"),
+                     F.col("generated_code").alias("content"), commit_message(F.col("file_path")).alias("message"), "n_files"))
+
+
+def review_requests(manifest: DataFrame) -> DataFrame:
+    """One review request per branch (a partial aggregate)."""
+    return (manifest.groupBy("repo", "branch", "base_branch").agg(F.count(F.lit(1)).alias("n_files"))
+                    .withColumn("title", F.lit(REVIEW_TITLE)).withColumn("body", F.lit(REVIEW_BODY)))

@@ -615,6 +615,7 @@ FROM ({routing_sql(CODE_ROUTING_BASE, False, False)}) WHERE status = 'auto_appli
 SQL["review_cycle"] = f"""SELECT r.file_path, r.version, r.test_path, r.staging_path,
   CASE WHEN l.quality = 1 THEN 'Yes' ELSE 'n' END AS answer,
   coalesce(lower(CASE WHEN l.quality = 1 THEN 'Yes' ELSE 'n' END) IN ('y', 'yes'), false) AS applied,
+  max(CASE WHEN l.quality = 1 THEN r.version END) OVER (PARTITION BY r.test_path) AS result_version,
   md5(r.generated_code) AS code_md5
 FROM ({routing_sql(CODE_ROUTING_BASE, True, True)}) r JOIN labels l ON r.version = l.doc_id
 WHERE r.status = 'needs_review'"""
@@ -634,14 +635,35 @@ COMMIT_ROUTING_BASE = f"""(SELECT f.repo, f.sha, f.file_path, coalesce(bo.conten
 
 SQL["change_run"] = ROUTED_OUT.format(keys="repo, sha", q=routing_sql(COMMIT_ROUTING_BASE, True, True))
 
-SQL["change_set_manifest"] = f"""
+MANIFEST = f"""(
 WITH r AS (SELECT * FROM ({routing_sql(COMMIT_ROUTING_BASE, True, True)}) WHERE generated_code IS NOT NULL),
-f AS (SELECT r.repo, r.sha, r.file_path, r.test_path, o.o_orderdate AS committed_at
-      FROM r JOIN orders o ON r.sha = 'c' || CAST(o.o_orderkey AS VARCHAR) AND r.repo = 'r' || CAST(o.o_custkey AS VARCHAR))
-SELECT repo, sha, 'auto/test-update-' || strftime(committed_at, '%Y%m%d%H%M%S') AS branch,
-  replace(test_path, '\\', '/') AS test_path, 'Add/update test for ' || file_path AS message,
-  count(*) OVER (PARTITION BY repo, sha) AS n_files
-FROM f"""
+g AS (SELECT repo, sha FROM {COMMIT_FILES} GROUP BY repo, sha HAVING bool_or(lower(file_path) LIKE '%.cs')),
+f AS (SELECT r.repo, r.sha, r.file_path, r.test_path, r.generated_code, o.o_orderkey AS commit_key,
+        'auto/test-update-' || strftime(CAST(o.o_orderdate AS TIMESTAMP) + to_seconds(o.o_orderkey % 86400), '%Y%m%d%H%M%S') AS branch
+      FROM r JOIN g ON r.repo = g.repo AND r.sha = g.sha
+      JOIN orders o ON r.sha = 'c' || CAST(o.o_orderkey AS VARCHAR) AND r.repo = 'r' || CAST(o.o_custkey AS VARCHAR))
+SELECT *, count(*) OVER (PARTITION BY repo, branch) AS n_files FROM f)"""
+
+SQL["change_set_manifest"] = f"""SELECT repo, sha, branch, 'main' AS base_branch, replace(test_path, '\\', '/') AS test_path,
+  md5(generated_code) AS content_md5, 'Add/update test for ' || file_path AS message, n_files FROM {MANIFEST}"""
+
+SQL["review_requests"] = f"""SELECT repo, branch, 'main' AS base_branch, count(*) AS n_files, 'Automated Test Update' AS title,
+  'This PR was generated automatically to add/update unit tests for modified files.' AS body
+FROM {MANIFEST} GROUP BY repo, branch"""
+
+SQL["commit_results"] = f"""SELECT repo || '/' || test_path AS test_path, max(commit_key) AS commit_key,
+  arg_max(file_path, lpad(CAST(commit_key AS VARCHAR), 20, '0') || file_path) AS file_path,
+  md5(arg_max(generated_code, lpad(CAST(commit_key AS VARCHAR), 20, '0') || file_path)) AS code_md5
+FROM {MANIFEST} GROUP BY repo, test_path"""
+
+MANUAL_BASE = f"""(SELECT 'src/' || source || '/Doc' || CAST(doc_id AS VARCHAR) || '.cs' AS file_path, '' AS old_content,
+   {CODE_TEMPLATE} AS new_content, CASE WHEN doc_id % 4 = 0 THEN '// tests of ' || CAST(doc_id AS VARCHAR) ELSE '' END AS existing_test,
+   {request_id('doc_id')} AS request_id, doc_id, lang, text, n_chars, CAST(len(string_split(coalesce(text, ''), chr(10))) AS INTEGER) AS n,
+   CASE WHEN doc_id % 11 = 0 THEN 'internal' ELSE 'public' END AS vis, CASE WHEN doc_id % 11 = 0 THEN 'private' ELSE 'public' END AS ping
+ FROM documents)"""
+
+SQL["manual_run"] = f"""SELECT file_path, status, staging_path, test_path, md5(prompt) AS prompt_md5, md5(generated_code) AS code_md5, error
+FROM ({routing_sql(MANUAL_BASE, True, True)})"""
 
 # --------------------------------------------------------------------------- sources and streams
 SQL["scan_whole_files"] = """SELECT source, md5(text || chr(10)) AS content_md5,

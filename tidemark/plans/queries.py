@@ -434,9 +434,59 @@ def q_change_run(spark, sf):
     return _routed_out(routed_commits(spark, sf), ["repo", "sha"])
 
 
+def processed_commits(spark, sf):
+    """E2's head: commits that a poll saw as a new head (W2 cursor) and that
+    touch a source file (F11), with a run time of their own."""
+    seen = V.commit_cursor(commit_polls(spark, sf), ["repo"], "poll_ts", tiebreak=["poll_order", "poll_line"])
+    gate = FL.commit_has_source_change(TB.commit_files(spark, sf), TB.CODE_EXTENSION).where("has_source_change")
+    c = TB.commit_rows(spark, sf).join(seen.select("repo", "sha").distinct(), ["repo", "sha"], "left_semi").join(gate, ["repo", "sha"], "left_semi")
+    second = F.make_dt_interval(secs=F.pmod("commit_key", F.lit(86_400)))
+    return c.withColumn("run_ts", F.col("committed_at").cast("timestamp") + second)
+
+
+def manifest(spark, sf):
+    """E2 to its sinks: the results table (S7), then the change sets."""
+    commits = materialize(processed_commits(spark, sf), "processed")
+    routed = routed_commits(spark, sf).join(commits.select("repo", "sha"), ["repo", "sha"], "left_semi")
+    made = materialize(routed.where("generated_code is not null"), "generated")
+    return made, R.change_set_manifest(made, commits, TB.BRANCH_PREFIX, TB.MAIN_BRANCH)
+
+
 @query("change_set_manifest")
 def q_change_set_manifest(spark, sf):
-    return R.change_set_manifest(routed_commits(spark, sf), TB.commit_rows(spark, sf), TB.BRANCH_PREFIX)
+    _, m = manifest(spark, sf)
+    return m.select("repo", "sha", "branch", "base_branch", "test_path", F.md5("content").alias("content_md5"), "message", "n_files")
+
+
+@query("review_requests")
+def q_review_requests(spark, sf):
+    return R.review_requests(manifest(spark, sf)[1])
+
+
+@query("commit_results")
+def q_commit_results(spark, sf):
+    """E2's results table: the newest commit's code per repository and test
+    path, upserted in two batches."""
+    made, _ = manifest(spark, sf)
+    made = made.select(F.concat("repo", F.lit("/"), "test_path").alias("test_path"), F.expr("cast(substring(sha, 2) as long)").alias("commit_key"),
+                       "file_path", "generated_code")
+    path = scratch_path(spark, "commit-results")
+    for k in (0, 1):
+        out = R.upsert_results(made.where(F.pmod("commit_key", F.lit(2)) == k), ["commit_key", "file_path"], path)
+    return out.select("test_path", "commit_key", "file_path", F.md5("generated_code").alias("code_md5"))
+
+
+@query("manual_run")
+def q_manual_run(spark, sf):
+    """The manual mode: every source file of the working tree, given by path
+    only; source and existing test come from the tree."""
+    d = TB.read_table(spark, sf, "documents")
+    rows = d.select(F.concat(F.lit("src/"), "source", F.lit("/Doc"), "doc_id", F.lit(".cs")).alias("file_path"), F.lit("").alias("old_content"),
+                    F.lit("").alias("new_content"), F.lit("").alias("existing_test"), TB.request_of(spark, sf, F.col("doc_id")).alias("request_id"))
+    out = R.outcome_routing(rows, ["file_path"], TB.skip_list(spark), CODE_LARGE_LINES, replay=TB.completions(spark, sf),
+                            staging_root=STAGING_ROOT, working_tree=TB.working_tree(spark, sf))
+    return out.select("file_path", "status", "staging_path", "test_path", F.md5("prompt").alias("prompt_md5"),
+                      F.md5("generated_code").alias("code_md5"), "error")
 
 
 @query("review_cycle")
@@ -444,10 +494,13 @@ def q_review_cycle(spark, sf):
     staged = routed_code(spark, sf, prompt_user=True, staging_root=STAGING_ROOT) \
         .filter(F.col("status") == "needs_review")
     ans = TB.approvals(spark, sf)
-    j = staged.join(ans, staged["version"] == ans["doc_id"])
-    return j.select("file_path", "version", "test_path", "staging_path", "answer",
-                    FL.is_approved(F.col("answer")).alias("applied"),
-                    F.md5("generated_code").alias("code_md5"))
+    j = staged.join(ans, staged["version"] == ans["doc_id"]).withColumn("applied", FL.is_approved(F.col("answer")))
+    j = materialize(j, "reviewed")
+    # approved rows go to the results table; each reviewed file shows what it holds for its path
+    kept = R.upsert_results(j.where("applied").select("test_path", "version", "generated_code"), ["version"], scratch_path(spark, "approved"))
+    kept = kept.select("test_path", F.col("version").alias("result_version"))
+    return j.join(kept, "test_path", "left").select("file_path", "version", "test_path", "staging_path", "answer", "applied", "result_version",
+                                                    F.md5("generated_code").alias("code_md5"))
 
 
 # --------------------------------------------------------------------------- sources and streams

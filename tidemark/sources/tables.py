@@ -206,6 +206,17 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
                         provider.alias("provider"), status.alias("http_status"), body.alias("body"))
 
 
+def working_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): one C# file per document, and the test file of every
+    fourth."""
+    d = read_table(spark, sf_dir, "documents")
+    name = F.concat("source", F.lit("/Doc"), "doc_id")
+    code = d.select(F.concat(F.lit("src/"), name, F.lit(".cs")).alias("path"),
+                    code_template(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), F.col("text")).alias("content"))
+    return code.unionByName(d.where(F.pmod("doc_id", F.lit(4)) == 0).select(
+        F.concat(F.lit("tests/"), name, F.lit("Tests.cs")).alias("path"), F.concat(F.lit("// tests of "), "doc_id").alias("content")))
+
+
 def approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, answer): quality 1 answers ``Yes``, 0 answers ``n``."""
     lab = read_table(spark, sf_dir, "labels")
