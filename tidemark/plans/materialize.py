@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from tidemark.session import scratch_path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = scratch_path(spark, name, outer)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

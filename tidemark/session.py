@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -43,7 +44,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
-_scratch: list[str] = []
+#: Scratch folders by scope, the innermost last.
+_scopes: list[list[str]] = [[]]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,17 +63,34 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared folder for one run of one operator."""
+def scratch_path(spark: SparkSession, name: str, outer: bool = False) -> str:
+    """A fresh sub-folder of the shared folder for one run of one operator;
+    ``outer``: it is to outlive the innermost ``scratch_scope``."""
     path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex[:12]}"
-    _scratch.append(path)
+    _scopes[-2 if outer and len(_scopes) > 1 else -1].append(path)
     return path
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Scratch folders made inside are deleted on leaving: for tables that no
+    plan handed out reads any more."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        _delete(spark, _scopes.pop())
+
+
 def release_scratch(spark: SparkSession) -> None:
     """Delete the scratch folders of this process.  Results that still read
     them must have been written or collected before."""
+    _delete(spark, _scopes[0])
+    _scopes[0].clear()
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _scratch:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
