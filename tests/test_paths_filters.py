@@ -8,7 +8,7 @@ from tidemark.sources.tables import SKIP_FILES, skip_list
 
 def tp(spark, path, src="src", tests="tests"):
     df = spark.createDataFrame([(path,)], "p string")
-    return df.select(P.test_path(F.col("p"), F.lit(src), F.lit(tests)).alias("r")).collect()[0]["r"]
+    return P.with_test_path(df, "p", "r", F.lit(src), F.lit(tests)).collect()[0]["r"]
 
 
 def test_test_path_mapping(spark):
@@ -19,7 +19,7 @@ def test_test_path_mapping(spark):
 
 def test_auto_mode_test_path(spark):
     df = spark.createDataFrame([("proj/r1/src/m/a.cs",)], "p string")
-    got = df.select(P.test_path(F.col("p"), F.lit("src"), F.lit("tests"), F.lit("proj/r1"))).collect()[0][0]
+    got = P.with_test_path(df, "p", "r", F.lit("src"), F.lit("tests"), F.lit("proj/r1")).collect()[0]["r"]
     assert got == "proj/r1/tests/m/aTests.cs"
 
 
@@ -29,15 +29,15 @@ def test_staging_path(spark):
 
 def test_repo_from_url(spark):
     u = F.col("v")
-    url = "https://github.com/mockuser/mockrepo.git"
-    assert one(spark, P.repo_owner(u), url) == "mockuser"
-    assert one(spark, P.repo_name(u), url) == "mockrepo"
+    url = "https://host.example/team/tool.git"
+    assert one(spark, P.repo_owner(u), url) == "team"
+    assert one(spark, P.repo_name(u), url) == "tool"
     assert one(spark, P.repo_url_error(u), url) is None
-    assert one(spark, P.repo_url_error(u), "https://github.com/only") == P.INVALID_URL
+    assert one(spark, P.repo_url_error(u), "https://host.example/only") == P.INVALID_URL
 
 
 def test_classify_location(spark):
-    df = spark.createDataFrame([("src/x", True), ("HTTPS://h/a/b", False), ("invalid-path", False)],
+    df = spark.createDataFrame([("src/x", True), ("HTTPS://h/a/b", False), ("nowhere", False)],
                                "loc string, e boolean")
     got = [r[0] for r in df.select(P.classify_location("loc", "e")).collect()]
     assert got == ["local", "remote", "invalid"]

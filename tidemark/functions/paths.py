@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import col, extension, stem
 
+# Fixed value: message for a URL without owner and repository.
 INVALID_URL = "Invalid GitHub repository URL."
 
 
@@ -40,41 +41,29 @@ def directory_name(c) -> Column:
     return F.regexp_extract(col(c), r"^(.*)/[^/]*$", 1)
 
 
-def test_path(file_path, src_folder, tests_folder, project_folder=None) -> Column:
-    """``{tests}/{relative dir}/{stem}Tests{ext}``.  With a project folder
-    (auto mode) both folders are taken under it first."""
-    src, tests = col(src_folder), col(tests_folder)
-    if project_folder is not None:
-        src = combine(project_folder, src)
-        tests = combine(project_folder, tests)
-    rel = relative_path(src, file_path)
-    name = F.concat(stem(rel), F.lit("Tests"), extension(rel))
-    return combine(tests, directory_name(rel), name)
-
-
 def with_test_path(df, path_col: str, out_col: str, src_folder, tests_folder, project_folder=None):
-    """P2 as staged projections: each intermediate (segments, common prefix,
+    """``{tests}/{relative dir}/{stem}Tests{ext}``.  With a project folder
+    (auto mode) both folders are taken under it first.  Staged projections: each intermediate (segments, common prefix,
     relative path) is its own column, so the optimizer keeps one copy of it
     instead of inlining the nested expression at every use (which made the
     generated code too large to compile)."""
-    from pyspark.sql import functions as Fn
     src, tests = col(src_folder), col(tests_folder)
     if project_folder is not None:
         src, tests = combine(project_folder, src), combine(project_folder, tests)
     t = "_tp_"
     d = (df.withColumn(t + "rt", _segments(src)).withColumn(t + "p", _segments(col(path_col)))
            .withColumn(t + "tests", tests))
-    rt, p = Fn.col(t + "rt"), Fn.col(t + "p")
-    m = Fn.least(Fn.size(rt), Fn.size(p))
-    d = d.withColumn(t + "c", Fn.when(m == 0, Fn.lit(0)).otherwise(
-        Fn.size(Fn.filter(Fn.sequence(Fn.lit(1), m), lambda i: Fn.slice(rt, 1, i) == Fn.slice(p, 1, i)))))
-    c = Fn.col(t + "c")
-    joined = Fn.array_join(Fn.concat(Fn.array_repeat(Fn.lit(".."), Fn.size(rt) - c),
-                                     Fn.slice(p, c + 1, Fn.greatest(Fn.size(p) - c, Fn.lit(0)))), "/")
-    d = d.withColumn(t + "rel", Fn.when(joined == "", Fn.lit(".")).otherwise(joined))
-    rel = Fn.col(t + "rel")
-    name = Fn.concat(stem(rel), Fn.lit("Tests"), extension(rel))
-    d = d.withColumn(out_col, combine(Fn.col(t + "tests"), directory_name(rel), name))
+    rt, p = F.col(t + "rt"), F.col(t + "p")
+    m = F.least(F.size(rt), F.size(p))
+    d = d.withColumn(t + "c", F.when(m == 0, F.lit(0)).otherwise(
+        F.size(F.filter(F.sequence(F.lit(1), m), lambda i: F.slice(rt, 1, i) == F.slice(p, 1, i)))))
+    c = F.col(t + "c")
+    joined = F.array_join(F.concat(F.array_repeat(F.lit(".."), F.size(rt) - c),
+                                     F.slice(p, c + 1, F.greatest(F.size(p) - c, F.lit(0)))), "/")
+    d = d.withColumn(t + "rel", F.when(joined == "", F.lit(".")).otherwise(joined))
+    rel = F.col(t + "rel")
+    name = F.concat(stem(rel), F.lit("Tests"), extension(rel))
+    d = d.withColumn(out_col, combine(F.col(t + "tests"), directory_name(rel), name))
     return d.drop(t + "rt", t + "p", t + "tests", t + "c", t + "rel")
 
 
@@ -118,7 +107,7 @@ def branch_name(prefix, run_ts) -> Column:
 
 
 def commit_message(file_path) -> Column:
-    """P6 message text."""
+    """P6 message text (fixed value)."""
     return F.concat(F.lit("Add/update test for "), col(file_path))
 
 

@@ -18,7 +18,6 @@ COMMENT_LINE_RE = r"(?U)^\s*//"
 WS_CHARS = "".join(chr(c) for c in [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
                                      0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 THINK_RE = r"(?s)<think>.*?</think>"
-FENCE_RE = r"(?sU)```(?:\w+)?\s*(.*?)```"
 FIRST_FENCE_RE = r"(?sU)^.*?```(?:\w+)?\s*(.*?)```.*$"
 
 

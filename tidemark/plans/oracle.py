@@ -453,6 +453,7 @@ SQL["language_routing"] = f"""SELECT repo, sha, file_path, {extension('file_path
 FROM {COMMIT_FILES}"""
 
 # --------------------------------------------------------------------------- completions
+# Fixed value: the prompt of the source tool.
 DEFAULT_PROMPT_SQL = ("'Generate xUnit tests for the following code with 100% code coverage. The tests should follow "
                       "the naming convention: MethodName_WhenCondition_ReturnsExpectedResult. Only generate tests for "
                       "public methods and constructors. Do not create tests for interfaces or private methods. If "
