@@ -132,11 +132,13 @@ PIECES = "doc_id long, piece int, first long, n int, ids binary"
 
 def tokenized(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """(doc_id, piece, first, n, ids): pieces of at most ``length`` ids."""
-    ranks = docs.sparkSession.sparkContext.broadcast(vocabulary(p.vocabulary))    # one vocabulary file, a few MB
+    # one vocabulary file, a few MB; a worker keeps a broadcast value from task
+    # to task, and in it the encoder it has built
+    held = docs.sparkSession.sparkContext.broadcast({"ranks": vocabulary(p.vocabulary)})
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("first", pa.int64()), ("n", pa.int32()), ("ids", pa.binary())])
 
     def run(batches):
-        e = encoder(ranks.value)
+        e = held.value.get("encoder") or held.value.setdefault("encoder", encoder(held.value["ranks"]))
         for b in batches:
             out: list[tuple] = []
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
