@@ -20,10 +20,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
     """Write to the shared checkpoint folder and read back (cuts lineage; the
-    reread table has its own exchange in a later join, so AQE can split it)."""
-    return materialize(df, name)
+    reread table has its own exchange in a later join, so AQE can split it).
+    ``outer``: the table outlives the innermost ``scratch_scope``."""
+    return materialize(df, name, outer)
 
 
 def utf8(column: str) -> Column:

@@ -41,7 +41,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import batch, grouped, utf8, written
-from tidemark.llm.components import connected_components
+from tidemark.llm.components import connected_components, own_exchange
+from tidemark.session import scratch_scope
 
 
 @dataclass(frozen=True)
@@ -281,37 +282,46 @@ def components(docs: DataFrame, p: Params) -> DataFrame:
     """(node, h, n_shingles, component) per row of ``docs``."""
     nodes = with_node(docs)
     t = written(sketch(nodes, p), "minhash-sketch")
-    classes = written(t.where("set_key is not null").groupBy("set_key")
-                       .agg(F.min("node").alias("node"), F.first("sig").alias("sig")), "minhash-classes")
-    sigs = classes.select("node", "sig")
-
-    keys = F.transform(F.sequence(F.lit(0), F.lit(p.bands - 1)),
-                       lambda i: F.struct(i.alias("band"), F.xxhash64(i, F.substring("sig", i * (4 * p.rows) + 1, F.lit(4 * p.rows))).alias("key")))
-    banded = classes.select("node", F.explode(keys).alias("x")).select("node", "x.band", "x.key")
-    buckets = written(banded.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("size"), F.min("band").alias("band"))
-                            .where("size > 1"), "minhash-buckets")
-    members = written(banded.select("key", "node").join(buckets, "key"), "minhash-members")
-    texts = written(nodes.drop("h").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node", "text"]), "minhash-texts")
-
-    star = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    passed = written(bayes_filter(star, sigs, p), "minhash-passed")
-    first = written(confirm(passed, texts, p), "minhash-links")
-    found = connected_components(first, "minhash-cc1")
-
-    labelled = written(members.where("size > 2 and node <> leader").join(found, "node", "left")
-                              .withColumn("component", F.coalesce("component", "node")), "minhash-labelled")
-    mixed = (labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-                     .where("x <> y").select("key"))
-    open_ = labelled.join(written(mixed, "minhash-mixed"), "key", "left_semi").join(sigs, "node").join(texts, "node")
-    second = written(cross_component_links(open_, p), "minhash-links2")
-
-    final = connected_components(first.unionByName(second), "minhash-cc2")
-    label = written(classes.select("set_key", "node").join(final, "node", "left")
-                           .select("set_key", F.coalesce("component", "node").alias("component")), "minhash-label")
+    with scratch_scope(docs.sparkSession):          # of all this only the labels are read again
+        classes = written(t.where("set_key is not null").groupBy("set_key")
+                           .agg(F.min("node").alias("node"), F.first("sig").alias("sig")), "minhash-classes")
+        sigs = classes.select("node", "sig")
+
+        keys = F.transform(F.sequence(F.lit(0), F.lit(p.bands - 1)),
+                           lambda i: F.struct(i.alias("band"), F.xxhash64(i, F.substring("sig", i * (4 * p.rows) + 1, F.lit(4 * p.rows))).alias("key")))
+        banded = classes.select("node", F.explode(keys).alias("x")).select("node", "x.band", "x.key")
+        buckets = (banded.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("size"), F.min("band").alias("band"))
+                         .where("size > 1").select(own_exchange("key"), "leader", "size", "band"))
+        members = written(banded.select("key", "node").join(buckets, "key"), "minhash-members")
+        texts = written(nodes.drop("h").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node", "text"]), "minhash-texts")
+
+        star = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+        first = written(confirm(bayes_filter(star, sigs, p), texts, p), "minhash-links")
+        found = connected_components(first, "minhash-cc1")
+
+        labelled = written(members.where("size > 2 and node <> leader").join(found, "node", "left")
+                                  .withColumn("component", F.coalesce("component", "node")), "minhash-labelled")
+        mixed = (labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+                         .where("x <> y").select(own_exchange("key")))
+        open_ = labelled.join(mixed, "key", "left_semi").join(sigs, "node").join(texts, "node")
+        second = written(cross_component_links(open_, p), "minhash-links2")
+
+        # round 2 joins components: the same again, one level up
+        up = connected_components(_relabelled(_relabelled(second, found, "a"), found, "b"), "minhash-cc2")
+        final = found.unionByName(up.select("node", F.col("node").alias("component"))).dropDuplicates(["node"]) \
+                     .join(up.select(F.col("node").alias("component"), F.col("component").alias("over")), "component", "left") \
+                     .select("node", F.coalesce("over", "component").alias("component"))
+        label = written(classes.select("set_key", "node").join(final, "node", "left")
+                               .select("set_key", F.coalesce("component", "node").alias("component")), "minhash-label", outer=True)
     out = t.select("node", "h", "n_shingles", "set_key").join(label, "set_key", "left")
     return out.select("node", "h", "n_shingles", F.coalesce("component", "node").alias("component"))
 
 
+def _relabelled(links: DataFrame, found: DataFrame, end: str) -> DataFrame:
+    label = found.select(F.col("node").alias(end), F.col("component").alias("to"))
+    return links.join(label, end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+
+
 def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> one row per row of ``docs``: doc_id,
     n_shingles, component_id (smallest doc_id reachable over links, itself
@@ -324,6 +334,7 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
 def deduplicated(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """The rows of ``docs`` with one document of each group, all columns as
     they are; of repeated rows (same id, same text) one stays."""
-    gone = written(components(docs, p).where("node <> component").select("node", "h").distinct(), "minhash-gone")
+    with scratch_scope(docs.sparkSession):
+        gone = written(components(docs, p).where("node <> component").select("node", "h").distinct(), "minhash-gone", outer=True)
     rows = docs.select(F.struct("*").alias("row"), node_of("doc_id", "text").alias("node"), F.xxhash64("text").alias("h"))
     return rows.join(gone, ["node", "h"], "left_anti").dropDuplicates(["node", "h"]).select("row.*")
