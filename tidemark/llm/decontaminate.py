@@ -43,6 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import batch, written
+from tidemark.session import scratch_scope
 
 WORDS = re.compile(r"[^\W_]+")
 ANSWER = re.compile(r"\banswer\s*:", re.IGNORECASE)
@@ -247,19 +248,31 @@ def matches(words: list[str], index: Index, checks: dict, p: Params) -> dict[int
     return best
 
 
-def shards(benchmark: DataFrame, p: Params):
+def held_index(shard: dict, p: Params) -> Index:
+    """A worker keeps a broadcast value from task to task, and in it the index
+    it has built."""
+    if "index" not in shard:
+        shard["index"] = Index(shard.pop("parts"), p.block)
+    return shard["index"]
+
+
+def shards(benchmark: DataFrame, p: Params) -> list:
     """Per shard of the index, broadcast: the weighed parts, and per item its
     id, question and answer.  A shard holds about ``shard_bytes`` of text."""
-    spark, parts = benchmark.sparkSession, written(entries(benchmark, p), "decontaminate-index")
-    size = parts.where("part = 0").agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = size // p.shard_bytes + 1
-    for k in range(n if size else 0):
-        rows = parts.where(F.pmod("item", F.lit(n)) == k).orderBy("item", "item_id", "part").collect()
-        if rows:
-            checks = {}
-            for r in rows:
-                checks.setdefault(r["item"], (r["item_id"], *question_and_answer(r["text"])))
-            yield spark.sparkContext.broadcast(([(r["item"], {t["term"]: t["weight"] for t in r["terms"]}) for r in rows], checks))
+    spark, out = benchmark.sparkSession, []
+    with scratch_scope(spark):
+        parts = written(entries(benchmark, p), "decontaminate-index")
+        size = parts.where("part = 0").agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        n = size // p.shard_bytes + 1
+        for k in range(n if size else 0):
+            rows = parts.where(F.pmod("item", F.lit(n)) == k).orderBy("item", "item_id", "part").collect()
+            if rows:
+                checks = {}
+                for r in rows:
+                    checks.setdefault(r["item"], (r["item_id"], *question_and_answer(r["text"])))
+                out.append(spark.sparkContext.broadcast({"checks": checks, "parts": [
+                    (r["item"], {t["term"]: t["weight"] for t in r["terms"]}) for r in rows]}))
+    return out
 
 
 FOUND = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long, last_word long"
@@ -274,8 +287,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) ->
     texts, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), None
     for shard in shards(benchmark, p):
         def run(batches, shard=shard):
-            weighed, checks = shard.value
-            index = Index(weighed, p.block)
+            index, checks = held_index(shard.value, p), shard.value["checks"]
             for b in batches:
                 found = []
                 for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
@@ -294,8 +306,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, p: Params = Params())
     rows = docs.select(F.struct("*").alias("row"))
     for shard in shards(benchmark, p):
         def run(batches, shard=shard):
-            weighed, checks = shard.value
-            index = Index(weighed, p.block)
+            index, checks = held_index(shard.value, p), shard.value["checks"]
             for b in batches:
                 clean = [not matches(words_of(t.as_py()), index, checks, p) for t in b.column("row").field("text")]
                 yield b.filter(pa.array(clean, pa.bool_()))

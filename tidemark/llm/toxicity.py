@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.common import batch, remainder, written
+from tidemark.session import scratch_scope
 
 WORDS = re.compile(r"[^\W_]+")
 QUOTES = '"“”„«»'
@@ -252,21 +253,22 @@ class Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
-    labelled, classes = sample(docs, labels, p)
-    terms = learn_lexicon(labelled, p)
-    if not terms:
-        return Model({}, (), p)
-
-    def run(batches):
-        m = Matcher(terms)
-        for b in batches:
-            got = [features(t, m, p) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("toxic").cast(pa.int64()), pa.array(got, pa.list_(pa.float64()))], names=["y", "x"])
-
-    seen = labelled.mapInArrow(run, "y long, x array<double>").orderBy("y", "x").collect()       # the bounded sample
-    x, y = np.array([r["x"] for r in seen]), np.array([r["y"] for r in seen], float)
-    w = np.where(y == 1, 1 / classes[1][1], 1 / classes[0][1])
-    return Model(terms, tuple(float(v) for v in fit(x, y, w / w.mean())), p)
+    with scratch_scope(docs.sparkSession):
+        labelled, classes = sample(docs, labels, p)
+        terms = learn_lexicon(labelled, p)
+        if not terms:
+            return Model({}, (), p)
+
+        def run(batches):
+            m = Matcher(terms)
+            for b in batches:
+                got = [features(t, m, p) for t in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("toxic").cast(pa.int64()), pa.array(got, pa.list_(pa.float64()))], names=["y", "x"])
+
+        seen = labelled.mapInArrow(run, "y long, x array<double>").orderBy("y", "x").collect()       # the bounded sample
+        x, y = np.array([r["x"] for r in seen]), np.array([r["y"] for r in seen], float)
+        w = np.where(y == 1, 1 / classes[1][1], 1 / classes[0][1])
+        return Model(terms, tuple(float(v) for v in fit(x, y, w / w.mean())), p)
 
 
 def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import written
-from tidemark.session import scratch_path
+from tidemark.session import scratch_path, scratch_scope
 
 LEAST_BYTES = 100
 FILE_BYTES = 32 << 20            # uncompressed payload per archive, about
@@ -216,9 +216,10 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """Write ``pages`` as archives, read them back: page_id, payload_bytes,
     payload_digest, record_type, refers_to per page."""
     spark = pages.sparkSession
-    root = scratch_path(spark, "warc")
-    write_archives(pages, root)
-    recs = written(read_records(spark, root, with_payload=False).drop("payload"), "warc-records")
+    with scratch_scope(spark):
+        root = scratch_path(spark, "warc")
+        write_archives(pages, root)
+        recs = written(read_records(spark, root, with_payload=False).drop("payload"), "warc-records", outer=True)
     page = lambda c: F.expr(f"cast(nullif({c}.fields['pageid'], '') as long)")
     return assemble(recs).select(page("metadata").alias("page_id"), F.col("capture.payload_bytes").alias("payload_bytes"),
                                  F.col("capture.payload_digest").alias("payload_digest"), F.col("capture.type").alias("record_type"),
