@@ -22,11 +22,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.paths import (branch_name, commit_message, repo_path, staging_path,
                                       with_test_path)
-from tidemark.functions.text import basename, blank_coalesce, changed_line_numbers, extension, is_blank, not_blank
+from tidemark.functions.text import basename, blank_coalesce, changed_line_numbers, effective_loc, extension, is_blank, not_blank
 from tidemark.operators import declarations as D
 from tidemark.operators.completion import build_prompt, replay_completions
 from tidemark.operators.filters import is_interface_file, skip_names
-from tidemark.operators.versions import large_file_flag
 from tidemark.plans.materialize import materialize
 from tidemark.plans.ordered import latest_per_key
 
@@ -44,91 +43,111 @@ def not_implemented(ext) -> F.Column:
 
 
 def outcome_routing(changes: DataFrame, keys: Sequence[str], skip: DataFrame, threshold: int,
-                    replay: DataFrame | None = None, completer=None, src_folder: str = "src",
-                    tests_folder: str = "tests", project_folder=None, sample=None,
-                    prompt_user: bool = True, staging_root: str | None = None,
-                    working_tree: DataFrame | None = None) -> DataFrame:
+                    working_tree: DataFrame | None = None, src_folder: str = "src", tests_folder: str = "tests",
+                    project_folder=None, **how) -> DataFrame:
     """R1 over change rows (keys..., file_path, old_content, new_content,
     existing_test, request_id).
 
-    ``replay`` (J8) or ``completer`` (a function DataFrame -> DataFrame adding
-    ``generated``/``completion_error``/``code``, e.g. U2) answers prompts.
     ``working_tree(path, content)``, the output of a whole-file scan, gives the
     source of a row without new content and the existing test of a row without
-    one.
+    one.  The texts are taken out once, by their hash; everything else is
+    ``route_by_id``, which also says what ``how`` holds and what is returned.
+    """
+    c = changes.withColumn("has_new", not_blank("new_content"))
+    if working_tree is not None:
+        c = with_test_path(c, "file_path", "_test_path", F.lit(src_folder), F.lit(tests_folder), project_folder)
+        for path, own in (("file_path", "new_content"), ("_test_path", "existing_test")):
+            c = c.join(working_tree.select(F.col("path").alias(path), F.col("content").alias("_local")), path, "left")
+            c = c.withColumn(own, blank_coalesce(own, "_local")).drop("_local")
+        c = c.drop("_test_path")
+    texts = {"old_id": "old_content", "new_id": "new_content", "test_id": "existing_test"}
+    for i, text in texts.items():
+        c = c.withColumn(i, F.when(not_blank(text), F.sha2(text, 256)))
+    c = materialize(c, "changes")
+    each = F.explode(F.array(*(F.struct(F.col(i).alias("id"), F.col(t).alias("content")) for i, t in texts.items())))
+    distinct = c.select(each.alias("x")).select("x.*").where("id is not null").groupBy("id").agg(F.first("content").alias("content"))
+    return route_by_id(c.drop(*texts.values()), materialize(distinct, "texts"), keys, skip, threshold, src_folder=src_folder,
+                       tests_folder=tests_folder, project_folder=project_folder, **how)
+
+
+def route_by_id(changes: DataFrame, texts: DataFrame, keys: Sequence[str], skip: DataFrame, threshold: int,
+                replay: DataFrame | None = None, completer=None, src_folder: str = "src",
+                tests_folder: str = "tests", project_folder=None, sample=None,
+                prompt_user: bool = True, staging_root: str | None = None) -> DataFrame:
+    """R1 over change rows that name their texts: (keys..., file_path, old_id,
+    new_id, test_id, request_id[, has_new]) and ``texts(id, content)``; a null
+    id is a missing or blank text.
+
+    Every fact of a text (interface, balance, size, declarations) is worked
+    out once per id, changed lines and context once per pair of ids of a large
+    file, and text is joined to the rows that are still open only, to make
+    their prompts.
+
+    ``replay`` (J8) or ``completer`` (a function DataFrame -> DataFrame adding
+    ``generated``/``completion_error``/``code``, e.g. U2) answers prompts.
     Returns keys, file_path, status, test_path, staging_path, prompt,
     generated_code, error.
     """
     keys = list(keys)
     fp = [] if "file_path" in keys else ["file_path"]
     names = skip_names(skip)
-    c = changes
-    if working_tree is not None:
-        c = with_test_path(c, "file_path", "_test", F.lit(src_folder), F.lit(tests_folder), project_folder)
-        for path, own, out in (("file_path", "new_content", "_local"), ("_test", "existing_test", "_local_test")):
-            c = c.join(working_tree.select(F.col("path").alias(path), F.col("content").alias(out)), path, "left")
-            c = c.withColumn(out, blank_coalesce(own, out))
-        c = c.withColumn("existing_test", F.col("_local_test")).drop("_test", "_local_test")
-    else:
-        c = c.withColumn("_local", F.col("new_content"))
-    c = (c.withColumn("source", F.when(not_blank("_local"), F.col("_local"))).drop("_local")
-                .join(names, F.lower(basename(F.col("file_path"))) == F.col("_skip_name"), "left")
-                .withColumn("skipped", F.col("_skip_name").isNotNull()).drop("_skip_name"))
+    c = changes if "has_new" in changes.columns else changes.withColumn("has_new", F.col("new_id").isNotNull())
+    c = (c.join(names, F.lower(basename(F.col("file_path"))) == F.col("_skip_name"), "left")
+          .withColumn("skipped", F.col("_skip_name").isNotNull()).drop("_skip_name"))
     c = c.withColumn("_ext", extension(F.col("file_path"))).withColumn("_route", D.language_route(F.col("_ext")))
-    scanned = ~F.col("skipped") & F.col("source").isNotNull() & ~F.col("_iface") & (F.col("_route") == "supported")
-    # every flag is computed once, here; rows decided by a cheap one are not scanned for braces or size
-    c = c.withColumn("_iface", F.coalesce(is_interface_file(F.col("source")), F.lit(False))).withColumn("_scan", scanned)
-    c = (c.withColumn("_balanced", F.when(F.col("_scan"), D.braces_balance(F.col("source"))).otherwise(F.lit(True)))
-          .withColumn("_large", F.col("_scan") & not_blank("new_content")
-                                & large_file_flag(F.col("source"), F.col("old_content"), threshold))
-          .withColumn("content_id", F.when(F.col("_scan"), F.sha2(F.col("source"), 256))))
-    c = materialize(c, "changes")          # feeds the branches below
-
-    # declarations, content-addressed: each distinct text is scanned once
-    # (copies of a file across commits share one scan) and kept as positions
-    todo = c.filter("_scan and _balanced")
-    uniq = todo.groupBy("content_id").agg(F.first("source").alias("content"))
-    decls = materialize(D.declarations(uniq, ["content_id"], with_text=False), "declarations")
+
+    # facts per text, of the texts that some row still needs
+    wanted = c.where("not skipped and new_id is not null").groupBy(F.col("new_id").alias("id")) \
+              .agg(F.bool_or(F.col("_route") == "supported").alias("parsed"))
+    t = texts.join(wanted, "id").withColumn("iface", is_interface_file("content"))
+    t = t.withColumn("parsed", F.col("parsed") & ~F.col("iface"))
+    t = t.withColumn("balanced", F.when(F.col("parsed"), D.braces_balance("content")).otherwise(F.lit(True)))
+    facts = t.withColumn("big", F.col("parsed") & (effective_loc("content") > F.lit(threshold)))
+    facts = materialize(facts.select("id", "iface", "parsed", "balanced", "big"), "facts")
+    parsed = texts.join(facts.where("parsed and balanced").select("id"), "id", "left_semi")
+    decls = materialize(D.declarations(parsed, ["id"], with_text=False), "declarations")
     public = (decls.filter((F.col("kind") == "method") & F.col("is_public") & (F.col("parent_kind") == "class"))
-                   .groupBy("content_id").agg(F.count(F.lit(1)).alias("n_public")))
-
-    # changed lines, affected methods and context only for large files
-    large = todo.filter("_large")
-    changed = large.select(*keys, changed_line_numbers(F.col("old_content"), F.col("source")).alias("changed_lines"))
-    of_large = decls.join(large.select(*keys, "content_id"), "content_id").drop("content_id")
-    hit = D.methods_around_lines(of_large, changed, keys)
-    ctx = D.context_assembly(of_large, large, hit, keys, content="source")
-    n_hit = hit.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_affected"))
-
-    c = c.join(public, "content_id", "left").join(n_hit, keys, "left").join(ctx, keys, "left")
-    large, route, ext = F.col("_large"), F.col("_route"), F.col("_ext")
-    pre = (F.when(F.col("skipped"), F.lit("skipped_listed"))
-           .when(F.col("source").isNull(), F.lit("error"))
-           .when(F.col("_iface"), F.lit("skipped_interface"))
-           .when((route != "supported") | ~F.col("_balanced"), F.lit("error"))
-           .when(F.coalesce(F.col("n_public"), F.lit(0)) == 0, F.lit("no_public_methods"))
-           .when(large & (F.coalesce(F.col("n_affected"), F.lit(0)) == 0), F.lit("no_affected_methods")))
-    pre_error = (F.when(F.col("skipped"), F.lit(None).cast("string"))
-                 .when(F.col("source").isNull(), F.lit("source file not found"))
-                 .when(F.col("_iface"), F.lit(None).cast("string"))
-                 .when(route == "unsupported", unsupported(ext))
-                 .when(route == "not_implemented", not_implemented(ext))
-                 .when(~F.col("_balanced"), F.lit(D.UNBALANCED)))
+                   .groupBy("id").agg(F.count(F.lit(1)).alias("n_public")))
+    known = facts.join(public, "id", "left").withColumnRenamed("id", "new_id")
+    c = c.join(known, "new_id", "left").withColumn("_large", F.coalesce(F.col("big") & F.col("has_new") & F.col("old_id").isNotNull(), F.lit(False)))
+    c = materialize(c, "known")
+
+    # changed lines, affected methods and context per pair of texts of a large file
+    pair = ["old_id", "new_id"]
+    content = lambda i: texts.select(F.col("id").alias(i), F.col("content").alias(f"{i}_text"))
+    large = c.where("_large and n_public > 0").select(*pair).distinct().join(content("old_id"), "old_id").join(content("new_id"), "new_id")
+    large = materialize(large.withColumn("changed_lines", changed_line_numbers(F.col("old_id_text"), F.col("new_id_text"))).drop("old_id_text"), "large")
+    of_large = decls.withColumnRenamed("id", "new_id").join(large.select(*pair), "new_id")
+    hit = D.methods_around_lines(of_large, large, pair)
+    ctx = D.context_assembly(of_large, large, hit, pair, content="new_id_text")
+    n_hit = hit.groupBy(*pair).agg(F.count(F.lit(1)).alias("n_affected"))
+    c = c.join(n_hit, pair, "left")
+
+    route, ext = F.col("_route"), F.col("_ext")
+    status = (F.when(F.col("skipped"), F.lit("skipped_listed"))
+              .when(F.col("new_id").isNull(), F.lit("error"))
+              .when(F.col("iface"), F.lit("skipped_interface"))
+              .when((route != "supported") | ~F.col("balanced"), F.lit("error"))
+              .when(F.coalesce(F.col("n_public"), F.lit(0)) == 0, F.lit("no_public_methods"))
+              .when(F.col("_large") & (F.coalesce(F.col("n_affected"), F.lit(0)) == 0), F.lit("no_affected_methods")))
+    error = (F.when(F.col("status") != "error", F.lit(None).cast("string"))
+             .when(F.col("new_id").isNull(), F.lit("source file not found"))
+             .when(route == "unsupported", unsupported(ext))
+             .when(route == "not_implemented", not_implemented(ext))
+             .when(~F.col("balanced"), F.lit(D.UNBALANCED)))
+    c = c.withColumn("status", status).withColumn("error", error)
     c = with_test_path(c, "file_path", "test_path", F.lit(src_folder), F.lit(tests_folder), project_folder)
-    existing = F.when(not_blank("existing_test"), F.col("existing_test")).otherwise(F.lit(""))
-    method_code = F.when(large, F.col("context")).otherwise(F.col("source"))
-    c = c.withColumn("status", pre).withColumn("error", pre_error).withColumn("_code", method_code)
-    c = c.select(*keys, *fp, "request_id", "status", "error",
-                 "test_path", build_prompt(F.col("_code"), existing, sample).alias("prompt"))
-
-    done = c.filter(F.col("status").isNotNull()).select(
-        *keys, *fp, "status", "test_path", F.lit(None).cast("string").alias("prompt"),
-        F.lit(None).cast("string").alias("generated_code"), "error")
-    todo = c.filter(F.col("status").isNull()).drop("status", "error")
-    if completer is not None:
-        answered = completer(todo)
-    else:
-        answered = replay_completions(todo, replay)
+    c = materialize(c.select(*keys, *fp, "request_id", "old_id", "new_id", "test_id", "_large", "status", "error", "test_path"), "routed")
+
+    nothing = F.lit(None).cast("string")
+    done = c.filter(F.col("status").isNotNull()).select(*keys, *fp, "status", "test_path", nothing.alias("prompt"),
+                                                        nothing.alias("generated_code"), "error")
+    todo = c.filter(F.col("status").isNull()).drop("status", "error").join(content("new_id"), "new_id").join(content("test_id"), "test_id", "left") \
+            .join(ctx, pair, "left")
+    code = F.when(F.col("_large"), F.col("context")).otherwise(F.col("new_id_text"))
+    todo = todo.select(*keys, *fp, "request_id", "test_path",
+                       build_prompt(code, F.coalesce("test_id_text", F.lit("")), sample).alias("prompt"))
+    answered = completer(todo) if completer is not None else replay_completions(todo, replay)
     final = (F.when(F.col("completion_error").isNotNull(), F.lit("error"))
              .when(is_blank("code"), F.lit("empty_response"))
              .otherwise(F.lit("needs_review" if prompt_user else "auto_applied")))
@@ -136,7 +155,7 @@ def outcome_routing(changes: DataFrame, keys: Sequence[str], skip: DataFrame, th
                                F.when(~is_blank("code"), F.col("code")).alias("generated_code"),
                                F.col("completion_error").alias("error"))
     out = done.unionByName(answered)
-    stage = F.lit(None).cast("string") if staging_root is None else \
+    stage = nothing if staging_root is None else \
         F.when(F.col("generated_code").isNotNull(), staging_path(F.col("test_path"), F.lit(staging_root)))
     return out.withColumn("staging_path", stage)
 

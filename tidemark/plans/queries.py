@@ -414,10 +414,12 @@ def q_upsert_results(spark, sf):
 
 
 def commit_change_rows(spark, sf):
-    blobs = materialize(TB.blobs(spark, sf), "blobs")   # read three times below
+    """E1 and J4 on ids of texts: (keys, old_id, new_id, test_id, request_id)."""
+    blobs = materialize(TB.blob_ids(spark, sf), "blob-ids")   # read three times below
     e = before_after(spark, sf, blobs)
     e = C.existing_tests(e, blobs, TB.SRC_FOLDER, TB.TESTS_FOLDER)
-    return e.select("repo", "sha", "file_path", "old_content", "new_content", "existing_test",
+    return e.select("repo", "sha", "file_path", *(F.nullif(F.col(c), F.lit("")).alias(i) for c, i in (
+                        ("old_content", "old_id"), ("new_content", "new_id"), ("existing_test", "test_id"))),
                     TB.request_of(spark, sf, F.col("l_partkey")).alias("request_id"))
 
 
@@ -425,8 +427,9 @@ COMMIT_KEYS = ["repo", "sha", "file_path"]
 
 
 def routed_commits(spark, sf):
-    return R.outcome_routing(commit_change_rows(spark, sf), COMMIT_KEYS, TB.skip_list(spark), CODE_LARGE_LINES,
-                             replay=TB.completions(spark, sf), prompt_user=True, staging_root=STAGING_ROOT)
+    texts = materialize(TB.code_texts(spark, sf), "code-texts")
+    return R.route_by_id(commit_change_rows(spark, sf), texts, COMMIT_KEYS, TB.skip_list(spark), CODE_LARGE_LINES,
+                         replay=TB.completions(spark, sf), prompt_user=True, staging_root=STAGING_ROOT)
 
 
 @query("change_run")

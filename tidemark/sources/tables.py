@@ -164,6 +164,22 @@ def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cf.join(code, F.pmod(cf["l_partkey"], F.lit(last + 1)) == code["doc_id"]).select("repo", "sha", "file_path", "content")
 
 
+def blob_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``blobs`` with the id of the text in place of the text."""
+    cf = commit_files(spark, sf_dir).filter(F.col("status") != "removed")
+    d = read_table(spark, sf_dir, "documents").select("doc_id")
+    last = d.agg(F.max("doc_id")).first()[0] or 0
+    return (cf.withColumn("doc_id", F.pmod("l_partkey", F.lit(last + 1))).join(d, "doc_id", "left_semi")
+              .select("repo", "sha", "file_path", F.col("doc_id").cast("string").alias("content")))
+
+
+def code_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, content): the code file of every document."""
+    d = read_table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").cast("string").alias("id"),
+                    code_template(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), F.col("text")).alias("content"))
+
+
 # --------------------------------------------------------------------------- completions
 def completion_text(conv_id, turn, text) -> F.Column:
     """Wrap an assistant turn by a fixed rule into fenced / think / plain /
