@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from conftest import one
+from tests.helpers import one
 from tidemark.functions import paths as P
 from tidemark.operators import filters as FL
 from tidemark.sources.tables import SKIP_FILES, skip_list
