@@ -95,3 +95,29 @@ def test_without_toxic_keeps_clean_rows_and_columns(spark, docs):
     left = {r["doc_id"] for r in out.collect()}
     assert {i for i, _, t in labels if not t} <= left and 900 in left
     assert len(left & {i for i, _, t in labels if t}) <= 3
+
+
+def misspelled(word):
+    return {word[:i] + c + word[i + 1:] for i in range(len(word)) for c in ("", "0")}
+
+
+def test_learned_words_are_found_misspelled(spark):
+    rows, labels = corpus(900)
+    df = spark.createDataFrame([(t, bad) for (_, t), (_, _, bad) in zip(rows, labels, strict=True)], "text string, toxic int")
+    p = X.Params()
+    terms = X.learn_lexicon(df, p)
+    m = X.Matcher(terms, X.learn_edits(df, terms, p))
+    assert {"moron", "worthless", "scum", "scumbag"} <= set(terms)
+    assert all(m.match(v) for w in ("moron", "worthless", "scumbag") for v in misspelled(w))
+
+
+def test_stems_only_where_they_add_and_with_edits():
+    p = X.Params()
+    found = [("mor*", 40, 5.0), ("moron", 40, 5.0), ("grusel*", 30, 4.0), ("gruselei", 8, 3.0), ("gruselich", 4, 2.0)]
+    assert X.choose(found, p) == {"moron": 5.0, "grusel*": 4.0, "gruselei": 3.0}
+    m = X.Matcher({"grusel*": 4.0, "mor*": 2.0})
+    for word in ("gruselhaft", "gru5elhaft", "gruelhaft", "grxuselhaft", "grus", "gru55lhaft", "morx", "moxr"):
+        far = min(distance(word[:k], "grusel") for k in range(len(word) + 1))
+        want = ("mor*", 0) if word.startswith("mor") else ("grusel*", far) if far <= 1 else None
+        assert m.match(word) == want
+    assert X.Matcher({"moron": 3.0}, {"moron": 0}).match("m0ron") is None

@@ -1,10 +1,12 @@
 """Toxicity by a fuzzy lexicon and its context.
 
 1. ``learn_lexicon``: terms (whole words, or stems written ``stem*``) whose
-   document frequency among toxic rows is a multiple of that among clean rows;
-   of a chain of prefixes only the most telling one stays.
+   document frequency among toxic rows is a multiple of that among clean rows.
+   A stem counts only where it has clearly more toxic rows than any one word
+   of it, and one of a chain of stems stays; a word stays unless a stem taken
+   makes it needless.
 2. ``Matcher``: the terms in a trie, intersected with Levenshtein automata
-   (up to 1 edit from 5 letters on, 2 from 8 on; stems exactly).  The product
+   (up to 1 edit from 5 letters on, 2 from 8 on, stems too).  The product
    is determinised lazily: a state is the set of (trie node, edits) reached,
    and most words leave the automaton after a few letters.
 3. ``features``: each hit counts its term's weight, less per edit, times a
@@ -28,7 +30,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -50,13 +52,18 @@ ADDRESS = frozenset("you your yours youre u du dich dein ihr tu toi vous eres us
 @dataclass(frozen=True)
 class Params:
     """``lift``: least ratio of a term's rates; ``support``: least part of the
-    toxic sample that holds it; ``window``: words on either side of a hit."""
+    toxic sample that holds it; ``adds``: least multiple of its best word's
+    toxic rows that a stem has; ``word_part``: least part of a stem's toxic
+    rows with which a word of it stays; ``window``: words on either side of a
+    hit."""
 
     sample_rows: int = 4000
     lift: float = 6.0
     support: float = 0.004
     max_terms: int = 300
     stems: tuple[int, int] = (3, 8)
+    adds: float = 1.25
+    word_part: float = 0.25
     window: int = 6
     reported: float = 0.3
     addressed: float = 1.3
@@ -64,17 +71,21 @@ class Params:
 
 
 def edits_allowed(term: str) -> int:
-    return 0 if term.endswith("*") or len(term) < 5 else 1 if len(term) < 8 else 2
+    letters = len(term.removesuffix("*"))
+    return 0 if letters < 5 else 1 if letters < 8 else 2
 
 
 class Matcher:
-    """Best lexicon term for a word: (term, edits), or None."""
+    """Best lexicon term for a word: (term, edits), or None.  A stem is held
+    against every beginning of the word; at equal edits a word goes first."""
 
-    def __init__(self, terms: dict[str, float]):
+    def __init__(self, terms: dict[str, float], edits: dict[str, int] | None = None):
+        """``edits``: most edits of a term, where fewer than its length allows."""
         self.terms = terms
+        self.allowed = allowed = {t: (edits or {}).get(t, edits_allowed(t)) for t in terms}
         self.child, self.full, self.stem, self.room = [{}], {}, {}, [0]
         for term in sorted(terms):
-            at, most = 0, edits_allowed(term)
+            at, most = 0, allowed[term]
             self.room[0] = max(self.room[0], most)
             for c in term.removesuffix("*"):
                 if c not in self.child[at]:
@@ -103,8 +114,8 @@ class Matcher:
             self.states[key] = len(self.sets)
             self.sets.append(reached)
             self.next.append({})
-            ends = [(e, self.full[n]) for n, e in reached.items() if n in self.full and e <= edits_allowed(self.full[n])]
-            stems = [(0, self.stem[n]) for n, e in reached.items() if n in self.stem and e == 0]
+            ends = [(e, 0, self.full[n]) for n, e in reached.items() if n in self.full and e <= self.allowed[self.full[n]]]
+            stems = [(e, 1, self.stem[n]) for n, e in reached.items() if n in self.stem and e <= self.allowed[self.stem[n]]]
             self.found.append((min(ends, default=None), min(stems, default=None)))
         return self.states[key]
 
@@ -135,13 +146,13 @@ class Matcher:
             state = after
             if state < 0:
                 break
-            if best is None and self.found[state][1]:
+            if self.found[state][1] and (best is None or self.found[state][1] < best):
                 best = self.found[state][1]
-        if state >= 0 and self.found[state][0]:
-            best = self.found[state][0] if best is None else min(best, self.found[state][0])
+        if state >= 0 and self.found[state][0] and (best is None or self.found[state][0] < best):
+            best = self.found[state][0]
         if len(self.memo) >= 400_000:
             self.memo.clear()
-        self.memo[word] = (best[1], best[0]) if best else None
+        self.memo[word] = (best[2], best[0]) if best else None
         return self.memo[word]
 
 
@@ -215,15 +226,61 @@ def learn_lexicon(labelled: DataFrame, p: Params) -> dict[str, float]:
                      .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).withColumn("lift", lift)
                      .where((F.col("toxic") >= max(3, p.support * sizes[1])) & (F.col("lift") >= p.lift))
                      .withColumn("worth", F.col("toxic") * F.log("lift"))
-                     .orderBy(F.desc("worth"), F.length("term"), "term").limit(40 * p.max_terms).collect())
+                     .orderBy(F.desc("worth"), F.desc(F.length("term")), "term").limit(40 * p.max_terms).collect())
+    return choose([(r["term"], r["toxic"], math.log(r["lift"])) for r in found], p)
+
+
+def choose(found: list[tuple[str, int, float]], p: Params) -> dict[str, float]:
+    """Of (term, toxic documents, weight), worthiest first: the stems that add
+    clearly to each of their words, one of a chain, and the words, save those
+    that tell only a small part of a stem taken."""
+    best: dict[str, int] = {}                                     # stem -> most toxic documents of one word of it
+    for term, toxic, _ in found:
+        for k in range(p.stems[0], 0 if term.endswith("*") else len(term)):
+            best[term[:k]] = max(best.get(term[:k], 0), toxic)
     kept: dict[str, float] = {}
-    for r in found:
-        bare = r["term"].removesuffix("*")
-        if len(kept) < p.max_terms and not any(k.startswith(bare) or bare.startswith(k) for k in (x.removesuffix("*") for x in kept)):
-            kept[r["term"]] = math.log(r["lift"])
+    chains: dict[str, int] = {}                                   # stem taken -> its toxic documents
+    for term, toxic, weight in found:
+        bare = term.removesuffix("*")
+        if len(kept) >= p.max_terms:
+            break
+        if term.endswith("*"):
+            if toxic >= p.adds * best.get(bare, 0) and not any(k.startswith(bare) or bare.startswith(k) for k in chains):
+                chains[bare] = toxic
+                kept[term] = weight
+        elif not any(bare.startswith(k) and toxic < p.word_part * n for k, n in chains.items()):
+            kept[term] = weight
     return kept
 
 
+def learn_edits(labelled: DataFrame, terms: dict[str, float], p: Params) -> dict[str, int]:
+    """Most edits of the terms whose misspellings are other words: as many as
+    the term stays telling with, all rows found by it taken together."""
+    schema = pa.schema([("term", pa.string()), ("edits", pa.int32()), ("toxic", pa.int64()), ("clean", pa.int64())])
+
+    def count(batches):
+        m = Matcher(terms)
+        for b in batches:
+            by = (Counter(), Counter())
+            for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
+                by[toxic].update({h for w in set(WORDS.findall(text.lower())) if (h := m.match(w))} if text else ())
+            names = list(by[0].keys() | by[1].keys())
+            yield batch(schema, [[t for t, _ in names], [e for _, e in names], [by[1][n] for n in names], [by[0][n] for n in names]])
+
+    sizes = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    found = (labelled.mapInArrow(count, "term string, edits int, toxic long, clean long").groupBy("term", "edits")
+                     .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).collect())
+    most: dict[str, int] = {}
+    rows: dict[str, list[int]] = {}
+    for r in sorted(found, key=lambda r: (r["term"], r["edits"])):
+        have = rows.setdefault(r["term"], [0, 0])
+        have[0] += r["toxic"]
+        have[1] += r["clean"]
+        if r["edits"] and (have[0] + 0.5) / (sizes[1] + 1) < p.lift * (have[1] + 0.5) / (sizes[0] + 1):
+            most.setdefault(r["term"], r["edits"] - 1)
+    return most
+
+
 def fit(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
     """Weighted logistic regression by Newton steps; intercept last."""
     x = np.column_stack([x, np.ones(len(x))])
@@ -244,6 +301,10 @@ class Model:
     terms: dict
     coefficients: tuple
     params: Params
+    edits: dict = field(default_factory=dict)
+
+    def matcher(self) -> Matcher:
+        return Matcher(self.terms, self.edits)
 
     def score(self, text: str | None, m: Matcher) -> float:
         if not self.coefficients:
@@ -258,9 +319,10 @@ def learn(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
         terms = learn_lexicon(labelled, p)
         if not terms:
             return Model({}, (), p)
+        edits = learn_edits(labelled, terms, p)
 
         def run(batches):
-            m = Matcher(terms)
+            m = Matcher(terms, edits)
             for b in batches:
                 got = [features(t, m, p) for t in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("toxic").cast(pa.int64()), pa.array(got, pa.list_(pa.float64()))], names=["y", "x"])
@@ -268,7 +330,7 @@ def learn(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
         seen = labelled.mapInArrow(run, "y long, x array<double>").orderBy("y", "x").collect()       # the bounded sample
         x, y = np.array([r["x"] for r in seen]), np.array([r["y"] for r in seen], float)
         w = np.where(y == 1, 1 / classes[1][1], 1 / classes[0][1])
-        return Model(terms, tuple(float(v) for v in fit(x, y, w / w.mean())), p)
+        return Model(terms, tuple(float(v) for v in fit(x, y, w / w.mean())), p, edits)
 
 
 def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
@@ -277,7 +339,7 @@ def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     df = docs.select(F.struct(*keep).alias("row"), *([] if "text" in keep else ["text"]))
 
     def run(batches):
-        m = Matcher(model.terms)
+        m = model.matcher()
         for b in batches:
             row = b.column("row")
             s = [model.score(t.as_py(), m) for t in (row.field("text") if "text" in keep else b.column("text"))]
