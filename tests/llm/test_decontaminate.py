@@ -103,3 +103,27 @@ def test_edge_cases(spark, docs):
     assert sorted(str(r["doc_id"]) for r in left) == ["1", "2", "3"]
     assert D.contaminated(docs([]), frame(spark, bench)).count() == 0
     assert D.contaminated(docs(rows), frame(spark, [])).count() == 0 and D.decontaminated(docs(rows), frame(spark, [])).count() == len(rows)
+
+
+def test_one_changed_word_is_found_in_items_without_marks():
+    p, rnd = D.Params(), random.Random(7)
+    rows = [(i, " ".join(f"v{rnd.randrange(3000)}" for _ in range(n)) + tail) for i, n in enumerate((8, 12, 17, 23, 28, 40, 70))
+            for tail in (".", ". and so it ended there.")]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    index, checks = D.Index(weighed(rows, p), p.block), {i: (i, *D.question_and_answer(t)) for i, t in rows}
+    around = ["filler"] * 50
+    for i, t in rows:
+        w = D.words_of(t)
+        for k in range(len(w)):
+            for edited in (w[:k] + ["changed"] + w[k + 1:], w[:k] + w[k + 1:], w[:k] + ["added"] + w[k:]):
+                assert i in D.matches(around + edited + around, index, checks, p), (i, k)
+        assert i not in D.matches(around + w[:len(w) // 2] + around, index, checks, p)
+        assert i not in D.matches(around + w[::-1] + around, index, checks, p)
+    whole = rows[-1][1]
+    assert 13 in D.matches(D.words_of(whole[:whole.rindex(" and so")]), index, checks, p)          # lacks the last sentence
+
+
+def test_question_and_answer_only_where_marked():
+    assert D.question_and_answer("one two three. four five") == (["one", "two", "three", "four", "five"], [])
+    assert D.question_and_answer("one two three. is it four?") == (["one", "two", "three", "is", "it", "four"], [])
+    assert D.in_order("a b c d e".split(), "x a b y d e z".split()) == 0.8

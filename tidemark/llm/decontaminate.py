@@ -12,16 +12,19 @@ whole in one of them, and every passage is a query:
 * the other runs are searched by block-max WAND (pivot on list maxima, then on
   the maxima of the blocks at the pivot), which retrieves *every* part at or
   above the threshold, not a top k;
-* around each retrieved part, the item's question and answer are checked: the
-  share of their word shingles (five words, or all of a shorter text) that the
-  neighbourhood of the passage holds must reach ``overlap`` for both.
+* around each retrieved part, the whole item is checked, or its question and
+  its answer where it has both: the share of their word shingles that the
+  neighbourhood of the passage holds must reach ``overlap`` (for both).  One
+  changed word takes five shingles, so for a text of few words the share of
+  its words that the best stretch holds in order counts, too.
 
 The index is read in shards of at most ``shard_bytes`` of item text; each
 shard goes to the tasks with one pass over the texts.  Document frequencies
 and lengths are of the whole benchmark, so shards change nothing but memory.
 
-An item's answer is what follows the last ``answer:`` or else the last ``?``,
-or else its last sentence; an item of one sentence is all question.
+An item's answer is what follows the last ``answer:`` or else the last ``?``;
+an item without these marks, or with nothing on one side of them, is checked
+as a whole.
 
 Edge cases: null or empty texts and items match nothing; items of fewer than
 ``least_words`` words are too short to be evidence and are not indexed; a null
@@ -47,7 +50,6 @@ from tidemark.session import scratch_scope
 
 WORDS = re.compile(r"[^\W_]+")
 ANSWER = re.compile(r"\banswer\s*:", re.IGNORECASE)
-SENTENCE_END = re.compile(r"[.!?\n]+\s*(?=\S)")
 
 
 @dataclass(frozen=True)
@@ -68,13 +70,13 @@ def words_of(text: str | None) -> list[str]:
 
 
 def question_and_answer(text: str) -> tuple[list[str], list[str]]:
+    """The answer is empty where an item does not have both."""
     at = [m.end() for m in ANSWER.finditer(text)]
-    cut = at[-1] if at else text.rfind("?") + 1
-    if not words_of(text[cut:]) or not words_of(text[:cut]):
-        ends = [m.end() for m in SENTENCE_END.finditer(text)]
-        cut = ends[-1] if ends else len(text)
-    question, answer = words_of(text[:cut]), words_of(text[cut:])
-    return (question, answer) if question else (answer, question)
+    for cut in (at[-1] if at else 0, text.rfind("?") + 1):
+        question, answer = words_of(text[:cut]), words_of(text[cut:])
+        if question and answer:
+            return question, answer
+    return words_of(text), []
 
 
 # -- the index --------------------------------------------------------------
@@ -197,13 +199,42 @@ def _shingles(w: list[str], k: int) -> set[tuple]:
     return {tuple(w[i:i + k]) for i in range(len(w) - k + 1)} if k else set()
 
 
-def contained(part: list[str], words: list[str], k: int) -> float:
-    """Share of the shingles of ``part`` that ``words`` holds."""
+def in_order(part: list[str], words: list[str]) -> float:
+    """Share of ``part`` that the best stretch of ``words`` holds: 1 less its
+    word edits (changed, left out or put in) a word."""
+    known, start = set(part), list(range(len(part) + 1))
+    row, best, far = start, len(part), 0
+    for w in words:
+        if w not in known:
+            far += 1
+            if far > len(part):                                  # nothing reaches over so many other words
+                row = start
+                continue
+        else:
+            far = 0
+        new, left = [0], 0
+        for j, x in enumerate(part):
+            left = min(row[j] + (x != w), row[j + 1] + 1, left + 1)
+            new.append(left)
+        row = new
+        best = min(best, left)
+    return 1 - best / len(part)
+
+
+def contained(part: list[str], words: list[str], k: int, overlap: float = 0.8) -> float:
+    """Share of the shingles of ``part`` that ``words`` holds; of a part so
+    short that one changed word would bring it under ``overlap``, the share of
+    its words in order if that is more and can spare a word."""
     own = _shingles(part, k)
     if not own:
         return 1.0
-    k = min(k, len(part))
-    return len(own & _shingles(words, k) if len(words) >= k else set()) / len(own)
+    least = min(k, len(part))
+    share = len(own & _shingles(words, least) if len(words) >= least else set()) / len(own)
+    n = len(part)
+    spare = 1 - 1 / n >= overlap - 1e-9
+    if share < overlap and spare and n - least + 1 - k < overlap * (n - least + 1):
+        share = max(share, in_order(part, words))
+    return share
 
 
 #: Passages whose bounds are summed in one piece; only speed depends on it.
@@ -242,8 +273,8 @@ def matches(words: list[str], index: Index, checks: dict, p: Params) -> dict[int
         _, question, answer = checks[item]
         first, last = max(0, s - len(question) - len(answer)), min(len(words), e + len(question) + len(answer))
         near = words[first:last]
-        q, a = contained(question, near, p.shingle), contained(answer, near, p.shingle)
-        if q >= p.overlap and a >= p.overlap:
+        q, a = (contained(x, near, p.shingle, p.overlap) for x in (question, answer))
+        if q >= p.overlap - 1e-9 and a >= p.overlap - 1e-9:
             best[item] = (score, q, a, first, last)
     return best
 
