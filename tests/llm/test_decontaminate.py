@@ -127,3 +127,11 @@ def test_question_and_answer_only_where_marked():
     assert D.question_and_answer("one two three. four five") == (["one", "two", "three", "four", "five"], [])
     assert D.question_and_answer("one two three. is it four?") == (["one", "two", "three", "is", "it", "four"], [])
     assert D.in_order("a b c d e".split(), "x a b y d e z".split()) == 0.8
+
+
+def test_short_items_and_scripts_without_spaces(spark, docs):
+    bench = [(1, "Who was first? Ada"), (2, "blue whale"), (3, "日本の首都はどこですか 東京です"), (4, "ประเทศไทย"), (5, "yes")]
+    rows = [(1, "they ask who was first, Ada said so"), (2, "a whale so blue"), (3, "see the blue whale there"), (4, "問題 日本の首都はどこですか 東京です 終"), (5, "who was first then? not Ada"),
+            (6, "ยินดี ประเทศไทย ครับ"), (7, "日本の東京"), (8, "yes")]
+    got = sorted((r["doc_id"], r["item_id"]) for r in D.contaminated(docs(rows), frame(spark, bench)).collect())
+    assert got == [(1, 1), (3, 2), (4, 3), (6, 4)]

@@ -27,7 +27,8 @@ an item without these marks, or with nothing on one side of them, is checked
 as a whole.
 
 Edge cases: null or empty texts and items match nothing; items of fewer than
-``least_words`` words are too short to be evidence and are not indexed; a null
+``least_words`` words must be held word for word, without a gap; one word alone
+is no evidence and not indexed; in scripts without spaces letters are words; a null
 id on either side is kept; repeated rows or items give repeated result rows;
 an empty benchmark or table gives an empty result.
 """
@@ -48,7 +49,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import batch, written
 from tidemark.session import scratch_scope
 
-WORDS = re.compile(r"[^\W_]+")
+#: Scripts without spaces between words (Thai, Lao, Tibetan, Burmese, Khmer, kana, Han): every letter is a word.
+UNSPACED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORDS = re.compile(rf"[^\W_{UNSPACED}]+|[^\W_]")
 ANSWER = re.compile(r"\banswer\s*:", re.IGNORECASE)
 
 
@@ -59,6 +62,7 @@ class Params:
     overlap: float = 0.8
     shingle: int = 5
     least_words: int = 8
+    least_exact: int = 2
     block: int = 16
     k1: float = 1.2
     b: float = 0.75
@@ -170,7 +174,7 @@ def entries(benchmark: DataFrame, p: Params) -> DataFrame:
             out = []
             for h, i, text in zip(*(b.column(c).to_pylist() for c in ("item", "item_id", "text")), strict=True):
                 w = words_of(text)
-                if len(w) >= p.least_words:
+                if len(w) >= p.least_exact:
                     n = -(-len(w) // p.part)                               # even parts
                     for k in range(n):
                         piece = w[k * len(w) // n:(k + 1) * len(w) // n]
@@ -273,7 +277,10 @@ def matches(words: list[str], index: Index, checks: dict, p: Params) -> dict[int
         _, question, answer = checks[item]
         first, last = max(0, s - len(question) - len(answer)), min(len(words), e + len(question) + len(answer))
         near = words[first:last]
-        q, a = (contained(x, near, p.shingle, p.overlap) for x in (question, answer))
+        if len(question) + len(answer) < p.least_words:
+            q, a = float(tuple(question + answer) in _shingles(near, len(question) + len(answer))), 1.0
+        else:
+            q, a = (contained(x, near, p.shingle, p.overlap) for x in (question, answer))
         if q >= p.overlap - 1e-9 and a >= p.overlap - 1e-9:
             best[item] = (score, q, a, first, last)
     return best
