@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import versions as V
@@ -100,3 +101,14 @@ def test_commit_cursor_over_batches_with_null_heads(spark):
 def test_source_events(spark):
     e = events(spark, [("a.cs", 1.0, 1, "change"), ("b.CS", 1.0, 2, "rename"), ("c.cs", 1.0, 3, "delete"), ("d.txt", 1.0, 4, "change")])
     assert sorted(r.event_id for r in ST.source_events(e, ".cs").collect()) == [1, 2]
+
+
+@pytest.mark.parametrize("name", ["previous_version", "commit_cursor"])
+def test_registered_queries_carry_state(spark, monkeypatch, name):
+    from tidemark.plans.registry import all_queries
+    before = []
+    state = ST._state_before
+    monkeypatch.setattr(ST, "_state_before", lambda *a: (before.append(state(*a)), before[-1])[1])
+    got = all_queries()[f"stream_{name}"](spark, "/root/testdata/sf0.001")
+    assert before[0] is None and len(before) > 1 and all(b.count() for b in before[1:])
+    assert got.count() > 0
