@@ -9,7 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, embeddings, hosts, language, minhash, mixture, packing, sharding, toxicity, warc
+from tidemark.llm import (decontaminate, embeddings, hosts, interaction, language, merkle, minhash, mixture, packing, repetition,
+                          sharding, toxicity, warc)
 from tidemark.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +84,27 @@ def op9_embedding_near_dedup(spark, sf_dir):
 @query
 def op10_toxicity(spark, sf_dir):
     return toxicity.predictions(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+@query
+def op11_merkle_manifest(spark, sf_dir):
+    return merkle.verification(load(spark, sf_dir, "documents"))
+
+
+SQL["op11_merkle_manifest"] = merkle.SQL
+
+
+@query
+def op12_repetition_rules(spark, sf_dir):
+    return repetition.judged(load(spark, sf_dir, "documents"))
+
+
+SQL["op12_repetition_rules"] = repetition.SQL
+
+
+@query
+def op13_filter_interaction(spark, sf_dir):
+    return interaction.audit(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+SQL["op13_filter_interaction"] = interaction.SQL
