@@ -32,6 +32,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -61,16 +62,26 @@ class Rules:
     base_percent: int = 20
 
 
-class _Words(dict):
-    """word -> (hash, code points)."""
+class _Cached(dict):
+    """What a function says of a word."""
 
-    def __missing__(self, word: bytes) -> tuple[int, int]:
+    def __init__(self, of):
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHED_WORDS:
             self.clear()
-        v = self[word] = (xxhash.xxh3_64_intdigest(word), len(word.decode("utf-8", "replace")))
+        v = self[word] = self.of(word)
         return v
 
 
+class _Words:
+    def __init__(self):
+        self.hash = _Cached(xxhash.xxh3_64_intdigest).__getitem__
+        self.chars = _Cached(lambda word: len(word.decode("utf-8", "replace"))).__getitem__
+
+
 def _scrambled(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(29))
@@ -125,7 +136,7 @@ def repeated_lines(text: bytes, words: _Words) -> tuple[int, int, int]:
             lines += 1
             again += 1
             if seen[line] < 0:
-                seen[line] = sum(words[w][1] for w in line.split())
+                seen[line] = sum(map(words.chars, line.split()))
             chars += seen[line]
         elif line.strip():
             lines += 1
@@ -138,11 +149,11 @@ def measure(texts: list[bytes], rules: Rules, cache: _Words) -> dict[str, np.nda
     split = [t.split() for t in texts]
     n = np.array([len(w) for w in split], np.int64)
     owner = np.repeat(np.arange(len(texts)), n)
-    flat = [cache[w] for ws in split for w in ws]
-    hashes = np.fromiter((v[0] for v in flat), np.uint64, len(flat))
-    chars = np.fromiter((v[1] for v in flat), np.int64, len(flat))
+    total = int(n.sum())
+    hashes = np.fromiter(map(cache.hash, chain.from_iterable(split)), np.uint64, total)
+    chars = np.fromiter(map(cache.chars, chain.from_iterable(split)), np.int64, total)
     per = lambda flags, weights=chars: np.bincount(owner[flags], weights[flags], len(texts)).astype(np.int64)
-    every, ones = np.ones(len(flat), bool), np.ones(len(flat), np.int64)
+    every, ones = np.ones(total, bool), np.ones(total, np.int64)
     out = {"n_words": n, "word_chars": per(every)}
     out["n_symbols"] = np.array([len(t) - len(t.translate(None, SYMBOLS)) for t in texts], np.int64)
     lines = np.array([repeated_lines(t, cache) for t in texts], np.int64).reshape(-1, 3)
