@@ -1,5 +1,7 @@
+import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import pipeline as PL
 from tidemark.operators import routing as R
 from tidemark.session import scratch_path
 from tidemark.sources.tables import skip_list
@@ -90,6 +92,56 @@ def test_upsert_keeps_earlier_results_and_is_replay_safe(spark):
     assert state() == want
 
 
+def test_upsert_rewrites_only_the_buckets_of_its_keys(spark):
+    path = scratch_path(spark, "t-buckets")
+    rows = lambda ids, v: spark.createDataFrame([(f"t{i}", v, f"code {i} {v}") for i in ids], "test_path string, v int, code string")
+    files = lambda: {r[0] for r in spark.read.parquet(path).select(F.input_file_name()).distinct().collect()}
+    R.upsert_results(rows(range(1000), 1), ["v"], path)
+    before = files()
+    out = {r.test_path: r.v for r in R.upsert_results(rows(range(10), 2), ["v"], path).collect()}
+    assert len(out) == 1000 and sum(v == 2 for v in out.values()) == 10
+    bucket = lambda f: f.split("bucket=")[1].split("/")[0]
+    changed = {bucket(f) for f in before ^ files()}
+    assert len(before) == 32 and len(changed) <= 10 and len(before & files()) >= 22
+
+
+def test_a_second_writer_fails_and_the_same_writer_goes_on(spark):
+    path = scratch_path(spark, "t-writers")
+    row = lambda v: spark.createDataFrame([("t1", v)], "test_path string, v int")
+    with R._only_writer(spark, path, "first"):
+        with pytest.raises(R.ConcurrentWriter):
+            R.upsert_results(row(1), ["v"], path, owner="second")
+        R.upsert_results(row(2), ["v"], path, owner="first")     # what a failed attempt left is its own
+    assert [r.v for r in R.upsert_results(row(1), ["v"], path, owner="second").collect()] == [2]
+
+
+def test_every_new_head_is_a_run_and_epochs_may_come_twice(spark):
+    files = [("r", "A", "src/a.cs"), ("r", "B", "src/b.cs"), ("r", "B", "src/notes.txt"), ("r", "C", "src/readme.txt"), ("q", "A", "src/a.cs")]
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    inputs = PL.ChangeInputs(
+        files=df([(*f, "ok") for f in files], "repo string, sha string, file_path string, request_id string"),
+        commits=df([("r", "A", []), ("r", "B", ["A"]), ("r", "C", ["B"]), ("q", "A", [])], "repo string, sha string, parents array<string>"),
+        blobs=df([(r, s, p, "t") for r, s, p in files], "repo string, sha string, file_path string, content string"),
+        texts=df([("t", CLASS_ONE)], "id string, content string"), skip=skip_list(spark), extension=".cs",
+        route={"threshold": 300, "replay": df([("ok", "ollama", 200, '{"response":"class T { }"}')], "request_id string, provider string, http_status int, body string")})
+    at = lambda s: f"2024-01-01 00:00:{s:02}"
+    heads = [("r", "A", at(0), 0), ("r", "B", at(1), 1), ("r", "A", at(2), 2), ("r", "C", at(3), 3), ("q", "A", at(3), 4)]
+    frame = lambda rows: df(rows, "repo string, sha string, t string, run_order long").withColumn("run_ts", F.to_timestamp("t"))
+    out = lambda m: sorted((r.repo, r.sha, r.run_order, r.branch, r.file_path, r.n_files) for r in m.collect())
+    got = out(PL.change_sets(frame(heads), inputs))
+    assert got == [("q", "A", 4, "auto/test-update-20240101000003", "src/a.cs", 1), ("r", "A", 0, "auto/test-update-20240101000000", "src/a.cs", 1),
+                   ("r", "A", 2, "auto/test-update-20240101000002", "src/a.cs", 1), ("r", "B", 1, "auto/test-update-20240101000001", "src/b.cs", 1)]
+    base = scratch_path(spark, "t-live")
+    write = PL.change_run_writer(inputs, base)
+    for epoch, part in enumerate((heads[:2], heads[2:])):
+        write(frame(part), epoch)
+        write(frame(part), epoch)
+    assert out(spark.read.parquet(f"{base}/manifest")) == got
+    assert sorted((r.test_path, r.run_order) for r in R.current_results(spark, f"{base}/results").collect()) == \
+        [("q/tests/aTests.cs", 4), ("r/tests/aTests.cs", 2), ("r/tests/bTests.cs", 1)]
+    assert spark.read.parquet(f"{base}/requests").count() == 4
+
+
 def test_unbalanced_source_and_unanswered_request(spark):
     got = route(spark, [("src/A.cs", "", CLASS_ONE + "{", "", "ok"), ("src/B.cs", "", CLASS_ONE, "", "never asked")])
     assert (got["src/A.cs"].status, got["src/A.cs"].error) == ("error", "source has unbalanced braces")

@@ -1,12 +1,12 @@
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import versions as V
 from tidemark.session import scratch_path
 from tidemark.streaming import operators as ST
 from tidemark.streaming import runner as RUN
+from tidemark.streaming import state as SS
 
 EVENT = "path string, s double, event_id long, event_type string"
 
@@ -70,45 +70,68 @@ def test_stop_and_resume_keeps_open_sessions(spark):
     assert [r.event_id for r in spark.read.parquet(sink).filter("path = 'p'").collect()] == [3]
 
 
-def run_batches(spark, name, frame, writer, parts):
-    log, sink, ckpt = dirs(spark, name)
-    for p in parts:
-        RUN.stage(frame(p).coalesce(1), log)
-        RUN.run_to_end(RUN.read_log(spark, log, frame(p).schema).writeStream.foreachBatch(writer(sink, f"{sink}-state")), ckpt)
-    return spark.read.parquet(sink)
+def run_batches(spark, name, frame, state_of, parts, again=False):
+    base = scratch_path(spark, name)
+    state = state_of(base, frame(parts[0]).schema)
+    for epoch, p in enumerate(parts):
+        RUN.stage(frame(p).coalesce(1), f"{base}/log")
+        if again:                                                # the split of an epoch, delivered once more
+            state.writer()(frame(p), epoch)
+        state.advance(RUN.read_log(spark, f"{base}/log", frame(p).schema))
+    return state
 
 
 def test_previous_version_over_batches(spark):
     rows = [("hot" if i % 3 else f"p{i % 7}" if i % 5 else None, i, f"text {i}") for i in range(200)]
     frame = lambda r: spark.createDataFrame(r, "path string, version long, content string")
-    got = run_batches(spark, "t-prev", frame, ST.previous_version_writer, [rows[i:i + 50] for i in range(0, 200, 50)])
+    state = run_batches(spark, "t-prev", frame, SS.previous_version_state, [rows[i:i + 50] for i in range(0, 200, 50)])
     want = V.previous_version(frame(rows)).select("path", "version", "old_content").collect()
-    assert sorted((str(r.path), r.version, r.old_content) for r in got.collect()) == sorted((str(r.path), r.version, r.old_content) for r in want)
+    key = lambda rs: sorted((str(r.path), r.version, r.old_content) for r in rs)
+    assert key(SS.with_old_content(state.result(spark)).collect()) == key(want)
     assert sum(r.old_content == "" for r in want) == len({r[0] for r in rows})
+    # a batch reaches the state with one row per key it holds
+    for epoch in range(4):
+        edges = spark.read.parquet(f"{state.path}/edges/epoch_id={epoch}")
+        assert edges.count() == len({r[0] for r in rows[epoch * 50:epoch * 50 + 50]})
 
 
-def test_commit_cursor_over_batches_with_null_heads(spark):
+def test_commit_cursor_over_replayed_batches_with_null_heads(spark):
     rnd = random.Random(1)
     rows = [(rnd.choice(["r", "r", "q", None]), i, i, 1, rnd.choice(["A", "A", "B", None])) for i in range(160)]
     frame = lambda r: spark.createDataFrame(r, "repo string, t long, poll_order long, poll_line int, sha string") \
         .select("repo", F.timestamp_seconds("t").cast("timestamp_ntz").alias("poll_ts"), "poll_order", "poll_line", "sha")
-    got = run_batches(spark, "t-cursor", frame, ST.commit_cursor_writer, [rows[i:i + 40] for i in range(0, 160, 40)])
+    state = run_batches(spark, "t-cursor", frame, SS.commit_cursor_state, [rows[i:i + 40] for i in range(0, 160, 40)], again=True)
     want = V.commit_cursor(frame(rows), ["repo"], "poll_ts", tiebreak=["poll_order", "poll_line"])
     key = lambda df: sorted((str(r.repo), r.poll_order, r.sha) for r in df.collect())
+    got = SS.new_heads(state.result(spark))
     assert key(got) == key(want) and all(r.sha for r in got.collect())
 
 
+def test_the_state_ignores_an_epoch_that_it_has_seen():
+    from pyspark.sql import Row
+
+    class Value:
+        held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, v):
+            self.held = v
+
+    p = SS.LastValue(["k"], "string")
+    p.last = Value()
+    edge = lambda k, e, v: Row(k=k, edge_epoch=e, edge_value=v)
+    out = lambda *rows: [(r.k, r.carried) for r in p.handleInputRows(("key",), iter(rows), None)]
+    assert out(edge("b", 1, "y"), edge("a", 0, "x")) == [("a", None), ("b", "x")]
+    assert out(edge("b", 1, "y")) == []
+    assert out(edge("b", 1, "y"), edge("c", 2, None)) == [("c", "y")]
+    assert out(edge("d", 5, "z")) == [("d", None)]
+
+
 def test_source_events(spark):
     e = events(spark, [("a.cs", 1.0, 1, "change"), ("b.CS", 1.0, 2, "rename"), ("c.cs", 1.0, 3, "delete"), ("d.txt", 1.0, 4, "change")])
     assert sorted(r.event_id for r in ST.source_events(e, ".cs").collect()) == [1, 2]
-
-
-@pytest.mark.parametrize("name", ["previous_version", "commit_cursor"])
-def test_registered_queries_carry_state(spark, monkeypatch, name):
-    from tidemark.plans.registry import all_queries
-    before = []
-    state = ST._state_before
-    monkeypatch.setattr(ST, "_state_before", lambda *a: (before.append(state(*a)), before[-1])[1])
-    got = all_queries()[f"stream_{name}"](spark, "/root/testdata/sf0.001")
-    assert before[0] is None and len(before) > 1 and all(b.count() for b in before[1:])
-    assert got.count() > 0

@@ -14,8 +14,11 @@ rows still open are sent to it (Catalyst cannot push filters through a
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +31,7 @@ from tidemark.operators.completion import build_prompt, replay_completions
 from tidemark.operators.filters import is_interface_file, skip_names
 from tidemark.plans.materialize import materialize
 from tidemark.plans.ordered import latest_per_key
+from tidemark.session import scratch_scope
 
 OUTCOMES = ("error", "skipped_listed", "skipped_interface", "no_public_methods", "no_affected_methods",
             "empty_response", "auto_applied", "needs_review")
@@ -70,10 +74,23 @@ def outcome_routing(changes: DataFrame, keys: Sequence[str], skip: DataFrame, th
                        tests_folder=tests_folder, project_folder=project_folder, **how)
 
 
+def text_index(texts: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """Facts (id, iface, parsed, balanced, big) and declarations of
+    ``texts(id, content[, parsed])``, both written; ``parsed``: some file of
+    this text has a parser (all, if the column is not there)."""
+    t = texts if "parsed" in texts.columns else texts.withColumn("parsed", F.lit(True))
+    t = t.withColumn("iface", is_interface_file("content")).withColumn("parsed", F.col("parsed") & ~F.col("iface"))
+    t = t.withColumn("balanced", F.when(F.col("parsed"), D.braces_balance("content")).otherwise(F.lit(True)))
+    facts = t.withColumn("big", F.col("parsed") & (effective_loc("content") > F.lit(threshold)))
+    facts = materialize(facts.select("id", "iface", "parsed", "balanced", "big"), "facts")
+    parsed = texts.join(facts.where("parsed and balanced").select("id"), "id", "left_semi")
+    return facts, materialize(D.declarations(parsed, ["id"], with_text=False), "declarations")
+
+
 def route_by_id(changes: DataFrame, texts: DataFrame, keys: Sequence[str], skip: DataFrame, threshold: int,
                 replay: DataFrame | None = None, completer=None, src_folder: str = "src",
                 tests_folder: str = "tests", project_folder=None, sample=None,
-                prompt_user: bool = True, staging_root: str | None = None) -> DataFrame:
+                prompt_user: bool = True, staging_root: str | None = None, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """R1 over change rows that name their texts: (keys..., file_path, old_id,
     new_id, test_id, request_id[, has_new]) and ``texts(id, content)``; a null
     id is a missing or blank text.
@@ -81,7 +98,7 @@ def route_by_id(changes: DataFrame, texts: DataFrame, keys: Sequence[str], skip:
     Every fact of a text (interface, balance, size, declarations) is worked
     out once per id, changed lines and context once per pair of ids of a large
     file, and text is joined to the rows that are still open only, to make
-    their prompts.
+    their prompts.  ``index``: ``text_index`` of ``texts``, where it is kept.
 
     ``replay`` (J8) or ``completer`` (a function DataFrame -> DataFrame adding
     ``generated``/``completion_error``/``code``, e.g. U2) answers prompts.
@@ -96,16 +113,11 @@ def route_by_id(changes: DataFrame, texts: DataFrame, keys: Sequence[str], skip:
           .withColumn("skipped", F.col("_skip_name").isNotNull()).drop("_skip_name"))
     c = c.withColumn("_ext", extension(F.col("file_path"))).withColumn("_route", D.language_route(F.col("_ext")))
 
-    # facts per text, of the texts that some row still needs
-    wanted = c.where("not skipped and new_id is not null").groupBy(F.col("new_id").alias("id")) \
-              .agg(F.bool_or(F.col("_route") == "supported").alias("parsed"))
-    t = texts.join(wanted, "id").withColumn("iface", is_interface_file("content"))
-    t = t.withColumn("parsed", F.col("parsed") & ~F.col("iface"))
-    t = t.withColumn("balanced", F.when(F.col("parsed"), D.braces_balance("content")).otherwise(F.lit(True)))
-    facts = t.withColumn("big", F.col("parsed") & (effective_loc("content") > F.lit(threshold)))
-    facts = materialize(facts.select("id", "iface", "parsed", "balanced", "big"), "facts")
-    parsed = texts.join(facts.where("parsed and balanced").select("id"), "id", "left_semi")
-    decls = materialize(D.declarations(parsed, ["id"], with_text=False), "declarations")
+    if index is None:                    # of the texts that some row still needs
+        wanted = c.where("not skipped and new_id is not null").groupBy(F.col("new_id").alias("id")) \
+                  .agg(F.bool_or(F.col("_route") == "supported").alias("parsed"))
+        index = text_index(texts.join(wanted, "id"), threshold)
+    facts, decls = index
     public = (decls.filter((F.col("kind") == "method") & F.col("is_public") & (F.col("parent_kind") == "class"))
                    .groupBy("id").agg(F.count(F.lit(1)).alias("n_public")))
     known = facts.join(public, "id", "left").withColumnRenamed("id", "new_id")
@@ -165,42 +177,83 @@ def outcome_ledger(routed: DataFrame) -> DataFrame:
     return routed.groupBy("status").agg(F.count(F.lit(1)).alias("n_files"))
 
 
+RESULT_BUCKETS = 32
+
+
+class ConcurrentWriter(RuntimeError):
+    """Another writer holds the results table."""
+
+
+@contextmanager
+def _only_writer(spark, path: str, owner: str):
+    """Hold the table's lock file, made in one step by the file system.  The
+    lock of the same owner is taken over: it is what a failed attempt left."""
+    hadoop = spark._jvm.org.apache.hadoop
+    lock = hadoop.fs.Path(f"{path}/_writer")
+    fs = lock.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        out = fs.create(lock, False)
+        out.writeBytes(owner)
+        out.close()
+    except Py4JJavaError as e:
+        if not fs.exists(lock):
+            raise
+        held = fs.open(lock)
+        try:
+            other = bytes(held.readAllBytes()).decode()
+        finally:
+            held.close()
+        if other != owner:
+            raise ConcurrentWriter(f"{path} is being written by {other}") from e
+    try:
+        yield
+    finally:
+        fs.delete(lock, False)
+
+
 def current_results(spark, path: str) -> DataFrame | None:
-    """The newest version of a results table; None before the first."""
+    """The results table; None before the first write."""
     try:
-        t = spark.read.parquet(path)
+        return spark.read.parquet(path).drop("bucket")
     except AnalysisException as e:
         if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
-    return t.where(F.col("table_version") == t.agg(F.max("table_version")).first()[0]).drop("table_version")
 
 
 def upsert_results(results: DataFrame, order: Sequence[str], path: str | None = None,
-                   key: str = "test_path") -> DataFrame:
+                   key: str = "test_path", owner: str | None = None, buckets: int = RESULT_BUCKETS) -> DataFrame:
     """Last write wins per test path - the newest row per key (a partial
-    ``max_by`` aggregate).  With ``path`` the rows are merged with the table
-    there and written as its next version, which readers see only when it is
-    complete; keys that are not in ``results`` stay, and the same rows a
-    second time change nothing."""
+    ``max_by`` aggregate).  With ``path`` the rows are merged into the table
+    there, which is laid out in hash buckets of the key: only buckets that
+    hold a key of ``results`` are read and written again (dynamic partition
+    overwrite: new files first, then the bucket's folder is replaced).  Keys
+    that are not in ``results`` stay, and the same rows a second time change
+    nothing.  One writer at a time: a second ``owner`` gets ConcurrentWriter,
+    the same owner goes on after a failure.  ``buckets`` belongs to the table
+    and must stay as it was at the first write."""
     cols = [c for c in results.columns if c != key]
     if path is None:
         return latest_per_key(results, [key], list(order), cols)
     spark = results.sparkSession
-    before = current_results(spark, path)
-    rows, number = results, 0
-    if before is not None:
-        rows = before.select(*results.columns).unionByName(results)
-        number = spark.read.parquet(path).agg(F.max("table_version")).first()[0] + 1
-    latest_per_key(rows, [key], list(order), cols).write.mode("overwrite").parquet(f"{path}/table_version={number}")
+    with _only_writer(spark, path, owner or uuid.uuid4().hex), scratch_scope(spark):
+        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+        rows = materialize(latest_per_key(results, [key], list(order), cols).withColumn("bucket", bucket), "upsert")
+        touched = sorted(r[0] for r in rows.select("bucket").distinct().collect())      # at most ``buckets`` numbers
+        before = current_results(spark, path)
+        if before is not None:
+            old = spark.read.parquet(path).where(F.col("bucket").isin(touched))
+            rows = latest_per_key(old.select(*rows.columns).unionByName(rows), [key], list(order), [*cols, "bucket"])
+        (rows.repartition(min(buckets, len(touched) or 1), "bucket").write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
     return current_results(spark, path)
 
 
-def upsert_writer(path: str, order: Sequence[str], key: str = "test_path"):
+def upsert_writer(path: str, order: Sequence[str], key: str = "test_path", owner: str = "stream"):
     """S7 for a stream: a ``foreachBatch`` function.  A batch that is replayed
     merges to the same table."""
     def write(batch: DataFrame, epoch_id: int) -> None:
-        upsert_results(batch, order, path, key)
+        upsert_results(batch, order, path, key, owner)
     return write
 
 
@@ -209,22 +262,24 @@ REVIEW_TITLE = "Automated Test Update"
 REVIEW_BODY = "This PR was generated automatically to add/update unit tests for modified files."
 
 
-def change_set_manifest(routed: DataFrame, commits: DataFrame, prefix: str, base_branch: str = "main") -> DataFrame:
-    """One branch off ``base_branch`` per processed commit, named by its
-    run timestamp (``commits.run_ts``), and one commit per file with generated
-    code: path, content, message.  Kept as one row per file (a commit with a
-    third of all files must not become one array in one task); the file count
-    per branch comes from a partial aggregate."""
+def change_set_manifest(routed: DataFrame, runs: DataFrame, prefix: str, base_branch: str = "main",
+                        run: Sequence[str] = ("run_ts",)) -> DataFrame:
+    """One branch off ``base_branch`` per run of a commit (``runs``: repo,
+    sha and the columns ``run`` that tell the runs of a repository apart, the
+    first being the run's time, which names the branch), and one commit per
+    file with generated code: path, content, message.  Kept as one row per
+    file (a commit with a third of all files must not become one array in one
+    task).  All runs of a commit have its files, so these are counted once per
+    commit, by a partial aggregate over narrow rows."""
     files = routed.filter(F.col("generated_code").isNotNull())
-    c = commits.select("repo", "sha", branch_name(F.lit(prefix), F.col("run_ts")).alias("branch"))
-    f = files.join(c, ["repo", "sha"])
-    counts = f.groupBy("repo", "branch").agg(F.count(F.lit(1)).alias("n_files"))
-    return (f.join(counts, ["repo", "branch"])
-             .select("repo", "sha", "branch", F.lit(base_branch).alias("base_branch"), repo_path(F.col("test_path")).alias("test_path"),
-                     F.col("generated_code").alias("content"), commit_message(F.col("file_path")).alias("message"), "n_files"))
+    counts = files.groupBy("repo", "sha").agg(F.count(F.lit(1)).alias("n_files"))
+    r = runs.select("repo", "sha", *run, branch_name(F.lit(prefix), F.col(run[0])).alias("branch")).join(counts, ["repo", "sha"])
+    return (files.join(r, ["repo", "sha"])
+                 .select("repo", "sha", *run, "branch", F.lit(base_branch).alias("base_branch"), "file_path", repo_path(F.col("test_path")).alias("test_path"),
+                         F.col("generated_code").alias("content"), commit_message(F.col("file_path")).alias("message"), "n_files"))
 
 
-def review_requests(manifest: DataFrame) -> DataFrame:
-    """One review request per branch (a partial aggregate)."""
-    return (manifest.groupBy("repo", "branch", "base_branch").agg(F.count(F.lit(1)).alias("n_files"))
+def review_requests(manifest: DataFrame, run: Sequence[str] = ("run_ts",)) -> DataFrame:
+    """One review request per run (a partial aggregate)."""
+    return (manifest.groupBy("repo", *run, "branch", "base_branch").agg(F.count(F.lit(1)).alias("n_files"))
                     .withColumn("title", F.lit(REVIEW_TITLE)).withColumn("body", F.lit(REVIEW_BODY)))

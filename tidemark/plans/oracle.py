@@ -636,26 +636,29 @@ COMMIT_ROUTING_BASE = f"""(SELECT f.repo, f.sha, f.file_path, coalesce(bo.conten
 
 SQL["change_run"] = ROUTED_OUT.format(keys="repo, sha", q=routing_sql(COMMIT_ROUTING_BASE, True, True))
 
+# one run per head that the cursor sees, of commits with a source file
 MANIFEST = f"""(
 WITH r AS (SELECT * FROM ({routing_sql(COMMIT_ROUTING_BASE, True, True)}) WHERE generated_code IS NOT NULL),
 g AS (SELECT repo, sha FROM {COMMIT_FILES} GROUP BY repo, sha HAVING bool_or(lower(file_path) LIKE '%.cs')),
-f AS (SELECT r.repo, r.sha, r.file_path, r.test_path, r.generated_code, o.o_orderkey AS commit_key,
-        'auto/test-update-' || strftime(CAST(o.o_orderdate AS TIMESTAMP) + to_seconds(o.o_orderkey % 86400), '%Y%m%d%H%M%S') AS branch
-      FROM r JOIN g ON r.repo = g.repo AND r.sha = g.sha
-      JOIN orders o ON r.sha = 'c' || CAST(o.o_orderkey AS VARCHAR) AND r.repo = 'r' || CAST(o.o_custkey AS VARCHAR))
-SELECT *, count(*) OVER (PARTITION BY repo, branch) AS n_files FROM f)"""
-
-SQL["change_set_manifest"] = f"""SELECT repo, sha, branch, 'main' AS base_branch, replace(test_path, '\\', '/') AS test_path,
+runs AS (SELECT c.repo, c.sha, c.poll_ts AS run_ts, c.poll_order AS run_order, 'auto/test-update-' || strftime(c.poll_ts, '%Y%m%d%H%M%S') AS branch
+         FROM ({SQL["commit_cursor"]}) c JOIN g ON c.repo = g.repo AND c.sha = g.sha)
+SELECT r.repo, r.sha, r.file_path, r.test_path, r.generated_code, runs.run_ts, runs.run_order, runs.branch,
+       count(*) OVER (PARTITION BY r.repo, run_ts, run_order) AS n_files,
+       row_number() OVER (PARTITION BY r.repo, test_path ORDER BY run_ts DESC, run_order DESC, file_path DESC) AS age
+FROM r JOIN runs ON r.repo = runs.repo AND r.sha = runs.sha)"""
+
+SQL["change_set_manifest"] = f"""SELECT repo, sha, run_ts, run_order, branch, 'main' AS base_branch, replace(test_path, '\\', '/') AS test_path,
   md5(generated_code) AS content_md5, 'Add/update test for ' || file_path AS message, n_files FROM {MANIFEST}"""
 
-SQL["review_requests"] = f"""SELECT repo, branch, 'main' AS base_branch, count(*) AS n_files, 'Automated Test Update' AS title,
+SQL["review_requests"] = f"""SELECT repo, run_ts, run_order, branch, 'main' AS base_branch, count(*) AS n_files, 'Automated Test Update' AS title,
   'This PR was generated automatically to add/update unit tests for modified files.' AS body
-FROM {MANIFEST} GROUP BY repo, branch"""
+FROM {MANIFEST} GROUP BY repo, run_ts, run_order, branch"""
+
+SQL["commit_results"] = f"""SELECT repo || '/' || test_path AS test_path, run_ts, run_order, file_path, md5(generated_code) AS code_md5
+FROM {MANIFEST} WHERE age = 1"""
 
-SQL["commit_results"] = f"""SELECT repo || '/' || test_path AS test_path, max(commit_key) AS commit_key,
-  arg_max(file_path, lpad(CAST(commit_key AS VARCHAR), 20, '0') || file_path) AS file_path,
-  md5(arg_max(generated_code, lpad(CAST(commit_key AS VARCHAR), 20, '0') || file_path)) AS code_md5
-FROM {MANIFEST} GROUP BY repo, test_path"""
+SQL["stream_change_pipeline"] = f"""SELECT repo, sha, run_ts, run_order, branch, 'main' AS base_branch, replace(test_path, '\\', '/') AS test_path,
+  md5(generated_code) AS content_md5, 'Add/update test for ' || file_path AS message, n_files, age = 1 AS is_result FROM {MANIFEST}"""
 
 MANUAL_BASE = f"""(SELECT 'src/' || source || '/Doc' || CAST(doc_id AS VARCHAR) || '.cs' AS file_path, '' AS old_content,
    {CODE_TEMPLATE} AS new_content, CASE WHEN doc_id % 4 = 0 THEN '// tests of ' || CAST(doc_id AS VARCHAR) ELSE '' END AS existing_test,

@@ -13,6 +13,7 @@ from tidemark.operators import commits as C
 from tidemark.operators import completion as CP
 from tidemark.operators import declarations as D
 from tidemark.operators import filters as FL
+from tidemark.operators import pipeline as PL
 from tidemark.operators import routing as R
 from tidemark.operators import versions as V
 from tidemark.plans.materialize import materialize
@@ -22,6 +23,7 @@ from tidemark.sources import files as SF
 from tidemark.sources import tables as TB
 from tidemark.streaming import operators as ST
 from tidemark.streaming import runner as RUN
+from tidemark.streaming import state as SS
 
 # Large-file threshold scaled to the corpora (the tool's own constant is 300
 # effective lines, ``tables.LARGE_FILE_LINES``; the benchmark documents are
@@ -404,79 +406,65 @@ def q_outcome_ledger(spark, sf):
 
 @query("upsert_results")
 def q_upsert_results(spark, sf):
-    r = routed_code(spark, sf).filter(F.col("status") == "auto_applied") \
-        .select("test_path", "version", "generated_code")
+    r = materialize(routed_code(spark, sf).select("test_path", "version", "generated_code", "status"), "generated")
+    r = r.where("status = 'auto_applied'").drop("status")
     # two writes: the second merges with what the first left
-    r, path = materialize(r, "generated"), scratch_path(spark, "results")
+    path = scratch_path(spark, "results")
     R.upsert_results(r.where("version % 2 = 0"), ["version"], path=path)
     out = R.upsert_results(r.where("version % 2 <> 0"), ["version"], path=path)
     return out.select("test_path", "version", F.md5("generated_code").alias("code_md5"))
 
 
-def commit_change_rows(spark, sf):
-    """E1 and J4 on ids of texts: (keys, old_id, new_id, test_id, request_id)."""
-    blobs = materialize(TB.blob_ids(spark, sf), "blob-ids")   # read three times below
-    e = before_after(spark, sf, blobs)
-    e = C.existing_tests(e, blobs, TB.SRC_FOLDER, TB.TESTS_FOLDER)
-    return e.select("repo", "sha", "file_path", *(F.nullif(F.col(c), F.lit("")).alias(i) for c, i in (
-                        ("old_content", "old_id"), ("new_content", "new_id"), ("existing_test", "test_id"))),
-                    TB.request_of(spark, sf, F.col("l_partkey")).alias("request_id"))
-
-
-COMMIT_KEYS = ["repo", "sha", "file_path"]
-
-
-def routed_commits(spark, sf):
-    texts = materialize(TB.code_texts(spark, sf), "code-texts")
-    return R.route_by_id(commit_change_rows(spark, sf), texts, COMMIT_KEYS, TB.skip_list(spark), CODE_LARGE_LINES,
-                         replay=TB.completions(spark, sf), prompt_user=True, staging_root=STAGING_ROOT)
+def change_inputs(spark, sf):
+    """The commit tables, written once: gate, contents and tests read them."""
+    files = materialize(TB.commit_files(spark, sf), "commit-files")
+    return PL.ChangeInputs(
+        files=files.withColumn("request_id", TB.request_of(spark, sf, F.col("l_partkey"))), commits=materialize(TB.commits(spark, sf), "commits"),
+        blobs=materialize(TB.blob_ids(spark, sf, files), "blob-ids"), texts=materialize(TB.code_texts(spark, sf), "code-texts"),
+        skip=TB.skip_list(spark), extension=TB.CODE_EXTENSION, tests_folder=TB.TESTS_FOLDER, src_folder=TB.SRC_FOLDER,
+        branch_prefix=TB.BRANCH_PREFIX, main_branch=TB.MAIN_BRANCH,
+        route={"threshold": CODE_LARGE_LINES, "replay": TB.completions(spark, sf), "prompt_user": True, "staging_root": STAGING_ROOT})
 
 
 @query("change_run")
 def q_change_run(spark, sf):
-    return _routed_out(routed_commits(spark, sf), ["repo", "sha"])
+    return _routed_out(PL.route_commits(change_inputs(spark, sf)), ["repo", "sha"])
+
+
+def as_heads(polls):
+    """Polls of the cursor as heads to run: a run is told by its poll."""
+    return polls.select("repo", "sha", F.col("poll_ts").alias("run_ts"), F.col("poll_order").alias("run_order"))
 
 
-def processed_commits(spark, sf):
-    """E2's head: commits that a poll saw as a new head (W2 cursor) and that
-    touch a source file (F11), with a run time of their own."""
+def batch_change_sets(spark, sf):
+    """E2 over the whole poll log; one written table for all its sinks."""
     seen = V.commit_cursor(commit_polls(spark, sf), ["repo"], "poll_ts", tiebreak=["poll_order", "poll_line"])
-    gate = FL.commit_has_source_change(TB.commit_files(spark, sf), TB.CODE_EXTENSION).where("has_source_change")
-    c = TB.commit_rows(spark, sf).join(seen.select("repo", "sha").distinct(), ["repo", "sha"], "left_semi").join(gate, ["repo", "sha"], "left_semi")
-    second = F.make_dt_interval(secs=F.pmod("commit_key", F.lit(86_400)))
-    return c.withColumn("run_ts", F.col("committed_at").cast("timestamp") + second)
+    return materialize(PL.change_sets(as_heads(seen), change_inputs(spark, sf)), "change-sets")
 
 
-def manifest(spark, sf):
-    """E2 to its sinks: the results table (S7), then the change sets."""
-    commits = materialize(processed_commits(spark, sf), "processed")
-    routed = routed_commits(spark, sf).join(commits.select("repo", "sha"), ["repo", "sha"], "left_semi")
-    made = materialize(routed.where("generated_code is not null"), "generated")
-    return made, R.change_set_manifest(made, commits, TB.BRANCH_PREFIX, TB.MAIN_BRANCH)
+def _manifest_out(m, *more):
+    return m.select("repo", "sha", "run_ts", "run_order", "branch", "base_branch", "test_path", F.md5("content").alias("content_md5"), "message", "n_files", *more)
 
 
 @query("change_set_manifest")
 def q_change_set_manifest(spark, sf):
-    _, m = manifest(spark, sf)
-    return m.select("repo", "sha", "branch", "base_branch", "test_path", F.md5("content").alias("content_md5"), "message", "n_files")
+    return _manifest_out(batch_change_sets(spark, sf))
 
 
 @query("review_requests")
 def q_review_requests(spark, sf):
-    return R.review_requests(manifest(spark, sf)[1])
+    return R.review_requests(batch_change_sets(spark, sf), PL.RUN)
 
 
 @query("commit_results")
 def q_commit_results(spark, sf):
-    """E2's results table: the newest commit's code per repository and test
+    """E2's results table: the newest run's code per repository and test
     path, upserted in two batches."""
-    made, _ = manifest(spark, sf)
-    made = made.select(F.concat("repo", F.lit("/"), "test_path").alias("test_path"), F.expr("cast(substring(sha, 2) as long)").alias("commit_key"),
-                       "file_path", "generated_code")
+    made = PL.result_rows(batch_change_sets(spark, sf))
     path = scratch_path(spark, "commit-results")
     for k in (0, 1):
-        out = R.upsert_results(made.where(F.pmod("commit_key", F.lit(2)) == k), ["commit_key", "file_path"], path)
-    return out.select("test_path", "commit_key", "file_path", F.md5("generated_code").alias("code_md5"))
+        out = R.upsert_results(made.where(F.pmod("run_order", F.lit(2)) == k), PL.RESULT_ORDER, path, owner="commit_results")
+    return out.select("test_path", "run_ts", "run_order", "file_path", F.md5("generated_code").alias("code_md5"))
 
 
 @query("manual_run")
@@ -494,7 +482,7 @@ def q_manual_run(spark, sf):
 
 @query("review_cycle")
 def q_review_cycle(spark, sf):
-    staged = routed_code(spark, sf, prompt_user=True, staging_root=STAGING_ROOT) \
+    staged = materialize(routed_code(spark, sf, prompt_user=True, staging_root=STAGING_ROOT).drop("prompt", "error"), "staged") \
         .filter(F.col("status") == "needs_review")
     ans = TB.approvals(spark, sf)
     j = staged.join(ans, staged["version"] == ans["doc_id"]).withColumn("applied", FL.is_approved(F.col("answer")))
@@ -563,33 +551,63 @@ def q_stream_debounce(spark, sf):
                 F.col("fire_ts").cast("timestamp_ntz").alias("fire_ts"))
 
 
-def _stream_in_turn(spark, df, order: str, log: str, writer, ckpt: str, turns: int = 4) -> None:
-    """Stage ``df`` in ``turns`` ranges of ``order`` and run the stream after
-    each, so that later batches take up the state of earlier ones.  (Files of
-    one write would be read by their times, in no sure order.)"""
+def _in_turns(df, order: str, log: str, turns: int = 4):
+    """Stage ``df`` in ``turns`` ranges of ``order``, one per step, so that
+    later micro-batches take up the state of earlier ones.  (Files of one
+    write would be read by their times, in no sure order.)"""
     at = F.col(order).cast("timestamp").cast("double") if "timestamp" in dict(df.dtypes)[order] else F.col(order).cast("double")
     found = df.select(at.alias("at")).approxQuantile("at", [k / turns for k in range(1, turns)], 0.01)
     bounds = sorted(set(found))
     turn = F.coalesce(sum(((at > b).cast("int") for b in bounds), F.lit(0)), F.lit(0))       # null: first
     for k in range(len(bounds) + 1):
         RUN.stage(df.where(turn == k), log)
-        RUN.run_to_end(RUN.read_log(spark, log, df.schema).writeStream.foreachBatch(writer), ckpt)
+        yield RUN.read_log(df.sparkSession, log, df.schema)
 
 
 @query("stream_previous_version")
 def q_stream_previous_version(spark, sf):
-    log, sink, ckpt = _stream_dirs(spark, "previous-version")
+    base = scratch_path(spark, "previous-version")
     v = TB.file_versions(spark, sf)
-    _stream_in_turn(spark, v, "version", log, ST.previous_version_writer(sink, f"{sink}-state"), ckpt)
-    return spark.read.parquet(sink).drop("epoch_id")
+    state = SS.previous_version_state(base, v.schema)
+    for stream in _in_turns(v, "version", f"{base}/log"):
+        state.advance(stream)
+    return SS.with_old_content(state.result(spark))
 
 
 @query("stream_commit_cursor")
 def q_stream_commit_cursor(spark, sf):
-    log, sink, ckpt = _stream_dirs(spark, "commit-cursor")
+    base = scratch_path(spark, "commit-cursor")
     p = commit_polls(spark, sf)
-    _stream_in_turn(spark, p, "poll_ts", log, ST.commit_cursor_writer(sink, f"{sink}-state"), ckpt)
-    return spark.read.parquet(sink).drop("epoch_id")
+    state = SS.commit_cursor_state(base, p.schema)
+    for stream in _in_turns(p, "poll_ts", f"{base}/log"):
+        state.advance(stream)
+    return SS.new_heads(state.result(spark))
+
+
+@query("stream_change_pipeline")
+def q_stream_change_pipeline(spark, sf):
+    """E2, live: polls in four turns through the cursor's state, new heads
+    through gate, routing and the sinks, every epoch delivered twice as after
+    a failure.  The change sets, and which of them the results table holds."""
+    base = scratch_path(spark, "change-pipeline")
+    p, inputs = commit_polls(spark, sf), change_inputs(spark, sf)
+    # every text is scanned once, not once per epoch
+    inputs.route["index"] = R.text_index(inputs.texts, CODE_LARGE_LINES)
+    cursor = SS.commit_cursor_state(f"{base}/cursor", p.schema)
+    write = PL.change_run_writer(inputs, f"{base}/out", as_heads)
+
+    def twice(batch, epoch_id):
+        write(batch, epoch_id)
+        write(batch, epoch_id)
+
+    for stream in _in_turns(p, "poll_ts", f"{base}/log"):
+        cursor.advance(stream)
+        RUN.run_to_end(SS.new_heads(cursor.results_stream(spark)).writeStream.foreachBatch(twice), f"{base}/checkpoint")
+    m = spark.read.parquet(f"{base}/out/manifest").drop("epoch_id")
+    held = R.current_results(spark, f"{base}/out/results").select(F.col("test_path").alias("held"), *(F.col(c).alias(f"held_{c}") for c in PL.RESULT_ORDER))
+    same = [F.col(c) == F.col(f"held_{c}") for c in PL.RESULT_ORDER]
+    j = m.join(held, [F.concat("repo", F.lit("/"), "test_path") == F.col("held"), *same], "left")
+    return _manifest_out(j, F.col("held").isNotNull().alias("is_result"))
 
 
 @query("quarantine")

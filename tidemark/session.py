@@ -12,6 +12,7 @@ import os
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -24,7 +25,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Broadcast only what AQE has measured at runtime; the static threshold
-    # stays at Spark's default and every explicit broadcast is size-checked.
+    # stays at Spark's default.
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32m",
 }
 
@@ -44,8 +45,10 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
-#: Scratch folders by scope, the innermost last.
-_scopes: list[list[str]] = [[]]
+#: Scratch folders of no scope, and those of the scopes open in this thread of
+#: work, the innermost last: queries in other threads have their own.
+_loose: list[str] = []
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scratch_scopes", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -67,7 +70,8 @@ def scratch_path(spark: SparkSession, name: str, outer: bool = False) -> str:
     """A fresh sub-folder of the shared folder for one run of one operator;
     ``outer``: it is to outlive the innermost ``scratch_scope``."""
     path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex[:12]}"
-    _scopes[-2 if outer and len(_scopes) > 1 else -1].append(path)
+    open_ = (_loose, *_scopes.get())
+    open_[-2 if outer and len(open_) > 1 else -1].append(path)
     return path
 
 
@@ -75,18 +79,22 @@ def scratch_path(spark: SparkSession, name: str, outer: bool = False) -> str:
 def scratch_scope(spark: SparkSession):
     """Scratch folders made inside are deleted on leaving: for tables that no
     plan handed out reads any more."""
-    _scopes.append([])
+    made: list[str] = []
+    token = _scopes.set((*_scopes.get(), made))
     try:
         yield
     finally:
-        _delete(spark, _scopes.pop())
+        _scopes.reset(token)
+        _delete(spark, made)
 
 
 def release_scratch(spark: SparkSession) -> None:
-    """Delete the scratch folders of this process.  Results that still read
-    them must have been written or collected before."""
-    _delete(spark, _scopes[0])
-    _scopes[0].clear()
+    """Delete the scratch folders that belong to no scope.  Results that still
+    read them must have been written or collected before."""
+    paths = _loose.copy()
+    _delete(spark, paths)
+    for p in paths:
+        _loose.remove(p)
 
 
 def _delete(spark: SparkSession, paths: list[str]) -> None:

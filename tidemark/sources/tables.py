@@ -164,9 +164,10 @@ def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cf.join(code, F.pmod(cf["l_partkey"], F.lit(last + 1)) == code["doc_id"]).select("repo", "sha", "file_path", "content")
 
 
-def blob_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``blobs`` with the id of the text in place of the text."""
-    cf = commit_files(spark, sf_dir).filter(F.col("status") != "removed")
+def blob_ids(spark: SparkSession, sf_dir: str, files: DataFrame | None = None) -> DataFrame:
+    """``blobs`` with the id of the text in place of the text; ``files``:
+    ``commit_files`` where it is written already."""
+    cf = (commit_files(spark, sf_dir) if files is None else files).filter(F.col("status") != "removed")
     d = read_table(spark, sf_dir, "documents").select("doc_id")
     last = d.agg(F.max("doc_id")).first()[0] or 0
     return (cf.withColumn("doc_id", F.pmod("l_partkey", F.lit(last + 1))).join(d, "doc_id", "left_semi")

@@ -1,12 +1,8 @@
-"""Streaming operators.
+"""Streaming operators (S3, T1, T6); T2 and T3 are in ``state``.
 
 * S3 source events: changes of files with the watched extension.
 * T1 debounce: event-time session windows with a watermark; a session
   closes when no event follows within the gap, and emits its last event.
-* T2 previous version and T3 commit cursor: ``foreachBatch``.  Inside a
-  micro-batch the neighbour comes from the batch plan (a hot path or
-  repository is spread over many tasks); only the first row of each key needs
-  the state, a table with one row per key that every batch writes anew.
 * T6 quarantine: ``foreachBatch`` splits each micro-batch into accepted
   rows and rows that failed a check, written to separate tables.
 
@@ -16,13 +12,10 @@ batch is replayed after a failure, so no row is lost or doubled.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.filters import has_extension
-from tidemark.plans.ordered import latest_per_key, with_neighbour
 
 
 def source_events(events: DataFrame, ext: str, path: str = "path") -> DataFrame:
@@ -67,46 +60,6 @@ def late_events_writer(path: str, ts: str, lateness_seconds: int):
     return write
 
 
-def _carried_neighbour(batch: DataFrame, key: str, order: Sequence[str], value: str, state: str, epoch_id: int) -> DataFrame:
-    """``batch`` with ``carried``, the value on the previous row of the key in
-    the batch or, for the first row of a key, the last value of earlier
-    batches (null if there is none); writes the state for the next batch."""
-    spark = batch.sparkSession
-    rows = with_neighbour(batch, [key], order[0], [value], tiebreak=list(order[1:]), prefix="in_batch_", found_col="in_batch")
-    last = latest_per_key(batch, [key], list(order), [value]).withColumn("epoch", F.lit(epoch_id))
-    before = _state_before(spark, state, epoch_id)
-    if before is None:
-        rows = rows.withColumn("carried", F.col(f"in_batch_{value}"))
-    else:
-        old = before.select(F.col(key).alias("state_key"), F.col(value).alias("state_value"))
-        rows = rows.join(old, F.col(key).eqNullSafe(F.col("state_key")) & ~F.col("in_batch"), "left")
-        rows = rows.withColumn("carried", F.when(F.col("in_batch"), F.col(f"in_batch_{value}")).otherwise(F.col("state_value")))
-        last = latest_per_key(last.unionByName(before), [key], ["epoch"], [value, "epoch"])
-    last.write.mode("overwrite").parquet(f"{state}/epoch_id={epoch_id}")
-    return rows.select(*batch.columns, "carried")
-
-
-def previous_version_writer(sink: str, state: str):
-    """(path, version, old_content) with '' for a path's first version.
-    No expiry: the state holds one row per path, as the source tool's cache."""
-    def write(batch: DataFrame, epoch_id: int) -> None:
-        rows = _carried_neighbour(batch, "path", ["version"], "content", state, epoch_id)
-        (rows.select("path", "version", F.coalesce("carried", F.lit("")).alias("old_content"))
-             .write.mode("overwrite").parquet(f"{sink}/epoch_id={epoch_id}"))
-    return write
-
-
-def commit_cursor_writer(sink: str, state: str):
-    """A poll is kept when its head sha differs from the last one seen for
-    the repository; polls without a head are no polls."""
-    def write(batch: DataFrame, epoch_id: int) -> None:
-        polls = batch.filter(F.col("sha").isNotNull())
-        rows = _carried_neighbour(polls, "repo", ["poll_ts", "poll_order", "poll_line"], "sha", state, epoch_id)
-        (rows.filter(~F.col("sha").eqNullSafe(F.col("carried"))).drop("carried")
-             .write.mode("overwrite").parquet(f"{sink}/epoch_id={epoch_id}"))
-    return write
-
-
 def quarantine_writer(path: str, error_col: str = "error"):
     """A ``foreachBatch`` function that writes each batch once, rows with
     an error under ``failed=true`` and the others under ``failed=false``; one
