@@ -4,9 +4,11 @@ Labelled page outcomes (1 = bad) are counted per host.  A beta-binomial prior
 is fitted by moments at three levels - suffix under the whole web, registered
 domain under its suffix, host under its domain - so a host with few labels is
 shrunk to its domain, a small domain to its suffix and a small suffix to the
-overall rate (itself with a weak prior of 1 bad page in 10).  A host is blocked when the lower bound of its posterior bad
-rate (mean - z standard deviations) is above ``worst``.  Explicit rules come
-first: the longest rule that fits a URL decides.
+overall rate (itself with a weak prior of 1 bad page in 10).  A host is blocked
+when the lower bound of its posterior bad rate (mean - z standard deviations)
+is above ``worst`` times the overall rate: it is worse than the rest beyond
+what its labels leave open.  Explicit rules come first: the longest rule that
+fits a URL decides.
 
 The evidence join is on the document a page was made from; the counts are
 partial aggregates, so a host with a third of all pages costs one row per map
@@ -43,11 +45,12 @@ RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example
 @dataclass(frozen=True)
 class Reputation:
     """``z``: width of the posterior bound; ``worst``: bad rate a host may
-    have; ``least``/``most``: range of the fitted prior strength."""
+    have, as a multiple of the overall rate; ``least``/``most``: range of the
+    fitted prior strength."""
 
     z: float = 1.645
-    worst: float = 0.5
-    least: float = 10.0
+    worst: float = 1.0
+    least: float = 0.5
     most: float = 10000.0
 
 
@@ -102,7 +105,7 @@ def _shrunk(groups: DataFrame, prior: str, out: str, cfg: Reputation) -> DataFra
 
 def reputations(evidence: DataFrame, cfg: Reputation = Reputation()) -> DataFrame:
     """``evidence(host, n, k)`` (n labelled pages, k bad ones; repeats are
-    summed) -> host, n, k, bad_mean, bad_lower."""
+    summed) -> host, n, k, bad_mean, bad_lower, and the overall rate."""
     hosts = written(with_levels(evidence.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))), "host-counts")
     rate = hosts.agg((F.coalesce(F.sum("k"), F.lit(0)) + 1.0) / (F.coalesce(F.sum("n"), F.lit(0)) + 10.0)).first()[0]
     suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).withColumn("rate", F.lit(rate))
@@ -111,7 +114,7 @@ def reputations(evidence: DataFrame, cfg: Reputation = Reputation()) -> DataFram
     domains = written(_shrunk(domains, "suffix_rate", "domain_rate", cfg).select("domain", "suffix", "domain_rate"), "host-domains")
     h = _shrunk(hosts.join(domains, ["suffix", "domain"]), "domain_rate", "bad_mean", cfg)
     sd = F.sqrt(F.col("bad_mean") * (1 - F.col("bad_mean")) / (F.col("n") + F.col("strength") + 1))
-    return h.select("host", "n", "k", "bad_mean", (F.col("bad_mean") - cfg.z * sd).alias("bad_lower"))
+    return h.select("host", "n", "k", "bad_mean", (F.col("bad_mean") - cfg.z * sd).alias("bad_lower"), F.lit(rate).alias("rate"))
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES, cfg: Reputation = Reputation()) -> DataFrame:
@@ -125,10 +128,10 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, cfg: Reputation = Re
     of = p.where(made_of != "").select("host", made_of.cast("long").alias("doc_id"))
     found = of.join(outcome, "doc_id").groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("k"))
     seen = p.select("host").distinct().select("host", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("k"))
-    r = written(reputations(seen.unionByName(found), cfg).select(F.col("host").alias("of"), "bad_lower"), "host-verdicts")
+    r = written(reputations(seen.unionByName(found), cfg).select(F.col("host").alias("of"), "bad_lower", "rate"), "host-verdicts")
     actions = F.create_map(*(F.lit(x) for a, r_ in rules for x in (r_, a))) if rules else F.create_map().cast("map<string,string>")
     out = p.join(r, p.host == r.of).withColumn("rule", matching_rule(rules))
-    by_method = F.when(F.col("bad_lower") > cfg.worst, "block").otherwise("allow")
+    by_method = F.when(F.col("bad_lower") > cfg.worst * F.col("rate"), "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce(F.element_at(actions, F.col("rule")), by_method).alias("verdict"),
                       F.round("bad_lower", 6).alias("bad_lower"))
 
@@ -158,7 +161,7 @@ WITH p AS (
 ), s2 AS (
   SELECT CASE WHEN v > 0 AND total - sq / total - (m - 1) > 0 THEN (s / v - (m - 1)) / (total - sq / total - (m - 1)) END AS rho FROM s1
 ), s3 AS (
-  SELECT suffix, (k + z * up) / (n + z) AS rate FROM s0, (SELECT least(greatest(coalesce(CASE WHEN rho > 0 THEN 1 / rho - 1 END, 10000), 10), 10000) AS z FROM s2)
+  SELECT suffix, (k + z * up) / (n + z) AS rate FROM s0, (SELECT least(greatest(coalesce(CASE WHEN rho > 0 THEN 1 / rho - 1 END, 10000), 0.5), 10000) AS z FROM s2)
 ), d0 AS (
   SELECT suffix, domain, sum(n) AS n, sum(k) AS k, max(rate) AS up FROM h JOIN s3 USING (suffix) GROUP BY suffix, domain
 ), d1 AS (
@@ -166,7 +169,7 @@ WITH p AS (
 ), d2 AS (
   SELECT CASE WHEN v > 0 AND total - sq / total - (m - 1) > 0 THEN (s / v - (m - 1)) / (total - sq / total - (m - 1)) END AS rho FROM d1
 ), d3 AS (
-  SELECT suffix, domain, (k + z * up) / (n + z) AS rate FROM d0, (SELECT least(greatest(coalesce(CASE WHEN rho > 0 THEN 1 / rho - 1 END, 10000), 10), 10000) AS z FROM d2)
+  SELECT suffix, domain, (k + z * up) / (n + z) AS rate FROM d0, (SELECT least(greatest(coalesce(CASE WHEN rho > 0 THEN 1 / rho - 1 END, 10000), 0.5), 10000) AS z FROM d2)
 ), h0 AS (
   SELECT host, n, k, rate AS up FROM h JOIN d3 USING (suffix, domain)
 ), h1 AS (
@@ -174,7 +177,7 @@ WITH p AS (
 ), h2 AS (
   SELECT CASE WHEN v > 0 AND total - sq / total - (m - 1) > 0 THEN (s / v - (m - 1)) / (total - sq / total - (m - 1)) END AS rho FROM h1
 ), h3 AS (
-  SELECT host, (k + z * up) / (n + z) AS mean, n + z + 1 AS size FROM h0, (SELECT least(greatest(coalesce(CASE WHEN rho > 0 THEN 1 / rho - 1 END, 10000), 10), 10000) AS z FROM h2)
+  SELECT host, (k + z * up) / (n + z) AS mean, n + z + 1 AS size FROM h0, (SELECT least(greatest(coalesce(CASE WHEN rho > 0 THEN 1 / rho - 1 END, 10000), 0.5), 10000) AS z FROM h2)
 ), b AS (
   SELECT host, mean - 1.645 * sqrt(mean * (1 - mean) / size) AS bad_lower FROM h3
 ), x AS (
@@ -187,6 +190,6 @@ WITH p AS (
   FROM p JOIN b USING (host)
 )
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-       WHEN bad_lower > 0.5 THEN 'block' ELSE 'allow' END AS verdict, round(bad_lower, 6) AS bad_lower
+       WHEN bad_lower > (SELECT (sum(k) + 1.0) / (sum(n) + 10.0) FROM h) THEN 'block' ELSE 'allow' END AS verdict, round(bad_lower, 6) AS bad_lower
 FROM x
 """

@@ -57,8 +57,9 @@ MATCHING = dict(window_log=19, chain_log=17, hash_log=17, search_log=4, min_matc
 
 
 def letters(text: str | None) -> bytes:
-    """Lower-cased words of letters and marks, one space between them."""
-    return " ".join(regex.findall(r"[\p{L}\p{M}]+", text.lower())).encode() if text else b""
+    """Lower-cased words of letters and marks, one space between them; marks
+    without a letter are no word."""
+    return " ".join(regex.findall(r"\p{M}*+\p{L}[\p{L}\p{M}]*+", text.lower())).encode() if text else b""
 
 
 def pieces(data: bytes, size: int) -> Iterator[bytes]:
@@ -92,7 +93,8 @@ def learn(labelled: DataFrame, p: Params = Params()) -> dict[str, bytes]:
     out: dict[str, bytes] = {}
     for r in picked.select("lang", "piece").collect():                 # dictionary_bytes per language
         out[r["lang"]] = out.get(r["lang"], b"") + bytes(r["piece"]) + b" "
-    return {lang: out[lang][-p.dictionary_bytes:] for lang in sorted(out, key=lambda x: (-counts[x], x)) if len(out[lang]) >= 8}
+    # a dictionary has 8 bytes at least: one of a tiny sample holds it several times
+    return {lang: (out[lang] * -(-8 // len(out[lang])))[-p.dictionary_bytes:] for lang in sorted(out, key=lambda x: (-counts[x], x))}
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], p: Params = Params()) -> DataFrame:
@@ -100,8 +102,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], p: Params = Params
     text, as a struct ``row``, and ``lang_best`` (fewest bytes), ``lang_pred``
     (``und`` when rejected), ``score`` (0 to 1), ``margin``."""
     langs = list(dictionaries)
-    rest = [c for c in docs.columns if c != "text"]
-    df = docs.select(F.struct(*rest).alias("row"), "text")
+    rest = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c != "text"]
+    df = docs.select(F.struct(*rest or [F.lit(True).alias("read")]).alias("row"), "text")
     schema = pa.schema([("lang_best", pa.string()), ("lang_pred", pa.string()), ("score", pa.float64()), ("margin", pa.float64())])
 
     def run(batches):

@@ -4,7 +4,8 @@ exact confirmation, components.
 1. ``sketch``: per document the distinct word shingles as 64-bit hashes, the
    size of the set, a 128-bit key of the set and a signature of
    ``bands * rows`` minima.
-2. Documents with equal sets become one class (its smallest doc_id).
+2. Documents with equal sets become one class, a node of the link graph with
+   a number of its own.
 3. Classes that agree on a band share a bucket.  Round 1 pairs every class
    with the smallest class of each of its buckets only (linear in the bucket).
 4. Bayesian check: signature batches of ``batch`` hashes are compared one
@@ -23,8 +24,11 @@ of 4 rows a pair at similarity 0.8 shares no band with probability 5e-8.
 
 Edge cases: null or wordless text has the empty set (``n_shingles`` 0) and is
 linked with nothing; with fewer words than ``shingle_words`` the whole
-sequence is the one shingle; repeated rows get equal results (rows of one
-doc_id with different texts are judged by their own text); a null doc_id takes
+sequence is the one shingle; repeated rows get equal results; rows of one
+doc_id with different texts are judged by their own text: links and components
+are between texts, and a component is named by its smallest doc_id only at the
+end, so two components may bear one name, and of each one row's text is kept
+(by ``deduplicated``: the smallest id, of its texts one); a null doc_id takes
 part but never becomes the component id of others: a group of only null ids
 has a null component_id, and its rows with one of its texts are kept.
 """
@@ -279,12 +283,17 @@ def node_of(doc_id: str, text: str) -> Column:
 
 
 def components(docs: DataFrame, p: Params) -> DataFrame:
-    """(node, h, n_shingles, component) per row of ``docs``."""
+    """(node, h, n_shingles, group, component) per row of ``docs``: ``group``
+    is the number of the component (null for the empty set), ``component`` its
+    smallest node."""
     nodes = with_node(docs)
     t = written(sketch(nodes, p), "minhash-sketch")
     with scratch_scope(docs.sparkSession):          # of all this only the labels are read again
+        # a class is numbered as it is written; the text of one of its rows stands for it
         classes = written(t.where("set_key is not null").groupBy("set_key")
-                           .agg(F.min("node").alias("node"), F.first("sig").alias("sig")), "minhash-classes")
+                           .agg(F.min(F.struct("node", "h")).alias("of"), F.first("sig").alias("sig"))
+                           .select(F.monotonically_increasing_id().alias("node"), "set_key", F.col("of.node").alias("doc"), F.col("of.h").alias("h"), "sig"),
+                          "minhash-classes")
         sigs = classes.select("node", "sig")
 
         keys = F.transform(F.sequence(F.lit(0), F.lit(p.bands - 1)),
@@ -293,7 +302,8 @@ def components(docs: DataFrame, p: Params) -> DataFrame:
         buckets = (banded.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("size"), F.min("band").alias("band"))
                          .where("size > 1").select(own_exchange("key"), "leader", "size", "band"))
         members = written(banded.select("key", "node").join(buckets, "key"), "minhash-members")
-        texts = written(nodes.drop("h").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node", "text"]), "minhash-texts")
+        wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc", "h")
+        texts = written(nodes.withColumnRenamed("node", "doc").join(wanted, ["doc", "h"]).select("node", "text").dropDuplicates(["node"]), "minhash-texts")
 
         star = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
         first = written(confirm(bayes_filter(star, sigs, p), texts, p), "minhash-links")
@@ -311,10 +321,12 @@ def components(docs: DataFrame, p: Params) -> DataFrame:
         final = found.unionByName(up.select("node", F.col("node").alias("component"))).dropDuplicates(["node"]) \
                      .join(up.select(F.col("node").alias("component"), F.col("component").alias("over")), "component", "left") \
                      .select("node", F.coalesce("over", "component").alias("component"))
-        label = written(classes.select("set_key", "node").join(final, "node", "left")
-                               .select("set_key", F.coalesce("component", "node").alias("component")), "minhash-label", outer=True)
+        grouped_ = written(classes.select("set_key", "node", "doc").join(final, "node", "left")
+                                  .select("set_key", "doc", F.coalesce("component", "node").alias("group")), "minhash-groups")
+        least = grouped_.groupBy("group").agg(F.min("doc").alias("component")).select(own_exchange("group"), "component")
+        label = written(grouped_.join(least, "group").select("set_key", "group", "component"), "minhash-label", outer=True)
     out = t.select("node", "h", "n_shingles", "set_key").join(label, "set_key", "left")
-    return out.select("node", "h", "n_shingles", F.coalesce("component", "node").alias("component"))
+    return out.select("node", "h", "n_shingles", "group", F.coalesce("component", "node").alias("component"))
 
 
 def _relabelled(links: DataFrame, found: DataFrame, end: str) -> DataFrame:
@@ -335,6 +347,8 @@ def deduplicated(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """The rows of ``docs`` with one document of each group, all columns as
     they are; of repeated rows (same id, same text) one stays."""
     with scratch_scope(docs.sparkSession):
-        gone = written(components(docs, p).where("node <> component").select("node", "h").distinct(), "minhash-gone", outer=True)
+        c = written(components(docs, p).select("node", "h", "group"), "minhash-judged")
+        best = c.where("group is not null").groupBy("group").agg(F.min(F.struct("node", "h")).alias("of")).select("of.node", "of.h")
+        stay = written(best.unionByName(c.where("group is null").select("node", "h")).distinct(), "minhash-stay", outer=True)
     rows = docs.select(F.struct("*").alias("row"), node_of("doc_id", "text").alias("node"), F.xxhash64("text").alias("h"))
-    return rows.join(gone, ["node", "h"], "left_anti").dropDuplicates(["node", "h"]).select("row.*")
+    return rows.join(stay, ["node", "h"], "left_semi").dropDuplicates(["node", "h"]).select("row.*")

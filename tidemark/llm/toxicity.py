@@ -198,7 +198,9 @@ def sample(docs: DataFrame, labels: DataFrame, p: Params) -> tuple[DataFrame, di
     for t, q in rate.items():
         keep = keep | ((F.col("toxic") == t) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(q * (1 << 20))))
     thin = written(one.where(keep), "toxicity-thin")               # about sample_rows per class
-    got = docs.select("doc_id", "text").join(F.broadcast(thin), "doc_id").select("text", "toxic")
+    # one row per labelled document, also where rows repeat an id
+    got = docs.select("doc_id", "text").join(F.broadcast(thin), "doc_id").groupBy("doc_id").agg(
+        F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("of"), F.first("toxic").alias("toxic")).select("of.text", "toxic")
     return written(got, "toxicity-sample"), {t: (rows[t], rate[t]) for t in rows}
 
 
@@ -333,16 +335,17 @@ def learn(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
         return Model(terms, tuple(float(v) for v in fit(x, y, w / w.mean())), p, edits)
 
 
-def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``docs`` as a struct ``row`` (so that names
-    cannot clash), with ``score`` and ``predicted`` (1 from 0.5 on)."""
-    df = docs.select(F.struct(*keep).alias("row"), *([] if "text" in keep else ["text"]))
+def scored(docs: DataFrame, model: Model, whole: bool = False) -> DataFrame:
+    """All columns of ``docs`` (``whole``) or its doc_id as a struct ``row``
+    (so that names cannot clash), with ``score`` and ``predicted`` (1 from 0.5
+    on)."""
+    df = docs.select(F.struct("*").alias("row")) if whole else docs.select(F.struct("doc_id").alias("row"), "text")
 
     def run(batches):
         m = model.matcher()
         for b in batches:
             row = b.column("row")
-            s = [model.score(t.as_py(), m) for t in (row.field("text") if "text" in keep else b.column("text"))]
+            s = [model.score(t.as_py(), m) for t in (row.field("text") if whole else b.column("text"))]
             yield pa.RecordBatch.from_arrays([row, pa.array(s, pa.float64()), pa.array([int(v >= 0.5) for v in s], pa.int32())],
                                              names=["row", "score", "predicted"])
 
@@ -354,10 +357,10 @@ def predictions(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Dat
     crc32(doc_id) mod 5 is 0 are held out of learning."""
     model = learn(docs, labels.where(remainder("doc_id", 5) != 0), p)
     held = remainder("doc_id", 5) == 0
-    out = scored(docs, model, ["doc_id"]).select("row.doc_id", "score", "predicted")
+    out = scored(docs, model).select("row.doc_id", "score", "predicted")
     return out.select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, all columns as they are."""
-    return scored(docs, learn(docs, labels, p), docs.columns).where("predicted = 0").select("row.*")
+    return scored(docs, learn(docs, labels, p), whole=True).where("predicted = 0").select("row.*")
