@@ -44,3 +44,15 @@ def test_edge_cases(spark):
     levels = {r["host"]: (r["domain"], r["suffix"]) for r in H.with_levels(
         spark.createDataFrame([("x.shop.co.uk",), ("b.example.com:80",), ("com",), ("",)], "host string")).collect()}
     assert levels == {"x.shop.co.uk": ("shop.co.uk", "co.uk"), "b.example.com:80": ("example.com", "com"), "com": ("com", "com"), "": ("", "")}
+
+
+def test_very_long_urls_and_a_limit_relative_to_the_overall_rate(spark):
+    long = "https://" + "a" * 5000 + ".org/" + "p/" * 50_000 + "7"
+    got = judge(spark, [(1, long), (2, "https://b.org/8")], [(7, 0, 0), (8, 1, 0)])
+    assert got[1]["host"] == "a" * 5000 + ".org" and len(got[1]["path"]) == 100_002
+    pages, labels = [], []
+    for i in range(1000):                      # 20 % bad everywhere, 60 % at one host of eight
+        pages.append((i, f"https://h{i % 8}.site.org/x/{i}"))
+        labels.append((i, int(i % 10 >= (6 if i % 8 == 3 else 2)), 0))
+    got = judge(spark, pages, labels, rules=())
+    assert {i % 8 for i in range(1000) if got[i]["verdict"] == "block"} == {3}

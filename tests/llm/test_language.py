@@ -55,3 +55,29 @@ def test_narrow_margins_are_rejected_by_the_operator(spark):
     out = L.identify(frame(spark, [(1, mixed, None), (2, rows[0][1], None)]), dictionaries, L.Params(margin=0.15)).collect()
     by = {r["row"]["doc_id"]: r for r in out}
     assert by[1]["lang_pred"] == "und" and by[1]["lang_best"] != "und" and by[2]["lang_pred"] == rows[0][2]
+
+
+def test_marks_alone_and_tiny_samples_and_any_column_names(spark):
+    rows = texts(60) + [(900, "\u0301\u0300 \u0308", "aa"), (901, "\u0301 1", None)] + [(1000 + i, "zz", "dd") for i in range(12)]
+    by = {r["doc_id"]: r for r in L.predictions(frame(spark, rows)).collect()}
+    assert by[900]["lang_pred"] == by[901]["lang_pred"] == "und"
+    dictionaries = L.learn(frame(spark, rows).select("lang", "text"))
+    assert set(dictionaries) == {"aa", "bb", "cc", "dd"} and all(len(d) >= 8 for d in dictionaries.values())
+    odd = frame(spark, rows[:3]).select("text", F.lit(1).alias("meta.x"), F.lit(2).alias("a`b"), F.col("doc_id").alias("score"))
+    assert [r["row"]["meta.x"] for r in L.identify(odd, dictionaries).collect()] == [1, 1, 1]
+    assert L.identify(odd.select("text"), dictionaries).count() == 3
+
+
+def test_predictions_are_those_of_plain_compression(spark):
+    import zstandard
+    rows = texts(150, 7)
+    dictionaries = L.learn(frame(spark, rows).select("lang", "text"))
+    def size(lang, text):
+        data = " ".join(w for w in text.lower().split()).encode()
+        d = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        c = zstandard.ZstdCompressor(dict_data=d, compression_params=zstandard.ZstdCompressionParameters(**L.MATCHING))
+        return sum(len(c.compress(data[i:i + 4096])) for i in range(0, len(data), 4096))
+    for r in L.identify(frame(spark, rows), dictionaries).collect():
+        text = rows[r["row"]["doc_id"]][1]
+        sizes = {lang: size(lang, text) for lang in dictionaries}
+        assert r["lang_best"] in [k for k, v in sizes.items() if v == min(sizes.values())]

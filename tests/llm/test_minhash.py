@@ -83,6 +83,19 @@ def test_edge_cases(spark, docs):
     assert nulls == [(False, False), (True, True), (True, True)]
 
 
+def test_rows_of_one_id_are_judged_by_their_own_texts(spark, docs):
+    a, b = [" ".join(f"{x}{i}" for i in range(60)) for x in "ab"]
+    rows = [(3, a + " near"), (5, a), (5, b), (9, b + " near"), (7, b + " other"), (None, a + " null"), (8, "c d e f g"), (8, "x y z x y")]
+    got = M.near_duplicates(docs(rows), M.Params(shingle_words=2)).collect()
+    assert sorted((str(r["doc_id"]), r["component_id"], r["kept"]) for r in got) == [
+        ("3", 3, True), ("5", 3, False), ("5", 5, True), ("7", 5, False), ("8", 8, True), ("8", 8, True), ("9", 5, False), ("None", 3, False)]
+    out = M.deduplicated(docs(rows), M.Params(shingle_words=2)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in out) == [(3, a + " near"), (5, b), (8, "c d e f g"), (8, "x y z x y")]
+    # two near texts of one id are one group: one of them stays
+    twice = M.deduplicated(docs([(5, a), (5, a + " near"), (6, b)]), M.Params(shingle_words=2)).collect()
+    assert sorted(r["doc_id"] for r in twice) == [5, 6]
+
+
 def test_empty_table(spark, docs):
     assert M.near_duplicates(docs([])).count() == 0
 

@@ -95,7 +95,7 @@ def test_run_and_registration(spark, corpus):
     root, *_ = corpus
     assert P.run(spark, root).agg(F.sum("n_tokens")).first()[0] > 0
     names = list(E.queries())
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
     assert set(E.oracle_sql()) <= set(names)
 
 

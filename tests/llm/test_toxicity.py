@@ -4,6 +4,7 @@ import zlib
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
 from tests.llm.conftest import LONG
 from tidemark.llm import toxicity as X
 
@@ -121,3 +122,12 @@ def test_stems_only_where_they_add_and_with_edits():
         want = ("mor*", 0) if word.startswith("mor") else ("grusel*", far) if far <= 1 else None
         assert m.match(word) == want
     assert X.Matcher({"moron": 3.0}, {"moron": 0}).match("m0ron") is None
+
+
+def test_repeated_ids_and_any_column_names(spark, docs):
+    rows, labels = corpus(200, 3)
+    df = docs(rows + [(rows[0][0], f"other text {i}") for i in range(400)], clash=False).withColumn("meta.x", F.lit(1)).withColumn("a`b", F.lit(2))
+    sample, _ = X.sample(df, label_frame(spark, labels), X.Params())
+    assert sample.count() <= len(labels)
+    out = X.without_toxic(df, label_frame(spark, labels))
+    assert out.columns == df.columns and out.count() > 400
