@@ -186,3 +186,54 @@ def test_unbalanced_files_have_no_declarations(spark):
 def test_scan_has_one_exchange(spark):
     plan = D.declarations(files(spark, BIN), KEYS, with_text=False)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Union" not in plan and "Join" not in plan
+
+
+def names(spark, text):
+    d = D.declarations(spark.createDataFrame([("f", text)], "k string, content string"), ["k"], with_text=False)
+    return [(r.kind, r.name) for r in d.orderBy("start_pos").collect()]
+
+
+def test_letters_of_all_scripts_and_verbatim_names(spark):
+    assert names(spark, "class Ä { public void Größe() {} int Überzahl; } class @class { public @class() { } void @event(int @in) { } }") == [
+        ("class", "Ä"), ("method", "Größe"), ("field", "Überzahl"), ("class", "@class"), ("constructor", "class"), ("method", "event")]
+
+
+def test_deep_parentheses_and_attributes(spark):
+    assert names(spark, "class C { public int M(int a = ((((((1)))))) + f(g(h(i(j(k(l()))))))) { return a; } }") == [("class", "C"), ("method", "M")]
+    assert names(spark, "class C { [A(x[y[z[w[0]]]], new[] { 1 })] [B] public void M() { } [C(a[b[c[d]]])] int[][] f; }") == [
+        ("class", "C"), ("method", "M"), ("field", "f")]
+
+
+def test_defined_symbols_choose_the_branch(spark):
+    text = "#define X\n#define Y\n#undef Y\nclass C {\n#if X && !Y\nvoid A() { }\n#else\nvoid B() {\n#endif\n#if Y || Z\nvoid D() {\n#elif !X\nvoid E() {\n#else\nvoid F() { }\n#endif\n}"
+    assert names(spark, text) == [("class", "C"), ("method", "A"), ("method", "F")]
+
+
+def test_function_pointer_fields(spark):
+    assert names(spark, "unsafe class C { public delegate*<int, void> f; public delegate void H(int x); int g; }") == [
+        ("class", "C"), ("field", "f"), ("field", "g")]
+
+
+def test_methods_around_very_many_lines(spark):
+    n = 100_000
+    decls = spark.range(n // 5).selectExpr("'k' as k", "'method' as kind", "cast(id * 5 + 1 as int) as start_line", "cast(id * 5 + 4 as int) as end_line", "cast(id as string) as name")
+    lines = [i for i in range(1, n + 1) if i % 5 == 0 or i % 7 == 0 and i % 3 == 0]
+    changed = spark.createDataFrame([("k", lines), ("other", [1])], "k string, changed_lines array<int>")
+    got = {int(r.name) for r in D.methods_around_lines(decls, changed, ["k"]).collect()}
+    assert got == {(i - 1) // 5 for i in lines if i % 5}
+
+
+def test_search_in_an_ordered_array(spark):
+    cases = [([], 1, 9), ([5], 5, 5), ([5], 6, 9), ([5], 1, 4), ([1, 4, 9], 5, 8), ([1, 4, 9], 2, 4), ([1, 4, 9], 9, 99), ([1, 2, 3, 4, 5, 6, 7, 8], 8, 8)]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, a array<int>, lo int, hi int")
+    got = [r.x for r in df.select("i", D.any_between(F.col("a"), F.col("lo"), F.col("hi")).alias("x")).orderBy("i").collect()]
+    assert got == [any(lo <= x <= hi for x in a) for a, lo, hi in cases]
+
+
+def test_tests_of_many_methods(spark):
+    decls = spark.createDataFrame([("k", 1, "method", "Add_WhenA", 10, "t1"), ("k", 2, "method", "AddAll_WhenB", 5, "t2"), ("k", 3, "method", "Sub_X", 1, "t3"),
+                                   ("k", 4, "field", "Add_f", 2, "t4"), ("j", 1, "method", "Add_Z", 1, "t5")],
+                                  "k string, decl_id int, kind string, name string, start_pos int, full_text string")
+    m = spark.createDataFrame([("k", "Add"), ("k", "Add"), ("k", "Sub"), ("k", "add"), ("j", "AddAll"), ("k", "AddAll_WhenB")], "k string, name string")
+    got = {(r.k, r.name): r.tests for r in D.tests_of_methods(m, decls, ["k"]).collect()}
+    assert got == {("k", "Add"): "t2\nt1\n", ("k", "Sub"): "t3\n", ("k", "add"): "", ("j", "AddAll"): "", ("k", "AddAll_WhenB"): "t2\n"}

@@ -51,13 +51,24 @@ _COMMENT = r"//[^\n]*+|/\*[\s\S]*?\*/"
 _DIRECTIVE = r"(?<=(?:\A|\n)[ \t\uFEFF]{0,99})#[^\n]*+"
 _LIT = "|".join([_RAW, _INTERPOLATED, _STRING, _COMMENT, _DIRECTIVE])
 _PLAIN = r"""[^"'/@#$\[\]{};]++"""
-_LIST = r"\[(?:" + _PLAIN + "|" + _LIT.replace("<q>", "<r>") + r"|\{[^{}\[\]]*+\}|\[(?:[^\[\]{};]++|\{[^{}]*+\})*+\])*+\]"
+
+
+def _list(depth: int) -> str:
+    """A bracketed list (attributes) with brackets inside brackets, ``depth``
+    levels down, and braces without braces on any level."""
+    flat = inner = r"[^\[\]{};]++|\{[^{}]*+\}"
+    for _ in range(depth):
+        inner = rf"{flat}|\[(?:{inner})*+\]"
+    return r"\[(?:" + _PLAIN + "|" + _LIT.replace("<q>", "<r>") + "|" + inner + r")*+\]"
+
+
+_LIST = _list(6)
 TOKEN_RE = _LIT + r"""|[^"'/@#$]++|[\s\S]"""
 SEGMENT_RE = "(?:" + _LIT + "|" + _LIST + "|" + _PLAIN + r"|[^{};])*+(?:[{};]|\z)"
 MASKED_TOKEN_RE = r"""^(?:\$*"{3}|\$?@?\$?"|'|//|/\*|#)"""
-ATTRIBUTES_RE = r"^(?U)(?:\s*\[(?:[^\[\]]++|\[(?:[^\[\]]++|\[[^\[\]]*+\])*+\])*+\])+"
+ATTRIBUTES_RE = r"^(?U)(?:\s*\[[^\[\]]*+\])+"          # once brackets inside brackets are gone
 BLANK_RE = r"^(?U)[\s\uFEFF]*"
-TYPE_RE = r"^(?:\w+\s+)*?(class|struct|interface|record|enum)\s+(?:struct\s+|class\s+)?(\w+)"
+TYPE_RE = r"^(?U)(?:\w+\s+)*?(class|struct|interface|record|enum)\s+(?:struct\s+|class\s+)?(@?\w+)"
 TYPE_KINDS = ("class", "struct", "interface", "record", "enum")
 MEMBER_PARENTS = ("class", "struct", "interface", "record")
 PARSER_EXTENSIONS = {".cs": "supported", ".java": "not_implemented", ".py": "not_implemented",
@@ -81,16 +92,26 @@ def braces_balance(content) -> Column:
 
 def compiled_text(c: Column) -> Column:
     """Blank, at equal length, the branches of ``#if`` blocks that are not
-    compiled when no symbol is defined (``!X`` and ``true`` hold, ``X`` does
-    not; ``&&`` and ``||`` combine them).  Only the few directive lines are
+    compiled with the symbols that the file itself defines (``#define X``
+    without ``#undef X``): ``X`` holds if it is one, ``!X`` if not, ``true``
+    always; ``&&`` and ``||`` combine them.  Only the few directive lines are
     folded into a state: one letter per open block, ``a`` (this branch
     compiles), ``w`` (none yet), ``d`` (an earlier one did)."""
     d = lambda lines: F.filter(F.transform(lines, lambda l, i: F.struct(i.alias("i"), F.regexp_extract(l, r"^\s*#\s*(if|elif|else|endif)\b", 1).alias("d"),
                                                           F.regexp_extract(l, r"^\s*#\s*(?:if|elif)\b([^/]*)", 1).alias("c"))),
                                lambda x: x["d"] != "")
-    holds = lambda e: F.exists(F.split(e, r"\|\|"), lambda o: F.forall(F.split(o, "&&"), lambda t: F.trim(t).rlike(r"^\(*\s*(?:!\s*\(?\s*\w+|true)\s*\)*\s*$")))
+    term_re = r"^(?U)\s*\(*\s*(!?)\s*\(?\s*(\w+)\s*\)*\s*$"
+
+    def holds(e, defined):
+        def term(t):
+            name, negated = F.regexp_extract(t, term_re, 2), F.regexp_extract(t, term_re, 1) == "!"
+            return (name != "") & (((name == "true") | F.array_contains(defined, name)) != negated)
+        return F.exists(F.split(e, r"\|\|"), lambda o: F.forall(F.split(o, "&&"), term))
 
-    def step(s, x):
+    def symbols(lines, word):
+        return F.transform(lines, lambda l: F.regexp_extract(l, rf"^(?U)\s*#\s*{word}\s+(\w+)", 1))
+
+    def step(s, x, holds):
         top = F.right(s["open"], F.lit(1))
         rest = F.substring(s["open"], F.lit(1), F.greatest(F.length(s["open"]) - 1, F.lit(0)))
         now = (F.when(x["d"] == "if", F.concat(s["open"], F.when(holds(x["c"]), "a").otherwise("w")))
@@ -106,9 +127,12 @@ def compiled_text(c: Column) -> Column:
         on = lambda i: F.coalesce(F.try_element_at(F.filter(x["marks"], lambda m: m["i"] <= i), F.lit(-1))["on"], F.lit(True))
         return F.transform(x["lines"], lambda l, i: F.when(on(i) | l.rlike(r"^\s*#"), l).otherwise(F.regexp_replace(l, ".", " ")))
 
+    def marks(lines):
+        defined = F.array_except(symbols(lines, "define"), symbols(lines, "undef"))
+        return F.aggregate(d(lines), start, lambda s, x: step(s, x, lambda e: holds(e, defined)), lambda s: s["marks"])
+
     # arrays of one element bind the lines, then the marks, so that each is worked out once
-    bound = F.transform(F.array(F.split(c, "\n", -1)),
-                        lambda lines: F.struct(lines.alias("lines"), F.aggregate(d(lines), start, step, lambda s: s["marks"]).alias("marks")))
+    bound = F.transform(F.array(F.split(c, "\n", -1)), lambda lines: F.struct(lines.alias("lines"), marks(lines).alias("marks")))
     return F.when(c.contains("#if"), F.array_join(F.transform(bound, blanked)[0], "\n")).otherwise(c)
 
 
@@ -155,11 +179,31 @@ OPEN, CLOSE = "\u2039", "\u203a"           # stand for a folded pair of parenthe
 FOLDED = OPEN + CLOSE
 
 
+def _nesting(h: Column, opening: str, closing: str) -> Column:
+    """How deep a header's brackets of one sort are nested."""
+    signs = F.regexp_extract_all(h, F.lit(f"[{opening}{closing}]"), F.lit(0))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    opens = "(" if "(" in opening else "["
+
+    def step(s, t):
+        now = s["now"] + F.when(t == opens, 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(s["most"], now).alias("most"))
+    return F.aggregate(signs, start, step, lambda s: s["most"])
+
+
+def _times(n: Column) -> Column:
+    return F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+
+
 def _folded(h: Column) -> Column:
-    """A header with every pair of parentheses and its contents as one sign."""
-    for _ in range(4):
-        h = F.regexp_replace(h, r"\([^()]*\)", FOLDED)
-    return h
+    """A header with every pair of parentheses and its contents as one sign,
+    however deep."""
+    return F.aggregate(_times(_nesting(h, "(", ")")), h, lambda x, _: F.regexp_replace(x, r"\([^()]*\)", FOLDED))
+
+
+def _flat_lists(h: Column) -> Column:
+    """A header without the brackets that are inside other brackets."""
+    return F.aggregate(_times(_nesting(h, r"\[", r"\]") - 1), h, lambda x, _: F.regexp_replace(x, r"(\[[^\[\]]*)(?:\[[^\[\]]*\][^\[\]]*)+", "$1"))
 
 
 def _header(s: DataFrame) -> DataFrame:
@@ -173,7 +217,7 @@ def _header(s: DataFrame) -> DataFrame:
 
 
 def _classify(s: DataFrame) -> DataFrame:
-    bare = F.regexp_replace(F.regexp_replace(F.col("h"), BLANK_RE, ""), ATTRIBUTES_RE, "")
+    bare = F.regexp_replace(_flat_lists(F.regexp_replace(F.col("h"), BLANK_RE, "")), ATTRIBUTES_RE, "")
     s = s.withColumn("ht", unicode_trim(bare))
     s = s.withColumn("hf", _folded(F.col("ht")))
     # the signature: up to an initializer or expression body, without base call and constraints
@@ -182,12 +226,12 @@ def _classify(s: DataFrame) -> DataFrame:
     s = s.withColumn("sig", unicode_trim(F.regexp_replace(F.regexp_replace("sig", r"(?s)\swhere\s.*$", ""),
                                                           r"\s*:\s*(?:base|this)\s*" + FOLDED + r"\s*$", "")))
     h, hf, sig, term = F.col("ht"), F.col("hf"), F.col("sig"), F.col("term")
-    called = r"(~?\s*\w+)\s*(?:<[\w\s,<>\[\]?.@]*>)?\s*" + FOLDED + "$"
-    word = lambda w: sig.rlike(rf"^(?:\w+\s+)*?{w}\b")
+    called = r"(?U)(~?\s*@?\w+)\s*(?:<[\w\s,<>\[\]?.@]*>)?\s*" + FOLDED + "$"
+    word = lambda w: sig.rlike(rf"^(?U)(?:\w+\s+)*?{w}\b(?!\s*\*)")
     type_kw = F.regexp_extract(hf, TYPE_RE, 1)
     arrow_first = hf.rlike(r"(?s)^" + r"(?:(?!=>|(?<![=!<>])=(?![=>])).)*+=>")
     raw = (F.when((term == ";") & h.rlike(r"^(?:global\s+)?using\s"), F.lit("using"))
-           .when(term.isin("{", ";") & h.rlike(r"^namespace\s+[\w.]+$"), F.lit("namespace"))
+           .when(term.isin("{", ";") & h.rlike(r"^(?U)namespace\s+[\w.@]+$"), F.lit("namespace"))
            .when(term.isin("{", ";") & (type_kw != ""), type_kw)
            .when((term == "}") | (term == "") | (h == "") | h.rlike(r"^[=).,\]?:&|+*/<>-]"), F.lit(None).cast("string"))
            .when(word("delegate"), F.lit("delegate"))
@@ -198,12 +242,12 @@ def _classify(s: DataFrame) -> DataFrame:
            .when(F.col("is_expr") & arrow_first, F.lit("property"))
            .when((term == ";") | F.col("is_expr"), F.lit("field"))
            .when(term == "{", F.lit("property")))
-    name = (F.when(raw == "using", F.regexp_extract(h, r"^(?:global\s+)?using\s+(?:static\s+)?(?:\w+\s*=\s*)?([\w.]+)", 1))
-            .when(raw == "namespace", F.regexp_extract(h, r"^namespace\s+([\w.]+)", 1))
+    name = (F.when(raw == "using", F.regexp_extract(h, r"^(?U)(?:global\s+)?using\s+(?:static\s+)?(?:\w+\s*=\s*)?([\w.@]+)", 1))
+            .when(raw == "namespace", F.regexp_extract(h, r"^(?U)namespace\s+([\w.@]+)", 1))
             .when(raw.isin(*TYPE_KINDS), F.regexp_extract(hf, TYPE_RE, 2))
-            .when(raw == "callable", F.regexp_replace(F.regexp_extract(sig, called, 1), r"\s", ""))
+            .when(raw == "callable", F.regexp_replace(F.regexp_extract(sig, called, 1), r"[\s@]", ""))
             .when(sig.rlike(r"\bthis\s*\["), F.lit("this"))
-            .when(raw.isin("field", "property"), F.regexp_extract(sig, r"(\w+)\s*$", 1)))
+            .when(raw.isin("field", "property"), F.regexp_extract(sig, r"(?U)(@?\w+)\s*$", 1)))
     return (s.withColumn("raw_kind", raw).withColumn("name", name)
              .withColumn("is_public", h.rlike(r"^(?:\w+\s+)*?public\b"))
              .withColumn("starts_eq", h.startswith("=")))
@@ -244,7 +288,7 @@ def declarations(files: DataFrame, keys: Sequence[str], content: str = "content"
     kind = (F.when(F.col("raw_kind").isin("using", "namespace") & (pk.isNull() | (pk == "namespace")), F.col("raw_kind"))
             .when(F.col("raw_kind").isin(*TYPE_KINDS), F.col("raw_kind"))
             .when(pk.isin(*MEMBER_PARENTS) & (F.col("raw_kind") == "callable"),
-                  F.when(F.col("name") == F.col("parent.name"), F.lit("constructor"))
+                  F.when(F.col("name") == F.ltrim(F.col("parent.name"), F.lit("@")), F.lit("constructor"))
                    .when(F.col("name").startswith("~"), F.lit("destructor"))
                    .otherwise(F.lit("method")))
             .when(pk.isin(*MEMBER_PARENTS) & F.col("raw_kind").isin("field", "property"), F.col("raw_kind")))
@@ -308,14 +352,50 @@ def public_methods(decls: DataFrame, files: DataFrame, keys: Sequence[str]) -> D
     return _per_file(files, keys, a, "public_methods", F.array().cast("array<string>"))
 
 
+def any_between(ordered: Column, low: Column, high: Column) -> Column:
+    """Whether an ascending array of numbers has one from ``low`` to ``high``:
+    a binary search for the first that is not under ``low``."""
+    n = F.size(ordered)
+    halvings = F.sequence(F.lit(1), F.ceil(F.log2(n + 1)).cast("int") + 1)
+
+    def step(s, _):
+        mid = ((s["lo"] + s["hi"]) / 2).cast("int")
+        under = F.get(ordered, mid) < low
+        done = s["lo"] >= s["hi"]
+        return F.struct(F.when(~done & under, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(~done & ~under, mid).otherwise(s["hi"]).alias("hi"))
+
+    first = F.aggregate(halvings, F.struct(F.lit(0).alias("lo"), n.alias("hi")), step, lambda s: s["lo"])
+    return F.coalesce(F.get(ordered, first) <= high, F.lit(False))
+
+
 def methods_around_lines(decls: DataFrame, changed: DataFrame, keys: Sequence[str],
                          lines_col: str = "changed_lines") -> DataFrame:
     """Methods (any type) whose line span holds at least one changed
-    line: an equi join on the file with its array of changed lines."""
+    line.  A file's methods meet its changed lines (ascending) once, as arrays
+    of one row, and each method is a binary search, so a file costs
+    (methods + lines) x log(lines)."""
+    keys = list(keys)
+    cols = [c for c in decls.columns if c not in keys]
+    methods = decls.filter(F.col("kind") == "method").groupBy(*keys).agg(F.collect_list(F.struct(*cols)).alias("_methods"))
+    lines = changed.select(*keys, F.col(lines_col).alias("_changed")).where(F.size("_changed") > 0)
+    hit = F.filter("_methods", lambda m: any_between(F.col("_changed"), m["start_line"], m["end_line"]))
+    return methods.join(lines, keys).select(*keys, F.explode(hit).alias("_m")).select(*keys, "_m.*").select(*decls.columns)
+
+
+def tests_of_methods(methods: DataFrame, test_decls: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """D3 for many methods at once: (keys..., name, tests) for every distinct
+    name of ``methods``, with all methods of ``test_decls`` (same keys, with
+    full_text) whose name starts with it, in document order, each followed by
+    a newline; '' when there is none.  An equi join on the prefixes of the
+    test methods' names, of narrow rows; texts are joined at the end."""
     keys = list(keys)
-    lines = changed.select(*keys, F.col(lines_col).alias("_changed"))
-    return (decls.filter(F.col("kind") == "method").join(lines, keys)
-                 .filter(F.exists("_changed", lambda l: l.between(F.col("start_line"), F.col("end_line")))).drop("_changed"))
+    wanted = methods.select(*keys, "name").distinct()
+    tests = test_decls.filter(F.col("kind") == "method")
+    prefixes = F.explode(F.transform(F.sequence(F.lit(1), F.length("name")), lambda n: F.substring("name", F.lit(1), n)))
+    found = tests.select(*keys, "decl_id", prefixes.alias("name")).join(wanted, [*keys, "name"])
+    texts = found.join(tests.select(*keys, "decl_id", "start_pos", "full_text"), [*keys, "decl_id"])
+    a = texts.groupBy(*keys, "name").agg(ordered_concat("full_text", "start_pos").alias("tests"))
+    return wanted.join(a, [*keys, "name"], "left").withColumn("tests", F.coalesce("tests", F.lit("")))
 
 
 def context_assembly(decls: DataFrame, files: DataFrame, methods: DataFrame, keys: Sequence[str],

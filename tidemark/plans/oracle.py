@@ -428,6 +428,17 @@ SQL["methods_around_lines"] = f"""SELECT file_path, version, h.name AS name, CAS
 SQL["affected_methods"] = f"""SELECT file_path, version, CAST(list_transform(hits, lambda m: m.name) AS VARCHAR[]) AS methods
 FROM {AFFECTED}"""
 
+# the old version's methods, of which a name begins with an affected method's
+SQL["tests_of_affected_methods"] = f"""
+WITH m AS (SELECT file_path, version, {METHOD_SPANS} AS methods FROM {CODE_BASE}),
+p AS (SELECT m.file_path, m.version, o.methods FROM (SELECT file_path, version, lag(version) OVER (PARTITION BY file_path ORDER BY version) AS before FROM m) m
+      LEFT JOIN m o ON o.file_path = m.file_path AND o.version = m.before),
+a AS (SELECT file_path, version, unnest(list_distinct(list_transform(hits, lambda h: h.name))) AS name FROM {AFFECTED}),
+t AS (SELECT a.file_path, a.version, a.name, array_to_string(list_transform(list_filter(coalesce(p.methods, []),
+        lambda h: starts_with(h.name, a.name)), lambda h: h.txt || chr(10)), '') AS tests
+      FROM a JOIN p ON a.file_path = p.file_path AND a.version = p.version)
+SELECT file_path, version, name, md5(tests) AS tests_md5, CAST(length(tests) AS INTEGER) AS tests_len FROM t"""
+
 SQL["context_assembly"] = f"""SELECT file_path, version, 'using System;
 
 using System.Collections.Generic;

@@ -305,6 +305,16 @@ def q_affected_methods(spark, sf):
         *CODE_KEYS, F.coalesce(F.col("methods"), F.array().cast("array<string>")).alias("methods"))
 
 
+@query("tests_of_affected_methods")
+def q_tests_of_affected_methods(spark, sf):
+    """D5 + D3: the methods of the old version stand for the tests."""
+    c = TB.code_versions(spark, sf)
+    old = V.previous_version(c, key="file_path").select(*CODE_KEYS, F.col("old_content").alias("content"))
+    tests = materialize(D.declarations(old, CODE_KEYS), "tests")
+    t = D.tests_of_methods(affected(spark, sf, with_text=False), tests, CODE_KEYS)
+    return t.select(*CODE_KEYS, "name", F.md5("tests").alias("tests_md5"), F.length("tests").alias("tests_len"))
+
+
 @query("context_assembly")
 def q_context_assembly(spark, sf):
     c = TB.code_versions(spark, sf)
