@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import pipeline as PL
+from tidemark.operators import projects as PJ
 from tidemark.operators import routing as R
 from tidemark.session import scratch_path
 from tidemark.sources.tables import skip_list
@@ -160,3 +161,25 @@ def test_source_and_existing_test_come_from_the_working_tree(spark):
                                                                 "src/C.cs": ("error", "source file not found"), "src/D.cs": ("needs_review", None)}
     assert CLASS_ONE in got["src/A.cs"].prompt and "// kept" in got["src/A.cs"].prompt
     assert "own test" in got["src/B.cs"].prompt and "// other" not in got["src/B.cs"].prompt and "stale" not in got["src/D.cs"].prompt
+
+
+def test_nested_projects_route_with_their_own_settings(spark):
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    projects = df([("r", "", "src", "tests", None, "openai", False), ("r", "src/api", "", "unit", "// like this", "azure", True),
+                   ("r", "src/api/v2/deep", "", "t", None, "ollama", True), ("q", "src/api", "", "other", None, "azure", False)],
+                  "repo string, project_path string, src_folder string, tests_folder string, sample string, provider string, background boolean")
+    files = ["src/A.cs", "src/api/B.cs", "src/api/v2/C.cs", "src/apix/D.cs", "E.cs", "src/api/v2/deep/er/F.cs"]
+    ch = df([("r", f, "", CLASS_ONE, "", "ok") for f in files] + [("q", "src/A.cs", "", CLASS_ONE, "", "ok"), ("q", "src/api/x/A.cs", "", CLASS_ONE, "", "ok")],
+            "repo string, file_path string, old_content string, new_content string, existing_test string, request_id string")
+    rows = PJ.with_project_test_path(PJ.with_project(ch, projects))
+    assert {(r.repo, r.file_path): (r.project_path, r.test_path, r.provider) for r in rows.collect()} == {
+        ("r", "src/A.cs"): ("", "tests/ATests.cs", "openai"), ("r", "src/api/B.cs"): ("src/api", "src/api/unit/BTests.cs", "azure"),
+        ("r", "src/api/v2/C.cs"): ("src/api", "src/api/unit/v2/CTests.cs", "azure"), ("r", "src/apix/D.cs"): ("", "tests/apix/DTests.cs", "openai"),
+        ("r", "E.cs"): ("", "tests/../ETests.cs", "openai"), ("r", "src/api/v2/deep/er/F.cs"): ("src/api/v2/deep", "src/api/v2/deep/t/er/FTests.cs", "ollama"),
+        ("q", "src/A.cs"): (None, rows.where("repo = 'q' and file_path = 'src/A.cs'").first().test_path, None), ("q", "src/api/x/A.cs"): ("src/api", "src/api/other/x/ATests.cs", "azure")}
+    rep = df([("ok", "ollama", 200, '{"response":"class T { }"}')], "request_id string, provider string, http_status int, body string")
+    inside = PJ.with_project(ch, projects).where("project_path is not null")
+    got = {(r.repo, r.file_path): r for r in R.outcome_routing(inside, ["repo", "file_path"], skip_list(spark), 300, replay=rep, **PJ.routing_by_project()).collect()}
+    a, b = got["r", "src/A.cs"], got["r", "src/api/B.cs"]
+    assert (a.status, a.test_path) == ("needs_review", "tests/ATests.cs") and "sample unit test" not in a.prompt
+    assert (b.status, b.test_path) == ("auto_applied", "src/api/unit/BTests.cs") and "// like this" in b.prompt

@@ -90,7 +90,8 @@ def text_index(texts: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
 def route_by_id(changes: DataFrame, texts: DataFrame, keys: Sequence[str], skip: DataFrame, threshold: int,
                 replay: DataFrame | None = None, completer=None, src_folder: str = "src",
                 tests_folder: str = "tests", project_folder=None, sample=None,
-                prompt_user: bool = True, staging_root: str | None = None, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+                prompt_user: bool = True, staging_root: str | None = None, index: tuple[DataFrame, DataFrame] | None = None,
+                per_row: Sequence[str] = ()) -> DataFrame:
     """R1 over change rows that name their texts: (keys..., file_path, old_id,
     new_id, test_id, request_id[, has_new]) and ``texts(id, content)``; a null
     id is a missing or blank text.
@@ -99,6 +100,9 @@ def route_by_id(changes: DataFrame, texts: DataFrame, keys: Sequence[str], skip:
     out once per id, changed lines and context once per pair of ids of a large
     file, and text is joined to the rows that are still open only, to make
     their prompts.  ``index``: ``text_index`` of ``texts``, where it is kept.
+    The folders, ``sample`` and ``prompt_user`` may be columns of the change
+    rows (settings of their projects); ``per_row`` names those that ``sample``
+    and ``prompt_user`` need.
 
     ``replay`` (J8) or ``completer`` (a function DataFrame -> DataFrame adding
     ``generated``/``completion_error``/``code``, e.g. U2) answers prompts.
@@ -149,7 +153,7 @@ def route_by_id(changes: DataFrame, texts: DataFrame, keys: Sequence[str], skip:
              .when(~F.col("balanced"), F.lit(D.UNBALANCED)))
     c = c.withColumn("status", status).withColumn("error", error)
     c = with_test_path(c, "file_path", "test_path", F.lit(src_folder), F.lit(tests_folder), project_folder)
-    c = materialize(c.select(*keys, *fp, "request_id", "old_id", "new_id", "test_id", "_large", "status", "error", "test_path"), "routed")
+    c = materialize(c.select(*keys, *fp, "request_id", "old_id", "new_id", "test_id", "_large", "status", "error", "test_path", *per_row), "routed")
 
     nothing = F.lit(None).cast("string")
     done = c.filter(F.col("status").isNotNull()).select(*keys, *fp, "status", "test_path", nothing.alias("prompt"),
@@ -157,12 +161,12 @@ def route_by_id(changes: DataFrame, texts: DataFrame, keys: Sequence[str], skip:
     todo = c.filter(F.col("status").isNull()).drop("status", "error").join(content("new_id"), "new_id").join(content("test_id"), "test_id", "left") \
             .join(ctx, pair, "left")
     code = F.when(F.col("_large"), F.col("context")).otherwise(F.col("new_id_text"))
-    todo = todo.select(*keys, *fp, "request_id", "test_path",
+    todo = todo.select(*keys, *fp, "request_id", "test_path", *per_row,
                        build_prompt(code, F.coalesce("test_id_text", F.lit("")), sample).alias("prompt"))
     answered = completer(todo) if completer is not None else replay_completions(todo, replay)
     final = (F.when(F.col("completion_error").isNotNull(), F.lit("error"))
              .when(is_blank("code"), F.lit("empty_response"))
-             .otherwise(F.lit("needs_review" if prompt_user else "auto_applied")))
+             .when(F.lit(prompt_user), F.lit("needs_review")).otherwise(F.lit("auto_applied")))
     answered = answered.select(*keys, *fp, final.alias("status"), "test_path", "prompt",
                                F.when(~is_blank("code"), F.col("code")).alias("generated_code"),
                                F.col("completion_error").alias("error"))

@@ -476,6 +476,22 @@ def prompt_sql(code: str, tests: str) -> str:
             f"|| coalesce({tests}, '') || '\n\nProvide the complete updated test file content as output.')")
 
 
+SAMPLE_PROMPT = f"""(CASE WHEN sample IS NULL THEN {prompt_sql("''", "''")} ELSE replace({prompt_sql("''", "''")}, '\n\nMethod Code:',
+  '\n\nUse the following sample unit test as a reference for the structure and style:\n' || sample || '\n\nMethod Code:') END)"""
+
+PROJECTS = """(SELECT 'r' || c_custkey AS repo, '' AS project_path, 'src' AS src_folder, 'tests' AS tests_folder, CAST(NULL AS VARCHAR) AS sample,
+   CASE c_custkey % 3 WHEN 0 THEN 'openai' WHEN 1 THEN 'ollama' ELSE 'azure' END AS provider, false AS background FROM customer
+ UNION ALL SELECT 'r' || c_custkey, 'src/m' || m, '', 'unit', '// sample of m' || m, CASE m % 3 WHEN 0 THEN 'openai' WHEN 1 THEN 'ollama' ELSE 'azure' END, true
+ FROM customer, (SELECT unnest(range(40)) AS m) WHERE c_custkey % 2 = 0 AND (c_custkey + m) % 4 = 0)"""
+
+SQL["project_change_rows"] = f"""SELECT repo, sha, file_path, project_path, src_folder, tests_folder,
+  {test_path('file_path', 'src_folder', 'tests_folder', 'project_path')} AS test_path, provider, background, md5({SAMPLE_PROMPT}) AS prompt_md5
+FROM (SELECT f.repo, f.sha, f.file_path, p.* EXCLUDE (repo),
+        row_number() OVER (PARTITION BY f.repo, f.sha, f.file_path ORDER BY length(p.project_path) DESC) AS rn
+      FROM {SOURCE_CHANGES} f LEFT JOIN {PROJECTS} p ON p.repo = f.repo AND (p.project_path = '' OR starts_with(f.file_path, p.project_path || '/')))
+WHERE rn = 1"""
+
+
 def request_id(number: str) -> str:
     return f"(CAST({number} % ((SELECT max(conv_id) + 1 FROM conversations) * 11 // 10 + 1) AS VARCHAR) || ':1')"
 

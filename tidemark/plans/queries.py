@@ -14,6 +14,7 @@ from tidemark.operators import completion as CP
 from tidemark.operators import declarations as D
 from tidemark.operators import filters as FL
 from tidemark.operators import pipeline as PL
+from tidemark.operators import projects as PJ
 from tidemark.operators import routing as R
 from tidemark.operators import versions as V
 from tidemark.plans.materialize import materialize
@@ -154,6 +155,14 @@ def q_test_path_mapping(spark, sf):
     return f.drop("_project", "_full")
 
 
+@query("project_change_rows")
+def q_project_change_rows(spark, sf):
+    rows = PJ.with_project_test_path(PJ.with_project(source_changes(spark, sf), TB.projects(spark, sf)))
+    payload = CP.provider_payload(F.col("provider"), CP.build_prompt(F.lit(""), F.lit(""), F.col("sample")))
+    return rows.select("repo", "sha", "file_path", "project_path", "src_folder", "tests_folder", "test_path", "provider", "background",
+                       F.md5(F.coalesce(F.get_json_object(payload, "$.prompt"), F.get_json_object(payload, "$.messages[1].content"))).alias("prompt_md5"))
+
+
 @query("staging_paths")
 def q_staging_paths(spark, sf):
     f = P.with_test_path(source_changes(spark, sf), "file_path", "test_path",

@@ -110,6 +110,21 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
                     .otherwise(F.array(F.col("parent_sha"))).alias("parents"))
 
 
+def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo, project_path, settings): every customer's repository is a
+    project; in every second one a quarter of the folders m0 to m39 are
+    projects of their own."""
+    c = read_table(spark, sf_dir, "customer").select("c_custkey")
+    repo = F.concat(F.lit("r"), F.col("c_custkey").cast("string")).alias("repo")
+    none = F.lit(None).cast("string")
+    whole = c.select(repo, F.lit("").alias("project_path"), F.lit(SRC_FOLDER).alias("src_folder"), F.lit(TESTS_FOLDER).alias("tests_folder"),
+                     none.alias("sample"), provider_of(F.col("c_custkey")).alias("provider"), F.lit(False).alias("background"))
+    m = c.where("c_custkey % 2 = 0").select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("m")).where("(c_custkey + m) % 4 = 0")
+    own = m.select(repo, F.concat(F.lit("src/m"), "m").alias("project_path"), F.lit("").alias("src_folder"), F.lit("unit").alias("tests_folder"),
+                   F.concat(F.lit("// sample of m"), "m").alias("sample"), provider_of(F.col("m")).alias("provider"), F.lit(True).alias("background"))
+    return whole.unionByName(own)
+
+
 def _line_path(partkey, linenumber) -> F.Column:
     folder = F.concat(F.lit("m"), F.pmod(partkey, F.lit(40)).cast("string"))
     part = F.concat(F.lit("Part"), partkey.cast("string"))
