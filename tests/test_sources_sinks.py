@@ -1,8 +1,11 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.session import scratch_path, shared_dir
 from tidemark.sources import files as SF
+from tidemark.sources import sink as SK
 from tidemark.streaming.operators import quarantine_writer
 
 
@@ -43,3 +46,51 @@ def test_shared_folder_must_be_named_on_a_cluster():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(Session)
+
+
+def files_below(root):
+    return {os.path.relpath(os.path.join(d, f), root): open(os.path.join(d, f), encoding="utf-8", newline="").read() for d, _, fs in os.walk(root) for f in fs
+            if f"/{SK.STAGED}/" not in f"{d}/"}
+
+
+def test_each_row_is_written_at_its_own_path(spark):
+    root = scratch_path(spark, "t-sink")
+    rows = [(f"tests/a{i % 3}/F{i}Tests.cs", f"class F{i} {{}}\r\n\u00e4") for i in range(40)] + [("tests\\b\\G.cs", None)]
+    SK.write_files(spark.createDataFrame(rows, "path string, content string").repartition(5), root)
+    expected = {p.replace("\\", "/"): c or "" for p, c in rows}
+    assert files_below(root) == expected
+    got = SF.scan_whole_files(spark, root).collect()
+    assert {r.file_path.split(root, 1)[1][1:]: r.content for r in got} == {p: c for p, c in expected.items() if c}
+    # other paths stay, a path that is there is replaced
+    SK.write_files(spark.createDataFrame([("tests/b/G.cs", "new")], "path string, content string"), root)
+    assert files_below(root) == expected | {"tests/b/G.cs": "new"}
+    SK.write_files(spark.createDataFrame([], "path string, content string"), root)
+    assert files_below(root) == expected | {"tests/b/G.cs": "new"}
+
+
+@pytest.mark.parametrize("bad", ["../out.cs", "/etc/x", "a/../../x", "", None, "a//b", "C:\\x", "_staged/x", "./a"])
+def test_paths_outside_the_root_write_nothing(spark, bad):
+    root = scratch_path(spark, "t-sink-bad")
+    rows = [(f"ok/{i}.cs", "x") for i in range(20)] + [(bad, "x")]
+    with pytest.raises(Exception, match="not a path below the root"):
+        SK.write_files(spark.createDataFrame(rows, "path string, content string").repartition(4), root)
+    assert files_below(root) == {}
+
+
+def test_a_path_of_two_rows_is_an_error(spark):
+    with pytest.raises(ValueError, match="2 rows for the path 'a/b.cs'"):
+        SK.write_files(spark.createDataFrame([("a/b.cs", "1"), ("a\\b.cs", "2")], "path string, content string"), scratch_path(spark, "t-sink-twice"))
+
+
+def test_attempts_that_were_not_chosen_leave_nothing(tmp_path):
+    w = SK.TextFilesWriter(str(tmp_path))
+    lost, kept = w.write(iter([("a.cs", "lost")])), w.write(iter([("a.cs", "kept"), ("b/c.cs", "x")]))
+    assert lost.listing != kept.listing and not (tmp_path / "a.cs").exists()
+    w.commit([kept, w.write(iter([])), None])
+    assert files_below(tmp_path) == {"a.cs": "kept", "b/c.cs": "x"}
+    w = SK.TextFilesWriter(str(tmp_path))
+    w.abort([w.write(iter([("d.cs", "x")])), None])
+    assert files_below(tmp_path) == {"a.cs": "kept", "b/c.cs": "x"}
+    w.write(iter([("e.cs", "x")]))
+    SK.clear_staging(str(tmp_path))
+    assert not (tmp_path / SK.STAGED).exists() and files_below(tmp_path) == {"a.cs": "kept", "b/c.cs": "x"}

@@ -109,27 +109,32 @@ def replay_completions(requests: DataFrame, replay: DataFrame, id_col: str = "re
              .drop("provider", "http_status", "body"))
 
 
+def ask(client, prompts: list[str]) -> list[tuple]:
+    """(answer, error) per prompt; when the call fails or returns another
+    number of answers its prompts are sent one by one."""
+    try:
+        answers = list(client.complete(prompts))
+        if len(answers) != len(prompts):
+            raise ValueError(f"{len(answers)} answers for {len(prompts)} prompts")
+        return [(a, None) for a in answers]
+    except Exception as e:  # noqa: BLE001 - isolate the failing rows
+        if len(prompts) == 1:
+            return [(None, f"{type(e).__name__}: {e}")]
+        return [r for p in prompts for r in ask(client, [p])]
+
+
 def complete_with_client(requests: DataFrame, client_factory: Callable[[], object],
                          prompt_col: str = "prompt") -> DataFrame:
     """Call an external completion client.  ``client_factory()`` runs
     once per partition (inside the task); ``client.complete(prompts)`` gets a
     list of at most ``CLIENT_BATCH`` prompts and returns answers in order.
     When a call fails, or returns another number of answers, its prompts are
-    sent one by one, so only the failing rows get a ``completion_error``."""
+    sent one by one, so only the failing rows get a ``completion_error``.
+    Every action on the result asks again: ``answers.complete_with_log`` keeps
+    what was answered."""
     out_schema = T.StructType([*requests.schema.fields, T.StructField("generated", T.StringType()),
                                T.StructField("completion_error", T.StringType())])
 
-    def ask(client, prompts: list[str]) -> list[tuple]:
-        try:
-            answers = list(client.complete(prompts))
-            if len(answers) != len(prompts):
-                raise ValueError(f"{len(answers)} answers for {len(prompts)} prompts")
-            return [(a, None) for a in answers]
-        except Exception as e:  # noqa: BLE001 - isolate the failing rows
-            if len(prompts) == 1:
-                return [(None, f"{type(e).__name__}: {e}")]
-            return [r for p in prompts for r in ask(client, [p])]
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = client_factory()
         for pdf in batches:

@@ -122,6 +122,7 @@ SQL["previous_version"] = f"SELECT path, version, old_content FROM {DOC_VERSIONS
 SQL["changed_lines"] = f"""SELECT path, version, {changed_lines('old_content', 'content')} AS changed_lines
 FROM {DOC_VERSIONS}"""
 
+SQL["changed_lines_long"] = SQL["changed_lines"]
 SQL["effective_loc"] = f"SELECT file_path, version, {effective_loc('content')} AS effective_loc FROM {CODE_VERSIONS}"
 
 SQL["large_file_split"] = f"""SELECT file_path, version, {effective_loc('content')} AS effective_loc,
@@ -535,6 +536,8 @@ PARSED_REPLAY = f"""(SELECT request_id, provider, http_status, body, {PARSE_TXT}
 SQL["build_prompt"] = f"""SELECT file_path, version, md5(prompt) AS prompt_md5, CAST(length(prompt) AS INTEGER) AS prompt_len
 FROM {CODE_REQUESTS}"""
 
+SQL["logged_completion"] = f"""SELECT file_path, version, md5(prompt) AS prompt_md5, CAST(NULL AS VARCHAR) AS completion_error,
+  '// ' || md5(prompt) AS code FROM {CODE_REQUESTS}"""
 SQL["chat_messages"] = f"""SELECT file_path, version, ['system', 'user'] AS roles,
   'You are a helpful AI that generates unit tests.' AS system_text, md5(prompt) AS user_md5 FROM {CODE_REQUESTS}"""
 
@@ -638,6 +641,8 @@ ROUTED_OUT = ("SELECT {keys}, file_path, status, staging_path, test_path, md5(pr
 SQL["outcome_routing"] = ROUTED_OUT.format(keys="version", q=routing_sql(CODE_ROUTING_BASE, False, False))
 SQL["outcome_ledger"] = (f"SELECT status, count(*) AS n_files FROM ({routing_sql(CODE_ROUTING_BASE, False, False)}) "
                          "GROUP BY status")
+SQL["write_test_files"] = f"""SELECT replace(test_path, '\\', '/') AS test_path, md5(arg_max(generated_code, version)) AS content_md5
+FROM ({routing_sql(CODE_ROUTING_BASE, False, False)}) WHERE generated_code IS NOT NULL GROUP BY test_path"""
 SQL["upsert_results"] = f"""SELECT test_path, arg_max(version, version) AS version, md5(arg_max(generated_code, version)) AS code_md5
 FROM ({routing_sql(CODE_ROUTING_BASE, False, False)}) WHERE status = 'auto_applied' GROUP BY test_path"""
 SQL["review_cycle"] = f"""SELECT r.file_path, r.version, r.test_path, r.staging_path,

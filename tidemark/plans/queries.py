@@ -9,18 +9,22 @@ from pyspark.sql import functions as F
 from tidemark.functions import paths as P
 from tidemark.functions import text as X
 from tidemark.functions.text import effective_loc
+from tidemark.operators import answers as AN
 from tidemark.operators import commits as C
 from tidemark.operators import completion as CP
 from tidemark.operators import declarations as D
 from tidemark.operators import filters as FL
+from tidemark.operators import lines as LN
 from tidemark.operators import pipeline as PL
 from tidemark.operators import projects as PJ
 from tidemark.operators import routing as R
 from tidemark.operators import versions as V
 from tidemark.plans.materialize import materialize
+from tidemark.plans.ordered import with_neighbour
 from tidemark.plans.registry import query
 from tidemark.session import scratch_path
 from tidemark.sources import files as SF
+from tidemark.sources import sink as SK
 from tidemark.sources import tables as TB
 from tidemark.streaming import operators as ST
 from tidemark.streaming import runner as RUN
@@ -31,6 +35,7 @@ from tidemark.streaming import state as SS
 # shorter, so the split is exercised with these).
 DOC_LARGE_LINES = 20
 CODE_LARGE_LINES = 60
+DOC_BLOCK_LINES = 8                   # as small, for the diff by blocks
 DEBOUNCE_SECONDS = 3600
 EVENT_LATENESS = 60 * 86_400          # the event log covers 30 days in no order
 
@@ -53,6 +58,16 @@ def q_changed_lines(spark, sf):
     return v.select("path", "version", "changed_lines")
 
 
+@query("changed_lines_long")
+def q_changed_lines_long(spark, sf):
+    """J6 by blocks: versions and their previous ones meet by id."""
+    v = TB.file_versions(spark, sf)
+    pairs = with_neighbour(v.select("path", "version"), ["path"], "version", ["version"])
+    pairs = materialize(pairs.select("path", "version", F.col("version").alias("new_id"), F.col("prev_version").alias("old_id")), "version-pairs")
+    blocks = LN.changed_line_blocks(pairs, v.select(F.col("version").alias("id"), "content"), ["path", "version"], DOC_BLOCK_LINES)
+    return LN.whole_files(blocks, pairs, ["path", "version"])
+
+
 @query("effective_loc")
 def q_effective_loc(spark, sf):
     c = TB.code_versions(spark, sf)
@@ -396,6 +411,25 @@ def q_completion_replay(spark, sf):
     return r.select(*CODE_KEYS, "request_id", "generated", "completion_error", "code")
 
 
+class EchoClient:
+    """Answers a prompt with its digest, in a fence after some thought."""
+
+    def complete(self, prompts):
+        import hashlib
+        return [f"<think>{len(p)}</think>```csharp\n// {hashlib.md5(p.encode()).hexdigest()}\n```" for p in prompts]
+
+
+@query("logged_completion")
+def q_logged_completion(spark, sf):
+    """U2 through the answer log.  A second pass over all requests reads what
+    the first has written and asks nothing."""
+    path = scratch_path(spark, "answers")
+    requests = code_requests(spark, sf)
+    AN.answer_missing(requests, EchoClient, path)
+    r = AN.complete_with_log(requests, EchoClient, path)
+    return r.select(*CODE_KEYS, F.md5("prompt").alias("prompt_md5"), "completion_error", "code")
+
+
 def code_changes_rows(spark, sf):
     c = V.previous_version(TB.code_versions(spark, sf), key="file_path")
     return c.select(*CODE_KEYS, F.col("content").alias("new_content"), "old_content",
@@ -528,6 +562,18 @@ def q_scan_whole_files(spark, sf):
                     F.md5("content").alias("content_md5"), F.length("content").alias("n_chars"))
 
 
+@query("write_test_files")
+def q_write_test_files(spark, sf):
+    """The newest generated code of every test path written as the file
+    of that path, then scanned back whole."""
+    made = materialize(routed_code(spark, sf).select("test_path", "version", "generated_code"), "generated")
+    made = materialize(R.upsert_results(made.where("generated_code is not null"), ["version"]), "newest")
+    root = scratch_path(spark, "test-files")
+    SK.write_files(made, root, "test_path", "generated_code")
+    f = SF.scan_whole_files(spark, root)
+    return f.select(F.substring_index("file_path", root.rsplit("/", 1)[1] + "/", -1).alias("test_path"), F.md5("content").alias("content_md5"))
+
+
 def _stream_dirs(spark, name):
     base = scratch_path(spark, name)
     return f"{base}/log", f"{base}/sink", f"{base}/checkpoint"

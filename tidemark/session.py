@@ -85,19 +85,20 @@ def scratch_scope(spark: SparkSession):
         yield
     finally:
         _scopes.reset(token)
-        _delete(spark, made)
+        delete_paths(spark, made)
 
 
 def release_scratch(spark: SparkSession) -> None:
     """Delete the scratch folders that belong to no scope.  Results that still
     read them must have been written or collected before."""
     paths = _loose.copy()
-    _delete(spark, paths)
+    delete_paths(spark, paths)
     for p in paths:
         _loose.remove(p)
 
 
-def _delete(spark: SparkSession, paths: list[str]) -> None:
+def delete_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders with all they hold, on whatever file system they are."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for p in paths:
         path = spark._jvm.org.apache.hadoop.fs.Path(p)

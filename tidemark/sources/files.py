@@ -14,7 +14,8 @@ def without_bom(content: str) -> Column:
 def scan_whole_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     """S1 + S2: one row per file under ``root`` (recursive), ``content`` the
     whole text, ``file_path`` from the file metadata.  The glob prunes at
-    listing time, before any file is opened."""
+    listing time, before any file is opened.  Spark's file sources pass over
+    files of no bytes, which the flow treats like missing ones."""
     r = spark.read.option("recursiveFileLookup", True)
     if glob:
         r = r.option("pathGlobFilter", glob)
@@ -24,6 +25,7 @@ def scan_whole_files(spark: SparkSession, root: str, glob: str | None = None) ->
 
 def write_one_file_per_row(df: DataFrame, root: str, text_col: str, folder_col: str) -> None:
     """Write each row's text as its own file (``maxRecordsPerFile`` = 1) in a
-    folder per ``folder_col`` value."""
+    folder per ``folder_col`` value; ``sink.write_files`` writes rows at paths
+    of their own."""
     (df.select(text_col, folder_col).write.mode("overwrite")
        .option("maxRecordsPerFile", 1).partitionBy(folder_col).text(root))
