@@ -1,9 +1,11 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
 from tidemark.operators import versions as V
 from tidemark.session import scratch_path
+from tidemark.streaming import debounce as SD
 from tidemark.streaming import operators as ST
 from tidemark.streaming import runner as RUN
 from tidemark.streaming import state as SS
@@ -135,3 +137,45 @@ def test_the_state_ignores_an_epoch_that_it_has_seen():
 def test_source_events(spark):
     e = events(spark, [("a.cs", 1.0, 1, "change"), ("b.CS", 1.0, 2, "rename"), ("c.cs", 1.0, 3, "delete"), ("d.txt", 1.0, 4, "change")])
     assert sorted(r.event_id for r in ST.source_events(e, ".cs").collect()) == [1, 2]
+
+
+def test_debounce_in_any_order_equals_the_batch_form(spark):
+    """Events come in no order, some twice, over several runs; what stands at
+    the end, and after each run, is what the batch form gives."""
+    base = scratch_path(spark, "t-debounce-late")
+    rnd = random.Random(8)
+    rows = [(rnd.choice(["p", "p", "q", None]), float(rnd.choice([s, s + 0.25, s - 1000])), i, "change") for i, s in enumerate(rnd.choices(range(200), k=80))]
+    rows += [("r", 10.0, 200, "change"), ("r", 10.0, 201, "rename"), ("r", 13.0, 202, "change"), ("r", 16.000001, 203, "change"), ("r", None, 204, "change")]
+    rnd.shuffle(rows)
+    schema = events(spark, []).schema
+    state = SD.Debounce(base, schema, "path", "ts", 3)
+    order = lambda df: sorted(map(tuple, df.select("path", "ts", "event_id", "event_type", "fire_ts").collect()), key=str)
+    for k in range(0, len(rows), 30):
+        RUN.stage(events(spark, rows[max(0, k - 3):k + 30]).coalesce(1), f"{base}/log")        # three rows again
+        state.advance(RUN.read_log(spark, f"{base}/log", schema))
+        seen = events(spark, [r for r in rows[:k + 30] if r[1] is not None])
+        assert order(state.fired(spark)) == order(V.debounce(seen, "path", "ts", 3, tiebreak=["event_id"]))
+    taken_back = state.log(spark).where("not fired")
+    assert taken_back.count() > 3 and state.log(spark).groupBy("path", "event_id", "fired").count().where("count > 1").count() == 0
+
+
+def test_debounce_waits_for_its_time(spark):
+    """An event of now fires by its timer, in a run that has no event of its
+    key, and not before."""
+    base = scratch_path(spark, "t-debounce-timer")
+    now = time.time()
+    schema = events(spark, []).schema
+    state = SD.Debounce(base, schema, "path", "ts", 12)
+    fired = lambda: sorted(r.event_id for r in state.fired(spark).collect())
+
+    def turn(rows):
+        RUN.stage(events(spark, rows).coalesce(1), f"{base}/log")
+        state.advance(RUN.read_log(spark, f"{base}/log", schema))
+
+    turn([("old", now - 1000, 1, "change")])
+    assert fired() == [1]                         # the past: at once, or in the run that moves the clock
+    turn([("p", now + 60, 2, "change"), ("q", time.time(), 3, "change")])
+    assert 2 not in fired()
+    time.sleep(18)
+    turn([("old", now - 500, 4, "change")])
+    assert fired() == [1, 3, 4]

@@ -26,6 +26,7 @@ from tidemark.session import scratch_path
 from tidemark.sources import files as SF
 from tidemark.sources import sink as SK
 from tidemark.sources import tables as TB
+from tidemark.streaming import debounce as SD
 from tidemark.streaming import operators as ST
 from tidemark.streaming import runner as RUN
 from tidemark.streaming import state as SS
@@ -37,7 +38,6 @@ DOC_LARGE_LINES = 20
 CODE_LARGE_LINES = 60
 DOC_BLOCK_LINES = 8                   # as small, for the diff by blocks
 DEBOUNCE_SECONDS = 3600
-EVENT_LATENESS = 60 * 86_400          # the event log covers 30 days in no order
 
 
 # --------------------------------------------------------------------------- versions
@@ -591,31 +591,6 @@ def q_stream_file_events(spark, sf):
     return spark.read.parquet(sink)
 
 
-@query("stream_debounce")
-def q_stream_debounce(spark, sf):
-    """The event log, then two sentinel events on a path of their own far
-    in the future; each is its own run, so the watermark passes every real
-    session and the last run emits them.  Sentinel sessions never close."""
-    log, sink, ckpt = _stream_dirs(spark, "debounce")
-    # event time must be a TIMESTAMP (the table stores it without a zone;
-    # the session zone is UTC, so wall-clock values are unchanged)
-    ev = TB.file_events(spark, sf).select("path", F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type")
-    # four files in order of the id, so the stream runs several micro-batches
-    RUN.stage(ev.repartitionByRange(4, "event_id"), log)
-    out = ST.debounce_stream(RUN.read_log(spark, log, ev.schema, max_files_per_trigger=1), "path", "ts", DEBOUNCE_SECONDS, EVENT_LATENESS)
-    RUN.to_parquet_sink(out, sink, ckpt)
-    for i, ts in enumerate(["2999-01-01 00:00:00", "2999-01-02 00:00:00"]):
-        sentinel = spark.createDataFrame([("__sentinel__", ts, -1 - i, "change")],
-                                         "path string, ts string, event_id long, event_type string") \
-            .select("path", F.to_timestamp("ts").alias("ts"), "event_id", "event_type")
-        RUN.stage(sentinel, log)
-        RUN.to_parquet_sink(out, sink, ckpt)
-    # back to wall-clock (no zone) values, as the table stores them
-    return spark.read.parquet(sink).filter(F.col("path") != "__sentinel__") \
-        .select("path", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id", "event_type",
-                F.col("fire_ts").cast("timestamp_ntz").alias("fire_ts"))
-
-
 def _in_turns(df, order: str, log: str, turns: int = 4):
     """Stage ``df`` in ``turns`` ranges of ``order``, one per step, so that
     later micro-batches take up the state of earlier ones.  (Files of one
@@ -629,6 +604,18 @@ def _in_turns(df, order: str, log: str, turns: int = 4):
         yield RUN.read_log(df.sparkSession, log, df.schema)
 
 
+@query("stream_debounce")
+def q_stream_debounce(spark, sf):
+    """The event log in four turns of the id, which is no order of time:
+    most events are late, and some take back what has fired."""
+    base = scratch_path(spark, "debounce")
+    ev = TB.file_events(spark, sf).select("path", "ts", "event_id", "event_type")
+    state = SD.Debounce(base, ev.schema, "path", "ts", DEBOUNCE_SECONDS)
+    for stream in _in_turns(ev, "event_id", f"{base}/log"):
+        state.advance(stream)
+    return state.fired(spark)
+
+
 @query("stream_previous_version")
 def q_stream_previous_version(spark, sf):
     base = scratch_path(spark, "previous-version")
