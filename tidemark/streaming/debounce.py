@@ -48,13 +48,23 @@ class Ticks(StatefulProcessor):
 
     def _get(self, tick: int):
         """(first time, last event as (time, tiebreak, ...), announced)."""
-        if not self.ticks.containsKey((tick,)):
-            return None
-        first, last_us, announced, *event = self.ticks.getValue((tick,))
-        return first, (last_us, *event), announced
+        if tick not in self.known:
+            found = self.ticks.getValue((tick,)) if self.ticks.containsKey((tick,)) else None
+            self.known[tick] = found and (found[0], (found[1], *found[3:]), found[2])
+        return self.known[tick]
 
     def _put(self, tick: int, first: int, last: tuple, announced: bool) -> None:
-        self.ticks.updateValue((tick,), (first, last[0], announced, *last[1:]))
+        self.known[tick] = (first, last, announced)
+        self.changed.add(tick)
+
+    def _begin(self) -> None:
+        """Ticks of one key and call, read once and written once at the end."""
+        self.known, self.changed = {}, set()
+
+    def _end(self) -> None:
+        for tick in self.changed:
+            first, last, announced = self.known[tick]
+            self.ticks.updateValue((tick,), (first, last[0], announced, *last[1:]))
 
     def _row(self, key, last: tuple, fired: bool) -> Row:
         return Row(**{self.key: key[0]}, last_us=last[0], **dict(zip(self.event.names, last[1:])), fired=fired)
@@ -79,6 +89,7 @@ class Ticks(StatefulProcessor):
             yield self._row(key, last, False)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        self._begin()
         now = timerValues.getCurrentWatermarkInMs() * 1000
         touched = set()
         for r in rows:
@@ -95,12 +106,15 @@ class Ticks(StatefulProcessor):
             touched |= {tick, tick - 1}
         for tick in sorted(touched):
             yield from self._rule(tick, now, key)
+        self._end()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self._begin()
         due_us = expiredTimerInfo.getExpiryTimeInMs() * 1000
         last = (due_us - self.gap) // self.gap
         for tick in (last - 1, last):             # a timer is up to a millisecond after its event is due
             yield from self._rule(tick, due_us, key)
+        self._end()
 
     def close(self) -> None:
         pass
