@@ -706,6 +706,9 @@ SQL["scan_whole_files"] = """SELECT source, md5(text || chr(10)) AS content_md5,
   CAST(length(text) + 1 AS INTEGER) AS n_chars FROM documents"""
 SQL["stream_file_events"] = f"""SELECT path || '.cs' AS path, ts, event_id, event_type, content FROM {FILE_EVENTS}
 WHERE event_id % 3 = 0 AND event_id % 7 <> 0"""
+SQL["stream_commit_log"] = """SELECT 'r' || CAST(o_custkey AS VARCHAR) AS repo, 'main' AS branch, o_orderkey AS commit_key,
+  'c' || CAST(o_orderkey AS VARCHAR) AS sha, o_orderdate AS committed_at FROM orders"""
+SQL["stream_head_commit"] = SQL["head_commit"]
 SQL["stream_debounce"] = SQL["debounce_batch"]
 SQL["stream_previous_version"] = SQL["previous_version"]
 SQL["stream_commit_cursor"] = SQL["commit_cursor"]

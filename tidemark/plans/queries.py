@@ -23,6 +23,7 @@ from tidemark.plans.materialize import materialize
 from tidemark.plans.ordered import with_neighbour
 from tidemark.plans.registry import query
 from tidemark.session import scratch_path
+from tidemark.sources import commit_log as CL
 from tidemark.sources import files as SF
 from tidemark.sources import sink as SK
 from tidemark.sources import tables as TB
@@ -604,6 +605,40 @@ def _in_turns(df, order: str, log: str, turns: int = 4):
         yield RUN.read_log(df.sparkSession, log, df.schema)
 
 
+def _log_runs(spark, sf, name, turn):
+    """The commits appended to a log in four segments, each followed by a run
+    of ``turn`` over the log as a stream; a run goes on where the last one was,
+    in several batches whose ends lie inside segments."""
+    base = scratch_path(spark, name)
+    c = TB.commit_rows(spark, sf)
+    order = ["committed_at", "commit_key"]
+    # the segments follow the dates, as a log does
+    at = F.unix_micros(F.col("committed_at").cast("timestamp"))
+    bounds = sorted(set(c.select(at.alias("at")).approxQuantile("at", [0.3, 0.5, 0.6], 0.01)))
+    segment = F.coalesce(sum(((at > b).cast("int") for b in bounds), F.lit(0)), F.lit(0))
+    limit = c.count() // 7 + 1
+    for k in range(len(bounds) + 1):
+        CL.append(c.where(segment == k), f"{base}/log", order)
+        turn(CL.read_commits(spark, f"{base}/log", c.schema, limit), base)
+    return base
+
+
+@query("stream_commit_log")
+def q_stream_commit_log(spark, sf):
+    """S4's log as a stream source: every commit comes once."""
+    def turn(stream, base):
+        RUN.drain(stream.writeStream.format("parquet").option("path", f"{base}/commits"), f"{base}/checkpoint")
+    return spark.read.parquet(f"{_log_runs(spark, sf, 'commit-log', turn)}/commits")
+
+
+@query("stream_head_commit")
+def q_stream_head_commit(spark, sf):
+    """S4, live: the heads that the log's batches move."""
+    def turn(stream, base):
+        RUN.drain(ST.moving_heads(stream).writeStream.outputMode("update").foreachBatch(ST.heads_writer(f"{base}/heads")), f"{base}/checkpoint")
+    return ST.current_heads(spark.read.parquet(f"{_log_runs(spark, sf, 'head-commit', turn)}/heads"))
+
+
 @query("stream_debounce")
 def q_stream_debounce(spark, sf):
     """The event log in four turns of the id, which is no order of time:

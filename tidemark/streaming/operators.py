@@ -1,8 +1,10 @@
-"""Streaming operators (S3, T1, T6); T2 and T3 are in ``state``.
+"""Streaming operators (S3, S4, T1, T6); T2 and T3 are in ``state``.
 
 * S3 source events: changes of files with the watched extension.
 * T1 debounce: event-time session windows with a watermark; a session
   closes when no event follows within the gap, and emits its last event.
+* S4 head commit: the newest commit per branch of a commit log, kept by
+  Spark's aggregation state; each epoch writes the heads that moved.
 * T6 quarantine: ``foreachBatch`` splits each micro-batch into accepted
   rows and rows that failed a check, written to separate tables.
 
@@ -16,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.filters import has_extension
+from tidemark.plans.ordered import latest_per_key
+from tidemark.streaming.state import publish
 
 
 def source_events(events: DataFrame, ext: str, path: str = "path") -> DataFrame:
@@ -60,6 +64,31 @@ def late_events_writer(path: str, ts: str, lateness_seconds: int):
     return write
 
 
+HEAD_KEY = ("repo", "branch")
+HEAD_ORDER = ("committed_at", "commit_key")
+
+
+def moving_heads(commits: DataFrame) -> DataFrame:
+    """S4 as a stream (output mode ``update``): the head of every branch that
+    a batch has commits of, ordered as in ``versions.head_commit``."""
+    head = F.max_by(F.struct("sha", *HEAD_ORDER), F.struct(*HEAD_ORDER)).alias("head")
+    return commits.groupBy(*HEAD_KEY).agg(head).select(*HEAD_KEY, "head.*")
+
+
+def heads_writer(path: str):
+    """A ``foreachBatch`` function for ``moving_heads``; an epoch adds its
+    folder to the log of heads once."""
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        publish(batch.sparkSession, lambda: batch, path, epoch_id)
+    return write
+
+
+def current_heads(moved: DataFrame) -> DataFrame:
+    """The head of every branch from the log of heads.  A branch's head only
+    moves up in ``HEAD_ORDER``."""
+    return latest_per_key(moved, HEAD_KEY, HEAD_ORDER, ("sha", "committed_at"))
+
+
 def quarantine_writer(path: str, error_col: str = "error"):
     """A ``foreachBatch`` function that writes each batch once, rows with
     an error under ``failed=true`` and the others under ``failed=false``; one
