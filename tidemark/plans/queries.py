@@ -104,7 +104,7 @@ def commit_polls(spark, sf):
 
 @query("commit_cursor")
 def q_commit_cursor(spark, sf):
-    p = commit_polls(spark, sf)
+    p = materialize(commit_polls(spark, sf), "polls")            # joined once: the cursor reads it for cuts, rows and edges
     c = V.commit_cursor(p, ["repo"], "poll_ts", tiebreak=["poll_order", "poll_line"])
     return c.select("repo", "poll_ts", "poll_order", "poll_line", "sha")
 
@@ -224,30 +224,46 @@ def q_commit_file_changes(spark, sf):
     return f.select("repo", "sha", "file_path", "status", "additions", "deletions")
 
 
-def before_after(spark, sf, blobs=None):
-    blobs = TB.blobs(spark, sf) if blobs is None else blobs
-    return C.content_before_after(source_changes(spark, sf), TB.commits(spark, sf), blobs)
+# facts of a text (``shown``: a digest that is blank where the text is), and those of the empty one
+TEXT_FACTS = {"md5": F.md5, "len": F.length, "shown": lambda c: F.when(X.not_blank(c), F.md5(c)).otherwise("")}
+NO_TEXT = {"md5": "d41d8cd98f00b204e9800998ecf8427e", "len": 0, "shown": ""}
+
+
+def before_after(spark, sf):
+    """E1 on ids of texts, and the facts of each text."""
+    files = materialize(TB.commit_files(spark, sf), "commit-files")
+    source = FL.changed_source_files(files, TB.skip_list(spark), TB.CODE_EXTENSION, TB.TESTS_FOLDER)
+    return C.content_before_after(source, TB.commits(spark, sf), TB.blob_ids(spark, sf, files)), text_facts(spark, sf)
+
+
+def text_facts(spark, sf):
+    facts = (make(F.col("content")).alias(name) for name, make in TEXT_FACTS.items())
+    return materialize(TB.code_texts(spark, sf).select("id", *facts), "text-facts")
 
 
 @query("content_before_after")
 def q_content_before_after(spark, sf):
-    e = before_after(spark, sf)
-    return e.select("repo", "sha", "file_path", "parent_sha",
-                    F.md5(F.col("old_content")).alias("old_md5"), F.md5(F.col("new_content")).alias("new_md5"),
-                    F.length("old_content").alias("old_len"), F.length("new_content").alias("new_len"))
+    e, facts = before_after(spark, sf)
+    for side in ("old", "new"):
+        e = C.with_text_facts(e, facts, f"{side}_content", f"{side}_", {k: NO_TEXT[k] for k in ("md5", "len")})
+    return e.select("repo", "sha", "file_path", "parent_sha", "old_md5", "new_md5", "old_len", "new_len")
 
 
 @query("blank_coalesce")
 def q_blank_coalesce(spark, sf):
-    e = before_after(spark, sf)
-    return e.select("repo", "sha", "file_path",
-                    F.md5(X.blank_coalesce(F.col("new_content"), F.col("old_content"))).alias("source_md5"))
+    e, facts = before_after(spark, sf)
+    e = C.with_text_facts(e, facts, "new_content", "new_", {"shown": NO_TEXT["shown"]})
+    e = C.with_text_facts(e, facts, "old_content", "old_", {"md5": NO_TEXT["md5"]})
+    return e.select("repo", "sha", "file_path", X.blank_coalesce(F.col("new_shown"), F.col("old_md5")).alias("source_md5"))
 
 
 @query("existing_test_lookup")
 def q_existing_test_lookup(spark, sf):
-    e = C.existing_tests(source_changes(spark, sf), TB.blobs(spark, sf), TB.SRC_FOLDER, TB.TESTS_FOLDER)
-    return e.select("repo", "sha", "file_path", "test_path", F.md5(F.col("existing_test")).alias("test_md5"))
+    files = materialize(TB.commit_files(spark, sf), "commit-files")
+    source = FL.changed_source_files(files, TB.skip_list(spark), TB.CODE_EXTENSION, TB.TESTS_FOLDER)
+    e = C.existing_tests(source, TB.blob_ids(spark, sf, files), TB.SRC_FOLDER, TB.TESTS_FOLDER)
+    e = C.with_text_facts(e, text_facts(spark, sf), "existing_test", "test_", {"md5": NO_TEXT["md5"]})
+    return e.select("repo", "sha", "file_path", "test_path", "test_md5")
 
 
 def answers(spark, sf):

@@ -139,49 +139,28 @@ def _line_path(partkey, linenumber) -> F.Column:
 def commit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(repo, sha, file_path, status, additions, deletions, l_partkey, l_linenumber),
     one row per path and commit."""
+    # a commit lists a path once: the line item that sorts last (line numbers
+    # repeat in the data, so the whole row is the order) - a partial aggregate
+    # on the line items alone, before repositories and shas are joined
     li = read_table(spark, sf_dir, "lineitem")
+    last = F.max(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")).alias("f")
+    lines = li.groupBy("l_orderkey", _line_path(F.col("l_partkey"), F.col("l_linenumber")).alias("file_path")).agg(last)
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    j = li.join(o, li["l_orderkey"] == o["o_orderkey"])
-    rows = j.select(
+    flag = F.col("f.l_returnflag")
+    return lines.join(o, lines["l_orderkey"] == o["o_orderkey"]).select(
         F.concat(F.lit("r"), F.col("o_custkey").cast("string")).alias("repo"),
         F.concat(F.lit("c"), F.col("l_orderkey").cast("string")).alias("sha"),
-        _line_path(F.col("l_partkey"), F.col("l_linenumber")).alias("file_path"),
-        F.struct(
-            F.when(F.col("l_returnflag") == "R", F.lit("removed"))
-             .when(F.col("l_returnflag") == "A", F.lit("added"))
-             .otherwise(F.lit("modified")).alias("status"),
-            F.col("l_quantity").cast("int").alias("additions"),
-            F.col("l_linenumber").alias("deletions"),
-            F.col("l_partkey"),
-            F.col("l_linenumber"),
-        ).alias("f"),
-        F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
-                 "l_returnflag").alias("o"),
-    )
-    # a commit lists a path once: keep the line item that sorts last (line
-    # numbers repeat in the data, so the order key is the whole row) - a
-    # partial aggregate, combined map-side
-    return (rows.groupBy("repo", "sha", "file_path")
-                .agg(F.max_by("f", "o").alias("f"))
-                .select("repo", "sha", "file_path", "f.*"))
-
-
-def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """File content at (repo, sha, path): the code file of document
-    ``l_partkey`` (counted round the documents) for every file a commit did
-    not remove."""
-    cf = commit_files(spark, sf_dir).filter(F.col("status") != "removed")
-    d = read_table(spark, sf_dir, "documents")
-    last = d.agg(F.max("doc_id")).first()[0] or 0
-    code = d.select(F.col("doc_id"),
-                    code_template(F.col("doc_id"), F.col("source"), F.col("lang"),
-                                  F.col("n_chars"), F.col("text")).alias("content"))
-    return cf.join(code, F.pmod(cf["l_partkey"], F.lit(last + 1)) == code["doc_id"]).select("repo", "sha", "file_path", "content")
+        "file_path",
+        F.when(flag == "R", F.lit("removed")).when(flag == "A", F.lit("added")).otherwise(F.lit("modified")).alias("status"),
+        F.col("f.l_quantity").cast("int").alias("additions"),
+        F.col("f.l_linenumber").alias("deletions"),
+        "f.l_partkey", "f.l_linenumber")
 
 
 def blob_ids(spark: SparkSession, sf_dir: str, files: DataFrame | None = None) -> DataFrame:
-    """``blobs`` with the id of the text in place of the text; ``files``:
-    ``commit_files`` where it is written already."""
+    """File content at (repo, sha, path) as the id of its text: the code file of
+    document ``l_partkey`` (counted round the documents) for every file a commit
+    did not remove.  ``files``: ``commit_files`` where it is written already."""
     cf = (commit_files(spark, sf_dir) if files is None else files).filter(F.col("status") != "removed")
     d = read_table(spark, sf_dir, "documents").select("doc_id")
     last = d.agg(F.max("doc_id")).first()[0] or 0
