@@ -54,3 +54,29 @@ def test_head_commit_ties_break_on_key(spark):
     assert [r.sha for r in V.head_commit(df).collect()] == ["c2"]
     first = latest_per_key(df, ["repo"], ["committed_at", "commit_key"], ["sha"], newest=False).collect()
     assert [r.sha for r in first] == ["c0"]
+
+
+def test_text_facts_of_missing_and_unknown_texts(spark):
+    from tidemark.operators.commits import with_text_facts
+    facts = spark.createDataFrame([("1", 3, "x"), ("2", None, "y")], "id string, len int, md5 string")
+    rows = spark.createDataFrame([("a", "1"), ("a", "1"), ("b", ""), ("c", None), ("d", "9"), ("e", "2")], "k string, old string")
+    got = sorted(map(tuple, with_text_facts(rows, facts, "old", "old_", {"len": 0, "md5": "none"}).collect()), key=str)
+    assert got == sorted([("a", "1", 3, "x"), ("a", "1", 3, "x"), ("b", "", 0, "none"), ("c", None, 0, "none"),
+                          ("d", "9", 0, "none"), ("e", "2", 0, "y")], key=str)
+
+
+def test_neighbours_of_values_of_any_type_over_buckets(spark):
+    """The edges of buckets are the same whether the values have an order
+    (compared with the row) or not (maps)."""
+    from pyspark.sql import functions as F
+    from tidemark.plans.ordered import with_neighbour
+    df = spark.range(60).select((F.col("id") % 3).alias("k"), F.col("id").alias("o"), F.concat(F.lit("v"), 100 - F.col("id")).alias("v"))
+    df = df.withColumn("m", F.create_map("v", "o"))
+    for direction, step in (("prev", -3), ("next", 3)):
+        rows = with_neighbour(df, ["k"], "o", ["v", "m"], direction=direction, prefix="n_", buckets=7).collect()
+        assert len(rows) == 60
+        for r in rows:
+            o = r.o + step
+            assert (r.n_v, r.n_m) == ((f"v{100 - o}", {f"v{100 - o}": o}) if 0 <= o < 60 else (None, None))
+        plain = with_neighbour(df, ["k"], "o", ["v"], direction=direction, prefix="n_", buckets=7).collect()
+        assert {(r.o, r.n_v) for r in plain} == {(r.o, r.n_v) for r in rows}

@@ -8,8 +8,9 @@ holds about the same number of rows whatever the values are and a hot key is
 spread over as many tasks as there are buckets:
 
 1. ``lag``/``lead`` inside ``(key, bucket)`` (a bounded group);
-2. one row per ``(key, bucket)`` with the last (first) row of the bucket, a
-   partial aggregate, combined map-side before the shuffle;
+2. one row per ``(key, bucket)`` with the last (first) row of the bucket,
+   computed with ``max_by``/``min_by`` - a partial aggregate, combined
+   map-side before the shuffle;
 3. ``lag``/``lead`` of that small table over the buckets of each key carries
    the neighbour across bucket edges;
 4. a join on ``(key, bucket)`` - the big side is already hash-partitioned on
@@ -43,7 +44,10 @@ def bucket_of(df: DataFrame, order: str, buckets: int | None = None) -> Column:
     cuts = sorted(set(cuts or []))
     if not cuts:
         return F.lit(0)
-    return F.coalesce(F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c <= value)), F.lit(0))
+    # the value goes in as an element: the optimizer does not see columns that
+    # stand in a lambda's body, and would infer a filter on the edges from it
+    found = F.transform(F.array(value), lambda v: F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c <= v)))
+    return F.coalesce(F.get(found, 0), F.lit(0))
 
 
 def with_neighbour(df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str],
@@ -62,6 +66,7 @@ def with_neighbour(df: DataFrame, keys: Sequence[str], order: str, values: Seque
     ordering = [order, *tiebreak]
     fields = [*ordering, *[v for v in values if v not in ordering]]
     payload = F.struct(*[F.col(c).alias(c) for c in fields])
+    okey = F.struct(*[F.col(c) for c in ordering])
 
     k, b = "_tm_key", "_tm_bucket"
     base = df.withColumn(k, F.struct(*keys)).withColumn(b, bucket_of(df, order, buckets))
@@ -72,14 +77,8 @@ def with_neighbour(df: DataFrame, keys: Sequence[str], order: str, values: Seque
     rows = base.withColumn("_tm_in", inner)
 
     # 2. one edge row per (key, bucket): last row for prev, first row for next
-    # (the order columns lead the struct, so that it is its own order where
-    # its values can be compared)
-    if any(isinstance(df.schema[c].dataType, (T.MapType, T.ArrayType, T.StructType, T.VariantType)) for c in values):
-        okey = F.struct(*[F.col(c) for c in ordering])
-        edge = F.max_by(payload, okey) if direction == "prev" else F.min_by(payload, okey)
-    else:
-        edge = F.max(payload) if direction == "prev" else F.min(payload)
-    edges = base.groupBy(k, b).agg(edge.alias("_tm_edge"))
+    pick = F.max_by if direction == "prev" else F.min_by
+    edges = base.groupBy(k, b).agg(pick(payload, okey).alias("_tm_edge"))
 
     # 3. carry edges across buckets (small table: one row per key-bucket)
     we = Window.partitionBy(k).orderBy(b)
