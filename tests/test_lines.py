@@ -1,4 +1,5 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -45,3 +46,14 @@ def test_a_million_lines(spark):
     blocks = LN.changed_line_blocks(pairs, texts, ["k"])
     assert sorted((r.block, r.changed_lines) for r in blocks.collect()) == [
         (0, [1, 1024]), (1, [1025]), (759, [777_778]), (976, [1_000_000])]
+
+
+def test_texts_are_cut_once(spark):
+    # 20,000 lines each: cutting both texts again for every line takes minutes
+    n = 20_000
+    text = lambda f: "\n".join(f(i) for i in range(n))
+    old, new = text(lambda i: f"line {i}"), text(lambda i: "other" if i in (0, 777, n - 1) else f"line {i}") + "\nmore"
+    df = spark.createDataFrame([(old, new)], "o string, n string").select(changed_line_numbers("o", "n").alias("c"))
+    began = time.monotonic()
+    assert df.first().c == [1, 778, n, n + 1]
+    assert time.monotonic() - began < 20

@@ -62,12 +62,11 @@ def changed_line_numbers(old, new) -> Column:
     """1-based numbers of new lines that have no old line at the same
     position or differ from it.  Positional, so an insertion flags every
     later line and a trailing deletion flags nothing."""
-    ol = split_lines(old)
-    nl = split_lines(new)
-    return F.filter(
-        F.sequence(F.lit(1), F.size(nl)),
-        lambda i: (i > F.size(ol)) | ~F.try_element_at(ol, i).eqNullSafe(F.try_element_at(nl, i)),
-    )
+    # both texts are cut once: a lambda's body is worked out per element, so it
+    # must not hold the split itself.  Places past the shorter text are null.
+    differs = F.zip_with(split_lines(old), split_lines(new), lambda o, n: n.isNotNull() & ~o.eqNullSafe(n))
+    numbered = F.transform(differs, lambda d, i: F.when(d, i + 1))
+    return F.filter(numbered, lambda i: i.isNotNull())
 
 
 def strip_think(c) -> Column:
