@@ -35,6 +35,8 @@ braces do not balance has no declarations (``braces_balance`` tells).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -97,8 +99,9 @@ def compiled_text(c: Column) -> Column:
     always; ``&&`` and ``||`` combine them.  Only the few directive lines are
     folded into a state: one letter per open block, ``a`` (this branch
     compiles), ``w`` (none yet), ``d`` (an earlier one did)."""
-    d = lambda lines: F.filter(F.transform(lines, lambda l, i: F.struct(i.alias("i"), F.regexp_extract(l, r"^\s*#\s*(if|elif|else|endif)\b", 1).alias("d"),
-                                                          F.regexp_extract(l, r"^\s*#\s*(?:if|elif)\b([^/]*)", 1).alias("c"))),
+    d = lambda lines: F.filter(F.transform(F.filter(F.transform(lines, lambda l, i: F.struct(i.alias("i"), l.alias("l"))), lambda x: x["l"].contains("#")),
+                                           lambda x: F.struct(x["i"].alias("i"), F.regexp_extract(x["l"], r"^\s*#\s*(if|elif|else|endif)\b", 1).alias("d"),
+                                                              F.regexp_extract(x["l"], r"^\s*#\s*(?:if|elif)\b([^/]*)", 1).alias("c"))),
                                lambda x: x["d"] != "")
     term_re = r"^(?U)\s*\(*\s*(!?)\s*\(?\s*(\w+)\s*\)*\s*$"
 
@@ -109,7 +112,7 @@ def compiled_text(c: Column) -> Column:
         return F.exists(F.split(e, r"\|\|"), lambda o: F.forall(F.split(o, "&&"), term))
 
     def symbols(lines, word):
-        return F.transform(lines, lambda l: F.regexp_extract(l, rf"^(?U)\s*#\s*{word}\s+(\w+)", 1))
+        return F.transform(F.filter(lines, lambda l: l.contains("#")), lambda l: F.regexp_extract(l, rf"^(?U)\s*#\s*{word}\s+(\w+)", 1))
 
     def step(s, x, holds):
         top = F.right(s["open"], F.lit(1))
@@ -125,14 +128,15 @@ def compiled_text(c: Column) -> Column:
 
     def blanked(x):
         on = lambda i: F.coalesce(F.try_element_at(F.filter(x["marks"], lambda m: m["i"] <= i), F.lit(-1))["on"], F.lit(True))
-        return F.transform(x["lines"], lambda l, i: F.when(on(i) | l.rlike(r"^\s*#"), l).otherwise(F.regexp_replace(l, ".", " ")))
+        return F.transform(x["lines"], lambda l, i: F.when(on(i) | (l.contains("#") & l.rlike(r"^\s*#")), l).otherwise(F.regexp_replace(l, ".", " ")))
 
-    def marks(lines):
-        defined = F.array_except(symbols(lines, "define"), symbols(lines, "undef"))
+    def marks(lines, defined):
         return F.aggregate(d(lines), start, lambda s, x: step(s, x, lambda e: holds(e, defined)), lambda s: s["marks"])
 
-    # arrays of one element bind the lines, then the marks, so that each is worked out once
-    bound = F.transform(F.array(F.split(c, "\n", -1)), lambda lines: F.struct(lines.alias("lines"), marks(lines).alias("marks")))
+    # arrays of one element bind the lines, the symbols, then the marks, so that each is worked out once
+    cut = F.transform(F.array(F.split(c, "\n", -1)), lambda lines: F.struct(
+        lines.alias("lines"), F.array_except(symbols(lines, "define"), symbols(lines, "undef")).alias("defined")))
+    bound = F.transform(cut, lambda x: F.struct(x["lines"].alias("lines"), marks(x["lines"], x["defined"]).alias("marks")))
     return F.when(c.contains("#if"), F.array_join(F.transform(bound, blanked)[0], "\n")).otherwise(c)
 
 
@@ -153,7 +157,9 @@ def segments(files: DataFrame, keys: Sequence[str], content: str = "content") ->
     keys = list(keys)
     parts = F.filter(F.regexp_extract_all(compiled_text(F.coalesce(F.col(content), F.lit(""))), F.lit(SEGMENT_RE), 0),
                      lambda s: s != "")
-    s = files.select(*keys, content).repartition(*keys).select(*keys, F.posexplode(parts).alias("idx", "seg"))
+    # in so many parts: a few MB of text are minutes of work, which Spark would put together by their bytes
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    s = files.select(*keys, content).repartition(n, *keys).select(*keys, F.posexplode(parts).alias("idx", "seg"))
     # a comment or directive may end the file in one of these characters
     last = F.substring(F.when(F.col("seg").rlike(COMMENT_LAST_RE), mask(F.col("seg"))).otherwise(F.col("seg")), -1, 1)
     term = F.when(last.isin("{", "}", ";"), last).otherwise(F.lit(""))
@@ -227,29 +233,35 @@ def _classify(s: DataFrame) -> DataFrame:
                                                           r"\s*:\s*(?:base|this)\s*" + FOLDED + r"\s*$", "")))
     h, hf, sig, term = F.col("ht"), F.col("hf"), F.col("sig"), F.col("term")
     called = r"(?U)(~?\s*@?\w+)\s*(?:<[\w\s,<>\[\]?.@]*>)?\s*" + FOLDED + "$"
-    word = lambda w: sig.rlike(rf"^(?U)(?:\w+\s+)*?{w}\b(?!\s*\*)")
-    type_kw = F.regexp_extract(hf, TYPE_RE, 1)
-    arrow_first = hf.rlike(r"(?s)^" + r"(?:(?!=>|(?<![=!<>])=(?![=>])).)*+=>")
-    raw = (F.when((term == ";") & h.rlike(r"^(?:global\s+)?using\s"), F.lit("using"))
-           .when(term.isin("{", ";") & h.rlike(r"^(?U)namespace\s+[\w.@]+$"), F.lit("namespace"))
+    # a plain search comes before each pattern that has a fixed part
+    word = lambda w: sig.contains(w) & sig.rlike(rf"^(?U)(?:\w+\s+)*?{w}\b(?!\s*\*)")
+    s = s.withColumn("type_kw", F.when(reduce(or_, (hf.contains(k) for k in TYPE_KINDS)), F.regexp_extract(hf, TYPE_RE, 1)).otherwise(F.lit("")))
+    type_kw = F.col("type_kw")
+    arrow_first = hf.contains("=>") & hf.rlike(r"(?s)^" + r"(?:(?!=>|(?<![=!<>])=(?![=>])).)*+=>")
+    indexer = sig.contains("this") & sig.rlike(r"\bthis\s*\[")
+    raw = (F.when((term == ";") & h.contains("using") & h.rlike(r"^(?:global\s+)?using\s"), F.lit("using"))
+           .when(term.isin("{", ";") & h.startswith("namespace") & h.rlike(r"^(?U)namespace\s+[\w.@]+$"), F.lit("namespace"))
            .when(term.isin("{", ";") & (type_kw != ""), type_kw)
            .when((term == "}") | (term == "") | (h == "") | h.rlike(r"^[=).,\]?:&|+*/<>-]"), F.lit(None).cast("string"))
            .when(word("delegate"), F.lit("delegate"))
            .when(word("event"), F.lit("event"))
-           .when(sig.rlike(r"\boperator\b"), F.lit("operator"))
-           .when(sig.rlike(r"\bthis\s*\["), F.lit("property"))
-           .when(sig.rlike(called), F.lit("callable"))
+           .when(sig.contains("operator") & sig.rlike(r"\boperator\b"), F.lit("operator"))
+           .when(indexer, F.lit("property"))
+           .when(sig.endswith(FOLDED) & sig.rlike(called), F.lit("callable"))
            .when(F.col("is_expr") & arrow_first, F.lit("property"))
            .when((term == ";") | F.col("is_expr"), F.lit("field"))
            .when(term == "{", F.lit("property")))
+    # a column of its own: the name asks for it five times
+    s = s.withColumn("raw_kind", raw)
+    raw = F.col("raw_kind")
     name = (F.when(raw == "using", F.regexp_extract(h, r"^(?U)(?:global\s+)?using\s+(?:static\s+)?(?:\w+\s*=\s*)?([\w.@]+)", 1))
             .when(raw == "namespace", F.regexp_extract(h, r"^(?U)namespace\s+([\w.@]+)", 1))
             .when(raw.isin(*TYPE_KINDS), F.regexp_extract(hf, TYPE_RE, 2))
             .when(raw == "callable", F.regexp_replace(F.regexp_extract(sig, called, 1), r"[\s@]", ""))
-            .when(sig.rlike(r"\bthis\s*\["), F.lit("this"))
+            .when(indexer, F.lit("this"))
             .when(raw.isin("field", "property"), F.regexp_extract(sig, r"(?U)(@?\w+)\s*$", 1)))
-    return (s.withColumn("raw_kind", raw).withColumn("name", name)
-             .withColumn("is_public", h.rlike(r"^(?:\w+\s+)*?public\b"))
+    return (s.withColumn("name", name)
+             .withColumn("is_public", h.contains("public") & h.rlike(r"^(?:\w+\s+)*?public\b"))
              .withColumn("starts_eq", h.startswith("=")))
 
 
@@ -270,15 +282,17 @@ def declarations(files: DataFrame, keys: Sequence[str], content: str = "content"
              .otherwise(F.array(role(F.col("depth"), False)))
     u = cls.withColumn("role", F.explode(roles)).select("*", "role.level", "role.is_opener").drop("role")
     w = Window.partitionBy(*keys, "level").orderBy("idx")
-    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    # what follows is what has passed in descending order: a frame to the end of the file is worked out anew for every row
+    after = Window.partitionBy(*keys, "level").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, -1)
     end = F.struct((F.col("seg_start") + F.col("len")).alias("pos"), (F.col("nl_before") + F.col("nl") + 1).alias("line"),
                    F.col("next_tt").alias("tt"))
     opener = F.struct("idx", "raw_kind", "name", (F.col("seg_start") + F.col("lead_ws")).alias("pos"))
     u = u.select(
         "*",
         F.last(F.when(F.col("is_opener"), opener), ignorenulls=True).over(before).alias("parent"),
-        F.when(F.col("is_opener"), F.first(F.when(~F.col("is_opener") & (F.col("term") == "}"), end), ignorenulls=True).over(after)).alias("closer"),
-        F.first(F.when(~F.col("is_opener") & (F.col("term") == ";"), end), ignorenulls=True).over(after).alias("semicolon"),
+        F.when(F.col("is_opener"), F.last(F.when(~F.col("is_opener") & (F.col("term") == "}"), end), ignorenulls=True).over(after)).alias("closer"),
+        F.last(F.when(~F.col("is_opener") & (F.col("term") == ";"), end), ignorenulls=True).over(after).alias("semicolon"),
         F.coalesce(F.lead("starts_eq").over(w), F.lit(False)).alias("assigned"))
     u = u.withColumn("closer", F.max("closer").over(Window.partitionBy(*keys, "idx")))
 
