@@ -237,3 +237,11 @@ def test_tests_of_many_methods(spark):
     m = spark.createDataFrame([("k", "Add"), ("k", "Add"), ("k", "Sub"), ("k", "add"), ("j", "AddAll"), ("k", "AddAll_WhenB")], "k string, name string")
     got = {(r.k, r.name): r.tests for r in D.tests_of_methods(m, decls, ["k"]).collect()}
     assert got == {("k", "Add"): "t2\nt1\n", ("k", "Sub"): "t3\n", ("k", "add"): "", ("j", "AddAll"): "", ("k", "AddAll_WhenB"): "t2\n"}
+
+
+def test_scan_looks_back_only(spark):
+    # a frame to the end of the file costs the square of its segments
+    files = spark.createDataFrame([("a.cs", BIN)], "file_path string, content string")
+    plan = D.declarations(files, KEYS, with_text=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "1, unboundedfollowing" not in plan.lower()
+    assert "repartitionbyexpression" in plan.lower()

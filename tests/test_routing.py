@@ -183,3 +183,15 @@ def test_nested_projects_route_with_their_own_settings(spark):
     a, b = got["r", "src/A.cs"], got["r", "src/api/B.cs"]
     assert (a.status, a.test_path) == ("needs_review", "tests/ATests.cs") and "sample unit test" not in a.prompt
     assert (b.status, b.test_path) == ("auto_applied", "src/api/unit/BTests.cs") and "// like this" in b.prompt
+
+
+def test_rows_carry_digests_of_texts_built_once(spark):
+    ch = spark.createDataFrame([(f"src/{n}.cs", "", CLASS_ONE, "", "ok") for n in "ABC"] + [("src/D.cs", "", CLASS_ONE, "", None)],
+                               "file_path string, old_content string, new_content string, existing_test string, request_id string")
+    rep = spark.createDataFrame([("ok", "openai", 200, '{"choices":[{"text":"class T { }"}]}')], "request_id string, provider string, http_status int, body string")
+    whole = R.outcome_routing(ch, ["file_path"], skip_list(spark), 300, replay=rep)
+    short = R.outcome_routing(ch, ["file_path"], skip_list(spark), 300, replay=rep, prompt_as=F.md5, code_as=F.md5)
+    none = R.outcome_routing(ch, ["file_path"], skip_list(spark), 300, replay=rep, prompt_as=None)
+    expected = whole.withColumn("prompt", F.md5("prompt")).withColumn("generated_code", F.md5("generated_code"))
+    assert sorted(map(str, short.collect())) == sorted(map(str, expected.collect()))
+    assert {(r.status, r.prompt, r.error) for r in none.collect()} == {("needs_review", None, None), ("error", None, "no completion")}

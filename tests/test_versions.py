@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import versions as V
-from tidemark.plans.ordered import latest_per_key, with_neighbour
+from tidemark.plans.ordered import bucket_of, latest_per_key, with_neighbour
 
 
 def test_previous_version_pairs(spark):
@@ -80,3 +80,14 @@ def test_neighbours_of_values_of_any_type_over_buckets(spark):
             assert (r.n_v, r.n_m) == ((f"v{100 - o}", {f"v{100 - o}": o}) if 0 <= o < 60 else (None, None))
         plain = with_neighbour(df, ["k"], "o", ["v"], direction=direction, prefix="n_", buckets=7).collect()
         assert {(r.o, r.n_v) for r in plain} == {(r.o, r.n_v) for r in rows}
+
+
+def test_bucket_search_is_not_linear_in_the_cuts(spark):
+    df = spark.range(1000).select(F.when(F.col("id") % 9 != 0, F.col("id")).alias("v"))
+    for n in (2, 3, 64, 500):
+        b = bucket_of(df, "v", n)
+        got = df.select("v", b.alias("b")).collect()
+        assert "filter(" not in str(b)          # a search by halves, not a count over all cuts
+        assert all(r.b == 0 for r in got if r.v is None)
+        order = [r.b for r in sorted((r for r in got if r.v is not None), key=lambda r: r.v)]
+        assert order == sorted(order) and order[-1] == len(set(order)) - (0 if 0 in order else -1) - 1

@@ -49,7 +49,7 @@ class Ticks(StatefulProcessor):
     def _get(self, tick: int):
         """(first time, last event as (time, tiebreak, ...), announced)."""
         if tick not in self.known:
-            found = self.ticks.getValue((tick,)) if self.ticks.containsKey((tick,)) else None
+            found = self.ticks.getValue((tick,))                  # None where there is none
             self.known[tick] = found and (found[0], (found[1], *found[3:]), found[2])
         return self.known[tick]
 
