@@ -94,3 +94,13 @@ def test_attempts_that_were_not_chosen_leave_nothing(tmp_path):
     w.write(iter([("e.cs", "x")]))
     SK.clear_staging(str(tmp_path))
     assert not (tmp_path / SK.STAGED).exists() and files_below(tmp_path) == {"a.cs": "kept", "b/c.cs": "x"}
+
+
+def test_one_file_per_row_starts_no_process_per_file(spark):
+    # Spark's text writer (a process and a checksum file each) leaves .crc files
+    root = scratch_path(spark, "t-many-files")
+    docs = spark.createDataFrame([("a b", "x"), ("c:d%", None), (None, "y"), ("", "z")], "folder string, text string")
+    SF.write_one_file_per_row(docs, root, "text", "folder")
+    found = sorted((os.path.basename(d), f.rsplit(".", 1)[1], open(f"{d}/{f}").read()) for d, _, fs in os.walk(root) for f in fs)
+    null = "folder=__HIVE_DEFAULT_PARTITION__"
+    assert found == [(null, "txt", "y\n"), (null, "txt", "z\n"), ("folder=a b", "txt", "x\n"), ("folder=c%3Ad%25", "txt", "\n")]

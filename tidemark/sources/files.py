@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.sink import write_distinct_files
+
 
 def without_bom(content: str) -> Column:
     """A text without the byte order mark that may start a file."""
@@ -23,9 +25,24 @@ def scan_whole_files(spark: SparkSession, root: str, glob: str | None = None) ->
     return df.select(F.col("_metadata.file_path").alias("file_path"), without_bom("value").alias("content"))
 
 
+# Fixed value: characters that a partition folder's name holds as ``%XX``.
+ESCAPED_RE = r"""[\x01-\x1f\x7f"#%'*/:=?\\{\[\]^]"""
+
+
+def folder_name(column: str) -> Column:
+    """The folder of a value as Spark's own partitioned writers name it."""
+    c = F.col(column).cast("string")
+    one = lambda x: F.when(x.rlike(ESCAPED_RE), F.concat(F.lit("%"), F.lpad(F.hex(x), 2, "0"))).otherwise(x)
+    value = F.when(c.rlike(ESCAPED_RE), F.array_join(F.transform(F.split(c, ""), one), "")).otherwise(c)
+    return F.concat(F.lit(f"{column}="), F.coalesce(F.nullif(value, F.lit("")), F.lit("__HIVE_DEFAULT_PARTITION__")))
+
+
 def write_one_file_per_row(df: DataFrame, root: str, text_col: str, folder_col: str) -> None:
-    """Write each row's text as its own file (``maxRecordsPerFile`` = 1) in a
-    folder per ``folder_col`` value; ``sink.write_files`` writes rows at paths
-    of their own."""
-    (df.select(text_col, folder_col).write.mode("overwrite")
-       .option("maxRecordsPerFile", 1).partitionBy(folder_col).text(root))
+    """Write each row's text, ended by a newline, as its own file in a folder
+    per ``folder_col`` value, through the file sink: Spark's text writer starts
+    a process per file on a local disk and its commit moves one at a time.
+    ``sink.write_files`` writes rows at paths of their own."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(text_col, folder_col).repartition(n)
+    path = F.concat(folder_name(folder_col), F.lit("/part-"), F.monotonically_increasing_id().cast("string"), F.lit(".txt"))
+    write_distinct_files(rows.select(path.alias("path"), F.concat(F.coalesce(F.col(text_col), F.lit("")), F.lit("\n")).alias("content")), root)

@@ -85,8 +85,13 @@ class TextFilesWriter(DataSourceWriter):
     def commit(self, messages: list) -> None:
         fs, base = self._at()
 
+        made: set[str] = set()
+
         def move(staged: str, target: str) -> None:
-            fs.create_dir(posixpath.dirname(f"{base}/{target}"), recursive=True)
+            folder = posixpath.dirname(f"{base}/{target}")
+            if folder not in made:
+                fs.create_dir(folder, recursive=True)
+                made.add(folder)
             fs.move(staged, f"{base}/{target}")
 
         with ThreadPoolExecutor(MOVERS) as pool:
@@ -131,5 +136,10 @@ def write_files(df: DataFrame, root: str, path: str = "path", content: str = "co
     twice = rows.groupBy(F.replace("path", F.lit("\\"), F.lit("/")).alias("p")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").first()
     if twice is not None:
         raise ValueError(f"{twice['n']} rows for the path {twice['p']!r}")
-    df.sparkSession.dataSource.register(TextFiles)
+    write_distinct_files(rows, root)
+
+
+def write_distinct_files(rows: DataFrame, root: str) -> None:
+    """``write_files`` of rows (path, content) whose paths are known to be distinct."""
+    rows.sparkSession.dataSource.register(TextFiles)
     rows.write.format("text_files").mode("append").option("root", root).save()
