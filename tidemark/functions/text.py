@@ -85,7 +85,8 @@ def extract_code_block(c) -> Column:
 
 def basename(c) -> Column:
     """File name after the last ``/`` or ``\\`` (both separators accepted)."""
-    return F.regexp_extract(col(c), r"([^/\\]*)$", 1)
+    # no pattern: it would be tried from every character of the path
+    return F.substring_index(F.substring_index(col(c), "/", -1), "\\", -1)
 
 
 def stem(c) -> Column:

@@ -140,10 +140,12 @@ def commit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(repo, sha, file_path, status, additions, deletions, l_partkey, l_linenumber),
     one row per path and commit."""
     # a commit lists a path once: the line item that sorts last (line numbers
-    # repeat in the data, so the whole row is the order) - a partial aggregate
-    # on the line items alone, before repositories and shas are joined
-    li = read_table(spark, sf_dir, "lineitem")
-    last = F.max(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")).alias("f")
+    # repeat in the data, so the whole row is the order).  Line items are dealt
+    # once, by commit, for the aggregate and for the join with orders; paths are
+    # made after that
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag"]
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", *order).repartition("l_orderkey")
+    last = F.max(F.struct(*order)).alias("f")
     lines = li.groupBy("l_orderkey", _line_path(F.col("l_partkey"), F.col("l_linenumber")).alias("file_path")).agg(last)
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     flag = F.col("f.l_returnflag")
