@@ -50,7 +50,7 @@ _INTERPOLATED = (r'\$"(?:[^"\\{\n]++|\\.|\{\{|' + _HOLE + r')*+"'
                  r'|(?:\$@|@\$)"(?:[^"{]++|""|\{\{|' + _HOLE + r')*+"')
 _STRING = r'@"(?:[^"]|"")*+"|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"' + r"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
 _COMMENT = r"//[^\n]*+|/\*[\s\S]*?\*/"
-_DIRECTIVE = r"(?<=(?:\A|\n)[ \t\uFEFF]{0,99})#[^\n]*+"
+_DIRECTIVE = r"#(?<=(?:\A|\n)[ \t\uFEFF]{0,99}#)[^\n]*+"       # its sign before the look behind, which costs a hundred tries
 _LIT = "|".join([_RAW, _INTERPOLATED, _STRING, _COMMENT, _DIRECTIVE])
 _PLAIN = r"""[^"'/@#$\[\]{};]++"""
 
@@ -65,8 +65,9 @@ def _list(depth: int) -> str:
 
 
 _LIST = _list(6)
-TOKEN_RE = _LIT + r"""|[^"'/@#$]++|[\s\S]"""
-SEGMENT_RE = "(?:" + _LIT + "|" + _LIST + "|" + _PLAIN + r"|[^{};])*+(?:[{};]|\z)"
+# plain text first: no other token begins with one of its characters
+TOKEN_RE = r"""[^"'/@#$]++|""" + _LIT + r"|[\s\S]"
+SEGMENT_RE = "(?:" + _PLAIN + "|" + _LIT + "|" + _LIST + r"|[^{};])*+(?:[{};]|\z)"
 MASKED_TOKEN_RE = r"""^(?:\$*"{3}|\$?@?\$?"|'|//|/\*|#)"""
 ATTRIBUTES_RE = r"^(?U)(?:\s*\[[^\[\]]*+\])+"          # once brackets inside brackets are gone
 BLANK_RE = r"^(?U)[\s\uFEFF]*"
@@ -81,8 +82,22 @@ UNBALANCED = "source has unbalanced braces"
 def mask(c: Column) -> Column:
     """Blank literals, comments and directives at equal length, keeping newlines."""
     toks = F.regexp_extract_all(c, F.lit(TOKEN_RE), 0)
-    return F.array_join(F.transform(toks, lambda t: F.when(t.rlike(MASKED_TOKEN_RE),
-                                                         F.regexp_replace(t, r"[^\n]", " ")).otherwise(t)), "")
+    masked = F.array_join(F.transform(toks, lambda t: F.when(t.rlike(MASKED_TOKEN_RE),
+                                                           _blanks(t)).otherwise(t)), "")
+    return F.when(_has(c, '"', "'", "//", "/*", "#"), masked).otherwise(c)
+
+
+def _blanks(t: Column) -> Column:
+    return F.when(t.contains("\n"), F.regexp_replace(t, r"[^\n]", " ")).otherwise(F.repeat(F.lit(" "), F.length(t)))
+
+
+def _has(c: Column, *parts: str) -> Column:
+    """Whether a text holds one of the parts: asked before a pattern that cannot match without."""
+    return reduce(or_, (c.contains(p) for p in parts))
+
+
+def _replaced(c: Column, pattern: str, by: str, *parts: str) -> Column:
+    return F.when(_has(c, *parts), F.regexp_replace(c, pattern, by)).otherwise(c)
 
 
 def braces_balance(content) -> Column:
@@ -150,10 +165,11 @@ TRAILING_TRIVIA_RE = r"^[ \t\f\x0B]*+(?:/\*[^\n]*?\*/[ \t\f\x0B]*+)*+(?://[^\n]*
 
 
 def segments(files: DataFrame, keys: Sequence[str], content: str = "content") -> DataFrame:
-    """One row per segment with its text, offset, line, depth and the length
-    of the trailing trivia it starts with; none of files whose braces do not
-    balance.  Files are dealt by their keys first; everything later in the
-    scan stays in that partitioning."""
+    """One row per segment with its text, offset, line, depth, the length of
+    the trailing trivia it starts with, its classification if it opens a block
+    (``opens``) and what stands before it in the file (``before``); none of
+    files whose braces do not balance.  Files are dealt by their keys first;
+    everything later in the scan stays in that partitioning."""
     keys = list(keys)
     parts = F.filter(F.regexp_extract_all(compiled_text(F.coalesce(F.col(content), F.lit(""))), F.lit(SEGMENT_RE), 0),
                      lambda s: s != "")
@@ -161,12 +177,14 @@ def segments(files: DataFrame, keys: Sequence[str], content: str = "content") ->
     n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     s = files.select(*keys, content).repartition(n, *keys).select(*keys, F.posexplode(parts).alias("idx", "seg"))
     # a comment or directive may end the file in one of these characters
-    last = F.substring(F.when(F.col("seg").rlike(COMMENT_LAST_RE), mask(F.col("seg"))).otherwise(F.col("seg")), -1, 1)
+    last = F.substring(F.when(_has(F.col("seg"), "//", "/*", "#") & F.col("seg").rlike(COMMENT_LAST_RE), mask(F.col("seg"))).otherwise(F.col("seg")), -1, 1)
     term = F.when(last.isin("{", "}", ";"), last).otherwise(F.lit(""))
     s = s.select(*keys, "idx", "seg", F.length("seg").alias("len"), _nl(F.col("seg")).alias("nl"),
                  term.alias("term"), F.length(F.regexp_extract("seg", TRAILING_TRIVIA_RE, 0)).alias("tt"))
+    s = _header(s, F.col("term") == "{", "opens")
     w = Window.partitionBy(*keys).orderBy("idx")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     delta = F.when(F.col("term") == "{", 1).when(F.col("term") == "}", -1).otherwise(0)
     return s.select(
         "*",
@@ -174,7 +192,10 @@ def segments(files: DataFrame, keys: Sequence[str], content: str = "content") ->
         F.coalesce(F.sum("nl").over(before), F.lit(0)).alias("nl_before"),
         F.coalesce(F.sum(delta).over(before), F.lit(0)).alias("depth"),
         F.coalesce(F.lead("tt").over(w), F.lit(0)).alias("next_tt"),
-        F.sum(delta).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("surplus"),
+        F.lag(F.struct("idx", "term", "len", "opens")).over(w).alias("before"),
+        F.sum(delta).over(whole).alias("surplus"),
+        F.sum("len").over(whole).alias("text_len"),
+        F.sum("nl").over(whole).alias("text_nl"),
     ).where("surplus = 0").drop("surplus")
 
 
@@ -204,33 +225,46 @@ def _times(n: Column) -> Column:
 def _folded(h: Column) -> Column:
     """A header with every pair of parentheses and its contents as one sign,
     however deep."""
-    return F.aggregate(_times(_nesting(h, "(", ")")), h, lambda x, _: F.regexp_replace(x, r"\([^()]*\)", FOLDED))
+    return F.when(h.contains("("), F.aggregate(_times(_nesting(h, "(", ")")), h, lambda x, _: F.regexp_replace(x, r"\([^()]*\)", FOLDED))).otherwise(h)
 
 
 def _flat_lists(h: Column) -> Column:
     """A header without the brackets that are inside other brackets."""
-    return F.aggregate(_times(_nesting(h, r"\[", r"\]") - 1), h, lambda x, _: F.regexp_replace(x, r"(\[[^\[\]]*)(?:\[[^\[\]]*\][^\[\]]*)+", "$1"))
+    flat = F.aggregate(_times(_nesting(h, r"\[", r"\]") - 1), h, lambda x, _: F.regexp_replace(x, r"(\[[^\[\]]*)(?:\[[^\[\]]*\][^\[\]]*)+", "$1"))
+    return F.when(h.contains("["), flat).otherwise(h)
+
+
+HEADER = ("raw_kind", "name", "is_public", "lead_ws", "lead_nl", "is_expr")
+
 
+def _masked_header(seg: Column, term: Column) -> Column:
+    """A segment without its terminator, literals and comments blanked."""
+    return mask(F.when(term == "", seg).otherwise(F.substring(seg, F.lit(1), F.length(seg) - 1)))
 
-def _header(s: DataFrame) -> DataFrame:
-    """Masked header (segment without its terminator, literals and comments
-    blanked), node start and raw classification."""
-    h = mask(F.when(F.col("term") == "", F.col("seg")).otherwise(F.expr("substring(seg, 1, length(seg) - 1)")))
-    s = s.withColumn("h", h)
+
+def _bare(h: Column) -> Column:
+    """A masked header that no blanks lead, without leading attributes."""
+    return unicode_trim(_replaced(_flat_lists(h), ATTRIBUTES_RE, "", "["))
+
+
+def _header(s: DataFrame, wanted: Column, out: str) -> DataFrame:
+    """Node start and raw classification of the wanted segments as one struct."""
+    columns = s.columns
+    s = s.withColumn("h", F.when(wanted, _masked_header(F.col("seg"), F.col("term"))))
     s = s.withColumn("lead_ws", F.length(F.regexp_extract("h", BLANK_RE, 0)))
     s = s.withColumn("lead_nl", _nl(F.expr("substring(h, 1, lead_ws)")))
-    return _classify(s)
+    s = _classify(s.withColumn("h", F.expr("substring(h, lead_ws + 1)")))
+    return s.select(*columns, F.when(F.col("h").isNotNull(), F.struct(*HEADER)).alias(out))
 
 
 def _classify(s: DataFrame) -> DataFrame:
-    bare = F.regexp_replace(_flat_lists(F.regexp_replace(F.col("h"), BLANK_RE, "")), ATTRIBUTES_RE, "")
-    s = s.withColumn("ht", unicode_trim(bare))
+    s = s.withColumn("ht", _bare(F.col("h")))
     s = s.withColumn("hf", _folded(F.col("ht")))
     # the signature: up to an initializer or expression body, without base call and constraints
-    s = s.withColumn("sig", F.regexp_replace("hf", r"(?s)(?:=>|(?<![=!<>])=(?![=>])).*$", ""))
+    s = s.withColumn("sig", _replaced(F.col("hf"), r"(?s)(?:=>|(?<![=!<>])=(?![=>])).*$", "", "="))
     s = s.withColumn("is_expr", F.col("sig") != F.col("hf"))
-    s = s.withColumn("sig", unicode_trim(F.regexp_replace(F.regexp_replace("sig", r"(?s)\swhere\s.*$", ""),
-                                                          r"\s*:\s*(?:base|this)\s*" + FOLDED + r"\s*$", "")))
+    s = s.withColumn("sig", unicode_trim(_replaced(_replaced(F.col("sig"), r"(?s)\swhere\s.*$", "", "where"),
+                                                   r"\s*:\s*(?:base|this)\s*" + FOLDED + r"\s*$", "", ":")))
     h, hf, sig, term = F.col("ht"), F.col("hf"), F.col("sig"), F.col("term")
     called = r"(?U)(~?\s*@?\w+)\s*(?:<[\w\s,<>\[\]?.@]*>)?\s*" + FOLDED + "$"
     # a plain search comes before each pattern that has a fixed part
@@ -239,7 +273,8 @@ def _classify(s: DataFrame) -> DataFrame:
     type_kw = F.col("type_kw")
     arrow_first = hf.contains("=>") & hf.rlike(r"(?s)^" + r"(?:(?!=>|(?<![=!<>])=(?![=>])).)*+=>")
     indexer = sig.contains("this") & sig.rlike(r"\bthis\s*\[")
-    raw = (F.when((term == ";") & h.contains("using") & h.rlike(r"^(?:global\s+)?using\s"), F.lit("using"))
+    raw = (F.when(h.isNull(), F.lit(None).cast("string"))
+           .when((term == ";") & h.contains("using") & h.rlike(r"^(?:global\s+)?using\s"), F.lit("using"))
            .when(term.isin("{", ";") & h.startswith("namespace") & h.rlike(r"^(?U)namespace\s+[\w.@]+$"), F.lit("namespace"))
            .when(term.isin("{", ";") & (type_kw != ""), type_kw)
            .when((term == "}") | (term == "") | (h == "") | h.rlike(r"^[=).,\]?:&|+*/<>-]"), F.lit(None).cast("string"))
@@ -261,8 +296,7 @@ def _classify(s: DataFrame) -> DataFrame:
             .when(indexer, F.lit("this"))
             .when(raw.isin("field", "property"), F.regexp_extract(sig, r"(?U)(@?\w+)\s*$", 1)))
     return (s.withColumn("name", name)
-             .withColumn("is_public", h.contains("public") & h.rlike(r"^(?:\w+\s+)*?public\b"))
-             .withColumn("starts_eq", h.startswith("=")))
+             .withColumn("is_public", h.contains("public") & h.rlike(r"^(?:\w+\s+)*?public\b")))
 
 
 def declarations(files: DataFrame, keys: Sequence[str], content: str = "content",
@@ -274,31 +308,38 @@ def declarations(files: DataFrame, keys: Sequence[str], content: str = "content"
     1-based.  Operators, delegates, events and indexers are not members here."""
     keys = list(keys)
     s = segments(files, keys, content)
-    # mask + classify every segment once; only small columns travel on
-    cls = _header(s).select(*keys, "idx", "depth", "term", "seg_start", "len", "nl_before", "nl", "next_tt", "tt",
-                            "raw_kind", "name", "is_public", "lead_ws", "lead_nl", "is_expr", "starts_eq")
-    role = lambda level, opens: F.struct(level.alias("level"), F.lit(opens).alias("is_opener"))
-    roles = F.when(F.col("term") == "{", F.array(role(F.col("depth"), False), role(F.col("depth") + 1, True))) \
-             .otherwise(F.array(role(F.col("depth"), False)))
-    u = cls.withColumn("role", F.explode(roles)).select("*", "role.level", "role.is_opener").drop("role")
-    w = Window.partitionBy(*keys, "level").orderBy("idx")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    # what follows is what has passed in descending order: a frame to the end of the file is worked out anew for every row
-    after = Window.partitionBy(*keys, "level").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, -1)
-    end = F.struct((F.col("seg_start") + F.col("len")).alias("pos"), (F.col("nl_before") + F.col("nl") + 1).alias("line"),
-                   F.col("next_tt").alias("tt"))
-    opener = F.struct("idx", "raw_kind", "name", (F.col("seg_start") + F.col("lead_ws")).alias("pos"))
-    u = u.select(
-        "*",
-        F.last(F.when(F.col("is_opener"), opener), ignorenulls=True).over(before).alias("parent"),
-        F.when(F.col("is_opener"), F.last(F.when(~F.col("is_opener") & (F.col("term") == "}"), end), ignorenulls=True).over(after)).alias("closer"),
-        F.last(F.when(~F.col("is_opener") & (F.col("term") == ";"), end), ignorenulls=True).over(after).alias("semicolon"),
-        F.coalesce(F.lead("starts_eq").over(w), F.lit(False)).alias("assigned"))
-    u = u.withColumn("closer", F.max("closer").over(Window.partitionBy(*keys, "idx")))
-
+    prev, term = F.col("before"), F.col("term")
+    # the segment after an opener is the first at its depth: it brings the parent
+    opener = F.struct(prev["idx"].alias("idx"), prev["opens"]["raw_kind"].alias("raw_kind"), prev["opens"]["name"].alias("name"),
+                      (F.col("seg_start") - prev["len"] + prev["opens"]["lead_ws"]).alias("pos"))
+    # what follows a block at its depth stands after a closing segment
+    starts_eq = F.when((prev["term"] == "}") & F.col("seg").contains("="),
+                       _bare(F.regexp_replace(_masked_header(F.col("seg"), term), BLANK_RE, "")).startswith("="))
+    s = s.select(*keys, "idx", "depth", "term", "seg", "seg_start", "len", "nl_before", "nl", "next_tt", "tt", "opens", "text_len", "text_nl",
+                 F.when(prev["term"] == "{", opener).alias("opened"), F.coalesce(starts_eq, F.lit(False)).alias("starts_eq"))
+    w = Window.partitionBy(*keys, "depth").orderBy("idx")
+    follows = F.lead(F.struct("seg_start", "nl_before", "tt", "starts_eq")).over(w)
+    s = s.select("*", F.last("opened", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("parent"),
+                 follows.alias("follows")).where(term.isin("{", ";")).drop("opened")
+    # statements of bodies are not classified
     pk = F.col("parent.raw_kind")
-    d = u.filter((~F.col("is_opener")) & F.col("raw_kind").isNotNull()
-                 & (pk.isNull() | pk.isin("namespace", *MEMBER_PARENTS)))
+    member = pk.isNull() | pk.isin("namespace", *MEMBER_PARENTS)
+    s = _header(s, (term == ";") & member, "ends")
+    header = F.when(term == "{", F.col("opens")).otherwise(F.col("ends"))
+    # a block ends where the next segment at its depth begins, or with the text
+    follows, point = F.col("follows"), lambda pos, line, tt: F.struct(pos.alias("pos"), line.alias("line"), tt.alias("tt"))
+    closer = (F.when(term != "{", None).when(follows.isNotNull(), point(follows["seg_start"], follows["nl_before"] + 1, follows["tt"]))
+               .when(F.col("depth") == 0, point(F.col("text_len"), F.col("text_nl") + 1, F.lit(0))))
+    s = s.withColumn("_h", header).select(
+        *keys, "idx", "depth", "term", "seg_start", "nl_before", "tt", "parent", *(F.col("_h")[c].alias(c) for c in HEADER),
+        point(F.col("seg_start") + F.col("len"), F.col("nl_before") + F.col("nl") + 1, F.col("next_tt")).alias("own_end"),
+        closer.alias("closer"), F.coalesce(follows["starts_eq"], F.lit(False)).alias("assigned"))
+    # what follows is what has passed in descending order: a frame to the end of the file is worked out anew for every row
+    after = Window.partitionBy(*keys, "depth").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumn("semicolon", F.last(F.when(term == ";", F.col("own_end")), ignorenulls=True).over(after))
+    s = s.where((term == "{") | (F.col("raw_kind").isNotNull() & member))
+    s = s.withColumn("closer", F.max("closer").over(Window.partitionBy(*keys, "idx")))
+    d = s.where(F.col("raw_kind").isNotNull() & member)
     kind = (F.when(F.col("raw_kind").isin("using", "namespace") & (pk.isNull() | (pk == "namespace")), F.col("raw_kind"))
             .when(F.col("raw_kind").isin(*TYPE_KINDS), F.col("raw_kind"))
             .when(pk.isin(*MEMBER_PARENTS) & (F.col("raw_kind") == "callable"),
@@ -308,7 +349,7 @@ def declarations(files: DataFrame, keys: Sequence[str], content: str = "content"
             .when(pk.isin(*MEMBER_PARENTS) & F.col("raw_kind").isin("field", "property"), F.col("raw_kind")))
     d = d.withColumn("kind", kind).filter(F.col("kind").isNotNull())
     # an initializer or expression body goes on to its semicolon
-    d = d.withColumn("end", F.when(F.col("term") != "{", end).when(F.col("is_expr") | F.col("assigned"), F.col("semicolon"))
+    d = d.withColumn("end", F.when(term != "{", F.col("own_end")).when(F.col("is_expr") | F.col("assigned"), F.col("semicolon"))
                              .otherwise(F.col("closer")))
     full_start = F.when(F.col("idx") == 0, F.lit(0)).otherwise(F.col("seg_start") + F.col("tt"))
     d = d.select(
