@@ -101,3 +101,12 @@ def test_scratch_of_a_change_run_holds_results_only(spark):
         PL.route_commits(change_inputs(spark)).collect()
         left = {n.rsplit("-", 1)[0] for n in set(os.listdir(f"{shared_dir(spark)}/tidemark")) - before}
     assert "routed" in left and not left & {"changes", "wanted", "known", "hit"}
+
+
+def test_results_hold_ids_of_codes_through_two_upserts(spark, tmp_path):
+    sets, codes = PL.change_sets_by_id(heads(spark), change_inputs(spark))
+    made = PL.result_rows(materialize(sets, "t-sets"))
+    for k in (0, 1):
+        out = R.upsert_results(made.where(F.pmod("run_order", F.lit(2)) == k), PL.RESULT_ORDER, f"file:{tmp_path}/results", owner="t")
+    texts = {r.id: r.code for r in codes.collect()}
+    assert [(r.test_path, r.run_order, texts[r.generated_code]) for r in out.collect()] == [("r/tests/aTests.cs", 2, "class T { }")]
