@@ -58,3 +58,15 @@ def test_edge_cases(spark):
     got = V.near_duplicates(frame(spark, [(None, [1.0, 1.0]), (None, [1.0, 1.0]), (4, [2.0, 2.1]), (4, [2.0, 2.1]), (None, [-1.0, 5.0])])).collect()
     assert sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in got) == [
         ("4", 3, "4", True), ("4", 3, "4", True), ("None", 0, "None", True), ("None", 3, "4", False), ("None", 3, "4", False)]
+
+
+def test_matrices_are_not_shuffled(spark):
+    """Some blocks are broadcast in a round, the others scanned in place; a
+    round of one block each still finds every pair."""
+    assert V.rounds([(1, 4), (2, 4), (3, 9), (4, 1), (5, 1)], 8) == [[1, 2], [3], [4, 5]]
+    files = lambda: {n: spark._jvm.java.io.File(n).length() for n in
+                     spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if n.endswith(".data")}
+    before, rows = set(files()), vectors(240, 64, 3, 0.2)
+    check(spark, rows, block=20, piece=16, held=1)
+    matrices = 12 * 240 * 64 * 8                                  # every block in about 12 tiles
+    assert sum(size for n, size in files().items() if n not in before) < matrices / 4

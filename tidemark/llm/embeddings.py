@@ -8,6 +8,9 @@
    ``block`` rows; a block is one row that holds its ids and its matrix.  Two
    blocks meet in a tile unless their leading coordinates are too far apart
    for any pair (unit vectors with cosine t are at most sqrt(2 - 2t) apart).
+   Matrices are never shuffled, as every block meets many others: in a round
+   some blocks (``held`` bytes) are broadcast and all others scanned in place,
+   each block taking the tiles of about half of the blocks it meets.
 4. In a tile the first ``step`` coordinates of all pairs are multiplied; a
    pair goes on only while the product so far plus the product of the suffix
    norms (Cauchy-Schwarz) can reach the threshold.  What is left is computed
@@ -30,21 +33,23 @@ component and is kept; repeated rows count as other vectors.
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import batch, written
 from tidemark.llm.components import connected_components
-from tidemark.session import scratch_scope
+from tidemark.session import scratch_path, scratch_scope, shuffles_freed
 
 
 @dataclass(frozen=True)
 class Params:
-    """``lead``: leading coordinates whose ranges are kept per block."""
+    """``lead``: leading coordinates whose ranges are kept per block; ``held``:
+    bytes of the blocks that are broadcast at a time."""
 
     threshold: float = 0.9
     block: int = 4096
@@ -52,6 +57,7 @@ class Params:
     step: int = 16
     lead: int = 4
     slack: float = 1e-3
+    held: int = 1 << 25
 
 
 STAND_IN = 1 << 62
@@ -158,7 +164,35 @@ def _blocks(classes: DataFrame, spectra: dict[int, np.ndarray], p: Params) -> Da
 
     ordered = keyed.repartitionByRange("dims", "key").sortWithinPartitions("dims", "key", "node")
     packed = ordered.mapInArrow(pack, "dims int, ids binary, counts binary, m binary, low array<double>, high array<double>")
-    return written(packed.withColumn("block", F.monotonically_increasing_id()), "embedding-blocks")
+    # a file per block, so that a scan can deal them one by one
+    path = scratch_path(classes.sparkSession, "embedding-blocks")
+    with shuffles_freed(classes.sparkSession):
+        packed.withColumn("block", F.monotonically_increasing_id()).write.option("maxRecordsPerFile", 1).parquet(path)
+    return classes.sparkSession.read.parquet(path)
+
+
+@contextmanager
+def _many_splits(spark: SparkSession):
+    """Scans planned inside are cut into several splits per core: tiles take minutes, not bytes."""
+    name = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(4 * spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def rounds(sizes: list[tuple[int, int]], held: int) -> list[list[int]]:
+    """Blocks, of (block, bytes), in lists of at most ``held`` bytes (or of one block)."""
+    out, room = [], 0
+    for block, size in sizes:
+        if not out or size > room:
+            out.append([])
+            room = held
+        out[-1].append(block)
+        room -= size
+    return out
 
 
 def near_duplicates(vectors: DataFrame, p: Params = Params()) -> DataFrame:
@@ -170,7 +204,8 @@ def near_duplicates(vectors: DataFrame, p: Params = Params()) -> DataFrame:
     stand_in = F.lit(STAND_IN) + F.xxhash64(F.col("embedding").cast("string")).bitwiseAND(F.lit(STAND_IN - 1))
     rows = vectors.select(F.coalesce(F.col("vec_id").cast("long"), stand_in).alias("node"), F.when(ok, v).alias("v"))
     rows = written(rows.withColumn("key", F.when(F.col("v").isNotNull(), F.sha2(F.col("v").cast("string"), 256))), "embedding-rows")
-    with scratch_scope(vectors.sparkSession):
+    spark = vectors.sparkSession
+    with scratch_scope(spark):
         classes = written(rows.where("v is not null").groupBy("key").agg(F.min("node").alias("node"), F.count("*").alias("n"), F.first("v").alias("v")),
                           "embedding-classes")
         spectra = _spectra(classes)
@@ -185,8 +220,15 @@ def near_duplicates(vectors: DataFrame, p: Params = Params()) -> DataFrame:
         a = a.withColumn("cell", F.explode(F.sequence(cell("low_a", 0), cell("high_a", 0))))
         b = b.withColumn("cell", F.explode(F.sequence(cell("low_b", -1), cell("high_b", 1))))
         tiles = a.join(b, ["dims", "cell"]).where("block_a <= block_b").where(gap <= far).select("block_a", "block_b").distinct()
+        # every second tile the other way round: in each round all blocks have tiles, not only those before the broadcast ones
+        order = blocks.select("block", (F.length("m") + F.length("ids") + F.length("counts")).alias("size")).orderBy("block").collect()   # two numbers per block
+        place = spark.createDataFrame([(r["block"], k) for k, r in enumerate(order)], "block long, k int")
+        for s in ("_a", "_b"):
+            tiles = tiles.join(place.select(F.col("block").alias("block" + s), F.col("k").alias("k" + s)), "block" + s)
+        turned = F.pmod(F.col("k_a") + F.col("k_b"), F.lit(2)) == 1
+        tiles = written(tiles.select(F.when(turned, F.col("block_b")).otherwise(F.col("block_a")).alias("block_a"),
+                                     F.when(turned, F.col("block_a")).otherwise(F.col("block_b")).alias("block_b")), "embedding-tiles")
         half = [blocks.select(*(F.col(c).alias(c + s) for c in ("block", "dims", "ids", "counts", "m"))) for s in ("_a", "_b")]
-        met = tiles.join(half[0], "block_a").join(half[1], "block_b")
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
         def compare(batches):
@@ -221,7 +263,13 @@ def near_duplicates(vectors: DataFrame, p: Params = Params()) -> DataFrame:
                     for x, y in ends:
                         yield batch(schema, [x, y, pa.nulls(len(x), pa.int64())])
 
-        found = written(met.repartition("block_a", "block_b").mapInArrow(compare, "a long, b long, n long"), "embedding-links")
+        path = scratch_path(spark, "embedding-links")
+        for some in rounds([(r["block"], r["size"]) for r in order], p.held):
+            here = F.broadcast(tiles.where(F.col("block_b").isin(some)))
+            met = half[0].join(here, "block_a").join(F.broadcast(half[1].where(F.col("block_b").isin(some))), "block_b")
+            with _many_splits(spark), shuffles_freed(spark):
+                met.mapInArrow(compare, "a long, b long, n long").write.mode("append").parquet(path)
+        found = spark.read.schema("a long, b long, n long").parquet(path) if order else spark.createDataFrame([], "a long, b long, n long")
         counts = written(found.where("n is not null").groupBy("a").agg(F.sum("n").alias("n")), "embedding-counts")
         comps = connected_components(found.where("b is not null").select("a", "b"), "embedding-cc")
         label = classes.select("key", "node", F.col("n").alias("copies")) \
