@@ -110,3 +110,10 @@ def test_results_hold_ids_of_codes_through_two_upserts(spark, tmp_path):
         out = R.upsert_results(made.where(F.pmod("run_order", F.lit(2)) == k), PL.RESULT_ORDER, f"file:{tmp_path}/results", owner="t")
     texts = {r.id: r.code for r in codes.collect()}
     assert [(r.test_path, r.run_order, texts[r.generated_code]) for r in out.collect()] == [("r/tests/aTests.cs", 2, "class T { }")]
+
+
+def test_review_requests_need_no_texts(spark):
+    sets, _ = PL.change_sets_by_id(heads(spark), change_inputs(spark))
+    requests = R.review_requests(sets, PL.RUN)
+    assert "code" not in requests._jdf.queryExecution().optimizedPlan().toString().replace("recorded-codes", "")
+    assert sorted((r.run_order, r.n_files) for r in requests.collect()) == [(0, 1), (1, 1), (2, 1)]
