@@ -104,3 +104,33 @@ def test_one_file_per_row_starts_no_process_per_file(spark):
     found = sorted((os.path.basename(d), f.rsplit(".", 1)[1], open(f"{d}/{f}").read()) for d, _, fs in os.walk(root) for f in fs)
     null = "folder=__HIVE_DEFAULT_PARTITION__"
     assert found == [(null, "txt", "y\n"), (null, "txt", "z\n"), ("folder=a b", "txt", "x\n"), ("folder=c%3Ad%25", "txt", "\n")]
+
+
+def test_files_are_listed_and_read_by_tasks_as_spark_reads_them(spark, tmp_path):
+    names = ["a.txt", "b c.txt", "x%20y.txt", "k=1/ä#1.txt", "k=1/_h.txt", "k=1/_p=1.txt", ".hid/a.txt", "_d/a.txt", "_d=1/e/f+g.txt", "z.TXT", "empty.txt", "b.cs", "w[1].txt", "a.gz"]
+    for i, n in enumerate(names):
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        text = b"" if n.startswith("empty") else b"\xef\xbb\xbfbom" if i == 0 else b"\xff raw\r\n" if i == 1 else f"text {i}\n".encode()
+        if n.endswith(".gz"):
+            import gzip
+            text = gzip.compress(text)
+        (tmp_path / n).write_bytes(text)
+    out = lambda df: sorted((r.file_path, bytes(r.b)) for r in df.select("file_path", F.col("content").cast("binary").alias("b")).collect())
+    for glob in (None, "*.txt", "?.{txt,cs}", "[!a]*.txt", "\\b*", "*\\[1].txt"):
+        r = spark.read.option("recursiveFileLookup", True)
+        r = r.option("pathGlobFilter", glob) if glob else r
+        want = out(r.text(str(tmp_path), wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), SF.without_bom("value").alias("content")))
+        got = SF.scan_whole_files(spark, str(tmp_path), glob)
+        assert out(got) == want and len(want) > 0, glob
+        # the driver holds no index of files
+        assert "FileScan text" not in got._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        SF.scan_whole_files(spark, str(tmp_path / "none"))
+    assert [r.content for r in SF.scan_whole_files(spark, str(tmp_path / "b.cs")).collect()] == ["text 11\n"]
+
+
+def test_a_commit_moves_a_list_in_parts(tmp_path, monkeypatch):
+    monkeypatch.setattr(SK, "MOVED", 3)
+    w = SK.TextFilesWriter(str(tmp_path))
+    w.commit([w.write(iter([(f"d{i % 2}/{i} .txt", str(i)) for i in range(10)]))])
+    assert files_below(tmp_path) == {f"d{i % 2}/{i} .txt": str(i) for i in range(10)}

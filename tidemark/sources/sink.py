@@ -3,7 +3,7 @@
 A Python data source writer with Spark's commit protocol.  A task attempt
 writes its files under ``{root}/_staged/<write>/<attempt>`` with a list of
 them; the driver's commit moves the files of the attempts that Spark chose to
-their paths, one list after the other, and then takes the staging folder away.
+their paths, one part of a list after the other, and then takes the staging folder away.
 Attempts that fail and writes that are aborted leave nothing at any path; tasks
 that still run while a write is aborted may leave staged files, which scans
 pass over and ``clear_staging`` takes away.
@@ -14,11 +14,13 @@ second time gives the same files.
 
 from __future__ import annotations
 
+import io
 import json
 import posixpath
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
@@ -27,6 +29,7 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 
 STAGED = "_staged"
 MOVERS = 32
+MOVED = 10_000                     # files of a list that are in memory at a time
 
 
 def inner_path(path: str | None) -> str:
@@ -97,10 +100,13 @@ class TextFilesWriter(DataSourceWriter):
         with ThreadPoolExecutor(MOVERS) as pool:
             for m in messages:
                 if m is not None and m.listing:
-                    with fs.open_input_stream(m.listing) as f:
-                        targets = [json.loads(line) for line in f.read().decode("utf-8").splitlines()]
                     folder = posixpath.dirname(m.listing)
-                    list(pool.map(move, (f"{folder}/{i}" for i in range(len(targets))), targets))
+                    with fs.open_input_stream(m.listing) as f, io.TextIOWrapper(f, "utf-8", newline="\n") as lines:
+                        numbered = enumerate(lines)
+                        # a part at a time: this is the driver
+                        while part := list(islice(numbered, MOVED)):
+                            for _ in pool.map(move, (f"{folder}/{i}" for i, _ in part), (json.loads(line) for _, line in part)):
+                                pass
         self._clear(fs, base)
 
     def abort(self, messages: list) -> None:
