@@ -179,3 +179,35 @@ def test_debounce_waits_for_its_time(spark):
     time.sleep(18)
     turn([("old", now - 500, 4, "change")])
     assert fired() == [1, 3, 4]
+
+
+def test_ticks_of_a_span_are_read_and_written_once():
+    """A key's batch of many ticks is a few calls to the state store."""
+    from pyspark.sql import Row
+    from pyspark.sql import types as T
+
+    class Spans:
+        held, calls = {}, 0
+
+        def getValue(self, key):
+            self.calls += 1
+            return self.held.get(key)
+
+        def updateValue(self, key, value):
+            self.calls += 1
+            self.held[key] = value
+
+    class Now:
+        def getCurrentWatermarkInMs(self):
+            return 10**9
+
+    p = SD.Ticks("path", 10, T.StructType().add("event_id", "long").add("event_type", "string"))
+    p.spans = Spans()
+    tick = lambda t, first, last, e: Row(tick=t, first_us=first, last_us=last, event_id=e, event_type=None)
+    run = lambda *rows: [(r.event_id, r.fired) for r in p.handleInputRows(("a",), iter(rows), Now())]
+    got = run(*(tick(t, 10 * t, 10 * t, t) for t in range(0, 400, 2)))          # 20 apart: all fire
+    assert got == [(t, True) for t in range(0, 400, 2)]
+    assert p.spans.calls <= 4                                                   # the span, and the one before
+    assert run(tick(1, 15, 15, 1000)) == []                                     # followed by 20, within the gap
+    assert run(tick(1, 10, 15, 1001)) == [(0, False)]                           # 0 is followed by 10
+    assert p.spans.calls <= 12

@@ -5,7 +5,9 @@ An event fires when no event of its key follows within the gap.  A
 per key and tick the first time and the last event, a partial aggregate, so a
 hot key is a few rows.  Events of one tick are one burst, and whether a tick's
 last event fires depends on the first event of the next tick alone; so the
-state of a key is a map from ticks, of which a batch looks up those it touches.
+state of a key is a map of ticks, kept in spans of ``SPAN`` ticks, of which a
+batch reads and writes those it touches once each: a call to the state store
+costs far more than the ticks of a span.
 
 A tick's last event is due when the clock passes it by the gap: at once for
 events of the past, else by a timer.  The clock is the time at which batches
@@ -13,7 +15,7 @@ came in, not the time in the events, so the watermark drops nothing however
 late an event is.  A late event that follows a fired one within the gap takes
 it back: the result is a log of firings and withdrawals, and ``fired`` gives
 the events that stand.  Once all input is in, these are what the batch form
-gives.  The state keeps one value per key and tick.
+gives.  The state keeps every tick and never expires.
 """
 
 from __future__ import annotations
@@ -32,6 +34,9 @@ from tidemark.streaming.state import publish, state_store
 #: How far the driver's clock may be set back between two batches.
 CLOCK_SLACK_SECONDS = 5
 
+#: Ticks of one value of the state.
+SPAN = 512
+
 
 class Ticks(StatefulProcessor):
     """Ticks of a key -> firings and withdrawals of its events.  ``event``:
@@ -43,28 +48,32 @@ class Ticks(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        event = ", ".join(f"`e_{f.name}` {f.dataType.simpleString()}" for f in self.event)
-        self.ticks = handle.getMapState("ticks", "tick long", f"first_us long, last_us long, announced boolean, {event}")
+        event = ", ".join(f"`e_{f.name}` array<{f.dataType.simpleString()}>" for f in self.event)
+        self.spans = handle.getMapState("spans", "span long", f"tick array<long>, first_us array<long>, announced array<boolean>, last_us array<long>, {event}")
+
+    def _span(self, tick: int) -> dict:
+        """Tick -> (first time, last event as (time, tiebreak, ...), announced)."""
+        span = tick // SPAN
+        if span not in self.known:
+            found = self.spans.getValue((span,))                  # None where there is none
+            self.known[span] = {t: (first, tuple(last), announced) for t, first, announced, *last in zip(*found, strict=True)} if found else {}
+        return self.known[span]
 
     def _get(self, tick: int):
-        """(first time, last event as (time, tiebreak, ...), announced)."""
-        if tick not in self.known:
-            found = self.ticks.getValue((tick,))                  # None where there is none
-            self.known[tick] = found and (found[0], (found[1], *found[3:]), found[2])
-        return self.known[tick]
+        return self._span(tick).get(tick)
 
     def _put(self, tick: int, first: int, last: tuple, announced: bool) -> None:
-        self.known[tick] = (first, last, announced)
-        self.changed.add(tick)
+        self._span(tick)[tick] = (first, last, announced)
+        self.changed.add(tick // SPAN)
 
     def _begin(self) -> None:
-        """Ticks of one key and call, read once and written once at the end."""
+        """Spans of one key and call, read once and written once at the end."""
         self.known, self.changed = {}, set()
 
     def _end(self) -> None:
-        for tick in self.changed:
-            first, last, announced = self.known[tick]
-            self.ticks.updateValue((tick,), (first, last[0], announced, *last[1:]))
+        for span in self.changed:
+            rows = [(t, first, announced, *last) for t, (first, last, announced) in sorted(self.known[span].items())]
+            self.spans.updateValue((span,), tuple(map(list, zip(*rows, strict=True))))
 
     def _row(self, key, last: tuple, fired: bool) -> Row:
         return Row(**{self.key: key[0]}, last_us=last[0], **dict(zip(self.event.names, last[1:])), fired=fired)
