@@ -117,3 +117,15 @@ def test_review_requests_need_no_texts(spark):
     requests = R.review_requests(sets, PL.RUN)
     assert "code" not in requests._jdf.queryExecution().optimizedPlan().toString().replace("recorded-codes", "")
     assert sorted((r.run_order, r.n_files) for r in requests.collect()) == [(0, 1), (1, 1), (2, 1)]
+
+
+def test_live_sinks_name_their_texts_by_id(spark, tmp_path):
+    base = f"file:{tmp_path}/live"
+    write = PL.change_run_writer(change_inputs(spark), base)
+    for epoch, runs in enumerate(([0, 1], [2])):
+        for _ in range(2):                                       # every epoch twice
+            write(heads(spark).where(F.col("run_order").isin(runs)), epoch)
+    texts = {r.id: r.code for r in PL.texts_of(spark, base).collect()}
+    got = [(r.run_order, texts[r.content]) for r in spark.read.parquet(f"{base}/manifest").collect()]
+    assert sorted(got) == [(k, "class T { }") for k in range(3)]
+    assert [(r.run_order, texts[r.generated_code]) for r in R.current_results(spark, f"{base}/results").collect()] == [(2, "class T { }")]
