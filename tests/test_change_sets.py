@@ -94,13 +94,16 @@ def test_texts_in_one_file_are_scanned_by_many_tasks(spark):
     assert len(decls.select(F.input_file_name()).distinct().collect()) > 1 and decls.where("name = 'One'").count() == 40
 
 
-def test_scratch_of_a_change_run_holds_results_only(spark):
-    from tidemark.session import scratch_scope, shared_dir
-    with scratch_scope(spark):
-        before = set(os.listdir(f"{shared_dir(spark)}/tidemark")) if os.path.exists(f"{shared_dir(spark)}/tidemark") else set()
-        PL.route_commits(change_inputs(spark)).collect()
-        left = {n.rsplit("-", 1)[0] for n in set(os.listdir(f"{shared_dir(spark)}/tidemark")) - before}
-    assert "routed" in left and not left & {"changes", "wanted", "known", "hit"}
+def test_scratch_of_a_change_run_holds_results_only(spark, monkeypatch):
+    at = {}
+
+    def noted(df, name, *a, **k):
+        out = materialize(df, name, *a, **k)
+        at[name] = os.path.dirname(out.inputFiles()[0].removeprefix("file://"))
+        return out
+    monkeypatch.setattr(R, "materialize", noted)
+    PL.route_commits(change_inputs(spark)).collect()
+    assert os.path.exists(at["routed"]) and not [n for n in ("changes", "wanted", "known") if os.path.exists(at[n])]
 
 
 def test_results_hold_ids_of_codes_through_two_upserts(spark, tmp_path):
@@ -115,7 +118,7 @@ def test_results_hold_ids_of_codes_through_two_upserts(spark, tmp_path):
 def test_review_requests_need_no_texts(spark):
     sets, _ = PL.change_sets_by_id(heads(spark), change_inputs(spark))
     requests = R.review_requests(sets, PL.RUN)
-    assert "code" not in requests._jdf.queryExecution().optimizedPlan().toString().replace("recorded-codes", "")
+    assert "_code" not in requests._jdf.queryExecution().optimizedPlan().toString().replace("generated_code", "")
     assert sorted((r.run_order, r.n_files) for r in requests.collect()) == [(0, 1), (1, 1), (2, 1)]
 
 
